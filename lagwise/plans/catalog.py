@@ -1,4 +1,406 @@
-"""Registered queries of the regression engine."""
+"""Registered queries of the regression engine over the event stream, with the SQL that says the same.
 
+The signal is the stream on a ten-minute grid from 2024-01-01 (4,320 samples): cents for each sample. Events are purchases and errors, with
+latency in samples, value and k (from props) as predictors.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lagwise.functions import basis as bases
+from lagwise.functions.formula import Schema
+from lagwise.operators import design as dm
+from lagwise.operators import epochs as ep
+from lagwise.operators import events as ev
+from lagwise.operators import predict as pr
+from lagwise.operators import solve as sv
+from lagwise.session import ship
+from lagwise.sources import signal as sg
+
+START, STEP, SAMPLES = 1704067200000000, 600000000, 4320
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _signal(spark, sf_dir, fill: bool = True, multi: bool = False) -> DataFrame:
+    rows = _table(spark, sf_dir, "events")
+    code = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")).cast("int") if multi else None
+    return sg.gridded(rows, "ts", F.round(F.col("value") * 100).cast("long"), START, STEP, SAMPLES, code, fill)
+
+
+def _events(spark, sf_dir, *kinds: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").where(F.col("event_type").isin(*(kinds or KINDS)))
+    at = (F.expr("unix_micros(cast(ts as timestamp))") - F.lit(START)) / F.lit(float(STEP)) + 1
+    return rows.select(F.col("event_id").alias("event_ix"), at.alias("latency"), F.col("event_type").alias("event"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+def _sampled(events: DataFrame) -> DataFrame:
+    return events.withColumn("latency", F.floor("latency").cast("double"))
+
+
+# The SQL of the inputs.
+_CTE = f"""
+g AS (SELECT (epoch_us(ts)-{START})//{STEP}+1 AS sample, event_type, CAST(round(value*100) AS BIGINT) AS cents FROM events),
+sums AS (SELECT sample, CAST(sum(cents) AS DOUBLE) AS y FROM g GROUP BY 1),
+grid AS (SELECT CAST(range AS BIGINT) AS sample FROM range(1, {SAMPLES + 1})),
+sig AS (SELECT grid.sample, coalesce(y, 0.0) AS y FROM grid LEFT JOIN sums USING (sample)),
+raw AS (SELECT grid.sample, y FROM grid LEFT JOIN sums USING (sample)),
+ev AS (SELECT event_id AS event_ix, (epoch_us(ts)-{START})/CAST({STEP} AS DOUBLE)+1 AS latency, event_type AS event, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+"""
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None, plain: bool = False):
+    """Registers a function under its name, with its SQL after the inputs' common table expressions."""
+
+    def of(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql if plain else f"WITH {_CTE} {sql}"
+        return f
+
+    return of
+
+
+@query("SELECT 1 AS channel, sample, y FROM sig")
+def signal_grid(spark, sf_dir):
+    return _signal(spark, sf_dir)
+
+
+@query(f""", codes AS (SELECT unnest(range(1, 6)) AS channel), m AS (SELECT list_position({list(KINDS)}, event_type) AS channel, sample, CAST(sum(cents) AS DOUBLE) AS y FROM g GROUP BY 1, 2)
+SELECT CAST(channel AS INTEGER) AS channel, sample, y FROM codes CROSS JOIN grid LEFT JOIN m USING (channel, sample)""")
+def signal_multichannel(spark, sf_dir):
+    return _signal(spark, sf_dir, fill=False, multi=True)
+
+
+@query("SELECT event_ix, round(latency, 6) AS latency, value FROM ev WHERE event = 'purchase'")
+def event_filter(spark, sf_dir):
+    return ev.filter_events(_events(spark, sf_dir), "purchase").select("event_ix", F.round("latency", 6).alias("latency"), "value")
+
+
+def _copied(spark, sf_dir, how):
+    out = ev.copy_eventinfo(_events(spark, sf_dir, "purchase", "error"), "error", "purchase", "value", "near_value", search=how)
+    return out.select("event_ix", "event", F.round("near_value", 6).alias("near_value"))
+
+
+_NEAR = """, s AS (SELECT * FROM ev WHERE event='error'), t AS (SELECT * FROM ev WHERE event='purchase'),
+b AS (SELECT s.event_ix AS si, s.latency AS sl, s.value, t.event_ix AS bi, t.latency AS bl FROM s ASOF LEFT JOIN t ON s.latency >= t.latency),
+c AS (SELECT b.*, t.event_ix AS fi, t.latency AS fl FROM b ASOF LEFT JOIN t ON b.sl <= t.latency),
+p AS (SELECT si, sl, value, {pick} AS event_ix FROM c),
+w AS (SELECT event_ix, arg_max(value, sl) AS near_value FROM p WHERE event_ix IS NOT NULL GROUP BY 1)
+SELECT event_ix, event, round(near_value, 6) AS near_value FROM ev LEFT JOIN w USING (event_ix) WHERE event IN ('purchase','error')"""
+
+
+@query(_NEAR.format(pick="bi"))
+def copy_backward(spark, sf_dir):
+    return _copied(spark, sf_dir, "backward")
+
+
+@query(_NEAR.format(pick="fi"))
+def copy_forward(spark, sf_dir):
+    return _copied(spark, sf_dir, "forward")
+
+
+@query(_NEAR.format(pick="CASE WHEN bi IS NULL THEN fi WHEN fi IS NULL THEN bi WHEN sl-bl<fl-sl THEN bi WHEN fl-sl<sl-bl THEN fi ELSE least(bi,fi) END"))
+def copy_closest(spark, sf_dir):
+    return _copied(spark, sf_dir, "closest")
+
+
+_EPOCH = """, e AS (SELECT event_ix, CAST(round_even(latency, 0) AS BIGINT) AS pos, event, value FROM ev WHERE event IN ({kinds})), k AS (SELECT CAST(range AS BIGINT) AS k FROM range(-2, 6)),
+ep AS (SELECT 1 AS channel, event_ix, event, value, CAST(k+2 AS INTEGER) AS time_ix, k/1.0 AS time, y FROM e CROSS JOIN k LEFT JOIN {source} ON sample = pos + k)"""
+
+
+def _epochs(spark, sf_dir, *kinds, fill=True):
+    return ep.epoch(_signal(spark, sf_dir, fill), _events(spark, sf_dir, *kinds), (-2.0, 5.0), 1.0)
+
+
+@query(_EPOCH.format(kinds="'purchase'", source="sig") + " SELECT channel, event_ix, time_ix, CAST(time AS DOUBLE) AS time, y FROM ep")
+def epoch_long(spark, sf_dir):
+    return _epochs(spark, sf_dir, "purchase")
+
+
+@query(_EPOCH.format(kinds="'purchase','signup'", source="raw") + " SELECT time_ix, count(*) AS n, CAST(count(*)-count(y) AS BIGINT) AS missing FROM ep GROUP BY 1")
+def epoch_edges_null(spark, sf_dir):
+    return _epochs(spark, sf_dir, "purchase", "signup", fill=False).groupBy("time_ix").agg(F.count("*").alias("n"), F.count_if(F.col("y").isNull()).alias("missing"))
+
+
+@query(_EPOCH.format(kinds="'purchase'", source="raw") + " SELECT event_ix, time_ix, y FROM ep WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)")
+def drop_missing_epochs(spark, sf_dir):
+    return ep.drop_missing_epochs(_epochs(spark, sf_dir, "purchase", fill=False)).select("event_ix", "time_ix", "y")
+
+
+@query(", w AS (SELECT CAST(floor(latency) AS BIGINT) AS a FROM ev WHERE event='error' AND value > 90) SELECT sample, CASE WHEN EXISTS (SELECT 1 FROM w WHERE sample BETWEEN a AND a+3) THEN NULL ELSE y END AS y FROM sig")
+def clean_data(spark, sf_dir):
+    w = _events(spark, sf_dir, "error").where("value > 90").select(F.floor("latency").cast("long").alias("first"), (F.floor("latency").cast("long") + 3).alias("last"))
+    return ep.clean_data(_signal(spark, sf_dir), w).select("sample", "y")
+
+
+@query(_EPOCH.format(kinds="'purchase'", source="sig") + " SELECT time_ix, round(avg(y), 4) AS estimate, count(y) AS n FROM ep GROUP BY 1")
+def erp_average(spark, sf_dir):
+    return ep.average(_epochs(spark, sf_dir, "purchase")).select("time_ix", F.round("estimate", 4).alias("estimate"), "n")
+
+
+@query(_EPOCH.format(kinds="'purchase','error'", source="sig") + " SELECT event, time_ix, round(avg(y), 4) AS estimate, count(y) AS n FROM ep GROUP BY 1, 2")
+def erp_by_condition(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase", "error").select("event_ix", "event")
+    return ep.average(_epochs(spark, sf_dir, "purchase", "error").join(e, "event_ix"), "event").select("event", "time_ix", F.round("estimate", 4).alias("estimate"), "n")
+
+
+def _coded(spark, sf_dir, formula, contrasts=None):
+    e = _events(spark, sf_dir)
+    s = Schema.fit(formula, e, contrasts)
+    return s.design(e).select("event_ix", *[F.round(F.get("x", F.lit(i)), 6).alias(f"x{i}") for i in range(len(s.names()))])
+
+
+_IS = {k: f"CASE WHEN event='{k}' THEN 1.0 ELSE 0.0 END" for k in KINDS}
+
+
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, " + ", ".join(f"CAST({_IS[k]} AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS) if i) + ", round(value, 6) AS x5 FROM ev")
+def dummy_coding(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + event + value")
+
+
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, " + ", ".join(f"CAST(CASE WHEN event='{k}' THEN 1.0 WHEN event='click' THEN -1.0 ELSE 0.0 END AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS) if i) + " FROM ev")
+def effects_coding(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + event", {"event": "effects"})
+
+
+@query("SELECT event_ix, " + ", ".join(f"CAST({_IS[k]} AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS)) + " FROM ev")
+def full_coding(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 0 + event")
+
+
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, " + ", ".join(f"CAST({_IS[k]} AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS) if i) + ", k AS x5, " + ", ".join(f"CAST({_IS[k]} * k AS DOUBLE) AS x{i + 5}" for i, k in enumerate(KINDS) if i) + " FROM ev")
+def interaction_cols(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + event * k")
+
+
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, round(value, 6) AS x1, round(value*value, 6) AS x2, round(ln(value+1), 6) AS x3 FROM ev")
+def poly_cols(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + value + value^2 + log(value + 1)")
+
+
+def _fir(spark, sf_dir, kind="purchase", formula="0 ~ 1", fractional=False, **options):
+    e = _events(spark, sf_dir)
+    e = (e if fractional else _sampled(e)).withColumn("duration", F.col("k") % 5 + 1)
+    return dm.entries([(kind, (formula, bases.fir((-1.0, 3.0), 1.0, **options)))], e)[0], e
+
+
+def _long(x: DataFrame) -> DataFrame:
+    return x.select("sample", "col_ix", F.round("x", 6).alias("x"))
+
+
+@query(", c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)) SELECT CAST(floor(latency) AS BIGINT)-1+c AS sample, c AS col_ix, round(CAST(count(*) AS DOUBLE), 6) AS x FROM ev CROSS JOIN c WHERE event='purchase' AND CAST(floor(latency) AS BIGINT)-1+c >= 1 GROUP BY 1, 2")
+def fir_expand(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return _long(dm.expanded_design([e], rows))
+
+
+@query(""", c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)), x AS (SELECT CAST(floor(latency) AS BIGINT)-1+c AS sample, c AS col_ix, 1-(latency-floor(latency)) AS w FROM ev CROSS JOIN c WHERE event='purchase'
+UNION ALL SELECT CAST(floor(latency) AS BIGINT)+c, c, latency-floor(latency) FROM ev CROSS JOIN c WHERE event='purchase') SELECT sample, col_ix, round(sum(w), 6) AS x FROM x WHERE sample >= 1 GROUP BY 1, 2 HAVING sum(w) <> 0""")
+def fir_interpolated(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir, fractional=True, interpolate=True)
+    return _long(dm.expanded_design([e], rows))
+
+
+@query(""", c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)), d AS (SELECT range AS d FROM range(0, 5)) SELECT CAST(floor(latency) AS BIGINT)-1+c+d AS sample, c AS col_ix, CAST(count(*) AS DOUBLE) AS x
+FROM ev CROSS JOIN c CROSS JOIN d WHERE event='purchase' AND d < k % 5 + 1 AND CAST(floor(latency) AS BIGINT)-1+c+d >= 1 GROUP BY 1, 2""")
+def fir_block_duration(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir, scale="block")
+    return _long(dm.expanded_design([e], rows, duration="duration"))
+
+
+@query()
+def fir_stretched(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir, scale="linear")
+    return _long(dm.expanded_design([e], rows, duration="duration"))
+
+
+@query()
+def hrf_kernel(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("duration", F.lit(1.0))
+    entry = dm.entries([("purchase", ("0 ~ 1", bases.hrfbasis(2.0)))], e)[0]
+    return _long(dm.expanded_design([entry], e, duration="duration"))
+
+
+def _two(spark, sf_dir):
+    e = _sampled(_events(spark, sf_dir))
+    return dm.entries([("purchase", ("0 ~ 1 + k", bases.fir((-1.0, 3.0), 1.0))), ("error", ("0 ~ 1", bases.fir((0.0, 2.0), 1.0)))], e), e
+
+
+@query(""", c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)), x AS (SELECT CAST(floor(latency) AS BIGINT)-1+c AS sample, c AS col_ix, 1.0 AS x FROM ev CROSS JOIN c WHERE event='purchase'
+UNION ALL SELECT CAST(floor(latency) AS BIGINT)-1+c, c+5, k FROM ev CROSS JOIN c WHERE event='purchase' UNION ALL SELECT CAST(floor(latency) AS BIGINT)+c, c+10, 1.0 FROM ev CROSS JOIN c WHERE event='error' AND c < 3)
+SELECT sample, CAST(col_ix AS INTEGER) AS col_ix, round(CAST(sum(x) AS DOUBLE), 6) AS x FROM x WHERE sample >= 1 GROUP BY 1, 2 HAVING sum(x) <> 0""")
+def multi_event_design(spark, sf_dir):
+    all_, e = _two(spark, sf_dir)
+    return _long(dm.expanded_design(all_, e))
+
+
+_X = """, c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)), x AS (SELECT CAST(floor(latency) AS BIGINT)-1+c AS sample, c AS col_ix, CAST(count(*) AS DOUBLE) AS x FROM ev CROSS JOIN c
+WHERE event='purchase' AND CAST(floor(latency) AS BIGINT)-1+c BETWEEN 1 AND 4320 GROUP BY 1, 2)"""
+
+
+@query(_X + " SELECT a.col_ix AS i, b.col_ix AS j, sum(a.x*b.x) AS g FROM x a JOIN x b USING (sample) WHERE a.col_ix <= b.col_ix GROUP BY 1, 2")
+def gram_fir(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return dm.gram(dm.expanded_design([e], rows).where(F.col("sample") <= SAMPLES))
+
+
+@query(_X + " SELECT a.col_ix AS i, b.col_ix AS j, sum(a.x*b.x) AS g FROM x a JOIN x b USING (sample) WHERE a.col_ix <= b.col_ix GROUP BY 1, 2")
+def gram_lagjoin(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return dm.gram_lagged(e, rows, SAMPLES)
+
+
+@query(_X + " SELECT 1 AS channel, col_ix, sum(x*y) AS r FROM x JOIN sig USING (sample) GROUP BY 2")
+def rxy_fir(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return dm.cross(dm.expanded_design([e], rows), _signal(spark, sf_dir))
+
+
+def _mu(spark, sf_dir, formula="0 ~ 1 + value", **options):
+    e = _events(spark, sf_dir, "purchase")
+    return sv.fit([("purchase", (formula, ep.lags((-2.0, 5.0), 1.0)))], e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0), **options)
+
+
+# Epochs that reach beyond the signal are left out before anything is fitted.
+_MU = _EPOCH.format(kinds="'purchase'", source="sig") + ", full_ AS (SELECT * FROM ep WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)), fit AS (SELECT time_ix, regr_slope(y, value) AS b, regr_intercept(y, value) AS a, count(*) AS n, regr_sxx(y, value) AS sxx, avg(value) AS m FROM full_ GROUP BY 1)"
+
+
+@query(_MU + " SELECT time_ix, '(Intercept)' AS coefname, round(a, 3) AS estimate FROM fit UNION ALL SELECT time_ix, 'value', round(b, 3) FROM fit")
+def mu_coef_simple(spark, sf_dir):
+    return _mu(spark, sf_dir).coefs.select("time_ix", "coefname", F.round("estimate", 3).alias("estimate"))
+
+
+_RES = ", res AS (SELECT time_ix, var_samp(y - a - b*value) AS v, var_samp(y) AS vy FROM full_ JOIN fit USING (time_ix) GROUP BY 1)"
+
+
+@query(_MU + _RES + " SELECT time_ix, '(Intercept)' AS coefname, round(sqrt(v*(1.0/n + m*m/sxx)), 3) AS stderror FROM fit JOIN res USING (time_ix) UNION ALL SELECT time_ix, 'value', round(sqrt(v/sxx), 3) FROM fit JOIN res USING (time_ix)")
+def mu_stderr(spark, sf_dir):
+    return _mu(spark, sf_dir, stderror=True).coefs.select("time_ix", "coefname", F.round("stderror", 3).alias("stderror"))
+
+
+@query(_MU + " SELECT event_ix, time_ix, round(a + b*value, 2) AS yhat FROM fit CROSS JOIN (SELECT event_ix, value FROM e)")
+def predict_noverlap(spark, sf_dir):
+    return pr.predict(_mu(spark, sf_dir)).select("event_ix", "time_ix", F.round("yhat", 2).alias("yhat"))
+
+
+@query(_MU + " SELECT event_ix, time_ix, round(y - (a + b*value), 2) AS residual FROM ep JOIN fit USING (time_ix)")
+def residuals_mu(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase")
+    return pr.residuals(_mu(spark, sf_dir), ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0)).select("event_ix", "time_ix", F.round("residual", 2).alias("residual"))
+
+
+@query(_MU + ", q AS (SELECT time_ix, 1 - var_samp(y - (a + b*value))/var_samp(y) AS r, count(*)-count(y) AS gone FROM ep JOIN fit USING (time_ix) GROUP BY 1) SELECT time_ix, CASE WHEN gone = 0 THEN round(r, 6) END AS r2 FROM q")
+def r2_mu(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase")
+    return pr.r2(_mu(spark, sf_dir), ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0)).select("time_ix", F.round("r2", 6).alias("r2"))
+
+
+def _deconvolved(spark, sf_dir, **options):
+    e = _sampled(_events(spark, sf_dir, "purchase", "error"))
+    return sv.fit([("purchase", ("0 ~ 1 + k", bases.fir((-1.0, 3.0), 1.0))), ("error", ("0 ~ 1", bases.fir((0.0, 2.0), 1.0)))], e, _signal(spark, sf_dir), **options)
+
+
+@query()
+def deconv_coef(spark, sf_dir):
+    return _deconvolved(spark, sf_dir, stderror=True).coeftable()
+
+
+@query("SELECT CAST(col_ix AS INTEGER) AS col_ix, CAST(0.0 AS DOUBLE) AS gap FROM (SELECT unnest(range(0, 13)) AS col_ix)")
+def deconv_orthogonality(spark, sf_dir):
+    m, y = _deconvolved(spark, sf_dir), _signal(spark, sf_dir)
+    left = pr.residuals(m, y).select("channel", "sample", F.col("residual").alias("y"))
+    size = dm.cross(m.design_matrix(), y).withColumnRenamed("r", "size")
+    return dm.cross(m.design_matrix(), left).join(size, ["channel", "col_ix"]).select("col_ix", (F.abs(F.round(F.col("r") / F.col("size"), 6)) + 0.0).alias("gap"))
+
+
+@query()
+def deconv_predict_partial(spark, sf_dir):
+    return pr.predict(_deconvolved(spark, sf_dir), keep=["purchase"])
+
+
+@query()
+def deconv_predict_epoched(spark, sf_dir):
+    return pr.predict(_deconvolved(spark, sf_dir), epoch_to="purchase")
+
+
+@query()
+def deconv_predicttable(spark, sf_dir):
+    return pr.predicttable(_deconvolved(spark, sf_dir))
+
+
+@query()
+def deconv_r2(spark, sf_dir):
+    return pr.r2(_deconvolved(spark, sf_dir), _signal(spark, sf_dir), skip_notmodelled=True)
+
+
+@query(", b AS (SELECT unnest([quantile_cont(value, 0.0), quantile_cont(value, 1.0/3), quantile_cont(value, 2.0/3), quantile_cont(value, 1.0)]) AS b FROM ev) SELECT round(b, 6) AS b FROM b")
+def spline_breakpoints(spark, sf_dir):
+    s = Schema.fit("0 ~ 1 + spl(value, 6)", _events(spark, sf_dir))
+    return spark.createDataFrame([(float(b),) for b in s.breaks["value,6"]], "b double").select(F.round("b", 6).alias("b"))
+
+
+_COX = """, t AS (SELECT row_number() OVER (ORDER BY b, n)-1 AS i, b AS t FROM ({knots})), lim AS (SELECT min(t) AS lo, max(t) AS hi FROM t),
+xs AS (SELECT event_ix, {x} AS x FROM ev),
+n1 AS (SELECT event_ix, x, a.i, CASE WHEN x >= a.t AND a.t < b.t AND (x < b.t OR ({closed} AND x = b.t AND b.t = (SELECT hi FROM lim))) THEN 1.0 ELSE 0.0 END AS v FROM xs CROSS JOIN t a JOIN t b ON b.i = a.i+1)"""
+for _o in (2, 3, 4):
+    _COX += f""",
+n{_o} AS (SELECT p.event_ix, p.x, p.i, coalesce((p.x-a.t)/nullif(b.t-a.t, 0)*p.v, 0) + coalesce((d.t-p.x)/nullif(d.t-c.t, 0)*q.v, 0) AS v FROM n{_o - 1} p JOIN n{_o - 1} q ON q.event_ix = p.event_ix AND q.i = p.i+1
+JOIN t a ON a.i = p.i JOIN t b ON b.i = p.i+{_o - 1} JOIN t c ON c.i = p.i+1 JOIN t d ON d.i = p.i+{_o})"""
+_SPL = _COX.format(x="value", closed="true", knots="SELECT unnest([quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,1.0/3),quantile_cont(value,2.0/3),quantile_cont(value,1.0),quantile_cont(value,1.0),quantile_cont(value,1.0),quantile_cont(value,1.0)]) AS b, 0 AS n FROM ev")
+
+
+def _spline(spark, sf_dir, formula):
+    e = _events(spark, sf_dir)
+    s = Schema.fit(formula, e)
+    x = s.design(e).select("event_ix", F.posexplode("x").alias("j", "x")).where("j > 0")
+    return x.select("event_ix", F.col("j").cast("int").alias("j"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query(_SPL + " SELECT event_ix, CAST(CASE WHEN i < 2 THEN i+1 ELSE i END AS INTEGER) AS j, round(v, 5) AS x FROM n4 WHERE i <> 2")
+def spline_basis(spark, sf_dir):
+    return _spline(spark, sf_dir, "0 ~ 1 + spl(value, 6)")
+
+
+_CIRC = _COX.format(x="value - 20.0*floor(value/20.0)", closed="false", knots="SELECT CAST(range AS DOUBLE)*20.0/6 AS b, 0 AS n FROM range(-3, 10)")
+
+
+@query(_CIRC + " , z AS (SELECT event_ix, CAST(i % 6 AS INTEGER) AS f, sum(v) AS v FROM n4 GROUP BY 1, 2) SELECT event_ix, CAST(CASE WHEN f < 2 THEN f+1 ELSE f END AS INTEGER) AS j, round(v, 5) AS x FROM z WHERE f <> 2")
+def circspl_basis(spark, sf_dir):
+    return _spline(spark, sf_dir, "0 ~ 1 + circspl(value, 5, 0, 20)")
+
+
+@query(_MU + " SELECT v AS value, time_ix, round(a + b*v, 2) AS yhat FROM fit CROSS JOIN (SELECT unnest([10.0, 50.0, 90.0]) AS v)".replace("v AS value", "CAST(v AS DOUBLE) AS value"))
+def effects_grid(spark, sf_dir):
+    return pr.effects({"value": [10.0, 50.0, 90.0]}, _mu(spark, sf_dir)).select("value", "time_ix", F.round("yhat", 2).alias("yhat"))
+
+
+@query(_MU + " SELECT time_ix, round(a + b*(SELECT avg(value) FROM e), 2) AS yhat FROM fit")
+def effects_typical(spark, sf_dir):
+    return pr.effects({}, _mu(spark, sf_dir)).select("time_ix", F.round("yhat", 2).alias("yhat"))
+
+
+@query("SELECT event_ix, CAST(ntile(5) OVER (ORDER BY event_ix)-1 AS INTEGER) AS fold FROM ev WHERE event='purchase'")
+def cv_folds(spark, sf_dir):
+    return sv.folds(_events(spark, sf_dir, "purchase"), 5)
+
+
+@query(_EPOCH.format(kinds="'purchase'", source="sig") + """, f AS (SELECT event_ix, ntile(3) OVER (ORDER BY event_ix)-1 AS fold FROM e), full_ AS (SELECT * FROM ep JOIN f USING (event_ix) WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)),
+o AS (SELECT unnest([0, 1, 2]) AS out) SELECT CAST(out AS INTEGER) AS fold, time_ix, round(regr_slope(y, value), 3) AS slope FROM full_ JOIN o ON fold <> out GROUP BY 1, 2""")
+def cv_coef(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase")
+    m = sv.cross_validated([("purchase", ("0 ~ 1 + value", ep.lags((-2.0, 5.0), 1.0)))], e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0), k=3, shuffle=False)
+    return m.coefs.where("coefname = 'value'").select("fold", "time_ix", F.round("estimate", 3).alias("slope"))
+
+
+@query()
+def robust_fit(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase")
+    return sv.robust("0 ~ 1 + value", e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0))
