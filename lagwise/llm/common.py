@@ -42,6 +42,13 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[dict[str, list]]:
     """The batches as Python lists by column, few rows at a time."""
     for batch in batches:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import written
+from lagwise.llm.common import unused, written
 
 MASKS, WINDOW, AGREE, MAX_SEEDS = ("1111101", "1011000111"), 13, 0.8, 2_000_000
 
@@ -79,5 +79,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns; null and empty texts stay."""
-    bad = written(contaminated(docs, benchmark).select(F.col("node").alias("__text_md5")).distinct())
-    return docs.withColumn("__text_md5", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(bad, "__text_md5", "left_anti").select(docs.columns)
+    key = unused(docs, "text_md5")
+    bad = written(contaminated(docs, benchmark).select(F.col("node").alias(key)).distinct())
+    return docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(bad, key, "left_anti").select(docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import slices, written
+from lagwise.llm.common import slices, unused, written
 
 WORDS, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK, STEP = 5, 0.8, 25, 4, 1e-6, 400, 20
 _RNG = np.random.default_rng(20240101)
@@ -298,7 +298,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = written(near_duplicates(docs, threshold).select("doc_id", "node", "root"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("c"))).alias("first")).select("first.b", "first.c")
     repeated = found.groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("b"), F.col("node").alias("c"))
-    key = "__text_md5"
+    key = unused(docs, "text_md5")
     marked = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     same = lambda of: marked["doc_id"].cast("long").eqNullSafe(of["b"]) & (marked[key] == of["c"])
     marked = marked.join(first, same(first), "left_semi")

@@ -200,11 +200,10 @@ def masked(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by <KIND> in its text; n_chars, where there is one, follows. All rows and columns stay; null texts stay null.
 
     Overlapping spans are replaced together, by the kind of the first."""
-    found_ = "__spans"
-    marked = docs.withColumn(found_, _every(F.coalesce(F.col("text"), F.lit(""))))
-    marked = written(marked)
-    spans = marked.select(F.col(found_).alias("spans"))
-    kept = decided(marked.withColumnRenamed("spans", "__own_spans").withColumnRenamed(found_, "spans"), train(spans))
+    # the row rides as one value, so that no name in it can clash
+    marked = written(docs.select(F.struct(*docs.columns).alias("row"), _every(F.coalesce(F.col("text"), F.lit(""))).alias("spans")))
+    kept = decided(marked, train(marked))
+    text = F.col("row")["text"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -213,10 +212,11 @@ def masked(docs: DataFrame) -> DataFrame:
         fresh = F.struct(x["end"].alias("at"), F.concat(s["out"], gap, name).alias("out"))
         return F.when(x["begin"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(fresh)
 
-    # the text rides along with each span, as a lambda sees only its own variables cheaply
-    spans_ = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end"), F.col("text").alias("text")))
-    done = F.aggregate(spans_, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
-    out = kept.withColumn("text", F.when(F.col("text").isNull() | (F.size("spans") == 0), F.col("text")).otherwise(done)).drop("spans").withColumnRenamed("__own_spans", "spans")
+    # the text goes along with each span, as a lambda sees only its own variables cheaply
+    spans = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end"), text.alias("text")))
+    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    fresh = F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(done)
+    row = F.col("row").withField("text", fresh)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.when(text.isNull(), F.col("row")["n_chars"]).otherwise(F.length(fresh)).cast(docs.schema["n_chars"].dataType))
+    return kept.select(row.alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,0 +1,160 @@
+"""Every operator on odd rows and on an empty table."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from lagwise.llm import decontaminate, fingerprint, langid, lm_score, ngram_join, packing, pii, quality, secrets, toxicity
+
+VOCABULARY, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_quality(odd, nothing, labels):
+    got = quality.classify_quality(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert quality.classify_quality(nothing, labels).count() == 0
+    assert {r["score"] for r in quality.classify_quality(odd, labels.limit(0)).collect()} == {0.4995}
+    assert quality.pool_adjacent(np.array([1, 3, 2, 4.0]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
+
+
+def test_toxicity(odd, nothing, labels):
+    got = toxicity.classify_toxicity(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.classify_toxicity(nothing, labels).count() == 0
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns
+
+
+def test_nnpu_learns_from_positives_only():
+    rng = np.random.default_rng(0)
+    positive = rng.random((300, 6)) < np.array([0.9, 0.8, 0.3, 0.3, 0.3, 0.3])
+    negative = rng.random((2700, 6)) < np.array([0.02, 0.05, 0.3, 0.3, 0.3, 0.3])
+    w, b = toxicity.nnpu(positive[:150].astype(float), np.vstack([positive[150:], negative]).astype(float), 0.05, 400, 1)
+    z = lambda x: x.astype(float) @ w + b
+    assert (z(positive) > 0).mean() > 0.7 and (z(negative) > 0).mean() < 0.05
+
+
+def test_packing(odd, nothing):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    got = packing.packed(odd, VOCABULARY).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in odd.collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for doc in (1, 2, None, 8, 12):
+        ids = np.array([*tokenizer.encode(text[doc], add_special_tokens=False).ids, 1], "<u4")
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got if r["doc_id"] == doc)
+        assert sum(p[1] for p in pieces) == len(ids)
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c and t == len(ids) for s, n, c, t in pieces)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.packed(nothing, VOCABULARY).count() == 0
+
+
+def test_fingerprints(odd, nothing):
+    got = fingerprint.fingerprints(odd).collect()
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    want = []
+    for (doc, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        changed = fingerprint.edited(text, following)
+        want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprint.digest(text)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert fingerprint.fingerprints(nothing).count() == 0
+
+
+def test_lm_score(odd, nothing):
+    got = lm_score.scored(odd, PIECES).collect()
+    assert len(got) == odd.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n_tokens"] == 1 and all(r["score"] < 0 and np.isfinite(r["score"]) for r in got)
+    for r in odd.collect():
+        assert by[r["doc_id"]]["n_tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1
+    assert lm_score.scored(nothing, PIECES).count() == 0
+
+
+def test_lattice_sums_all_segmentations():
+    lattice = lm_score.Lattice({"a": np.log(0.6), "ab": np.log(0.4)}, {"a": np.log(0.3), "b": np.log(0.5), "ba": np.log(0.2)}, 0.5)
+    # aba: a|b|a, ab|a, a|ba
+    want = 0.6 * 0.5 * 0.3 * 0.5**3 + 0.4 * 0.3 * 0.5**2 + 0.6 * 0.2 * 0.5**2
+    assert np.exp(lattice.log_probability(["aba"]))[0] == pytest.approx(want, rel=1e-3)
+
+
+def test_decontamination(odd, nothing, benchmark):
+    got = decontaminate.contaminated(odd, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(9, 1), (10, 1)}
+    blocks = decontaminate.contaminated(odd, benchmark, max_seeds=4).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in blocks} == {(9, 1), (10, 1)}
+    kept = decontaminate.decontaminated(odd, benchmark)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 2
+    assert decontaminate.contaminated(nothing, benchmark).count() == 0 and decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
+
+
+def test_near_duplicates(odd, nothing):
+    got = {(r["doc_id"]): (r["class_id"], r["copies"], r["links"]) for r in ngram_join.near_duplicates(odd).collect()}
+    assert got[4] == got[5] == (4, 4, 3) and got[6] == (4, 4, 3) and got[7] == (7, 1, 0) and got[1] == got[2] == (1, 2, 1)
+    kept = ngram_join.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 4, *range(7, 15)]
+    assert ngram_join.near_duplicates(nothing).count() == 0 and ngram_join.one_of_each(nothing).count() == 0
+
+
+def test_blocks_and_bands_count_each_pair_once(spark):
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"z{i}"] + base[k + 1 :])) for i, k in enumerate(np.random.default_rng(4).integers(0, 80, 40))]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    docs = ngram_join._documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    sig = ngram_join.signatures(docs)
+    nodes = sig.groupBy("node").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").join(sig.select("node", "sig"), "node")
+    ids = {r["node"]: r["doc_id"] for r in docs.collect()}
+    for block in (400, 7):
+        got = {}
+        for r in ngram_join.links_between(nodes, docs, block=block).collect():
+            got[ids[r["node"]]] = got.get(ids[r["node"]], 0) + r["links"]
+        assert [got.get(i, 0) for i in range(40)] == links
+
+
+def test_language(odd, nothing):
+    got = {r["doc_id"]: r for r in langid.identify_language(odd).collect()}
+    assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.identify_language(nothing).count() == 0
+
+
+def test_language_mixture():
+    a, b = langid.grams("the and that with this from " * 40), langid.grams("und der die das nicht mit " * 40)
+    p = np.full((2, langid.CELLS), 0.1)
+    p[0, a[0]] += a[1]
+    p[1, b[0]] += b[1]
+    model = langid.Model(["en", "de"], p / p.sum(1, keepdims=True))
+    chosen, share = model.proportions(*langid.grams("the and that with this from und der die das nicht mit " * 40))
+    assert len(chosen) == 2 and share.min() > 0.3
+    assert len(model.proportions(*langid.grams("the and that with"))[0]) == 1
+
+
+def test_personal_data(odd, nothing):
+    got = {r["doc_id"]: r for r in pii.personal_data(odd).collect()}
+    assert got[11]["spans"] == "email:9:24,phone:28:45,ip:47:54" and got[12]["spans"] == "card:2:18" and got[1]["spans"] == ""
+    masked = {r["doc_id"]: r for r in pii.masked(odd).collect()}
+    assert masked[11]["text"] == "mail me: <EMAIL> or <PHONE>, <IP>" and masked[1]["text"] is None and pii.masked(odd).columns == odd.columns
+    assert pii.personal_data(nothing).count() == 0 and pii.masked(nothing).count() == 0
+
+
+def test_secrets(odd, nothing):
+    got = secrets.scan(odd).collect()
+    assert [(r["doc_id"], r["begin"], r["end"]) for r in got if r["is_secret"]] == [(13, 9, 49)]
+    assert secrets.scan(nothing).count() == 0
+    false = secrets.candidates("see commit 0123456789abcdef0123456789abcdef01234567 for this")
+    assert len(false) == 1
