@@ -66,26 +66,33 @@ class Lattice:
         return cls(_logs(first), _logs(inner))
 
     def _arrays(self):
-        """Sorted hashes of all pieces with their log probabilities in either place."""
+        """Sorted hashes of all pieces with their log probabilities in either place, their texts, and marks of the hashes' low bits."""
         if self.table is None:
             names = sorted(set(self.first) | set(self.inner))
             h = np.array([_hash_text(t) for t in names], np.uint64)
             order = np.argsort(h)
             first = np.array([self.first.get(names[i], -np.inf) for i in order])
             inner = np.array([self.inner.get(names[i], -np.inf) for i in order])
-            self.table = (h[order], first, inner, [names[i] for i in order])
+            marks = np.zeros(int(_MARKS) + 1, bool)
+            marks[h & _MARKS] = True
+            self.table = (h[order], first, inner, [names[i] for i in order], marks)
         return self.table
 
-    def _edges(self, x: np.ndarray, begin: int, end: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability (with or without a table entry) and table index of the edge from begin to end for words x (n x length code points)."""
-        keys, first, inner, _ = self._arrays()
+    def _edges(self, x: np.ndarray, begin: int, end: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words x (n x length code points) those that have an edge from begin to end, its log probability and table index (-1: an unknown code point)."""
+        keys, first, inner, _, marks = self._arrays()
         h = _finish(prefix[:, end] - prefix[:, begin] * _POWERS[end - begin], end - begin)
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[i] == h
-        p = np.where(hit, (first if begin == 0 else inner)[i], -np.inf)
-        if end == begin + 1:
-            p = np.maximum(p, self.unknown[begin > 0] - np.log(_CODEPOINTS))
-        return p, np.where(hit, i, -1)
+        rows = np.flatnonzero(marks[h & _MARKS])  # most runs of letters are no piece: only likely ones are searched for
+        i = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
+        p = (inner if begin else first)[i]
+        hit = (keys[i] == h[rows]) & (p > -np.inf)
+        rows, i, p = rows[hit], i[hit], p[hit]
+        if end > begin + 1:
+            return rows, p, i
+        every, number = np.full(len(x), self.unknown[begin > 0] - np.log(_CODEPOINTS)), np.full(len(x), -1)
+        better = p >= every[rows]
+        every[rows[better]], number[rows[better]] = p[better], i[better]
+        return np.arange(len(x)), every, number
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """alpha (n x length+1, natural logs; the stop's factor included between pieces) and the rolling hashes."""
@@ -99,8 +106,9 @@ class Lattice:
         with np.errstate(invalid="ignore"):
             for end in range(1, length + 1):
                 for begin in range(max(0, end - LONGEST), end):
-                    p, _ = self._edges(x, begin, end, prefix)
-                    alpha[:, end] = np.logaddexp(alpha[:, end], alpha[:, begin] + p + (go if begin else 0))
+                    r, p, _ = self._edges(x, begin, end, prefix)
+                    if len(r):
+                        alpha[r, end] = np.logaddexp(alpha[r, end], alpha[r, begin] + p + (go if begin else 0))
         return alpha, prefix
 
     def log_probability(self, texts: list[str]) -> np.ndarray:
@@ -123,19 +131,23 @@ class Lattice:
             with np.errstate(invalid="ignore"):
                 for begin in range(length - 1, -1, -1):
                     for end in range(begin + 1, min(length, begin + LONGEST) + 1):
-                        p, i = self._edges(x, begin, end, prefix)
-                        step = p + beta[:, end] + (go if begin else 0)
-                        beta[:, begin] = np.logaddexp(beta[:, begin], step)
-                        share = weight[at] * np.exp(np.minimum(0, alpha[:, begin] + step - alpha[:, length]))
+                        r, p, i = self._edges(x, begin, end, prefix)
+                        if not len(r):
+                            continue
+                        step = p + beta[r, end] + (go if begin else 0)
+                        beta[r, begin] = np.logaddexp(beta[r, begin], step)
+                        share = weight[at[r]] * np.exp(np.minimum(0, alpha[r, begin] + step - alpha[r, length]))
                         share = np.where(np.isfinite(share), share, 0)
                         used += share.sum()
                         known = i >= 0
-                        np.add.at(inner if begin else first, i[known], share[known])
+                        place = inner if begin else first
+                        place += np.bincount(i[known], share[known], len(keys))
                         unknown[begin > 0] += share[~known].sum()
         return first, inner, used, float(weight.sum()), unknown[0], unknown[1]
 
 
 _BASE = np.uint64(0x100000001B3)
+_MARKS = np.uint64((1 << 20) - 1)
 _POWERS = np.array([pow(0x100000001B3, i, 2**64) for i in range(LONGEST + 1)], np.uint64)
 
 
