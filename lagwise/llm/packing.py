@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from lagwise.llm.common import slices, written
 LENGTH, OPEN, MIN_CUT, FAN, END = 2048, 64, 16, 16, 1
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, rest binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_CACHE = 150_000
+_CACHE = 400_000
 
 
 class _Words(dict):
@@ -44,17 +45,15 @@ class _Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.ids: list[int] = []
-        self.begin = [0]
         self.flat, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = len(self.begin) - 1
-            self.ids += e.ids
-            self.begin.append(len(self.ids))
-        self.flat, self.cut = np.array(self.ids, np.uint32), np.array(self.begin, np.int64)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.update(zip(new, range(len(self.cut) - 1, len(self.cut) - 1 + len(new))))
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
+        self.cut = np.append(self.cut, self.cut[-1] + np.cumsum(n))
 
 
 def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
