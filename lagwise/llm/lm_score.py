@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,27 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.common import fold, slices, written
 
-FREQUENT, LONGEST, EM_ROUNDS, DISCOUNT, FLUSH = 60_000, 12, 2, 0.6, 200_000
+FREQUENT, LONGEST, EM_ROUNDS, DISCOUNT, FLUSH = 120_000, 12, 2, 0.6, 200_000
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _CODEPOINTS = 1_114_112
 
 
-def words(text: str) -> list[str]:
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
-    return [w for w in _BLANK.split(low) if w]
+def words(text: str) -> list[bytes]:
+    """The words' UTF-8; of bytes, lower() and split() know just A-Z and the six ASCII blanks."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows: the lattice works on words of equal length at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 @dataclass
@@ -191,23 +204,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, c (occurrences in training texts), n (in all texts). Each task adds up what it has, at most FLUSH words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, train = Counter(), Counter()
+        train, rest = Counter(), Counter()
 
-        def out() -> pa.RecordBatch:
-            names = list(all_)
-            b = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([train[w] for w in names], pa.int64()), pa.array(list(all_.values()), pa.int64())], ["word", "c", "n"])
-            all_.clear(), train.clear()
-            return b
+        def out() -> list[pa.RecordBatch]:
+            both = []
+            for counts, learned in ((train, 1), (rest, 0)):
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                both.append(pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(n * learned), pa.array(n)], ["word", "c", "n"]))
+                counts.clear()
+            return both
 
         for part in slices(batches):
             for text, held in zip(part["text"], part["held_out"]):
-                got = words(text)
-                all_.update(got)
-                if not held:
-                    train.update(got)
-            if len(all_) > FLUSH:
-                yield out()
-        yield out()
+                (rest if held else train).update(words(text))
+            if len(train) + len(rest) > FLUSH:
+                yield from out()
+        yield from out()
 
     return docs.select("text", "held_out").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
@@ -220,8 +232,8 @@ def trained(lattice: Lattice, counts: DataFrame, rounds: int = EM_ROUNDS) -> Lat
 
         def run(batches: Iterator[pa.RecordBatch], lattice: Lattice = lattice, size: int = size) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * size + 4)
-            for part in slices(batches, 20_000):
-                first, inner, used, n, u0, u1 = lattice.expectations(part["word"], np.ones(len(part["word"])))
+            for part in gathered(batches):
+                first, inner, used, n, u0, u1 = lattice.expectations(part.column("word").to_pylist(), np.ones(part.num_rows))
                 total += np.concatenate([first, inner, [used, n, u0, u1]])
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "v"])
@@ -245,9 +257,9 @@ def valued(counts: DataFrame, lattice: Lattice, total: int, distinct: int, ends:
     free = DISCOUNT * distinct / total if total else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                part = whole.slice(at, 20_000)
+        for whole in gathered(batches):
+            for at in range(0, whole.num_rows, 200_000):
+                part = whole.slice(at, 200_000)
                 c = np.asarray(part.column("c")).astype(float)
                 spelled = np.exp(lattice.log_probability(part.column("word").to_pylist()))
                 p = np.maximum(0, c - DISCOUNT) / max(1, total) + free * spelled
@@ -271,7 +283,7 @@ def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> D
     lattice = trained(Lattice.of(vocabulary(vocabulary_file)), counts)
     values = written(valued(counts, lattice, total, distinct, ends))
     top = values.orderBy(F.desc("n"), "word").limit(frequent).select("word", "known", "base", "score").toArrow()
-    index = spark_broadcast(docs, (top.column("word").to_pylist(), *(np.asarray(top.column(c)) for c in ("known", "base", "score"))))
+    index = spark_broadcast(docs, (top.column("word").cast(pa.binary()).to_pylist(), *(np.asarray(top.column(c)) for c in ("known", "base", "score"))))
     # the end is no spelled word: it keeps its count, or half a one where no text was learned from
     end = (int(ends > 0), float(np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))), float(np.log10(max(ends - DISCOUNT, 0.5 * (ends == 0), 0.1) / max(1, total))))
 
@@ -283,14 +295,16 @@ def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> D
             out: list[tuple] = []
             for doc, key, text, held in zip(part["doc_id"], part["key"], part["text"], part["held_out"]):
                 got = words(text)
-                k = np.fromiter((number.get(w, -1) for w in got), np.int64, len(got))
+                k = np.fromiter(map(number.get, got, repeat(-1)), np.int64, len(got))
                 hit = k[k >= 0]
                 out.append((doc, key, held, None, 1, len(got) + 1, int(known[hit].sum()) + end[0], float(base[hit].sum()) + end[1], float(score[hit].sum()) + end[2]))
                 if len(hit) < len(got):
                     for w, n in Counter([got[i] for i in np.flatnonzero(k < 0)]).items():
                         out.append((doc, key, held, w, n, 0, 0, 0.0, 0.0))
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)], ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "base_score", "score"])
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)]
+            columns[3] = columns[3].cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "base_score", "score"])
 
     parts = rows.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, held_out boolean, word string, times long, n_tokens long, n_known long, base_score double, score double")
     parts = written(parts)
