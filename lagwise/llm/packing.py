@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +61,14 @@ def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     split = [t.split(" ") if len(t) < 100_000_000 else [t] for t in ((t.lower() if t.isascii() else t).replace("\n", " ") for t in texts)]
     if len(words) > _CACHE:
         words.reset()
-    new = {w for s in split for w in s if w not in words}
+    numbers = [np.fromiter(map(words.get, s, repeat(-1)), np.int64, len(s)) for s in split]
+    gone = [np.flatnonzero(k < 0) for k in numbers]
+    new = {s[i] for s, g in zip(split, gone) for i in g}
     if new:
         words.learn(new)
     out = []
-    for s in split:
-        k = np.fromiter(map(words.__getitem__, s), np.int64, len(s))
+    for s, k, g in zip(split, numbers, gone):
+        k[g] = [words[s[i]] for i in g]
         begin, n = words.cut[k], words.cut[k + 1] - words.cut[k]
         total = int(n.sum())
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
