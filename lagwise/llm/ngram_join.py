@@ -237,7 +237,8 @@ def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOL
     member = member.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "sig")
     kept = member.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_surviving(least), "band int, key long, low int, high int, block int, node binary, n long")
     kept = written(kept)
-    wanted = texts.join(kept.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # copies are combined before the shuffle, so that a node of very many rows reaches its task as one row from each map task
+    wanted = texts.groupBy("node").agg(F.first("text").alias("text")).join(kept.select("node").distinct(), "node", "left_semi")
     full = kept.join(wanted, "node").select(*unit, "block", "node", "n", "text")
     return full.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_verified(least, threshold), "node binary, to binary, links long")
 
