@@ -287,8 +287,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "to"))
     each = nodes.select("node", "n").join(roots, "node", "left").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    member = written(rows.select("doc_id", "node").join(each, "node"))
-    classes = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    # both are written before they are joined: only a join of plain shuffles is split where one node or class has very many rows
+    member = written(rows.select("doc_id", "node").join(written(each), "node"))
+    classes = written(member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     return member.join(classes, "root").select("doc_id", "node", "root", "class_id", "copies", "links")
 
 
