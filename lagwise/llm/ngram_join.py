@@ -263,10 +263,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges, before = written(edges), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # what is joined is written first: a star's centre may have very many rows, and only a join of plain shuffles is split
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u != v").distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = written(small)
