@@ -25,6 +25,8 @@ from lagwise.llm.quality import averaged
 
 #: Rows for fitting at most, features kept, steps of the optimiser, classifiers that are averaged.
 MAX_POSITIVE, MAX_UNLABELLED, KEPT, STEPS, MEMBERS = 4000, 12000, 1024, 400, 3
+#: Values that the hash for sampling takes.
+PICKS = 1_000_003
 #: A feature is kept if its share among the positives exceeds that among the unlabelled by so many standard errors.
 LEAST_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,10 +89,10 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int, l2:
 
 
 def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """About most of n rows, by a hash of id and text: the same ones wherever they lie."""
+    """About most of n rows, by pick, a hash of id and text: the same ones wherever they lie."""
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(1_000_003 * most / n))
+    return rows.where(F.col("pick") < int(PICKS * most / n))
 
 
 def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
@@ -110,7 +112,8 @@ def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, kept: int = KEPT) -> Model:
     """docs: doc_id, text of the training documents; labels: doc_id, toxic."""
     y = averaged(labels, "toxic")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y, "doc_id", "left").withColumn("positive", F.coalesce(F.col("y") > 0.5, F.lit(False)))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("pick", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PICKS)))
+    marked = plain.join(y, "doc_id", "left").withColumn("positive", F.coalesce(F.col("y") > 0.5, F.lit(False)))
     n = marked.select("positive", "y").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"), F.count("y").alias("y")).first()
     empty = Model({}, np.zeros((0, 0)), np.zeros(0))
     if not n["p"]:
@@ -119,8 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
     # the unlabelled text stands for all text, so positives are drawn into it too
     total = n["p"] + n["u"]
     share = max_unlabelled / total
-    rows = _sampled(marked.where("positive"), n["p"], max_positive).unionByName(_sampled(marked.where(~F.col("positive")), n["u"], int(n["u"] * min(1.0, share)) or 1))
-    positive, found, words = _gathered(rows)
+    # positives are chosen by id first, so that no other text is shuffled; about max_positive ids are broadcast
+    chosen = _sampled(marked.where("positive"), n["p"], max_positive).select("doc_id", "pick").distinct()
+    toxic = plain.join(F.broadcast(chosen), ["doc_id", "pick"], "left_semi").withColumn("positive", F.lit(True))
+    other = _sampled(marked.where(~F.col("positive")), n["u"], int(n["u"] * min(1.0, share)) or 1)
+    positive, found, words = _gathered(toxic.select("positive", "text").unionByName(other.select("positive", "text")))
     if not positive.any():
         return empty
     dp, du = np.zeros(len(words)), np.zeros(len(words))
