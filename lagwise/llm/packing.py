@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -32,8 +33,12 @@ _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _CACHE = 400_000
 
 
+#: Stands between words that are tokenized in one call; words that hold it are tokenized alone.
+_MARK, _TOGETHER = "•", 200
+
+
 class _Words(dict):
-    """Number of a word in the growing list of its ids; words between blanks are tokenized alone, as the tokenizer splits at white space first."""
+    """Number of a word in the growing list of its ids; words between blanks are tokenized apart, as the tokenizer splits at white space first."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -41,21 +46,40 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self._ids([_MARK])[0]
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.flat, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.update(zip(new, range(len(self.cut) - 1, len(self.cut) - 1 + len(new))))
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
+        together = sorted(w for w in words if _MARK not in w) if len(self.mark) == 1 else []
+        alone = sorted(words.difference(together))
+        rows = self._ids([f" {_MARK} ".join([*together[i : i + _TOGETHER], ""]) for i in range(0, len(together), _TOGETHER)])
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
+        marks = ids == self.mark[0]
+        self._add(together, ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        rows = self._ids(alone)
+        self._add(alone, np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows))), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def _add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        if len(words) != len(n):
+            raise ValueError(f"{len(words)} words but {len(n)} marks between them")
+        self.update(zip(words, range(len(self.cut) - 1, len(self.cut) - 1 + len(words))))
+        self.flat = np.append(self.flat, ids)
         self.cut = np.append(self.cut, self.cut[-1] + np.cumsum(n))
 
 
+@lru_cache(maxsize=1)
+def _words(file: str) -> _Words:
+    """Kept by a worker from task to task."""
+    return _Words(file)
+
+
 def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     """Ids of each text, the end id last."""
     split = [t.split(" ") if len(t) < 100_000_000 else [t] for t in ((t.lower() if t.isascii() else t).replace("\n", " ") for t in texts)]
@@ -143,7 +167,7 @@ class Windows:
 
 def _first(file: str, base: int, length: int, most: int, min_cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(file)
+        words = _words(file)
         open_ = Windows(base + (TaskContext.get().partitionId() << 28), length, most, min_cut)
         for part in slices(batches):
             for doc, ids in zip(part["doc_id"], encoded([t or "" for t in part["text"]], words)):

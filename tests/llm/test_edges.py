@@ -63,6 +63,18 @@ def test_packing(odd, nothing):
     assert packing.packed(nothing, VOCABULARY).count() == 0
 
 
+def test_words_tokenized_together_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    texts = ["\u2022 a\u2022b \u2022", "\u2022", "", "\u0301x a\u0301 <|endoftext|> x<|startoftext|>y", "it's I'M don't \t\x0b x", "\u0130stanbul \u01c5 \u2126 \u00c5", " ".join(f"w{i}!{'z' * (i % 7)}" for i in range(3000)), "q" * 5000]
+    words = packing._Words(VOCABULARY)
+    for _ in range(2):  # words not seen before, and words that are
+        got = packing.encoded(texts, words)
+        assert [x.tolist() for x in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_fingerprints(odd, nothing):
     got = fingerprint.fingerprints(odd).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
