@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import slices, unused, written
 
 WORDS, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK, STEP = 5, 0.8, 25, 4, 1e-6, 400, 20
+#: Nodes (16 bytes each) that are broadcast to pick their texts; more are picked by a shuffle of all texts.
+MAX_PICKED = 2_000_000
 _RNG = np.random.default_rng(20240101)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -222,7 +224,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, sig binary")
 
 
-def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, max_picked: int = MAX_PICKED) -> DataFrame:
     """node, to, links: for each unit and node, the least node it is joined to there and the rows it is linked to.
 
     rows: node, sig, n (distinct nodes with their number of rows); texts: node, text, one row or more for each node."""
@@ -237,8 +239,13 @@ def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOL
     member = member.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "sig")
     kept = member.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_surviving(least), "band int, key long, low int, high int, block int, node binary, n long")
     kept = written(kept)
-    # copies are combined before the shuffle, so that a node of very many rows reaches its task as one row from each map task
-    wanted = texts.groupBy("node").agg(F.first("text").alias("text")).join(kept.select("node").distinct(), "node", "left_semi")
+    picked = written(kept.select("node").distinct())
+    few = picked.count() <= max_picked
+    # few nodes pick their texts before the shuffle; copies are combined before it, so that a node of very many rows reaches its task as one row
+    # from each map task
+    wanted = texts.join(F.broadcast(picked), "node", "left_semi") if few else texts
+    wanted = wanted.groupBy("node").agg(F.first("text").alias("text"))
+    wanted = wanted if few else wanted.join(picked, "node", "left_semi")
     full = kept.join(wanted, "node").select(*unit, "block", "node", "n", "text")
     return full.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_verified(least, threshold), "node binary, to binary, links long")
 

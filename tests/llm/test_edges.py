@@ -132,9 +132,9 @@ def test_blocks_and_bands_count_each_pair_once(spark):
     sig = ngram_join.signatures(docs)
     nodes = sig.groupBy("node").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").join(sig.select("node", "sig"), "node")
     ids = {r["node"]: r["doc_id"] for r in docs.collect()}
-    for block in (400, 7):
+    for block, picked in ((400, 1000), (7, 1000), (400, 3)):
         got = {}
-        for r in ngram_join.links_between(nodes, docs, block=block).collect():
+        for r in ngram_join.links_between(nodes, docs, block=block, max_picked=picked).collect():
             got[ids[r["node"]]] = got.get(ids[r["node"]], 0) + r["links"]
         assert [got.get(i, 0) for i in range(40)] == links
 
