@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
 Candidates are runs of 16 or more letters, digits and + / = _ - . with at least two digits or a known beginning, and values of 8 or more characters
-that are assigned to a name such as token or password. The forest judges length, character transitions, coverage by dictionary words, the path and
+that are assigned to a name such as token or password, however long they are: a value ends at a blank, quote, comma, semicolon or angle bracket. The forest judges length, character transitions, coverage by dictionary words, the path and
 the neighbouring words. It is trained from labelled findings: a table (candidate, before, after, path, label), by default one that is generated by
 rule (keys of common forms with names that announce them; hashes, identifiers, placeholders, names and prose that don't).
 
@@ -25,7 +25,7 @@ from lagwise.llm.common import slices, written
 
 CONTEXT, FINDINGS, TREES, DEPTH = 48, 6000, 40, 8
 _RUN = re.compile(r"[A-Za-z0-9+/=_.\-]{16,}")
-_ASSIGNED = re.compile(r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\w{0,12}["']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}["']?([^\s"',;<>]{8,512})""")
+_ASSIGNED = re.compile(r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\w{0,12}["']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}["']?([^\s"',;<>]{8,}+)""")
 # fixed values: beginnings of well-known kinds of keys, and words that stand near true and false findings
 KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|ya29\.|eyJ|SG\.|npm_|hf_)")
 FOR = ("token", "secret", "password", "passwd", "key", "auth", "credential", "bearer", "api", "private", "login", "access")

@@ -170,3 +170,10 @@ def test_secrets(odd, nothing):
     assert secrets.scan(nothing).count() == 0
     false = secrets.candidates("see commit 0123456789abcdef0123456789abcdef01234567 for this")
     assert len(false) == 1
+
+
+def test_long_assigned_values_are_whole():
+    value = "eyJ" + "aB3x.Y_z-9" * 500
+    text = f"so token={value} and more"
+    assert secrets.candidates(text) == [(9, 9 + len(value), True)]
+    assert secrets.candidates("password: " + "?" * 200_000) == [(10, 200_010, True)]
