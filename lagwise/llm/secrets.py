@@ -1,9 +1,11 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of 16 or more letters, digits and + / = _ - . with at least two digits or a known beginning, and values of 8 or more characters
-that are assigned to a name such as token or password, however long they are: a value ends at a blank, quote, comma, semicolon or angle bracket. The forest judges length, character transitions, coverage by dictionary words, the path and
-the neighbouring words. It is trained from labelled findings: a table (candidate, before, after, path, label), by default one that is generated by
-rule (keys of common forms with names that announce them; hashes, identifiers, placeholders, names and prose that don't).
+Candidates are runs of 16 or more letters, digits and + / = _ - . with at least two digits, keys of 16 or more of these characters with a known
+beginning that doesn't follow a letter or digit (up to the run's end, or to a = or / before the next known beginning), and values of 8 or more
+characters that are assigned to a name such as token or password, however long they are: a value ends at a blank, quote, comma, semicolon or angle
+bracket. The forest judges length, character transitions, coverage by dictionary words, the path and the neighbouring words. It is trained from
+labelled findings: a table (candidate, before, after, path, label), by default one that is generated by rule (keys of common forms with names that
+announce them; hashes, identifiers, placeholders, names and prose that don't).
 
 Null and empty texts have no findings. Findings are reported for every row, with code point positions. Columns other than doc_id, text and the path
 column are not read; a null path is an empty one.
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.common import slices, written
 
-CONTEXT, FINDINGS, TREES, DEPTH = 48, 6000, 40, 8
+CONTEXT, FINDINGS, TREES, DEPTH, LEAST = 48, 6000, 40, 8, 16
 _RUN = re.compile(r"[A-Za-z0-9+/=_.\-]{16,}")
 _ASSIGNED = re.compile(r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\w{0,12}["']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}["']?([^\s"',;<>]{8,}+)""")
 # fixed values: beginnings of well-known kinds of keys, and words that stand near true and false findings
 KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|ya29\.|eyJ|SG\.|npm_|hf_)")
+_KEY = re.compile(rf"(?<![A-Za-z0-9]){KNOWN.pattern[1:]}(?:[A-Za-z0-9+_.\-]|[=/](?!{KNOWN.pattern[1:]}))*+")
 FOR = ("token", "secret", "password", "passwd", "key", "auth", "credential", "bearer", "api", "private", "login", "access")
 AGAINST = ("commit", "sha", "md5", "hash", "checksum", "uuid", "id", "example", "sample", "test", "version", "digest", "revision", "build", "hex", "color", "integrity")
 DICTIONARY = (
@@ -41,13 +44,34 @@ NAMES = ["length", "digits", "upper", "lower", "signs", "transitions", "same", "
 
 
 def candidates(text: str) -> list[tuple[int, int, bool]]:
-    """begin, end, assigned; not overlapping, assigned ones first."""
-    out = [(m.start(1), m.end(1), True) for m in _ASSIGNED.finditer(text)]
-    for m in _RUN.finditer(text):
-        s = m[0]
-        if (sum(map(str.isdigit, s)) >= 2 and re.search("[A-Za-z]", s) or KNOWN.match(s)) and not any(b < m.end() and m.start() < e for b, e, _ in out):
-            out.append((m.start(), m.end(), False))
-    return sorted(out)
+    """begin, end, assigned: assigned values, known keys wherever they begin, and what is left of runs beside both. Only a key inside a value overlaps it."""
+    named = list(_ASSIGNED.finditer(text))
+    out = {m.span(1): True for m in named}
+    first = 0
+    for run in _RUN.finditer(text):
+        while first < len(named) and named[first].end() <= run.start():
+            first += 1
+        # begin, end, free: the parts of the run that lie beside assignments, and those that lie in their values
+        parts, at = [], run.start()
+        for m in named[first:]:
+            if m.start() >= run.end():
+                break
+            parts += [(at, m.start(), True), (max(run.start(), m.start(1)), min(run.end(), m.end()), False)]
+            at = m.end()
+        for begin, end, free in [*parts, (at, run.end(), True)]:
+            for key in _KEY.finditer(text, begin, max(begin, end)):
+                if len(key[0]) >= LEAST:
+                    if free and _is_run(text[begin : key.start()]):
+                        out[begin, key.start()] = False
+                    out.setdefault(key.span(), False)
+                    begin = key.end()
+            if free and _is_run(text[begin:end]):
+                out[begin, end] = False
+    return sorted((b, e, assigned) for (b, e), assigned in out.items())
+
+
+def _is_run(s: str) -> bool:
+    return len(s) >= LEAST and sum(map(str.isdigit, s)) >= 2 and bool(re.search("[A-Za-z]", s))
 
 
 def features(s: str, before: str, after: str, path: str, assigned: bool) -> list[float]:
