@@ -20,7 +20,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.common import fold, slices, written
 
-FREQUENT, LONGEST, EM_ROUNDS, DISCOUNT, FLUSH = 120_000, 12, 2, 0.6, 200_000
+FREQUENT, EM_ROUNDS, DISCOUNT, FLUSH = 120_000, 2, 0.6, 200_000
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _CODEPOINTS = 1_114_112
@@ -61,6 +62,10 @@ class Lattice:
     stop: float = 0.4
     unknown: tuple[float, float] = (-14.0, -14.0)  # of a code point that is no piece
     table: tuple = field(default=None, repr=False)
+    longest: int = field(init=False)  # code points of the longest piece
+
+    def __post_init__(self):
+        self.longest = max(map(len, chain(self.first, self.inner)), default=1)
 
     def __getstate__(self):
         return {**self.__dict__, "table": None}
@@ -71,7 +76,7 @@ class Lattice:
         first, inner = {}, {}
         for rank, (piece, _) in enumerate(sorted(pieces, key=lambda x: -x[1])):
             to, text = (first, piece[1:]) if piece.startswith("▁") else (inner, piece)
-            if text and len(text) <= LONGEST and "▁" not in text and not _BLANK.search(text) and text == text.translate(_LOWER):
+            if text and "▁" not in text and not _BLANK.search(text) and text == text.translate(_LOWER):
                 to.setdefault(text, 1.0 / (rank + 10))
         for own, other in ((first, inner), (inner, first)):
             for text in [t for t in other if len(t) == 1]:
@@ -94,7 +99,7 @@ class Lattice:
     def _edges(self, x: np.ndarray, begin: int, end: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words x (n x length code points) those that have an edge from begin to end, its log probability and table index (-1: an unknown code point)."""
         keys, first, inner, _, marks = self._arrays()
-        h = _finish(prefix[:, end] - prefix[:, begin] * _POWERS[end - begin], end - begin)
+        h = _finish(prefix[:, end] - prefix[:, begin] * _power(end - begin), end - begin)
         rows = np.flatnonzero(marks[h & _MARKS])  # most runs of letters are no piece: only likely ones are searched for
         i = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
         p = (inner if begin else first)[i]
@@ -118,7 +123,7 @@ class Lattice:
         go = np.log1p(-self.stop)
         with np.errstate(invalid="ignore"):
             for end in range(1, length + 1):
-                for begin in range(max(0, end - LONGEST), end):
+                for begin in range(max(0, end - self.longest), end):
                     r, p, _ = self._edges(x, begin, end, prefix)
                     if len(r):
                         alpha[r, end] = np.logaddexp(alpha[r, end], alpha[r, begin] + p + (go if begin else 0))
@@ -143,7 +148,7 @@ class Lattice:
             beta[:, length] = 0
             with np.errstate(invalid="ignore"):
                 for begin in range(length - 1, -1, -1):
-                    for end in range(begin + 1, min(length, begin + LONGEST) + 1):
+                    for end in range(begin + 1, min(length, begin + self.longest) + 1):
                         r, p, i = self._edges(x, begin, end, prefix)
                         if not len(r):
                             continue
@@ -161,7 +166,11 @@ class Lattice:
 
 _BASE = np.uint64(0x100000001B3)
 _MARKS = np.uint64((1 << 20) - 1)
-_POWERS = np.array([pow(0x100000001B3, i, 2**64) for i in range(LONGEST + 1)], np.uint64)
+
+
+@cache
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(0x100000001B3, n, 2**64))
 
 
 def _finish(h: np.ndarray, n: int) -> np.ndarray:

@@ -191,3 +191,19 @@ def test_known_keys_begin_anywhere():
     assert secrets.candidates(f"token={key}") == [(6, 26, True)]
     assert secrets.candidates(f"?token=abcdefgh&id={key}!") == [(7, 40, True), (19, 39, False)]
     assert cut(f"{key}/token=abcdefgh") == [f"{key}/", "abcdefgh"] and cut("hf_token=abcdefgh12345678") == ["abcdefgh12345678"]
+
+
+def test_lattice_holds_the_longest_pieces():
+    pieces = lm_score.vocabulary(PIECES)
+    lattice = lm_score.Lattice.of(pieces)
+    usable = {p.lstrip("▁") for p, _ in pieces if re.fullmatch("▁?[a-z]+", p)}
+    assert usable <= set(lattice.first) | set(lattice.inner) and lattice.longest == 16 and max(map(len, usable)) == 15
+    words = ["internationally", "misunderstandings", "telecommunications"]
+    for word, got in zip(words, lattice.log_probability(words)):
+        alpha = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            for begin in range(end):
+                p = (lattice.inner if begin else lattice.first).get(word[begin:end])
+                unknown = np.exp(lattice.unknown[begin > 0]) / 1_114_112 if end == begin + 1 else 0.0
+                alpha[end] += alpha[begin] * max(0.0 if p is None else np.exp(p), unknown) * (1 - lattice.stop if begin else 1)
+        assert np.exp(got) == pytest.approx(alpha[-1] * lattice.stop, rel=1e-6)
