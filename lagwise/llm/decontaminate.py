@@ -3,12 +3,14 @@
 A text's tokens are its runs of letters, marks and digits, lower case. Two fixed masks lie over the tokens; their zeros are positions that are
 ignored. Seeds (hashes of a mask's kept tokens) of the benchmark join those of the documents, and every hit is verified on its diagonal: some
 window of 13 item tokens around it (all tokens of a shorter item) must agree with the document in at least 80 % of its positions. Together the
-masks hit every window of 13 with up to two substitutions (all 78 patterns were tried); shorter items are found if a seed of theirs hits.
+masks hit every window of 13 with up to two substitutions (all 78 patterns were tried). Shorter items have masks of their own, by length (SHORT):
+items of up to 4 tokens a mask of all of them, since 80 % admits no substitution there, the others masks that hit under every substitution that
+80 % admits (one in 5 to 9 tokens, two in 10 to 12; all patterns were tried). Documents are only searched with masks that some item has.
 
 The benchmark's seeds are counted. Up to MAX_SEEDS they are broadcast at once, beyond that in blocks of about that size, each against all
 documents. Hits are verified where they arise, so that only verified pairs are shuffled.
 
-Items of fewer tokens than a mask, null and empty items are no evidence of anything and match nothing; null and empty documents match nothing.
+Null and empty items match nothing, and an item of one word matches each document that has the word; null and empty documents match nothing.
 Items of equal tokens are searched once and reported each. Rows with the same doc_id and text give one result. Columns other than doc_id and
 text of the documents, item_id and text of the benchmark are not read.
 """
@@ -23,6 +25,11 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import unused, written
 
 MASKS, WINDOW, AGREE, MAX_SEEDS = ("1111101", "1011000111"), 13, 0.8, 2_000_000
+#: The masks of items of fewer tokens than WINDOW, by number of tokens.
+SHORT = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("1111", "11011"), 8: ("1111",), 9: ("1111",),
+    10: ("1111", "11011"), 11: ("1111", "11011"), 12: ("1111",),
+}
 
 
 def tokens(text: Column) -> Column:
@@ -30,20 +37,23 @@ def tokens(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def _seeds(words: Column, n: Column, at: Column) -> Column:
-    """The masks' seeds at token at; null where a mask would leave the text."""
-    out = []
-    for i, mask in enumerate(MASKS):
-        kept = [F.get(words, at + k) for k, c in enumerate(mask) if c == "1"]
-        out.append(F.when(at + len(mask) <= n, F.xxhash64(F.lit(i), *kept)))
-    return F.array(*out)
+def _lengths(mask: str) -> list[int]:
+    """The lengths of items that have the mask; WINDOW stands for itself and all above."""
+    return [n for n in range(1, WINDOW + 1) if mask in SHORT.get(n, MASKS)]
 
 
-def _positions(df: DataFrame, words: str) -> DataFrame:
-    """A row for each token at which a mask fits, and each mask: at, seed."""
-    n = F.size(words)
-    rows = df.where(n >= min(map(len, MASKS))).withColumn("at", F.explode(F.sequence(F.lit(0), n - min(map(len, MASKS)))))
-    return rows.withColumn("seed", F.explode(_seeds(F.col(words), n, F.col("at")))).where("seed is not null")
+def _positions(df: DataFrame, words: str, masks: list[str], of_items: bool = False) -> DataFrame:
+    """A row for each token at which a mask fits, and each mask (of items: each that the item's length has): at, seed."""
+    n, at, out = F.size(words), F.col("at"), []
+    for mask in masks:
+        kept = [F.get(words, at + k) for k, c in enumerate(mask) if c == "1"]
+        fits = at + len(mask) <= n
+        if of_items:
+            fits = fits & F.least(n, F.lit(WINDOW)).isin(_lengths(mask))
+        out.append(F.when(fits, F.xxhash64(F.lit(mask), *kept)))
+    least = min(map(len, masks))
+    rows = df.where(n >= least).withColumn("at", F.explode(F.sequence(F.lit(0), n - least)))
+    return rows.withColumn("seed", F.explode(F.array(*out))).where("seed is not null")
 
 
 def _agreement() -> Column:
@@ -59,13 +69,15 @@ def _agreement() -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """doc_id, node (MD5 of the text), item_id, matched (agreeing tokens of the best window), hits, first_token for each verified pair."""
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", tokens(F.col("text")).alias("iw")).where(F.size("iw") >= min(map(len, MASKS)))
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", tokens(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     named = written(items.groupBy("iw").agg(F.collect_set("item_id").alias("items")).withColumn("item", F.xxhash64("iw")))
     distinct = named.select("item", "iw")
-    seeds = written(_positions(distinct, "iw").select("seed", "item", F.col("at").alias("ip")))
+    lengths = {r["n"] for r in distinct.select(F.least(F.size("iw"), F.lit(WINDOW)).alias("n")).distinct().collect()} or {WINDOW}
+    masks = sorted({m for n in lengths for m in SHORT.get(n, MASKS)})
+    seeds = written(_positions(distinct, "iw", masks, of_items=True).select("seed", "item", F.col("at").alias("ip")))
     blocks = max(1, -(-seeds.count() // max_seeds))
     words = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), tokens(F.col("text")).alias("w"))
-    probes = _positions(words, "w")
+    probes = _positions(words, "w", masks)
 
     def against(block: int) -> DataFrame:
         part = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else df

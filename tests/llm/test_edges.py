@@ -207,3 +207,23 @@ def test_lattice_holds_the_longest_pieces():
                 unknown = np.exp(lattice.unknown[begin > 0]) / 1_114_112 if end == begin + 1 else 0.0
                 alpha[end] += alpha[begin] * max(0.0 if p is None else np.exp(p), unknown) * (1 - lattice.stop if begin else 1)
         assert np.exp(got) == pytest.approx(alpha[-1] * lattice.stop, rel=1e-6)
+
+
+def test_masks_hit_every_accepted_substitution(spark):
+    from itertools import combinations
+    from math import ceil
+
+    rows, want = [], set()
+    for n in range(1, 14):
+        item = [f"i{n}w{k}" for k in range(n)]
+        changed = n - ceil(decontaminate.AGREE * n)
+        for places in [*combinations(range(n), changed), *combinations(range(n), changed + 1)]:
+            rows.append((len(rows), f"Before {' '.join('other' if k in places else w for k, w in enumerate(item))} after"))
+            if len(places) == changed:
+                want.add((len(rows) - 1, n))
+        rows.append((len(rows), " ".join(item[changed:])))  # the document begins within the item
+        want.add((len(rows) - 1, n))
+    items = spark.createDataFrame([(n, " ".join(f"I{n}W{k}" for k in range(n))) for n in range(1, 14)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (decontaminate.MAX_SEEDS, 20):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, max_seeds=most).collect()} == want
