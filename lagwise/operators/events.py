@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ANY = object()
@@ -30,20 +30,46 @@ def require_complete(events: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing values in predictors: {bad}")
 
 
+def latency_range(events: DataFrame, latency: str, parts: int = 64) -> Column:
+    """The number of an event's range of latencies; events of equal latency share one."""
+    key = F.col(latency).cast("double")
+    cuts = sorted(set(events.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []))
+    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key))) if cuts else F.lit(0)
+
+
+def _carried(rows: DataFrame, target: Column, latency: str) -> DataFrame:
+    """_range, before, after: for each range the last target of the ranges before it and the first of those after it. The driver gets one row for each range."""
+    last, first = F.max_by(target, F.when(target.isNotNull(), F.struct(latency, -F.col("event_ix")))), F.min_by(target, F.when(target.isNotNull(), F.struct(latency, "event_ix")))
+    ends = rows.groupBy("_range").agg(last.alias("before"), first.alias("after")).orderBy("_range")
+    got = ends.collect()
+    before, after = [None] * len(got), [None] * len(got)
+    for i in range(1, len(got)):
+        before[i] = got[i - 1]["before"] or before[i - 1]
+    for i in range(len(got) - 2, -1, -1):
+        after[i] = got[i + 1]["after"] or after[i + 1]
+    return rows.sparkSession.createDataFrame([(r["_range"], b, a) for r, b, a in zip(got, before, after)], ends.schema)
+
+
 def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None = None, search: str = "closest", column: str = "event", group: str | None = None, latency: str = "latency") -> DataFrame:
     """For each source event, writes its field into one target event's field `to`: the closest, the nearest at or before (backward), or at or after (forward).
 
     Equally close targets: the earlier in event_ix. Where several sources choose one target, the last (by latency, then event_ix) wins. Targets that no
-    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series), so that the windows are dealt."""
+    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series); without it they are ordered
+    in ranges of latency, and each range's last and first target is carried to the ranges beside it."""
     if search not in ("closest", "backward", "forward"):
         raise ValueError(f"search must be closest, backward or forward, not {search!r}")
     to = to or field
     keys = [group] if group else []
-    parts = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    parts = Window.partitionBy(*keys) if keys else Window.partitionBy("_range")
     t = F.when(F.col(column) == F.lit(target), F.struct(F.col(latency).alias("lat"), F.col("event_ix").alias("ix")))
     back = parts.orderBy(latency, F.when(F.col(column) == F.lit(target), 0).otherwise(1), F.col("event_ix").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ahead = parts.orderBy(latency, F.when(F.col(column) == F.lit(target), 1).otherwise(0), "event_ix").rowsBetween(0, Window.unboundedFollowing)
-    near = events.select(*keys, "event_ix", latency, column, field).withColumn("b", F.last(t, ignorenulls=True).over(back)).withColumn("f", F.first(t, ignorenulls=True).over(ahead))
+    rows = events.select(*keys, "event_ix", latency, column, field)
+    if not keys:
+        rows = rows.withColumn("_range", latency_range(rows, latency))
+    near = rows.withColumn("b", F.last(t, ignorenulls=True).over(back)).withColumn("f", F.first(t, ignorenulls=True).over(ahead))
+    if not keys:
+        near = near.join(F.broadcast(_carried(rows, t, latency)), "_range", "left").withColumn("b", F.coalesce("b", "before")).withColumn("f", F.coalesce("f", "after"))
     db, df_ = F.col(latency) - F.col("b.lat"), F.col("f.lat") - F.col(latency)
     closest = F.when(F.col("b").isNull(), F.col("f.ix")).when(F.col("f").isNull(), F.col("b.ix")).when(db < df_, F.col("b.ix")).when(df_ < db, F.col("f.ix")).otherwise(F.least("b.ix", "f.ix"))
     chosen = {"closest": closest, "backward": F.col("b.ix"), "forward": F.col("f.ix")}[search]

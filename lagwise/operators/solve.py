@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions import basis as bases
@@ -19,6 +19,8 @@ from lagwise.operators.events import ANY, filter_events
 
 #: Columns of a design whose cross product is solved on the driver: 5,000 make 200 MB.
 MOST_COLUMNS = 5000
+#: Events of one channel and time that a robust fit takes into one task; more are fitted in rounds of partial sums.
+MOST_ROWS = 100_000
 
 
 def solve(g: np.ndarray, r: np.ndarray, solver="default") -> np.ndarray:
@@ -267,8 +269,59 @@ def tukey(x: np.ndarray, y: np.ndarray, c: float = 4.685, rounds: int = 50) -> n
     return b
 
 
-def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict | None = None, estimator: Callable = tukey) -> DataFrame:
-    """channel, time_ix, coefname, estimate: an M-estimate for each channel and time over the events that have a value there."""
+def _medians(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, median: exact ones. An approximate percentile brackets the middle ranks; only the few values in the bracket are ordered."""
+    rows = rows.select(*keys, value.alias("v"))
+    near = rows.groupBy(*keys).agg(F.percentile_approx("v", [0.4997, 0.5003], 10_000).alias("q"), F.count("*").alias("n"))
+    joined = rows.join(F.broadcast(near), keys)
+    below = joined.groupBy(*keys).agg(F.count_if(F.col("v") < F.get("q", F.lit(0))).alias("below"))
+    counts = joined.where((F.col("v") >= F.get("q", F.lit(0))) & (F.col("v") <= F.get("q", F.lit(1)))).groupBy(*keys, "n", "v").count().join(F.broadcast(below), keys)
+    end = F.col("below") + F.sum("count").over(Window.partitionBy(*keys).orderBy("v"))
+    at = counts.withColumn("end", end).withColumn("begin", F.col("end") - F.col("count"))
+    pick = lambda rank: F.max(F.when((F.col("begin") <= rank) & (rank < F.col("end")), F.col("v")))
+    return at.groupBy(*keys).agg(((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
+def _tukey_rounds(rows: DataFrame, k: int, c: float = 4.685, rounds: int = 50) -> dict[tuple, np.ndarray]:
+    """What tukey gives for each (channel, time_ix), in rounds of partial sums; the driver gets k x k sums for each."""
+    spark, keys = rows.sparkSession, ["channel", "time_ix"]
+    x = [F.get("x", F.lit(i)) for i in range(k)]
+
+    def solved(weighted: DataFrame) -> dict[tuple, np.ndarray]:
+        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+        sums = weighted.groupBy(*keys).agg(*[F.sum(F.col("w") * x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col("w") * x[i] * F.col("y")).alias(f"r{i}") for i in range(k)])
+        out = {}
+        for row in sums.collect():
+            g = np.zeros((k, k))
+            for i, j in pairs:
+                g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+            out[row["channel"], row["time_ix"]] = solve(g, np.array([[row[f"r{i}"]] for i in range(k)]))[:, 0]
+        return out
+
+    beta, done = solved(rows.withColumn("w", F.lit(1.0))), set()
+    for _ in range(rounds):
+        now = [(*key, b.tolist()) for key, b in beta.items() if key not in done]
+        if not now:
+            break
+        left = rows.join(F.broadcast(spark.createDataFrame(now, "channel int, time_ix int, b array<double>")), keys)
+        left = left.withColumn("res", F.col("y") - sum((F.get("b", F.lit(i)) * x[i] for i in range(k)), F.lit(0.0)))
+        here = spark.createDataFrame([tuple(r) for r in _medians(left, keys, F.col("res")).collect()], "channel int, time_ix int, middle double")
+        mad = _medians(left.join(F.broadcast(here), keys), keys, F.abs(F.col("res") - F.col("middle"))).collect()
+        scales = spark.createDataFrame([(r["channel"], r["time_ix"], c * max(r["median"] / 0.6745, 1e-12)) for r in mad], "channel int, time_ix int, far double")
+        u = F.col("res") / F.col("far")
+        for key, new in solved(left.join(F.broadcast(scales), keys).withColumn("w", F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0))).items():
+            if np.abs(new - beta[key]).max() < 1e-10:
+                done.add(key)
+            else:
+                beta[key] = new
+    return beta
+
+
+def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict | None = None, estimator: Callable = tukey, most_rows: int = MOST_ROWS) -> DataFrame:
+    """channel, time_ix, coefname, estimate: an M-estimate for each channel and time over the events that have a value there.
+
+    Where a channel and time has more than most_rows events, the estimates are made in rounds of partial sums over all rows. Another estimator than
+    tukey is a function of a whole group and gets each channel and time as one, however large."""
     schema = Schema.fit(formula, events, contrasts)
     names = schema.names()
 
@@ -277,4 +330,10 @@ def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict |
         return pd.DataFrame({"channel": key[0], "time_ix": key[1], "coefname": names, "estimate": b})
 
     rows = epochs.where("y is not null").join(schema.design(events), "event_ix").select("channel", F.col("time_ix").cast("int").alias("time_ix"), "y", "x")
-    return rows.groupBy("channel", "time_ix").applyInPandas(one, "channel int, time_ix int, coefname string, estimate double")
+    out = "channel int, time_ix int, coefname string, estimate double"
+    if estimator is tukey and (rows.groupBy("channel", "time_ix").count().agg(F.max("count")).first()[0] or 0) > most_rows:
+        rows = rows.withColumn("channel", F.col("channel").cast("int")).persist()
+        beta = _tukey_rounds(rows, len(names))
+        rows.unpersist()
+        return rows.sparkSession.createDataFrame([(*key, name, float(v)) for key, b in beta.items() for name, v in zip(names, b)], out)
+    return rows.groupBy("channel", "time_ix").applyInPandas(one, out)

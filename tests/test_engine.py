@@ -156,3 +156,34 @@ def test_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text("1,2.5,,4\n")
     got = [tuple(r) for r in sg.signal_from_csv(spark, str(tmp_path / "s.csv")).orderBy("sample").collect()]
     assert got == [(1, 1, 1.0), (1, 2, 2.5), (1, 3, None), (1, 4, 4.0)]
+
+
+def test_robust_in_rounds_equals_whole_groups(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300).round(2)
+    e = table(spark, [(float(v),) for v in x], "x double")
+    rows = [(1, t, i + 1, float(1 + t * x[i] + rng.standard_t(2))) for t in range(2) for i in range(300 - t)]
+    epochs = spark.createDataFrame(rows, "channel int, time_ix int, event_ix long, y double")
+    get = lambda most: {(r["time_ix"], r["coefname"]): r["estimate"] for r in sv.robust("0 ~ 1 + x", e, epochs, most_rows=most).collect()}
+    whole, rounds = get(10**9), get(10)
+    assert len(whole) == 4 and rounds == {k: pytest.approx(v, abs=1e-7) for k, v in whole.items()}
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = {0: rng.normal(size=20_000), 1: np.r_[np.zeros(5001), rng.normal(size=4000)], 2: np.array([1.0, 5.0]), 3: np.array([7.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "g int, v double")
+    assert {r["g"]: r["median"] for r in sv._medians(rows, ["g"], rows["v"]).collect()} == {k: np.median(v) for k, v in values.items()}
+
+
+def test_copying_crosses_ranges_in_many_tasks(spark):
+    lat = np.random.default_rng(4).integers(0, 3000, 2000)
+    e = table(spark, [(float(v), "S" if i % 97 == 5 else "R", float(i), "g") for i, v in enumerate(lat)], "latency double, event string, rt double, g string")
+    for search in ("closest", "backward", "forward"):
+        got = ev.copy_eventinfo(e, "R", "S", "rt", "got", search=search)
+        want = ev.copy_eventinfo(e, "R", "S", "rt", "got", search=search, group="g")
+        key = lambda df: sorted((r["event_ix"], r["got"]) for r in df.where("event = 'S'").collect())
+        assert key(got) == key(want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "_range" in plan
+    assert e.select(ev.latency_range(e, "latency").alias("r")).agg(F.count_distinct("r")).first()[0] > 30
