@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where it is unset and all of Spark runs here (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
@@ -42,6 +44,33 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bits of a filter of keys (8 MB, whatever the number of keys), and bits in each row of its table.
+FILTER_BITS, _CELL = 1 << 26, 32768
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of the column key with two hashes, as a table of bitmaps (cell, bitmap): at most bits / 8 bytes in all."""
+    at = F.explode(F.array(*_positions(F.col(key), bits))).alias("at")
+    rows = keys.select(at).select(F.expr(f"at div {_CELL}").alias("cell"), (F.col("at") % _CELL).alias("at"))
+    return rows.groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+
+
+def _positions(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in range(2)]
+
+
+def among(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose key is in keys, at any size alike: what the filter of the keys can rule out is never shuffled, the rest is joined."""
+    cells, names, out = key_filter(keys, key, bits), df.columns, df
+    for i, position in enumerate(_positions(F.col(key), bits)):
+        at, cell, bitmap = (f"_{i}_{n}" for n in ("at", "cell", "bitmap"))
+        side = cells.select(F.col("cell").alias(cell), F.col("bitmap").alias(bitmap))
+        out = out.withColumn(at, position).join(F.broadcast(side), F.expr(f"{at} div {_CELL} = {cell}"))
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), F.expr(f"cast({at} % {_CELL} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+        out = out.where(F.expr(f"1 << cast({at} % 8 as int)").bitwiseAND(byte) != 0).select(*names)
+    return out.join(keys.select(key).distinct(), key, "left_semi").select(*names)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have."""
     while name in df.columns:

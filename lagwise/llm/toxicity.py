@@ -1,33 +1,38 @@
 """Toxicity: non-negative positive-unlabelled learning on words and word beginnings.
 
-* Confirmed toxic documents are the positives; all other training documents, whatever their label, are the unlabelled text.
+* Confirmed toxic documents are the positives; all training documents, whatever their label, are the unlabelled text.
 * The class prior is the share of toxic ones among the labelled training rows, or a parameter.
-* Positives and unlabelled documents used for fitting are a sample of at most max_positive and max_unlabelled rows, chosen by a hash of id and text.
-* A null or empty text has no features: its score is the classifier's intercept. Every row gets one row, repeated ones too.
-* Without a positive example every score is 0.
-* Columns other than doc_id and text are not read.
+* In how many positives and in how many training documents a feature stands is counted over all of them, in Spark; the `kept` features whose share
+  among the positives exceeds that among all documents by the most standard errors are kept. Only those reach the driver.
+* The classifiers are fitted on a sample of at most max_positive positives and max_unlabelled training documents, chosen by a hash of id and text,
+  of which the driver gets the numbers of the kept features: at most 2 * kept bytes a document.
+* A null or empty text has no features: its score is the classifier's intercept. Every row gets one row, repeated ones too; repeated rows count
+  as often as they are there. Several labels of one id are averaged, null labels and null ids are left out. A row with a null id is unlabelled.
+* Without a positive example, or a feature that speaks for toxicity, every score is 0. An empty table gives no rows.
+* Columns other than doc_id and text are not read, and drop_toxic gives all columns back, whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lagwise.llm.common import fold, slices
+from lagwise.llm.common import among, fold, slices, unused, written
 from lagwise.llm.quality import averaged
 
 #: Rows for fitting at most, features kept, steps of the optimiser, classifiers that are averaged.
-MAX_POSITIVE, MAX_UNLABELLED, KEPT, STEPS, MEMBERS = 4000, 12000, 1024, 400, 3
-#: Values that the hash for sampling takes.
-PICKS = 1_000_003
-#: A feature is kept if its share among the positives exceeds that among the unlabelled by so many standard errors.
+MAX_POSITIVE, MAX_UNLABELLED, KEPT, STEPS, MEMBERS = 4000, 12000, 1024, 800, 3
+#: Values that the hash for sampling takes; features that a task counts before it hands its counts on.
+PICKS, FLUSH = 1_000_003, 200_000
+#: A feature is kept if its share among the positives exceeds that among all documents by so many standard errors.
 LEAST_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,11 +56,15 @@ class Model:
         """Mean over the members of the probability that the text is toxic."""
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            found = {k for w in set(_WORD.findall(t.lower())) for k in self._of(w)}
-            z = self.bias + (self.weights[:, list(found)].sum(1) if found else 0)
+            found = self.found(t)
+            z = self.bias + (self.weights[:, found].sum(1) if found else 0)
             out[i] = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean() if len(self.bias) else 0.0
         return out
 
+    def found(self, text: str) -> list[int]:
+        """The numbers of the kept features in a text."""
+        return sorted({k for w in set(_WORD.findall(text.lower())) for k in self._of(w)})
+
     def _of(self, word: str) -> tuple[int, ...]:
         cache = self.__dict__.setdefault("_cache", {})
         got = cache.get(word)
@@ -66,104 +75,119 @@ class Model:
         return got
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a linear classifier under the non-negative risk prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)), logistic loss, Adam.
+def nnpu(p: list[np.ndarray], u: list[np.ndarray], k: int, prior: float, steps: int, seed: int, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear classifier under the non-negative risk prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)), sigmoid loss (bounded, so
+    that positives without any telling word move little), Adam.
 
-    Where the corrected negative risk falls below zero its gradient is reversed, as the estimator asks."""
+    p, u: for each positive and unlabelled document the numbers (below k) of its features. Where the corrected negative risk falls below zero its
+    gradient is reversed, as the estimator asks."""
     rng = np.random.default_rng(seed)
-    k = p.shape[1]
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def laid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    def batch(flat: np.ndarray, cut: np.ndarray, most: int):
+        """Scores of some rows, and what gives the mean gradient from each row's slope."""
+        some = rng.integers(0, len(cut) - 1, min(len(cut) - 1, most))
+        size = cut[some + 1] - cut[some]
+        owner = np.repeat(np.arange(len(some)), size)
+        f = flat[np.arange(len(owner)) + np.repeat(cut[some] - np.cumsum(size) + size, size)]
+        z = np.bincount(owner, theta[f], len(some)) + theta[k]
+        return z, lambda d: np.append(np.bincount(f, d[owner], k), d.sum()) / len(some)
+
+    a, b = laid(p), laid(u)
     for t in range(1, steps + 1):
-        a, b = p[rng.integers(0, len(p), min(len(p), 512))], u[rng.integers(0, len(u), min(len(u), 1536))]
-        za, zb = a @ theta[:k] + theta[k], b @ theta[:k] + theta[k]
-        negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        grad = lambda x, d: np.append(d @ x, d.sum()) / max(1, len(d))
-        g_neg = grad(b, sig(zb)) - prior * grad(a, sig(za))
-        g = prior * grad(a, sig(za) - 1) + g_neg if negative >= 0 else -g_neg
+        za, of_a = batch(*a, 512)
+        zb, of_b = batch(*b, 1536)
+        negative = sig(zb).mean() - prior * sig(za).mean()
+        slope_a, slope_b = sig(za) * sig(-za), sig(zb) * sig(-zb)
+        g_neg = of_b(slope_b) - prior * of_a(slope_a)
+        g = g_neg - prior * of_a(slope_a) if negative >= 0 else -g_neg
         g[:k] += l2 * theta[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta[:k] = np.maximum(theta[:k], 0)  # every feature kept speaks for toxicity
-    return theta[:k], theta[k]
+    return theta[:k], float(theta[k])
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """f, n: in how many of a task's texts each feature stands; each task adds up what it has, at most about FLUSH features at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["f", "n"])
+            counts.clear()
+            return got
+
+        for part in slices(batches):
+            for text in part["text"]:
+                counts.update(of_text(text or ""))
+                if len(counts) > FLUSH:
+                    yield out()
+        yield out()
 
+    return rows.select("text").mapInArrow(run, "f string, n long")
 
-def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """About most of n rows, by pick, a hash of id and text: the same ones wherever they lie."""
-    if n <= most:
-        return rows
-    return rows.where(F.col("pick") < int(PICKS * most / n))
 
+def telling(toxic: DataFrame, everything: DataFrame, positives: int, total: int, kept: int = KEPT) -> list[str]:
+    """The features that speak most for toxicity: by how many standard errors their share among the positives lies above that among all."""
+    both = counted(toxic).select("f", F.col("n").alias("p"), F.lit(0).alias("u")).unionByName(counted(everything).select("f", F.lit(0).alias("p"), F.col("n").alias("u")))
+    both = both.groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    share = (F.col("p") + F.col("u") + 1) / F.lit(positives + total + 2)
+    above = (F.col("p") + 0.5) / F.lit(positives + 1) - (F.col("u") + 0.5) / F.lit(total + 1)
+    z = above / F.sqrt(share * (1 - share) * F.lit(1 / positives + 1 / total))
+    best = both.where(F.col("p") >= min(3, positives)).withColumn("z", z).where(F.col("z") > LEAST_Z)
+    return [r["f"] for r in best.orderBy(F.desc("z"), "f").limit(kept).select("f").collect()]
 
-def _gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
-    """For sampled rows: which are positive, the numbers of each one's features, the features by number."""
+
+def _sampled(rows: DataFrame, n: int, most: int, model: Model) -> list[np.ndarray]:
+    """The features' numbers of at most most of n rows (text, pick): those of the least pick, a hash of id and text, wherever they lie."""
+    if n > most:
+        rows = rows.where(F.col("pick") <= int(PICKS * most / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(part["positive"], pa.bool_()), pa.array([sorted(of_text(t or "")) for t in part["text"]], pa.list_(pa.string()))], ["positive", "f"])
+            found = [np.array(model.found(t or ""), np.uint16).tobytes() for t in part["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(part["pick"], pa.int64()), pa.array(found, pa.binary())], ["pick", "f"])
 
-    got = rows.select("positive", "text").mapInArrow(run, "positive boolean, f array<string>").toArrow()
-    flat = got.column("f").combine_chunks()
-    words = pc.dictionary_encode(flat.flatten())
-    cuts = np.asarray(flat.offsets) - (flat.offsets[0].as_py() if len(flat.offsets) else 0)
-    return np.asarray(got.column("positive")), np.split(np.asarray(words.indices), cuts[1:-1]), words.dictionary
+    got = rows.select("pick", "text").mapInArrow(run, "pick long, f binary").orderBy("pick", "f").limit(most).select("f").toArrow()
+    return [np.frombuffer(f, np.uint16) for f in got.column("f").to_pylist()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, kept: int = KEPT) -> Model:
-    """docs: doc_id, text of the training documents; labels: doc_id, toxic."""
+    """docs: doc_id, text of the training documents; labels: doc_id, toxic. kept: at most 65,536."""
     y = averaged(labels, "toxic")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("pick", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PICKS)))
-    marked = plain.join(y, "doc_id", "left").withColumn("positive", F.coalesce(F.col("y") > 0.5, F.lit(False)))
-    n = marked.select("positive", "y").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"), F.count("y").alias("y")).first()
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PICKS)).alias("pick"))
+    n = plain.select("doc_id").join(y, "doc_id", "left").agg(F.count("*").alias("all"), F.count_if(F.col("y") > 0.5).alias("p"), F.count("y").alias("y")).first()
     empty = Model({}, np.zeros((0, 0)), np.zeros(0))
     if not n["p"]:
         return empty
     prior = min(0.9, max(0.001, n["p"] / n["y"])) if prior is None else prior
-    # the unlabelled text stands for all text, so positives are drawn into it too
-    total = n["p"] + n["u"]
-    share = max_unlabelled / total
-    # positives are chosen by id first, so that no other text is shuffled; about max_positive ids are broadcast
-    chosen = _sampled(marked.where("positive"), n["p"], max_positive).select("doc_id", "pick").distinct()
-    toxic = plain.join(F.broadcast(chosen), ["doc_id", "pick"], "left_semi").withColumn("positive", F.lit(True))
-    other = _sampled(marked.where(~F.col("positive")), n["u"], int(n["u"] * min(1.0, share)) or 1)
-    positive, found, words = _gathered(toxic.select("positive", "text").unionByName(other.select("positive", "text")))
-    if not positive.any():
+    toxic = written(among(plain, y.where("y > 0.5").select("doc_id"), "doc_id"))
+    best = telling(toxic, plain, n["p"], n["all"], kept)
+    if not best:
         return empty
-    dp, du = np.zeros(len(words)), np.zeros(len(words))
-    for is_p, f in zip(positive, found):
-        (dp if is_p else du)[f] += 1
-    np_, nu = positive.sum(), max(1, (~positive).sum())
-    rate_p, rate_u = (dp + 0.5) / (np_ + 1), (du + 0.5) / (nu + 1)
-    # how many standard errors the share among the positives lies above the share among the unlabelled
-    both = (dp + du + 1) / (np_ + nu + 2)
-    worth = np.where(dp >= min(3, np_), (rate_p - rate_u) / np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu)), -np.inf)
-    best = np.argsort(-worth, kind="stable")[:kept]
-    best = best[worth[best] > LEAST_Z]
-    where = np.full(len(words), -1)
-    where[best] = np.arange(len(best))
-    x = np.zeros((len(found), len(best)), np.float32)
-    for i, f in enumerate(found):
-        k = where[f]
-        x[i, k[k >= 0]] = 1
-    p, rest = x[positive], x[~positive]
-    hidden = round(len(rest) * n["p"] / max(1, n["u"]))  # as many as lie among all rows, so that u has the share prior of positives
-    u = np.vstack([rest, p[np.random.default_rng(5).integers(0, len(p), hidden)]]) if len(rest) else p
-    members = [nnpu(p, u, prior, STEPS, seed) for seed in range(MEMBERS)]
-    return Model({words[int(i)].as_py(): j for j, i in enumerate(best)}, np.array([w for w, _ in members]), np.array([b for _, b in members]))
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all its columns, and toxicity between 0 and 1. docs must not have a column of that name."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    model = Model({f: i for i, f in enumerate(best)}, np.zeros((0, len(best))), np.zeros(0))
+    p, u = _sampled(toxic, n["p"], max_positive, model), _sampled(plain, n["all"], max_unlabelled, model)
+    members = [nnpu(p, u, len(best), prior, STEPS, seed) for seed in range(MEMBERS)]
+    return Model(model.index, np.array([w for w, _ in members]), np.array([b for _, b in members]))
+
+
+def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with all its columns, and a score between 0 and 1 in the column name, which docs must not have."""
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                p = model.scores([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "toxicity"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                p = model.scores([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -172,18 +196,10 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MA
     """doc_id, held_out (crc32 of the id modulo 5 is 0), score, predicted for each document; held-out rows are not learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(5) == 0).alias("held_out"))
     model = fit(rows.where(~F.col("held_out")), labels, max_positive=max_positive, max_unlabelled=max_unlabelled)
-    out = scored(rows, model)
-    return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored(rows, model, "score").select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under 0.5, with their columns. Labels decide through the classifier only."""
-    name = "toxicity"
-    while name in docs.columns:
-        name = f"_{name}"
-    training = docs.where(fold(5) != 0)
-    model = fit(training, labels)
-    if name == "toxicity":
-        return scored(docs, model).where(F.col(name) < 0.5).select(docs.columns)
-    plain = docs.withColumnRenamed("toxicity", name)
-    return scored(plain, model).where(F.col("toxicity") < 0.5).drop("toxicity").withColumnRenamed(name, "toxicity").select(docs.columns)
+    """The documents whose score is under 0.5, with their columns; repeated rows share their fate. Labels decide through the classifier only."""
+    name = unused(docs, "toxicity")
+    return scored(docs, fit(docs.where(fold(5) != 0), labels), name).where(F.col(name) < 0.5).select(docs.columns)

@@ -33,7 +33,8 @@ def test_nnpu_learns_from_positives_only():
     rng = np.random.default_rng(0)
     positive = rng.random((300, 6)) < np.array([0.9, 0.8, 0.3, 0.3, 0.3, 0.3])
     negative = rng.random((2700, 6)) < np.array([0.02, 0.05, 0.3, 0.3, 0.3, 0.3])
-    w, b = toxicity.nnpu(positive[:150].astype(float), np.vstack([positive[150:], negative]).astype(float), 0.05, 400, 1)
+    sparse = lambda x: [np.flatnonzero(r).astype(np.uint16) for r in x]
+    w, b = toxicity.nnpu(sparse(positive[:150]), sparse(np.vstack([positive[150:], negative])), 6, 0.05, 400, 1)
     z = lambda x: x.astype(float) @ w + b
     assert (z(positive) > 0).mean() > 0.7 and (z(negative) > 0).mean() < 0.05
 
