@@ -15,9 +15,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,25 @@ LEAST_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
+def features(word: str) -> tuple[str, ...]:
     """The word itself and its beginnings of four and five letters."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n)]
+    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
+
+
+class _Known(dict):
+    """What `of` gives for the words in a string without blanks, kept for strings seen."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, string: str) -> tuple:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[string] = tuple(x for word in _WORD.findall(string) for x in self.of(word))
+        return got
 
 
-def of_text(text: str) -> set[str]:
-    return {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
 
 
 @dataclass
@@ -51,6 +64,7 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray  # members x features
     bias: np.ndarray
+    _known: _Known | None = field(default=None, repr=False)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Mean over the members of the probability that the text is toxic."""
@@ -63,16 +77,12 @@ class Model:
 
     def found(self, text: str) -> list[int]:
         """The numbers of the kept features in a text."""
-        return sorted({k for w in set(_WORD.findall(text.lower())) for k in self._of(w)})
-
-    def _of(self, word: str) -> tuple[int, ...]:
-        cache = self.__dict__.setdefault("_cache", {})
-        got = cache.get(word)
-        if got is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            got = cache[word] = tuple(self.index[f] for f in features(word) if f in self.index)
-        return got
+        if self._known is None:
+            self._known = _Known(lambda word: tuple(self.index[f] for f in features(word) if f in self.index))
+        return sorted(set(chain.from_iterable(map(self._known.__getitem__, set(text.lower().split())))))
+
+    def __getstate__(self):
+        return {**self.__dict__, "_known": None}
 
 
 def nnpu(p: list[np.ndarray], u: list[np.ndarray], k: int, prior: float, steps: int, seed: int, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -112,23 +122,40 @@ def nnpu(p: list[np.ndarray], u: list[np.ndarray], k: int, prior: float, steps:
     return theta[:k], float(theta[k])
 
 
+class _Counts:
+    """In how many texts each feature stands. Strings between blanks are numbered, and their features too, so that a text is counted by arrays."""
+
+    def __init__(self):
+        self.string: dict[str, int] = {}
+        self.feature: dict[str, int] = {}
+        self.flat, self.cut, self.n = array("q"), array("q", [0]), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        sets = [set(t.lower().split()) for t in texts]
+        for new in sets:
+            for string in new.difference(self.string):
+                self.string[string] = len(self.string)
+                self.flat.extend([self.feature.setdefault(f, len(self.feature)) for w in _WORD.findall(string) for f in features(w)])
+                self.cut.append(len(self.flat))
+        flat, cut = np.frombuffer(self.flat, np.int64), np.frombuffer(self.cut, np.int64)  # the arrays grow again when these are gone
+        self.n = np.append(self.n, np.zeros(len(self.feature) - len(self.n), np.int64))
+        for s in sets:
+            i = np.fromiter(map(self.string.__getitem__, s), np.int64, len(s))
+            size = cut[i + 1] - cut[i]
+            self.n[flat[np.arange(size.sum()) + np.repeat(cut[i] - np.cumsum(size) + size, size)]] += 1  # numbers that repeat are added to once
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """f, n: in how many of a task's texts each feature stands; each task adds up what it has, at most about FLUSH features at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["f", "n"])
-            counts.clear()
-            return got
-
+        counts = _Counts()
         for part in slices(batches):
-            for text in part["text"]:
-                counts.update(of_text(text or ""))
-                if len(counts) > FLUSH:
-                    yield out()
-        yield out()
+            counts.add([t or "" for t in part["text"]])
+            if len(counts.feature) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts.feature), pa.string()), pa.array(counts.n)], ["f", "n"])
+                counts = _Counts()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts.feature), pa.string()), pa.array(counts.n)], ["f", "n"])
 
     return rows.select("text").mapInArrow(run, "f string, n long")
 

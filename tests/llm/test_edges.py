@@ -39,6 +39,18 @@ def test_nnpu_learns_from_positives_only():
     assert (z(positive) > 0).mean() > 0.7 and (z(negative) > 0).mean() < 0.05
 
 
+def test_features_are_counted_once_a_text(spark):
+    texts = ["Stupid, stupid stupids! x1y", "stup id", None, "", "l'idiot--IDIOT \u0130x", "stupid"] * 3
+    want = {}
+    for t in texts:
+        for f in {f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in toxicity.features(w)}:
+            want[f] = want.get(f, 0) + 1
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert {r["f"]: r["n"] for r in toxicity.counted(rows).groupBy("f").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == want
+    model = toxicity.Model({"stup*": 0, "idiot": 1, "x": 2}, np.ones((1, 3)), np.zeros(1))
+    assert [model.found(t or "") for t in texts[:6]] == [[0, 2], [0], [], [], [1, 2], [0]]
+
+
 def test_packing(odd, nothing):
     from tokenizers import Tokenizer
 
