@@ -5,12 +5,16 @@ null text has none. Two different texts are linked if their Jaccard similarity i
 each other. Documents are grouped into the connected components of links and copies.
 
 Nodes are distinct texts (by MD5), each with the number of its rows. MinHash bands propose nodes that share a bucket. A bucket of many
-nodes is cut into blocks; a unit is a pair of blocks, so that no task holds more than two blocks at once. Inside a unit a pair counts only
-in the first band it shares. Pairs are compared a few MinHash values at a time, and dropped when the posterior probability (uniform prior)
+nodes, or of long ones, is cut into blocks of about BLOCK nodes and BLOCK_SHINGLES shingles at most; a unit is a pair of blocks, so that no task
+holds more than two blocks at once. Inside a unit a pair counts only in the first band it shares. Pairs are compared a few MinHash values at a time, and dropped when the posterior probability (uniform prior)
 of reaching the threshold is below the tolerance; the survivors are verified on all their shingles. Pairs stay inside the task: what leaves
 it is each node's number of links and the edges of a spanning forest.
 
-Null ids are kept; repeated rows are copies. Columns other than doc_id and text are not read.
+The candidates' texts are looked up through a filter of fixed size that rules most other texts out before the shuffle; the join behind it is
+exact, at any number of candidates.
+
+Null ids are kept; repeated rows are copies. Null and empty texts are copies of each other, as are texts of the same blanks. An empty table gives
+no rows. Columns other than doc_id and text are not read; one_of_each gives all columns back, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import slices, unused, written
+from lagwise.llm.common import FILTER_BITS, among, slices, unused, written
 
 WORDS, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK, STEP = 5, 0.8, 25, 4, 1e-6, 400, 20
-#: Nodes (16 bytes each) that are broadcast to pick their texts; more are picked by a shuffle of all texts.
-MAX_PICKED = 2_000_000
+#: Shingles (8 bytes each, of texts of about as many bytes) in a block, on the average of its bucket; rounds in which components must be found.
+BLOCK_SHINGLES, ROUNDS = 4_000_000, 200
 _RNG = np.random.default_rng(20240101)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -214,44 +218,40 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """node, sig of each text that has shingles; needs node, text."""
+    """doc_id, node, sig (null without shingles) and the number of shingles of each row; needs doc_id, node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(t) for t in part["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["node"], pa.binary()), pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "node", "sig"])
+            sig = pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["node"], pa.binary()), sig, pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "sig", "shingles"])
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, sig binary")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, sig binary, shingles long")
 
 
-def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, max_picked: int = MAX_PICKED) -> DataFrame:
+def links_between(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, bits: int = FILTER_BITS) -> DataFrame:
     """node, to, links: for each unit and node, the least node it is joined to there and the rows it is linked to.
 
-    rows: node, sig, n (distinct nodes with their number of rows); texts: node, text, one row or more for each node."""
+    rows: node, sig, shingles, n (distinct nodes with their number of rows); texts: node, text, one row or more for each node."""
     least = least_matches(threshold, tolerance)
     keys = written(_keys(rows))
-    size = keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    member = keys.join(size, ["band", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.join(rows, "node")
+    size = keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("shingles").alias("all")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("all") / F.lit(block_shingles))).cast("int")
+    member = keys.drop("shingles").join(size.select("band", "key", F.least(blocks, F.col("size")).cast("int").alias("blocks")), ["band", "key"])
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(rows.select("node", "sig", "n"), "node")
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = ["band", "key", "low", "high"]
     member = member.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "sig")
     kept = member.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_surviving(least), "band int, key long, low int, high int, block int, node binary, n long")
     kept = written(kept)
-    picked = written(kept.select("node").distinct())
-    few = picked.count() <= max_picked
-    # few nodes pick their texts before the shuffle; copies are combined before it, so that a node of very many rows reaches its task as one row
-    # from each map task
-    wanted = texts.join(F.broadcast(picked), "node", "left_semi") if few else texts
-    wanted = wanted.groupBy("node").agg(F.first("text").alias("text"))
-    wanted = wanted if few else wanted.join(picked, "node", "left_semi")
+    # copies are combined before the shuffle, so that a node of very many rows reaches its task as one row from each map task
+    wanted = among(texts.select("node", "text"), kept.select("node"), "node", bits).groupBy("node").agg(F.first("text").alias("text"))
     full = kept.join(wanted, "node").select(*unit, "block", "node", "n", "text")
     return full.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit).mapInArrow(_verified(least, threshold), "node binary, to binary, links long")
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """A row for each band of each node: band, key, node."""
+    """A row for each band of each node: band, key, node, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,13 +259,15 @@ def _keys(rows: DataFrame) -> DataFrame:
                 b = whole.slice(at, 1000)
                 k = band_keys(_signatures(b.column("sig"))).astype(np.int64)
                 i = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(k.ravel()), b.column("node").take(i)], ["band", "key", "node"])
+                bands = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))
+                yield pa.RecordBatch.from_arrays([bands, pa.array(k.ravel()), b.column("node").take(i), b.column("shingles").take(i)], ["band", "key", "node", "shingles"])
 
-    return rows.select("node", "sig").mapInArrow(run, "band int, key long, node binary")
+    return rows.select("node", "sig", "shingles").mapInArrow(run, "band int, key long, node binary, shingles long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: the least node of each connected component. edges: node, to. Alternates large-star and small-star steps, each written out."""
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """node, root: the least node of each connected component. edges: node, to. Alternates large-star and small-star steps, each written out, until
+    nothing changes; the number of rounds grows with the logarithm of the largest component. An error if rounds are not enough."""
     edges = edges.where(F.col("node") != F.col("to")).select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
     edges, before = written(edges), None
     for _ in range(rounds):
@@ -278,18 +280,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = written(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        before = now
+    raise RuntimeError(f"the components were not found in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, node (MD5 of the text), root (least node of the component), class_id (its least doc_id), copies (its rows), links (rows whose text is the same or linked)."""
     docs = _documents(docs)
     rows = written(signatures(docs))
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("sig").alias("sig"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
     nodes = written(nodes)
     found = written(links_between(nodes.where("sig is not null"), docs, threshold, tolerance))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -143,11 +143,11 @@ def test_blocks_and_bands_count_each_pair_once(spark):
     links = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
     docs = ngram_join._documents(spark.createDataFrame(rows, "doc_id long, text string"))
     sig = ngram_join.signatures(docs)
-    nodes = sig.groupBy("node").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").join(sig.select("node", "sig"), "node")
+    nodes = sig.groupBy("node").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").join(sig.select("node", "sig", "shingles"), "node")
     ids = {r["node"]: r["doc_id"] for r in docs.collect()}
-    for block, picked in ((400, 1000), (7, 1000), (400, 3)):
+    for block, shingles, bits in ((400, 10**6, 1 << 20), (7, 10**6, 1 << 20), (400, 500, 1 << 20), (400, 10**6, 8)):
         got = {}
-        for r in ngram_join.links_between(nodes, docs, block=block, max_picked=picked).collect():
+        for r in ngram_join.links_between(nodes, docs, block=block, block_shingles=shingles, bits=bits).collect():
             got[ids[r["node"]]] = got.get(ids[r["node"]], 0) + r["links"]
         assert [got.get(i, 0) for i in range(40)] == links
 
