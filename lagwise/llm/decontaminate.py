@@ -57,14 +57,15 @@ def _positions(df: DataFrame, words: str, masks: list[str], of_items: bool = Fal
 
 
 def _agreement() -> Column:
-    """The most agreeing tokens in any window around the hit (item tokens iw at ip, document tokens w at at)."""
+    """The most agreeing tokens in any window around the hit (item tokens iw at ip, document tokens w at at); only the tokens of those windows are
+    compared, however long the item is."""
     n, ip, shift = F.size("iw"), F.col("ip"), F.col("at") - F.col("ip")
     length = F.least(F.lit(WINDOW), n)
     low, high = F.greatest(F.lit(0), ip - length + min(map(len, MASKS))), F.least(n - length, ip)
     low = F.least(low, high)
-    equal = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.get("iw", i) == F.coalesce(F.get("w", i + shift), F.lit(""))).cast("int"))
-    at = F.transform(F.sequence(low, high), lambda a: F.aggregate(F.slice(equal, a + 1, length), F.lit(0), lambda s, x: s + x))
-    return F.array_max(at)
+    equal = F.transform(F.sequence(low, high + length - 1), lambda i: (F.get("iw", i) == F.coalesce(F.get("w", i + shift), F.lit(""))).cast("int"))
+    sums = lambda e: F.transform(F.sequence(F.lit(1), high - low + 1), lambda a: F.aggregate(F.slice(e, a, length), F.lit(0), lambda s, x: s + x))
+    return F.array_max(F.flatten(F.transform(F.array(equal), sums)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
