@@ -6,7 +6,8 @@ MIN_CUT ids or more in the window that is emitted is filled with the beginning o
 windows and a rest. The windows that are open at the end of a partition are carried, with their ids, to fewer partitions and packed again, until
 one partition is left: each round has at most OPEN windows from each partition, so that no task ever holds more than FAN * OPEN of them.
 
-A null text is an empty one: its single piece is the end id. Every row is packed, repeated rows and null ids too. doc_id, start, length,
+A null text is an empty one: its single piece is the end id. Every row is packed, repeated rows and null ids too; an empty table gives no rows, and
+columns other than doc_id and text are not read. doc_id, start, length,
 ids_crc32, doc_tokens, sequence_id and offset describe each piece; sequence_id is unique but not gapless.
 """
 
@@ -30,7 +31,8 @@ from lagwise.llm.common import slices, written
 LENGTH, OPEN, MIN_CUT, FAN, END = 2048, 64, 16, 16, 1
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, rest binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_CACHE = 400_000
+#: Words and ids (4 bytes each) that a worker keeps from task to task; beyond either it begins anew.
+_CACHE, _CACHED_IDS = 400_000, 8_000_000
 
 
 #: Stands between words that are tokenized in one call; words that hold it are tokenized alone.
@@ -82,8 +84,8 @@ def _words(file: str) -> _Words:
 
 def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     """Ids of each text, the end id last."""
-    split = [t.split(" ") if len(t) < 100_000_000 else [t] for t in ((t.lower() if t.isascii() else t).replace("\n", " ") for t in texts)]
-    if len(words) > _CACHE:
+    split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+    if len(words) > _CACHE or len(words.flat) > _CACHED_IDS:
         words.reset()
     numbers = [np.fromiter(map(words.get, s, repeat(-1)), np.int64, len(s)) for s in split]
     gone = [np.flatnonzero(k < 0) for k in numbers]
