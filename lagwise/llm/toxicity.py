@@ -2,8 +2,8 @@
 
 * Confirmed toxic documents are the positives; all training documents, whatever their label, are the unlabelled text.
 * The class prior is the share of toxic ones among the labelled training rows, or a parameter.
-* In how many positives and in how many training documents a feature stands is counted over all of them, in Spark; the `kept` features whose share
-  among the positives exceeds that among all documents by the most standard errors are kept. Only those reach the driver.
+* In how many positives a feature stands is counted over all of them, and for the `considered` features that stand in the most (in three at least)
+  in how many of all training documents. The `kept` ones whose share among the positives exceeds that among all by the most standard errors stay.
 * The classifiers are fitted on a sample of at most max_positive positives and max_unlabelled training documents, chosen by a hash of id and text,
   of which the driver gets the numbers of the kept features: at most 2 * kept bytes a document.
 * A null or empty text has no features: its score is the classifier's intercept. Every row gets one row, repeated ones too; repeated rows count
@@ -31,8 +31,8 @@ from lagwise.llm.quality import averaged
 
 #: Rows for fitting at most, features kept, steps of the optimiser, classifiers that are averaged.
 MAX_POSITIVE, MAX_UNLABELLED, KEPT, STEPS, MEMBERS = 4000, 12000, 1024, 800, 3
-#: Values that the hash for sampling takes; features that a task counts before it hands its counts on.
-PICKS, FLUSH = 1_000_003, 200_000
+#: Values that the hash for sampling takes; features that a task counts before it hands its counts on; features considered.
+PICKS, FLUSH, CONSIDERED = 1_000_003, 200_000, 65_536
 #: A feature is kept if its share among the positives exceeds that among all documents by so many standard errors.
 LEAST_Z = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -160,15 +160,34 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "f string, n long")
 
 
-def telling(toxic: DataFrame, everything: DataFrame, positives: int, total: int, kept: int = KEPT) -> list[str]:
+def occurrences(rows: DataFrame, model: Model) -> np.ndarray:
+    """In how many of the rows' texts each of the model's features stands; the driver gets one sum for each feature."""
+    size = len(model.index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for part in slices(batches):
+            for text in part["text"]:
+                n[model.found(text or "")] += 1
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["k", "n"])
+
+    got = rows.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[np.asarray(got.column("k"))] = np.asarray(got.column("n"))
+    return out
+
+
+def telling(toxic: DataFrame, everything: DataFrame, positives: int, total: int, kept: int = KEPT, considered: int = CONSIDERED) -> list[str]:
     """The features that speak most for toxicity: by how many standard errors their share among the positives lies above that among all."""
-    both = counted(toxic).select("f", F.col("n").alias("p"), F.lit(0).alias("u")).unionByName(counted(everything).select("f", F.lit(0).alias("p"), F.col("n").alias("u")))
-    both = both.groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    share = (F.col("p") + F.col("u") + 1) / F.lit(positives + total + 2)
-    above = (F.col("p") + 0.5) / F.lit(positives + 1) - (F.col("u") + 0.5) / F.lit(total + 1)
-    z = above / F.sqrt(share * (1 - share) * F.lit(1 / positives + 1 / total))
-    best = both.where(F.col("p") >= min(3, positives)).withColumn("z", z).where(F.col("z") > LEAST_Z)
-    return [r["f"] for r in best.orderBy(F.desc("z"), "f").limit(kept).select("f").collect()]
+    often = counted(toxic).groupBy("f").agg(F.sum("n").alias("p")).where(F.col("p") >= min(3, positives)).orderBy(F.desc("p"), "f").limit(considered).collect()
+    if not often:
+        return []
+    p, u = np.array([r["p"] for r in often]), occurrences(everything, Model({r["f"]: i for i, r in enumerate(often)}, np.zeros((0, 0)), np.zeros(0)))
+    share = (p + u + 1) / (positives + total + 2)
+    z = ((p + 0.5) / (positives + 1) - (u + 0.5) / (total + 1)) / np.sqrt(share * (1 - share) * (1 / positives + 1 / total))
+    best = np.argsort(-z, kind="stable")[:kept]
+    return [often[i]["f"] for i in best[z[best] > LEAST_Z]]
 
 
 def _sampled(rows: DataFrame, n: int, most: int, model: Model) -> list[np.ndarray]:
