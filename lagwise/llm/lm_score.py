@@ -1,25 +1,29 @@
 """LM scoring: the marginal likelihood of each text over all ways to spell its words with an existing subword vocabulary.
 
-Tokens: A-Z in lower case, words `[^\\x20\\x09-\\x0D]+`, then one end for each text. The corpus's word counts are gathered from the training texts.
-A word's lattice has an edge for each run of letters that is a piece of the vocabulary file (pieces that begin a word and others have
-distributions of their own) or a single code point. Piece probabilities start from the file's scores and are re-estimated from the corpus's word
-words by expectation-maximisation over all segmentations (forward and backward recursions in log space), each distinct word once, since spelling
-matters for words that are rare or new; after each piece a word ends with an estimated probability. The forward recursion gives a word's spelling
-probability, and the whole word is an edge of its own: a token's probability is its training count less DISCOUNT, over all training tokens, plus
-what the discounts free times its spelling probability (a proper distribution). The score is the sum of log10 of these.
+Tokens: A-Z in lower case, words `[^\\x20\\x09-\\x0D]+`, then one end for each text. No piece runs over a blank, so a document's lattice falls apart at
+its blanks: the log-space forward recursion runs over each distinct word once, and a document's marginal is the product of its words' and the end's.
+
+A word's lattice has an edge for each run of letters that is a piece of the vocabulary file (pieces that begin a word and others have distributions
+of their own) or a single code point, and one edge over the whole word, whose weight is the word's share of the training words. The file's scores
+weight the pieces: a score that is the negative rank of a merge, as in the given file, by Zipf's law of the rank (for a file whose scores are log
+probabilities, weigh=math.exp). Expectation-maximisation over all training words (forward and backward recursions over all segmentations, each
+word with its count) re-estimates the pieces' weights, of which the file's weights stay a part as a prior worth PRIOR uses, how often a word ends
+after a piece, and the share of words that take the edge of the whole word. For that, a word's own occurrence is left out of its count, so that words seen
+once count as spelled ones and the share left for spelling is what new words need. All of this is one proper distribution over texts.
 
 Counts of all words are shuffled as a table that grows with the corpus. The FREQUENT most frequent words are sent to the tasks with their values
 (a bounded table); other words' occurrences are joined with it by word. Every row gives one row: rows of equal id and text share one calculation.
-A null text is an empty one: its only token is the end. Columns other than doc_id and text are not read. Without training tokens every
-probability is the spelling's under the vocabulary's own scores.
+A null text is an empty one: its only token is the end. An empty table gives no rows. Columns other than doc_id and text are not read. Without
+training tokens every word is spelled under the vocabulary's own scores.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 from itertools import chain, repeat
 
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.common import fold, slices, written
 
-FREQUENT, EM_ROUNDS, DISCOUNT, FLUSH = 120_000, 2, 0.6, 200_000
+#: LONG: letters above which a word is taken by itself, all edges of a length at once.
+FREQUENT, EM_ROUNDS, PRIOR, FLUSH, LONG = 120_000, 2, 1000.0, 200_000, 256
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _CODEPOINTS = 1_114_112
@@ -55,12 +60,14 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator
 
 @dataclass
 class Lattice:
-    """first, inner: natural log probabilities of pieces at a word's beginning and after it; stop: probability that a word ends after a piece."""
+    """first, inner: natural log probabilities of pieces at a word's beginning and after it; stop: probability that a word ends after a piece;
+    whole: that a word takes the edge of the whole word."""
 
     first: dict[str, float]
     inner: dict[str, float]
     stop: float = 0.4
     unknown: tuple[float, float] = (-14.0, -14.0)  # of a code point that is no piece
+    whole: float = 0.0
     table: tuple = field(default=None, repr=False)
     longest: int = field(init=False)  # code points of the longest piece
 
@@ -71,13 +78,13 @@ class Lattice:
         return {**self.__dict__, "table": None}
 
     @classmethod
-    def of(cls, pieces: list[tuple[str, float]]) -> "Lattice":
-        """pieces: text with the word mark as the file has it, and score; scores order the pieces, so a Zipf law over their ranks starts it."""
+    def of(cls, pieces: list[tuple[str, float]], weigh=lambda score: 1 / (10 - score)) -> "Lattice":
+        """pieces: text with the word mark as the file has it, and score; weigh: of a score, a weight."""
         first, inner = {}, {}
-        for rank, (piece, _) in enumerate(sorted(pieces, key=lambda x: -x[1])):
+        for piece, score in sorted(pieces, key=lambda x: -x[1]):
             to, text = (first, piece[1:]) if piece.startswith("▁") else (inner, piece)
             if text and "▁" not in text and not _BLANK.search(text) and text == text.translate(_LOWER):
-                to.setdefault(text, 1.0 / (rank + 10))
+                to.setdefault(text, weigh(score))
         for own, other in ((first, inner), (inner, first)):
             for text in [t for t in other if len(t) == 1]:
                 own.setdefault(text, 1e-5)
@@ -129,39 +136,97 @@ class Lattice:
                         alpha[r, end] = np.logaddexp(alpha[r, end], alpha[r, begin] + p + (go if begin else 0))
         return alpha, prefix
 
+    def _all_edges(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """begin, end, log probability (with going on after a piece) and table index of all edges of one long word, by end."""
+        prefix, h = [0], 0
+        for c in x.tolist():
+            h = (h * 0x100000001B3 + c + 1) & 0xFFFFFFFFFFFFFFFF
+            prefix.append(h)
+        keys, first, inner, _, marks = self._arrays()
+        prefix, parts = np.array(prefix, np.uint64), []
+        for n in range(1, min(self.longest, len(x)) + 1):
+            h = _finish(prefix[n:] - prefix[:-n] * _power(n), n)
+            begin = np.flatnonzero(marks[h & _MARKS])
+            i = np.minimum(np.searchsorted(keys, h[begin]), len(keys) - 1)
+            p = np.where(begin > 0, inner[i], first[i])
+            hit = (keys[i] == h[begin]) & (p > -np.inf)
+            begin, i, p = begin[hit], i[hit], p[hit]
+            if n == 1:
+                every = np.where(np.arange(len(x)) > 0, self.unknown[1], self.unknown[0]) - np.log(_CODEPOINTS)
+                number, better = np.full(len(x), -1), p >= every[begin]
+                every[begin[better]], number[begin[better]] = p[better], i[better]
+                begin, i, p = np.arange(len(x)), number, every
+            parts.append((begin, begin + n, p + np.where(begin > 0, np.log1p(-self.stop), 0.0), i))
+        begin, end, p, i = map(np.concatenate, zip(*parts))
+        order = np.argsort(end, kind="stable")
+        return begin[order], end[order], p[order], i[order]
+
     def log_probability(self, texts: list[str]) -> np.ndarray:
         """Natural log of each word's marginal spelling probability."""
         out = np.zeros(len(texts))
         for at, x in _by_length(texts):
-            out[at] = self.forward(x)[0][:, -1] + np.log(self.stop)
+            if x.shape[1] > LONG:
+                for k, one in zip(at, x):
+                    out[k] = _recursion(*self._all_edges(one)[:3], len(one))[-1] + np.log(self.stop)
+            else:
+                out[at] = self.forward(x)[0][:, -1] + np.log(self.stop)
         return out
 
-    def expectations(self, texts: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
-        """Expected uses of each table entry at the beginning and after it; expected pieces, words, and unknown code points in either place."""
-        keys = self._arrays()[0]
-        first, inner = np.zeros(len(keys)), np.zeros(len(keys))
-        used, unknown, go = 0.0, [0.0, 0.0], np.log1p(-self.stop)
+    def expectations(self, texts: list[str], count: np.ndarray, total: float) -> np.ndarray:
+        """Expected uses of each table entry at the beginning of a word, of each after it; then of pieces, spelled words, unknown code points in
+        either place, and whole-word edges, for words with their counts among total words."""
+        size = len(self._arrays()[0])
+        uses, rest = np.zeros(2 * size), np.zeros(5)
+
+        def spelled(at: np.ndarray, log: np.ndarray) -> np.ndarray:
+            """How many of the words' occurrences are spelled, with each occurrence itself left out of its count."""
+            whole = self.whole * (count[at] - 1) / max(1.0, total - 1)
+            left = count[at] * (1 - whole / np.maximum(whole + (1 - self.whole) * np.exp(log + np.log(self.stop)), 1e-300))
+            rest[1] += left.sum()
+            rest[4] += (count[at] - left).sum()
+            return left
+
+        def add(begin: np.ndarray, number: np.ndarray, share: np.ndarray) -> None:
+            share = np.where(np.isfinite(share), share, 0)
+            known, inner = number >= 0, (begin > 0).astype(np.int64)
+            np.add.at(uses, (number + size * inner)[known], share[known])
+            rest[0] += share.sum()
+            np.add.at(rest, 2 + inner[~known], share[~known])
+
         for at, x in _by_length(texts):
-            alpha, prefix = self.forward(x)
             n, length = x.shape
+            if length > LONG:
+                for k, one in zip(at, x):
+                    begin, end, p, number = self._all_edges(one)
+                    alpha = _recursion(begin, end, p, length)
+                    back = np.argsort(-begin, kind="stable")
+                    beta = _recursion((length - end)[back], (length - begin)[back], p[back], length)[::-1]
+                    weight = spelled(np.array([k]), alpha[-1:])
+                    add(begin, number, weight * np.exp(np.minimum(0, alpha[begin] + p + beta[end] - alpha[-1])))
+                continue
+            alpha, prefix = self.forward(x)
+            weight, go = spelled(at, alpha[:, -1]), np.log1p(-self.stop)
             beta = np.full((n, length + 1), -np.inf)
             beta[:, length] = 0
             with np.errstate(invalid="ignore"):
                 for begin in range(length - 1, -1, -1):
                     for end in range(begin + 1, min(length, begin + self.longest) + 1):
                         r, p, i = self._edges(x, begin, end, prefix)
-                        if not len(r):
-                            continue
-                        step = p + beta[r, end] + (go if begin else 0)
-                        beta[r, begin] = np.logaddexp(beta[r, begin], step)
-                        share = weight[at[r]] * np.exp(np.minimum(0, alpha[r, begin] + step - alpha[r, length]))
-                        share = np.where(np.isfinite(share), share, 0)
-                        used += share.sum()
-                        known = i >= 0
-                        place = inner if begin else first
-                        place += np.bincount(i[known], share[known], len(keys))
-                        unknown[begin > 0] += share[~known].sum()
-        return first, inner, used, float(weight.sum()), unknown[0], unknown[1]
+                        if len(r):
+                            step = p + beta[r, end] + (go if begin else 0)
+                            beta[r, begin] = np.logaddexp(beta[r, begin], step)
+                            add(np.full(len(r), begin), i, weight[r] * np.exp(np.minimum(0, alpha[r, begin] + step - alpha[r, length])))
+        return np.concatenate([uses, rest])
+
+
+def _recursion(begin: np.ndarray, end: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
+    """The log-space forward recursion of one word over its edges in the order of their ends."""
+    alpha = [0.0] + [-math.inf] * length
+    for b, e, q in zip(begin.tolist(), end.tolist(), p.tolist()):
+        q += alpha[b]
+        a = alpha[e]
+        alpha[e] = q + math.log1p(math.exp(a - q)) if q > a else a + math.log1p(math.exp(q - a)) if a > -math.inf else a
+    return np.array(alpha)
 
 
 _BASE = np.uint64(0x100000001B3)
@@ -233,55 +298,59 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def trained(lattice: Lattice, counts: DataFrame, rounds: int = EM_ROUNDS) -> Lattice:
-    """The lattice after rounds of EM over all training words; each task adds up its expectations, the driver gets one sum for each piece."""
+def trained(lattice: Lattice, counts: DataFrame, total: int, rounds: int = EM_ROUNDS, prior: float = PRIOR) -> Lattice:
+    """The lattice after rounds of EM over all of the total training words; each task adds up its expectations, the driver gets one sum for each piece."""
+    if not total:
+        return lattice
+    given, lattice = lattice, replace(lattice, whole=0.5)
     for _ in range(rounds):
         names = lattice._arrays()[3]
         size = len(names)
 
         def run(batches: Iterator[pa.RecordBatch], lattice: Lattice = lattice, size: int = size) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * size + 4)
+            sums = np.zeros(2 * size + 5)
             for part in gathered(batches):
-                first, inner, used, n, u0, u1 = lattice.expectations(part.column("word").to_pylist(), np.ones(part.num_rows))
-                total += np.concatenate([first, inner, [used, n, u0, u1]])
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "v"])
-
-        got = counts.where("c > 0").select("word").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-        total = np.zeros(2 * size + 4)
-        total[got["k"].to_numpy(int)] = got["v"].to_numpy()
-        used, n, u0, u1 = total[-4:]
-        if not n:
-            return lattice
-        # a little mass for pieces without a use keeps every spelling possible
-        first = {t: total[i] + 0.01 for i, t in enumerate(names) if t in lattice.first or total[i] > 0}
-        inner = {t: total[size + i] + 0.01 for i, t in enumerate(names) if t in lattice.inner or total[size + i] > 0}
+                sums += lattice.expectations(part.column("word").to_pylist(), np.asarray(part.column("c")).astype(float), total)
+            k = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[k])], ["k", "v"])
+
+        got = counts.where("c > 0").select("word", "c").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        sums = np.zeros(2 * size + 5)
+        sums[got["k"].to_numpy(int)] = got["v"].to_numpy()
+        used, spelled, u0, u1, whole = sums[-5:]
+        # the file's weights are worth prior uses; a little more keeps every spelling possible
+        first = {t: sums[i] + prior * math.exp(given.first.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.first}
+        inner = {t: sums[size + i] + prior * math.exp(given.inner.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.inner}
         a, b = sum(first.values()) + u0 + 1, sum(inner.values()) + u1 + 1
-        lattice = Lattice({t: float(np.log(v / a)) for t, v in first.items()}, {t: float(np.log(v / b)) for t, v in inner.items()}, float(np.clip(n / used, 0.05, 0.95)), (float(np.log((u0 + 1) / a)), float(np.log((u1 + 1) / b))))
+        log = lambda of, all_: {t: math.log(v / all_) for t, v in of.items()}
+        stop = float(np.clip((spelled + 1) / (used + 2), 0.05, 0.95))
+        lattice = Lattice(log(first, a), log(inner, b), stop, (math.log((u0 + 1) / a), math.log((u1 + 1) / b)), float(min(whole / total, 1 - 1e-6)))
     return lattice
 
 
-def valued(counts: DataFrame, lattice: Lattice, total: int, distinct: int, ends: int) -> DataFrame:
+def valued(counts: DataFrame, lattice: Lattice, tokens: int, distinct: int, ends: int) -> DataFrame:
     """word, n, known, base, score: log10 of the word's probability under the base and the model."""
-    free = DISCOUNT * distinct / total if total else 1.0
+    total, goes_on = tokens - ends, math.log(1 - _end(tokens, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in gathered(batches):
             for at in range(0, whole.num_rows, 200_000):
                 part = whole.slice(at, 200_000)
                 c = np.asarray(part.column("c")).astype(float)
-                spelled = np.exp(lattice.log_probability(part.column("word").to_pylist()))
-                p = np.maximum(0, c - DISCOUNT) / max(1, total) + free * spelled
-                base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-                score = np.log10(np.maximum(p, 1e-300))
-                low = p < 1e-290  # long words: stay in logs
-                if low.any():
-                    score[low] = (np.log(free) + lattice.log_probability([part.column("word")[int(i)].as_py() for i in np.flatnonzero(low)])) / np.log(10)
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(score)], ["word", "n", "known", "base", "score"])
+                with np.errstate(divide="ignore"):
+                    edge = np.log(lattice.whole * c / max(1, total))
+                p = goes_on + np.logaddexp(edge, math.log1p(-lattice.whole) + lattice.log_probability(part.column("word").to_pylist()))
+                base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(p / math.log(10))], ["word", "n", "known", "base", "score"])
 
     return counts.mapInArrow(run, "word string, n long, known long, base double, score double")
 
 
+def _end(tokens: int, ends: int) -> float:
+    """Probability that a token is a text's end."""
+    return (ends + 0.5) / (tokens + 1)
+
+
 def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out (crc32 of the id modulo 5 is 1), n_tokens, n_known, train_tokens, base_score, score; held-out texts are not learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(5) == 1).alias("held_out"))
@@ -289,12 +358,11 @@ def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> D
     sums = counts.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = rows.where("not held_out").count()
     total, distinct = (sums["c"] or 0) + ends, sums["v"] + (ends > 0)
-    lattice = trained(Lattice.of(vocabulary(vocabulary_file)), counts)
+    lattice = trained(Lattice.of(vocabulary(vocabulary_file)), counts, total - ends)
     values = written(valued(counts, lattice, total, distinct, ends))
     top = values.orderBy(F.desc("n"), "word").limit(frequent).select("word", "known", "base", "score").toArrow()
     index = spark_broadcast(docs, (top.column("word").cast(pa.binary()).to_pylist(), *(np.asarray(top.column(c)) for c in ("known", "base", "score"))))
-    # the end is no spelled word: it keeps its count, or half a one where no text was learned from
-    end = (int(ends > 0), float(np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))), float(np.log10(max(ends - DISCOUNT, 0.5 * (ends == 0), 0.1) / max(1, total))))
+    end = (int(ends > 0), math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1))), math.log10(_end(total, ends)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row one without a word: its frequent words' sums and the end; one for each other word: its occurrences."""

@@ -101,23 +101,6 @@ def test_fingerprints(odd, nothing):
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
-def test_lm_score(odd, nothing):
-    got = lm_score.scored(odd, PIECES).collect()
-    assert len(got) == odd.count()
-    by = {r["doc_id"]: r for r in got}
-    assert by[1]["n_tokens"] == 1 and all(r["score"] < 0 and np.isfinite(r["score"]) for r in got)
-    for r in odd.collect():
-        assert by[r["doc_id"]]["n_tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1
-    assert lm_score.scored(nothing, PIECES).count() == 0
-
-
-def test_lattice_sums_all_segmentations():
-    lattice = lm_score.Lattice({"a": np.log(0.6), "ab": np.log(0.4)}, {"a": np.log(0.3), "b": np.log(0.5), "ba": np.log(0.2)}, 0.5)
-    # aba: a|b|a, ab|a, a|ba
-    want = 0.6 * 0.5 * 0.3 * 0.5**3 + 0.4 * 0.3 * 0.5**2 + 0.6 * 0.2 * 0.5**2
-    assert np.exp(lattice.log_probability(["aba"]))[0] == pytest.approx(want, rel=1e-3)
-
-
 def test_decontamination(odd, nothing, benchmark):
     got = decontaminate.contaminated(odd, benchmark).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(9, 1), (10, 1)}
@@ -206,22 +189,6 @@ def test_known_keys_begin_anywhere():
     assert cut(f"{key}/token=abcdefgh") == [f"{key}/", "abcdefgh"] and cut("hf_token=abcdefgh12345678") == ["abcdefgh12345678"]
 
 
-def test_lattice_holds_the_longest_pieces():
-    pieces = lm_score.vocabulary(PIECES)
-    lattice = lm_score.Lattice.of(pieces)
-    usable = {p.lstrip("▁") for p, _ in pieces if re.fullmatch("▁?[a-z]+", p)}
-    assert usable <= set(lattice.first) | set(lattice.inner) and lattice.longest == 16 and max(map(len, usable)) == 15
-    words = ["internationally", "misunderstandings", "telecommunications"]
-    for word, got in zip(words, lattice.log_probability(words)):
-        alpha = [1.0] + [0.0] * len(word)
-        for end in range(1, len(word) + 1):
-            for begin in range(end):
-                p = (lattice.inner if begin else lattice.first).get(word[begin:end])
-                unknown = np.exp(lattice.unknown[begin > 0]) / 1_114_112 if end == begin + 1 else 0.0
-                alpha[end] += alpha[begin] * max(0.0 if p is None else np.exp(p), unknown) * (1 - lattice.stop if begin else 1)
-        assert np.exp(got) == pytest.approx(alpha[-1] * lattice.stop, rel=1e-6)
-
-
 def test_masks_hit_every_accepted_substitution(spark):
     from itertools import combinations
     from math import ceil
