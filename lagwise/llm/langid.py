@@ -1,13 +1,16 @@
 """Language identification: expectation-maximisation of a mixture of languages for each document.
 
 For each language, counts of hashed three-byte grams (lower-case letters, words framed by blanks) from a bounded sample of labelled documents give
-gram likelihoods. For a document, EM estimates in what proportions the languages' grams make it up, from all languages at first; then the language
-whose removal costs the least log likelihood is removed, as long as that cost is below the penalty (a multiple of the logarithm of the number of
-grams). The prediction is the language of the largest proportion, score is that proportion.
-
-Texts that are null or have no letter are `und` with score 0. Languages are the non-null values of lang; rows with a null lang teach nothing.
-Without any labelled document all are `und`. A sample of at most PER_LANGUAGE documents of each language, chosen by a hash of id and text, is
-learned from. Every row gives one row; columns other than doc_id, text (and lang for learning) are not read.
+gram likelihoods. For a document, EM estimates in what proportions the languages' grams make it up, from all languages at first, until no proportion
+moves by TOLERANCE. Then the language whose removal costs the least log likelihood is removed, as long as that cost is below the penalty: PENALTY
+times the logarithm of the number of grams. (Half that logarithm is what the Bayesian information criterion asks for each proportion; grams overlap in
+two of their three bytes and come in repeated words, so that each counts for less than an independent observation, and the penalty is 12 times as
+large.) What is left is the document's set of languages; the prediction is that of the largest proportion, score is that proportion.
+
+Texts that are null or have no letter, and letters of which no gram can be made, are `und` with score 0 and no languages. Languages are the non-null
+values of lang; rows with a null lang teach nothing. Without any labelled document all are `und`. A sample of about PER_LANGUAGE documents of each
+language at most, chosen by a hash of id and text, is learned from. Every row gives one row; an empty table gives none; columns other than doc_id,
+text (and lang for learning) are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.common import fold, slices
 
-PER_LANGUAGE, CELLS, SMOOTHING, ROUNDS, PENALTY = 3000, 1 << 14, 0.1, 12, 6.0
+PER_LANGUAGE, CELLS, SMOOTHING, ROUNDS, TOLERANCE, PENALTY = 3000, 1 << 14, 0.1, 200, 1e-3, 6.0
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123], _LETTER[128:] = np.arange(97, 123), np.arange(128, 256)
 _LETTER[65:91] = np.arange(97, 123)
@@ -59,23 +62,30 @@ class Model:
         share, best = _em(p, n)
         penalty = PENALTY * np.log(n.sum() + 1)
         while len(chosen) > 1:
-            drop = int(np.argmin(share))
-            rest = np.delete(np.arange(len(chosen)), drop)
-            fewer, log = _em(p[chosen[rest]], n, share[rest])
-            if best - log > penalty:
+            least = None
+            for drop in np.argsort(share, kind="stable"):
+                rest = np.delete(np.arange(len(chosen)), drop)
+                fewer, log = _em(p[chosen[rest]], n, share[rest])
+                if least is None or log > least[2]:
+                    least = rest, fewer, log
+                if best - log < 1e-3:  # costs nothing: no other language can cost less
+                    break
+            if best - least[2] > penalty:
                 break
-            chosen, share, best = chosen[rest], fewer, log
+            chosen, share, best = chosen[least[0]], least[1], least[2]
         return chosen, share
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+        """The language, its proportion, the set of languages by falling proportion, their proportions."""
         if not self.languages or not text or not has_letter(text):
-            return "und", 0.0
+            return "und", 0.0, [], []
         cells, n = grams(text)
         if not len(cells):
-            return self.languages[0], 0.0
+            return "und", 0.0, [], []
         chosen, share = self.proportions(cells, n)
-        k = int(np.argmax(share))
-        return self.languages[chosen[k]], float(share[k])
+        order = np.argsort(-share, kind="stable")
+        names, shares = [self.languages[k] for k in chosen[order]], share[order].tolist()
+        return names[0], shares[0], names, shares
 
 
 def _em(p: np.ndarray, n: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -85,8 +95,9 @@ def _em(p: np.ndarray, n: np.ndarray, start: np.ndarray | None = None) -> tuple[
     share = np.full(len(p), 1 / len(p)) if start is None or start.sum() <= 0 else start / start.sum()
     total = n.sum()
     for _ in range(ROUNDS):
-        mix = share @ p
-        share = share * (p @ (n / mix)) / total
+        before, share = share, share * (p @ (n / (share @ p))) / total
+        if np.abs(share - before).max() < TOLERANCE:
+            break
     return share, float(n @ np.log(share @ p + 1e-300))
 
 
@@ -120,18 +131,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; needs doc_id, text, held_out."""
+    """doc_id, held_out, lang_pred, score, languages, shares; needs doc_id, text, held_out."""
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
+    types = [pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            got = [model.predict(t) for t in part["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["held_out"], pa.bool_()), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            got = list(zip(*map(model.predict, part["text"])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([part["doc_id"], part["held_out"], *got], types)], names)
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def identify_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 4 is 2), lang_pred, score for each document; held-out rows are not learned from."""
+    """doc_id, held_out (crc32 of the id modulo 4 is 2), lang_pred, score, and the languages found with their shares, for each document; held-out rows
+    are not learned from."""
     held = (fold(4) == 2).alias("held_out")
     model = fit(docs.where(fold(4) != 2).select("doc_id", "text", "lang"), per_language)
     return identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held), model)
