@@ -12,6 +12,7 @@ document of the last row is the first. Every row gives one row. Columns other th
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -93,35 +94,45 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names)
 
 
+def _range(value, cuts: list[int]):
+    """How many of the falling cuts are larger than value: among every STEPth first, then among those of one step."""
+    step = max(1, math.isqrt(len(cuts)))
+    larger = lambda xs: F.size(F.filter(xs, lambda c: c > value))
+    every = larger(F.array(*map(F.lit, cuts[step - 1 :: step])))
+    return every * step + larger(F.slice(F.array(*map(F.lit, cuts)), every * step + 1, F.lit(step)))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    The rows are dealt by ranges of the id, with ranges of about equal numbers of rows; the first row of the next range is a guest at the end of
-    each. Only the ranges' borders and first rows' keys reach the driver, so many as there are partitions. Texts are shuffled once."""
-    spark = docs.sparkSession
+    The rows are dealt by ranges of the id, with ranges of about equal numbers of rows; an id (or null) with more rows than a range is cut further by
+    the text's MD5. Range i lies in partition i, and the first row of the next range is a guest at the end of each. Only the ranges' borders and first
+    rows' keys reach the driver, so many as there are partitions. Texts are shuffled once. Equal rows of one id lie in one range, one after another."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = shuffle_parts(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    # bucket 0 has the largest ids; null ids go to the last one
-    bucket = F.lit(0)
-    if cuts:
-        ends = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(ends, lambda c: c > F.col("doc_id"))))
-    key = F.struct(F.col("doc_id").isNull().alias("a"), (-F.coalesce("doc_id", F.lit(0))).alias("b"), F.md5(F.col("text").cast("binary")).alias("c"))
-    dealt = rows.withColumn("bucket", bucket).withColumn("key", key)
-    firsts = sorted(dealt.groupBy("bucket").agg(F.min("key").alias("key")).collect())
+    parts = shuffle_parts(docs.sparkSession)
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()
+    many = rows.groupBy("doc_id").count().where(F.col("count") > max(1, found["n"] // parts)).collect()  # fewer than parts
+    cuts = sorted({*(found["q"] or []), *(r["doc_id"] for r in many if r["doc_id"] is not None)}, reverse=True)
+    # falling ids: the rows above all cuts come first, null ids last
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range(F.col("doc_id"), cuts) if cuts else F.lit(0))
+    key = F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("b"), F.md5(F.col("text").cast("binary")).alias("c"))
+    sub = F.lit(0)
+    for r in many:
+        size = min(256, -(-r["count"] * parts // found["n"]))
+        sub = F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long")), F.floor(F.conv(F.substring("key.c", 1, 4), 16, 10).cast("int") * size / 65536).cast("int") + 1).otherwise(sub)
+    dealt = rows.withColumn("key", key).withColumn("range", F.struct(place.cast("int").alias("p"), sub.cast("int").alias("s")))
+    firsts = sorted(dealt.groupBy("range").agg(F.min("key").alias("key")).collect())
     if not firsts:
-        return dealt.select("bucket", F.lit(False).alias("guest"), "doc_id", "text").mapInArrow(_rows, _RESULT)
-    heads = F.map_from_arrays(F.array(*[F.lit(r["bucket"]) for r in firsts]), F.array(*[F.lit(r["key"]["c"]) for r in firsts]))
-    before = {r["bucket"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}  # where the first row of each is a guest
-    goes = F.map_from_arrays(F.array(*[F.lit(b) for b in before]), F.array(*[F.lit(b) for b in before.values()]))
-    least = F.map_from_arrays(F.array(*[F.lit(r["bucket"]) for r in firsts]), F.array(*[F.lit(r["key"]["b"]) for r in firsts]))
-    head = (F.element_at(heads, F.col("bucket")) == F.col("key.c")) & (F.element_at(least, F.col("bucket")) == F.col("key.b"))
-    there = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")))
-    both = F.concat(there, F.array(F.struct(F.element_at(goes, F.col("bucket")).alias("bucket"), F.lit(True).alias("guest"))))
-    placed = dealt.select("doc_id", "text", "key", F.explode(F.when(head, both).otherwise(there)).alias("at")).select("at.bucket", "at.guest", "doc_id", "text", "key")
-    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "key").select("bucket", "guest", "doc_id", "text").mapInArrow(_rows, _RESULT)
+        return dealt.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text").mapInArrow(_rows, _RESULT)
+    # range, number, its first key, the number of the range before it, in which its first row is a guest
+    table = [(tuple(r["range"]), i, tuple(r["key"]), (i - 1) % len(firsts)) for i, r in enumerate(firsts)]
+    numbered = docs.sparkSession.createDataFrame(table, "range struct<p:int,s:int>, bucket int, first struct<a:boolean,b:long,c:string>, before int")
+    dealt = dealt.join(F.broadcast(numbered), "range")
+    there = F.array(F.struct("bucket", F.lit(False).alias("guest")))
+    both = F.concat(there, F.array(F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))))
+    placed = dealt.select("doc_id", "text", "key", F.explode(F.when(F.col("key") == F.col("first"), both).otherwise(there)).alias("at"))
+    placed = placed.select("at.bucket", "at.guest", "doc_id", "text", "key").repartitionById(len(firsts), F.col("bucket"))
+    return placed.sortWithinPartitions("bucket", "guest", "key").select("bucket", "guest", "doc_id", "text").mapInArrow(_rows, _RESULT)
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
