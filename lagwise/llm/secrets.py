@@ -7,13 +7,18 @@ bracket. The forest judges length, character transitions, coverage by dictionary
 labelled findings: a table (candidate, before, after, path, label), by default one that is generated by rule (keys of common forms with names that
 announce them; hashes, identifiers, placeholders, names and prose that don't).
 
-Null and empty texts have no findings. Findings are reported for every row, with code point positions. Columns other than doc_id, text and the path
-column are not read; a null path is an empty one.
+The dictionary is the corpus's own: the DICTIONARY runs of four or more letters that stand in the most documents, counted over all of them.
+Labelled findings are described with the same words.
+
+Null and empty texts have no findings. Findings are reported for every row, repeated ones too, with code point positions; an empty table gives none.
+Columns other than doc_id, text and the path column are not read; a null path is an empty one. Findings with a null label teach nothing, and where
+labels are all alike, or none, every candidate is reported with score 1.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +38,9 @@ KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|
 _KEY = re.compile(rf"(?<![A-Za-z0-9]){KNOWN.pattern[1:]}(?:[A-Za-z0-9+_.\-]|[=/](?!{KNOWN.pattern[1:]}))*+")
 FOR = ("token", "secret", "password", "passwd", "key", "auth", "credential", "bearer", "api", "private", "login", "access")
 AGAINST = ("commit", "sha", "md5", "hash", "checksum", "uuid", "id", "example", "sample", "test", "version", "digest", "revision", "build", "hex", "color", "integrity")
-DICTIONARY = (
-    "the and for that with this from have not are was but you all can had her one our out day get has him his how man new now old see two way who boy did its let put say she too use "
-    "that with have this will your from they know want been good much some time very when come here just like long make many more only over such take than them well were what work "
-    "user name file data path page test main list item value index table field class style image video local host server client config default number string object array build "
-    "version example sample package module library function account service project public private system update report message content section chapter"
-).split()
+#: Words of the corpus that make its dictionary; words that a task counts before it hands its counts on.
+DICTIONARY, FLUSH = 20_000, 200_000
+_LETTERS = re.compile(r"[a-z]{4,24}")
 TEST_PATH = re.compile(r"(?i)test|spec|example|sample|docs?/|mock|fixture|readme")
 NAMES = ["length", "digits", "upper", "lower", "signs", "transitions", "same", "entropy", "hex", "longest_letters", "dictionary", "known", "assigned", "for_before", "against_before", "near_words", "placeholder", "test_path", "depth", "dots"]
 
@@ -53,7 +55,8 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
             first += 1
         # begin, end, free: the parts of the run that lie beside assignments, and those that lie in their values
         parts, at = [], run.start()
-        for m in named[first:]:
+        for k in range(first, len(named)):
+            m = named[k]
             if m.start() >= run.end():
                 break
             parts += [(at, m.start(), True), (max(run.start(), m.start(1)), min(run.end(), m.end()), False)]
@@ -74,17 +77,49 @@ def _is_run(s: str) -> bool:
     return len(s) >= LEAST and sum(map(str.isdigit, s)) >= 2 and bool(re.search("[A-Za-z]", s))
 
 
-def features(s: str, before: str, after: str, path: str, assigned: bool) -> list[float]:
+def covered(s: str, dictionary: frozenset[str]) -> int:
+    """Letters of s that lie in dictionary words: from left to right, the longest word that begins at a letter, of at most 24 letters."""
+    n = 0
+    for run in re.findall("[a-z]{4,}", s.lower()):
+        at = 0
+        while at + 4 <= len(run):
+            end = next((e for e in range(min(len(run), at + 24), at + 3, -1) if run[at:e] in dictionary), 0)
+            n += max(0, end - at)
+            at = end or at + 1
+    return n
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
+    """The words of the most documents; ties by spelling. The driver gets size words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return got
+
+        for p in slices(batches):
+            for text in p["text"]:
+                counts.update(set(_LETTERS.findall((text or "").lower())))
+            if len(counts) > FLUSH:
+                yield out()
+        yield out()
+
+    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return frozenset(r["word"] for r in rows.collect())
+
+
+def features(s: str, before: str, after: str, path: str, assigned: bool, words_known: frozenset[str] = frozenset()) -> list[float]:
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
     n = max(1, len(s))
     share = np.unique(list(s) or [" "], return_counts=True)[1] / n
-    low = s.lower()
-    covered = sum(len(w) * low.count(w) for w in DICTIONARY if len(w) >= 4)
     words = re.findall(r"[a-z0-9]+", before.lower())[-6:]
     near = words[-3:]
     return [
         float(n), kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, kind.count("s") / n, sum(a != b for a, b in zip(kind, kind[1:])) / n, sum(a == b for a, b in zip(s, s[1:])) / n, float(-(share * np.log2(share)).sum()),
-        float(bool(re.fullmatch(r"(?:[0-9a-f]+|[0-9A-F]+)", s))), float(max(map(len, re.findall(r"[A-Za-z]+", s)), default=0)), min(1.0, covered / n), float(bool(KNOWN.match(s))), float(assigned or bool(re.search(r"[:=]\s{0,2}[\"']?$", before))),
+        float(bool(re.fullmatch(r"(?:[0-9a-f]+|[0-9A-F]+)", s))), float(max(map(len, re.findall(r"[A-Za-z]+", s)), default=0)), covered(s, words_known) / n, float(bool(KNOWN.match(s))), float(assigned or bool(re.search(r"[:=]\s{0,2}[\"']?$", before))),
         float(any(f in w for w in near for f in FOR)), float(any(w == f for w in near for f in AGAINST)), float(len(re.findall(r"[A-Za-z]{2,}", after[:24]))), float(bool(re.search(r"(?i)your|xxxx|example|changeme|placeholder|dummy|1234567|abcdef|<|\$\{", s))),
         float(bool(TEST_PATH.search(path))), float(path.count("/")), float(s.count(".")),
     ]
@@ -127,18 +162,18 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Random
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featuresCol="features", labelCol="label").fit(rows)
 
 
-def described(findings: DataFrame) -> DataFrame:
+def described(findings: DataFrame, words_known: frozenset[str] = frozenset()) -> DataFrame:
     """f and label of findings (candidate, before, after, path, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in slices(batches):
-            f = [features(c or "", b or "", a or "", q or "", False) for c, b, a, q in zip(p["candidate"], p["before"], p["after"], p["path"])]
+            f = [features(c or "", b or "", a or "", q or "", False, words_known) for c, b, a, q in zip(p["candidate"], p["before"], p["after"], p["path"])]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), pa.array(p["label"], pa.int32())], ["f", "label"])
 
     return findings.select("candidate", "before", "after", "path", F.col("label").cast("int").alias("label")).where("label is not null").mapInArrow(run, "f array<double>, label int")
 
 
-def found(docs: DataFrame, path: str = "source") -> DataFrame:
+def found(docs: DataFrame, path: str = "source", words_known: frozenset[str] = frozenset()) -> DataFrame:
     """doc_id, begin, end, secret, f: all candidates of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +181,7 @@ def found(docs: DataFrame, path: str = "source") -> DataFrame:
             out = []
             for doc, text, where in zip(p["doc_id"], p["text"], p["path"]):
                 for b, e, assigned in candidates(text or ""):
-                    out.append((doc, b, e, text[b:e], features(text[b:e], text[max(0, b - CONTEXT) : b], text[e : e + CONTEXT], where or "", assigned)))
+                    out.append((doc, b, e, text[b:e], features(text[b:e], text[max(0, b - CONTEXT) : b], text[e : e + CONTEXT], where or "", assigned, words_known)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], ["doc_id", "begin", "end", "secret", "f"])
 
@@ -160,8 +195,9 @@ def generated(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
     """doc_id, begin, end, secret_sha256, score, is_secret for each candidate of each row."""
-    model = train(written(described(generated(docs.sparkSession) if findings is None else findings)))
-    rows = found(docs, path)
+    known = dictionary(docs)
+    model = train(written(described(generated(docs.sparkSession) if findings is None else findings, known)))
+    rows = found(docs, path, known)
     if model is None:
         judged = rows.withColumn("score", F.lit(1.0))
     else:

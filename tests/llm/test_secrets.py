@@ -1,0 +1,44 @@
+"""Secrets planted in a whole table: precision, recall, the dictionary, and texts of very many candidates."""
+
+import re
+import time
+
+from lagwise.llm import secrets
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    planted = {(r["doc_id"], m.start(1), m.end(1)) for r in docs.select("doc_id", "text").collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+    got = secrets.scan(docs).collect()
+    found = {(r["doc_id"], r["begin"], r["end"]) for r in got if r["is_secret"]}
+    print("candidates", len(got), "planted", len(planted), "precision", len(planted & found) / len(found), "recall", len(planted & found) / len(planted))
+    assert len(planted & found) >= 0.95 * len(planted) and len(planted & found) >= 0.95 * len(found)
+
+
+def test_labelled_findings_that_were_not_learned_from(spark):
+    rows = spark.createDataFrame(secrets.labelled_findings(1500, seed=8), "candidate string, before string, after string, path string, label int")
+    model = secrets.train(secrets.described(secrets.generated(spark)))
+    judged = model.transform(secrets.described(rows).select(secrets.array_to_vector("f").alias("features"), "label")).groupBy("label", "prediction").count().collect()
+    n = {(r["label"], int(r["prediction"])): r["count"] for r in judged}
+    right, false, missed = n[1, 1], n.get((0, 1), 0), n.get((1, 0), 0)
+    print("precision", right / (right + false), "recall", right / (right + missed))
+    assert right / (right + false) > 0.9 and right / (right + missed) > 0.9
+
+
+def test_the_dictionary_is_the_corpus_s(spark):
+    rows = [("Alpha beta gamma",), ("alpha BETA x",), ("alpha",), (None,), ("",)] * 2 + [("once",)]
+    assert secrets.dictionary(spark.createDataFrame(rows, "text string").coalesce(1), 2) == {"alpha", "beta"}
+    known = frozenset({"alpha", "alphabet", "beta"})
+    assert secrets.covered("alphabetbeta_x9alphaq", known) == 8 + 4 + 5 and secrets.covered("f0ddae3b09ae356c", known) == 0 and secrets.covered("", known) == 0
+
+
+def test_time_grows_with_the_candidates():
+    took = []
+    for n in (2000, 16000):
+        text = "".join(f"token=abcdefgh{i} run{i}xabcdefghijklmnop12 " for i in range(n))
+        began = time.time()
+        assert len(secrets.candidates(text)) == 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 16 * took[0] + 0.5
