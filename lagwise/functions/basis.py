@@ -119,21 +119,23 @@ def splinebasis(times: tuple[float, float], sfreq: float, n: int, name: str = "s
     return SplineTime(sfreq, name, first, "splineTerm", first, last, n)
 
 
-def hrf_kernel(fraction: float, tr: float, duration: float | None = None, p=(6, 16, 1, 1, 6, 0, 32)) -> np.ndarray:
-    """Difference of two gamma densities on a grid of 32 steps a sample, convolved with the event's box, at each whole sample."""
-    steps = 32
-    dt = tr / steps
-    u = np.arange(0, math.ceil(p[6] / dt) + 1) - p[5] / dt
+STEPS = 32  # of a sample, on the grid of the haemodynamic kernel
+
+
+def hrf_kernel(phase: int, tr: float, duration: float | None = None, p=(6, 16, 1, 1, 6, 0, 32)) -> np.ndarray:
+    """Difference of two gamma densities on a grid of STEPS steps a sample, convolved with a box as long as the event that begins phase steps after the
+    first sample, at each whole sample up to the kernel's and the event's length. phase: (1 - fraction of the latency) in steps."""
+    dt = tr / STEPS
+    d = duration if duration and duration > 0 else 1 / STEPS
+    u = np.arange(0, math.ceil((p[6] + d) / dt) + 1) - p[5] / dt
 
     def gamma(shape: float, scale: float) -> np.ndarray:
         x = np.maximum(u, 1e-300)
         return np.where(u > 0, np.exp((shape - 1) * np.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale)), 0.0)
 
     h = gamma(p[0] / p[2], p[2] / dt) - gamma(p[1] / p[3], p[3] / dt) / p[4]
-    h = h / h.sum()
-    d = duration if duration and duration > 0 else 1 / steps
-    box = np.concatenate([np.zeros(round((1 - fraction) * steps)), np.ones(math.ceil(d * steps))])
-    return np.convolve(h, box)[::steps]
+    box = np.concatenate([np.zeros(phase), np.ones(math.ceil(d * STEPS))])
+    return np.convolve(h / h.sum(), box)[::STEPS][: math.floor(p[6] / tr + d) + 1]
 
 
 @dataclass(frozen=True)
@@ -144,15 +146,17 @@ class Hrf(Basis):
     colnames = (0.0,)
 
     def _kernel(self, events: DataFrame, fraction: Column, duration: Column | None) -> DataFrame:
+        """A kernel is made once for each of the 33 phases and each duration that occur, and joined to the events."""
         tr, p = 1 / self.sfreq, self.parameters
 
         @F.pandas_udf("array<double>")
-        def weights(f: pd.Series, d: pd.Series) -> pd.Series:
-            return pd.Series([hrf_kernel(a, tr, b, p).tolist() for a, b in zip(f, d)])
+        def weights(phase: pd.Series, d: pd.Series) -> pd.Series:
+            return pd.Series([hrf_kernel(int(a), tr, b, p).tolist() for a, b in zip(phase, d)])
 
-        d = duration if duration is not None else F.lit(0.0)
-        out = events.withColumn("_w", weights(fraction.cast("double"), d.cast("double")))
-        return out.select(*events.columns, F.posexplode("_w").alias("k", "w")).withColumn("k", F.col("k").cast("long")).withColumn("col", F.lit(0))
+        d = F.coalesce(duration.cast("double"), F.lit(0.0)) if duration is not None else F.lit(0.0)
+        placed = events.withColumn("_phase", F.rint((1 - fraction) * STEPS).cast("int")).withColumn("_d", d)
+        kernels = placed.select("_phase", "_d").distinct().select("_phase", "_d", F.posexplode(weights("_phase", "_d")).alias("k", "w"))
+        return placed.join(kernels, ["_phase", "_d"]).select(*events.columns, F.col("k").cast("long").alias("k"), "w", F.lit(0).alias("col"))
 
 
 def hrfbasis(tr: float, parameters=(6, 16, 1, 1, 6, 0, 32), name: str = "") -> Hrf:

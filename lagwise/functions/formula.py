@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from lagwise.functions.splines import Spline
 from lagwise.operators.events import require_complete
 
+#: Levels of a categorical predictor, each of which is a column of the design.
+MOST_LEVELS = 1000
 FUNCTIONS = {"log": F.log, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "sin": F.sin, "cos": F.cos}
 
 
@@ -124,6 +126,10 @@ class Schema:
         named = [a for a in atoms if isinstance(a, str)]
         categorical = [a for a in named if isinstance(types[a], (T.StringType, T.BooleanType)) or a in (contrasts or {})]
         splines = [a for a in atoms if isinstance(a, Spline) and not a.circular]
+        if categorical:
+            n = events.agg(*[F.approx_count_distinct(a).alias(a) for a in categorical]).first()
+            if wide := {a: n[a] for a in categorical if n[a] > MOST_LEVELS}:
+                raise ValueError(f"categorical predictors of more than {MOST_LEVELS} levels: {wide}")
         aggs = [F.sort_array(F.collect_set(a)).alias(f"l_{a}") for a in categorical] + [F.percentile(F.col(s.var).cast("double"), s.quantiles()).alias(f"b_{i}") for i, s in enumerate(splines)]
         row = events.agg(*aggs).first() if aggs else {}
         return cls(formula, {a: list(row[f"l_{a}"]) for a in categorical}, {a: (contrasts or {}).get(a, "dummy") for a in categorical}, {f"{s.var},{s.df}": list(row[f"b_{i}"]) for i, s in enumerate(splines)})

@@ -45,7 +45,7 @@ def entries(design, events: DataFrame, contrasts: dict | None = None, column: st
 
 def time_expand(entry: Entry, events: DataFrame, latency: str = "latency", duration: str | None = None, column: str = "event") -> DataFrame:
     """sample, col_ix, x of one kind of event; equal cells of different events are added up by expanded_design."""
-    own = filter_events(events, entry.key, column)
+    own = filter_events(events, entry.key, column, check=False)
     extra = [latency, *([duration] if duration else [])]
     rows = entry.schema.design(own, extra)
     w = entry.basis.width
@@ -90,7 +90,7 @@ def gram_lagged(entry: Entry, events: DataFrame, samples: int, latency: str = "l
     """The same as gram for one plain FIR entry over samples 1..samples, by lag: pairs of events nearer than the width meet through buckets of that width,
     and are added up by lag; pairs whose common samples reach beyond the signal are counted cell by cell."""
     w, shift = entry.basis.width, entry.basis.shift
-    rows = entry.schema.design(filter_events(events, entry.key, column), [latency]).select("event_ix", "x", (F.floor(latency).cast("long") + shift).alias("r")).withColumn("b", F.floor(F.col("r") / w))
+    rows = entry.schema.design(filter_events(events, entry.key, column, check=False), [latency]).select("event_ix", "x", (F.floor(latency).cast("long") + shift).alias("r")).withColumn("b", F.floor(F.col("r") / w))
     near = rows.select(F.col("event_ix").alias("i2"), F.col("x").alias("x2"), F.col("r").alias("r2"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
     pairs = rows.join(near, "b").where(F.abs(F.col("r") - F.col("r2")) < w).withColumn("lag", (F.col("r") - F.col("r2")).cast("int"))
     # samples r+c (c of 0..w-1) in 1..samples: whole pairs share one range of c

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 ANY = object()
 
 
-def filter_events(events: DataFrame, key, column: str = "event") -> DataFrame:
-    """The events of one kind; ANY means all. A missing column or an empty choice is an error."""
+def filter_events(events: DataFrame, key, column: str = "event", check: bool = True) -> DataFrame:
+    """The events of one kind; ANY means all. A missing column is an error, and an empty choice too, where it is checked."""
     if key is ANY:
         return events
     if column not in events.columns:
         raise ValueError(f"events have no column {column!r}")
     out = events.where(F.col(column) == F.lit(key))
-    if out.isEmpty():
+    if check and out.isEmpty():
         raise ValueError(f"no event has {column} = {key!r}")
     return out
 
@@ -50,16 +50,13 @@ def _carried(rows: DataFrame, target: Column, latency: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([(r["_range"], b, a) for r, b, a in zip(got, before, after)], ends.schema)
 
 
-def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None = None, search: str = "closest", column: str = "event", group: str | None = None, latency: str = "latency") -> DataFrame:
-    """For each source event, writes its field into one target event's field `to`: the closest, the nearest at or before (backward), or at or after (forward).
+def _said(latency: str, field: str) -> Column:
+    """What a source says: its latency, number and value."""
+    return F.struct(F.col(latency).alias("l"), F.col("event_ix").alias("i"), F.col(field).alias("v")).alias("s")
 
-    Equally close targets: the earlier in event_ix. Where several sources choose one target, the last (by latency, then event_ix) wins. Targets that no
-    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series); without it they are ordered
-    in ranges of latency, and each range's last and first target is carried to the ranges beside it."""
-    if search not in ("closest", "backward", "forward"):
-        raise ValueError(f"search must be closest, backward or forward, not {search!r}")
-    to = to or field
-    keys = [group] if group else []
+
+def _nearest(events: DataFrame, keys: list[str], source, target, field: str, search: str, column: str, latency: str) -> DataFrame:
+    """keys, event_ix of the target of each source, s."""
     parts = Window.partitionBy(*keys) if keys else Window.partitionBy("_range")
     t = F.when(F.col(column) == F.lit(target), F.struct(F.col(latency).alias("lat"), F.col("event_ix").alias("ix")))
     back = parts.orderBy(latency, F.when(F.col(column) == F.lit(target), 0).otherwise(1), F.col("event_ix").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +70,36 @@ def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None
     db, df_ = F.col(latency) - F.col("b.lat"), F.col("f.lat") - F.col(latency)
     closest = F.when(F.col("b").isNull(), F.col("f.ix")).when(F.col("f").isNull(), F.col("b.ix")).when(db < df_, F.col("b.ix")).when(df_ < db, F.col("f.ix")).otherwise(F.least("b.ix", "f.ix"))
     chosen = {"closest": closest, "backward": F.col("b.ix"), "forward": F.col("f.ix")}[search]
-    picks = near.where(F.col(column) == F.lit(source)).select(*keys, chosen.alias("event_ix"), F.struct(F.col(latency).alias("l"), F.col("event_ix").alias("i"), F.col(field).alias("v")).alias("s")).where("event_ix is not null")
+    return near.where(F.col(column) == F.lit(source)).select(*keys, chosen.alias("event_ix"), _said(latency, field))
+
+
+def _chosen(events: DataFrame, keys: list[str], source, target, field: str, search, column: str, latency: str, within: float) -> DataFrame:
+    """The same by a function; sources and targets meet through ranges of latency as wide as `within`."""
+    bucket = lambda shift: (F.floor(F.col(latency) / F.lit(float(within))) + shift).cast("long")
+    sources = events.where(F.col(column) == F.lit(source)).select(*keys, F.explode(F.array(*map(bucket, (-1, 0, 1)))).alias("_bucket"), F.col(latency).alias("_lat"), _said(latency, field))
+    targets = events.where(F.col(column) == F.lit(target)).select(*keys, bucket(0).alias("_bucket"), F.struct(F.col(latency).alias("lat"), F.col("event_ix").alias("ix")).alias("t"))
+    near = sources.join(targets, [*keys, "_bucket"]).where(F.abs(F.col("t.lat") - F.col("_lat")) <= F.lit(float(within)))
+    near = near.groupBy(*keys, "_lat", "s").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    at = search(F.col("_lat"), F.transform("ts", lambda t: t["lat"]))
+    return near.select(*keys, F.get("ts", F.when(at >= 0, at).cast("int"))["ix"].alias("event_ix"), "s")
+
+
+def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None = None, search="closest", column: str = "event", group: str | None = None, latency: str = "latency", within: float | None = None) -> DataFrame:
+    """For each source event, writes its field into one target event's field `to`: the closest, the nearest at or before (backward), or at or after (forward),
+    or the one that a function chooses: search(latency, latencies) gets the source's latency and the array of the targets' latencies at most `within` away,
+    in order, as columns, and gives the number (from 0) of one of them, or null.
+
+    Equally close targets: the earlier in event_ix. Where several sources choose one target, the last (by latency, then event_ix) wins. Targets that no
+    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series); without it they are ordered
+    in ranges of latency, and each range's last and first target is carried to the ranges beside it."""
+    if callable(search) != (within is not None):
+        raise ValueError("a function that chooses needs `within`, and only such a one")
+    if not callable(search) and search not in ("closest", "backward", "forward"):
+        raise ValueError(f"search must be closest, backward or forward, not {search!r}")
+    to = to or field
+    keys = [group] if group else []
+    choose = _chosen(events, keys, source, target, field, search, column, latency, within) if callable(search) else _nearest(events, keys, source, target, field, search, column, latency)
+    picks = choose.where("event_ix is not null")
     won = picks.groupBy(*keys, "event_ix").agg(F.max_by("s", F.struct("s.l", "s.i")).alias("s")).select(*keys, "event_ix", F.col("s.v").alias("_new"), F.lit(True).alias("_hit"))
     old = F.col(to) if to in events.columns else F.lit(None)
     return events.join(won, [*keys, "event_ix"], "left").withColumn(to, F.when(F.col("_hit"), F.col("_new")).otherwise(old)).select(*events.columns, *([] if to in events.columns else [to]))

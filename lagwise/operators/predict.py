@@ -14,6 +14,10 @@ from lagwise.operators.events import ANY, filter_events
 from lagwise.operators.solve import Model
 
 
+#: Coefficients (columns times channels) that are broadcast.
+MOST_COEFFICIENTS = 1_000_000
+
+
 def _mean(model: Model) -> DataFrame:
     """Coefficients, averaged over folds where there are any; a few rows for each column of the design."""
     return model.coefs.groupBy("channel", "time_ix", "time", "col_ix", "coef_ix", "basis_ix").agg(F.avg("estimate").alias("b"))
@@ -32,20 +36,35 @@ def predict(model: Model, events: DataFrame | None = None, overlap: bool | None
         return _alone_univariate(model, own)
     if not overlap:
         return _alone(model, own)
+    if unknown := {*(keep or []), *(exclude or [])} - set(model.eventnames):
+        raise ValueError(f"the model has no events {sorted(unknown)}; it has {model.eventnames}")
     chosen = [e for e in model.entries if (not keep or e.event in keep) and (not exclude or e.event not in exclude)]
     if (keep or exclude) and len(model.entries) < 2:
         raise ValueError("only a model of several events has some to choose")
+    if not chosen:
+        raise ValueError("all of the model's events are excluded")
     x = reduce(DataFrame.unionByName, [time_expand(e, own, model.latency, model.duration, model.column) for e in chosen])
     beta = _mean(model).select("channel", "col_ix", "b")
-    yhat = x.join(F.broadcast(beta), "col_ix").groupBy("channel", "sample").agg(F.sum(F.col("x") * F.col("b")).alias("yhat"))  # beta: at most MOST_COLUMNS a channel
+    yhat = x.join(_small(beta, model), "col_ix").groupBy("channel", "sample").agg(F.sum(F.col("x") * F.col("b")).alias("yhat"))
     if epoch_to is None:
         return yhat
+    return _cut(model, yhat, own, epoch_to, window)
+
+
+def _small(beta: DataFrame, model: Model) -> DataFrame:
+    """Coefficients as a broadcast where the model is known to have at most MOST_COEFFICIENTS of them, else as they are."""
+    return F.broadcast(beta) if 0 < model.info.get("columns", 0) * model.info.get("channels", 0) <= MOST_COEFFICIENTS else beta
+
+
+def _cut(model: Model, signal: DataFrame, events: DataFrame, epoch_to, window: tuple[float, float] | None) -> DataFrame:
+    """channel, sample and a value, cut around events of one kind or more; the window is the kind's kernel's where none is given."""
     kinds = epoch_to if isinstance(epoch_to, (list, tuple)) else [epoch_to]
-    around = own if epoch_to is ANY else own.where(F.col(model.column).isin(*kinds))
+    around = events if epoch_to is ANY else events.where(F.col(model.column).isin(*kinds))
     basis = next(e.basis for e in model.entries if e.event in map(str, kinds) or epoch_to is ANY)
     window = window or (basis.times[0], basis.times[-1])
-    out = epoch(yhat.withColumnRenamed("yhat", "y"), around.withColumn(model.latency, F.floor(model.latency)), window, basis.sfreq, model.latency)
-    return out.withColumnRenamed("y", "yhat")
+    value = next(c for c in signal.columns if c not in ("channel", "sample"))
+    out = epoch(signal.withColumnRenamed(value, "y"), around.withColumn(model.latency, F.floor(model.latency)), window, basis.sfreq, model.latency)
+    return out.withColumnRenamed("y", value)
 
 
 def _alone_univariate(model: Model, events: DataFrame) -> DataFrame:
@@ -53,7 +72,7 @@ def _alone_univariate(model: Model, events: DataFrame) -> DataFrame:
     for e in model.entries:
         k = len(e.schema.names())
         b = beta.where(F.col("col_ix").between(e.offset, e.offset + k - 1)).groupBy("channel", "time_ix", "time").agg(F.array_sort(F.collect_list(F.struct("coef_ix", "b"))).alias("b"))
-        x = e.schema.design(filter_events(events, e.key, model.column))
+        x = e.schema.design(filter_events(events, e.key, model.column, check=False))
         yhat = F.aggregate(F.zip_with("x", "b", lambda v, c: v * c["b"]), F.lit(0.0), lambda s, v: s + v)
         parts.append(x.join(F.broadcast(b)).select("event_ix", F.lit(e.event).alias("eventname"), "channel", "time_ix", "time", yhat.alias("yhat")))  # a row for each channel and time
     return reduce(DataFrame.unionByName, parts)
@@ -63,7 +82,7 @@ def _alone(model: Model, events: DataFrame) -> DataFrame:
     """Each event placed so that its window begins at sample 1; events of narrower kernels have no rows beyond them; null where a spline is out of range."""
     parts, beta = [], _mean(model).select("channel", "col_ix", "b")
     for e in model.entries:
-        own = filter_events(events, e.key, model.column).withColumn(model.latency, F.lit(float(1 - e.basis.shift)))
+        own = filter_events(events, e.key, model.column, check=False).withColumn(model.latency, F.lit(float(1 - e.basis.shift)))
         out = e.schema.design(own).where("x is null").select("event_ix")
         fs = F.lit(float(e.basis.sfreq))
         cells = time_expand(e, own, model.latency, model.duration, model.column).join(F.broadcast(beta), "col_ix")
@@ -81,8 +100,13 @@ def predicttable(model: Model, events: DataFrame | None = None) -> DataFrame:
     return own.drop(model.latency).join(predict(model, own, overlap=False), "event_ix")
 
 
-def residuals(model: Model, data: DataFrame) -> DataFrame:
-    """data with residual: y less the fitted value; samples that no event reaches keep y."""
+def residuals(model: Model, data: DataFrame, epoch_to=None, window: tuple[float, float] | None = None) -> DataFrame:
+    """data with residual: y less the fitted value; samples that no event reaches keep y. With epoch_to, a deconvolution's residuals are cut around the
+    model's events of that kind: channel, event_ix, time_ix, time, residual, null beyond the signal."""
+    if epoch_to is not None:
+        if model.kind != "deconvolution":
+            raise ValueError("the residuals of a mass-univariate model are epochs already")
+        return _cut(model, residuals(model, data).select("channel", "sample", "residual"), model.events, epoch_to, window)
     if model.kind == "deconvolution":
         return data.join(predict(model), ["channel", "sample"], "left").withColumn("residual", F.col("y") - F.coalesce("yhat", F.lit(0.0))).drop("yhat")
     return data.join(predict(model).select("event_ix", "channel", "time_ix", "yhat"), ["event_ix", "channel", "time_ix"]).withColumn("residual", F.col("y") - F.col("yhat")).drop("yhat")
@@ -122,7 +146,7 @@ def effects(given: dict[str, list], model: Model, typical: str | Callable = "mea
     beta = _mean(model)
     for e in model.entries:
         cols = e.schema.columns()
-        own = filter_events(model.events, e.key, model.column)
+        own = filter_events(model.events, e.key, model.column, check=False)
         atoms = _factors(e.schema)
         mixed = [[f for f in parts_ if not f[0] & set(given)] for parts_ in atoms]
         names, aggs = [], []

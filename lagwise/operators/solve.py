@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +18,24 @@ from lagwise.operators.design import Entry, cross, entries, expanded_design, gra
 from lagwise.operators.epochs import drop_missing_epochs
 from lagwise.operators.events import ANY, filter_events
 
-#: Columns of a design whose cross product is solved on the driver: 5,000 make 200 MB.
+#: Columns of a design whose cross product is solved on the driver: 5,000 make 200 MB. Wider designs are solved in rounds over the samples.
 MOST_COLUMNS = 5000
+#: Rounds of the iterative solver, and the share of X'y that may be left in X'(y - Xb).
+ROUNDS, LEFT = 2000, 1e-10
 #: Events of one channel and time that a robust fit takes into one task; more are fitted in rounds of partial sums.
 MOST_ROWS = 100_000
 
 
 def solve(g: np.ndarray, r: np.ndarray, solver="default") -> np.ndarray:
-    """Least squares from the cross products; falls back to the minimum-norm solution where g is singular. A callable gets (g, r)."""
+    """Least squares from the cross products; the default is cholesky, with the minimum-norm solution where g is singular; intern is numpy's general
+    solver. A callable gets (g, r). lsmr works on the design instead: see iterated."""
     if callable(solver):
         return solver(g, r)
     scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1))
     s = g * scale[:, None] * scale[None, :]
-    if solver in ("default", "cholesky", "intern", "lsmr"):
+    if solver == "intern":
+        return np.linalg.solve(g, r)
+    if solver in ("default", "cholesky"):
         try:
             c = np.linalg.cholesky(s)
             if np.diag(c).min() > 1e-6:
@@ -127,14 +133,17 @@ class Model:
 _COEFS = "channel int, time_ix int, time double, col_ix int, event string, coefname string, coef_ix int, basis_ix int, basis_time double, label string, fold int, estimate double, stderror double"
 
 
-def fit(design, events: DataFrame, data: DataFrame, *, solver="default", stderror: bool = False, contrasts: dict | None = None, latency: str = "latency", duration: str | None = None, column: str = "event") -> Model:
-    """A basis in each pair of the design makes a deconvolution of a signal (channel, sample, y); times make a mass-univariate fit of epochs."""
+def fit(design, events: DataFrame, data: DataFrame, *, solver="default", stderror: bool = False, contrasts: dict | None = None, latency: str = "latency", duration: str | None = None, column: str = "event", design_only: bool = False) -> Model:
+    """A basis in each pair of the design makes a deconvolution of a signal (channel, sample, y); times make a mass-univariate fit of epochs.
+    design_only: a model without coefficients, for its design."""
     if isinstance(design, tuple) and isinstance(design[0], str):
         design = [(ANY, design)]
     kinds = {isinstance(how, Basis) for _, (_, how) in (design.items() if isinstance(design, dict) else design)}
     if len(kinds) != 1:
         raise ValueError("a design has bases or times, not both")
     all_ = entries(design, events, contrasts, column)
+    if design_only:
+        return Model("deconvolution" if kinds == {True} else "mass-univariate", all_, None, events, latency, duration, column)
     if kinds == {True}:
         if "sample" not in data.columns:
             raise ValueError("a deconvolution needs a continuous signal")
@@ -144,49 +153,136 @@ def fit(design, events: DataFrame, data: DataFrame, *, solver="default", stderro
     return _mass_univariate(all_, events, data, solver, stderror, latency, column)
 
 
-def normal_equations(x: DataFrame, signal: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """X'X, X'y (a column for each channel) and the channels, over the samples of the signal that no channel lacks."""
+def right_side(x: DataFrame, signal: DataFrame, p: int) -> tuple[np.ndarray, list[int]]:
+    """X'y (a column for each channel) and the channels."""
+    c = cross(x, signal).toPandas()
+    channels = sorted(r["channel"] for r in signal.select("channel").distinct().collect())
+    r = np.zeros((p, len(channels)))
+    r[c["col_ix"], c["channel"].map({k: i for i, k in enumerate(channels)})] = c["r"]
+    return r, channels
+
+
+def left_side(x: DataFrame, p: int) -> np.ndarray:
+    """X'X, of designs narrow enough for the driver."""
     if p > MOST_COLUMNS:
-        raise ValueError(f"{p} columns; {MOST_COLUMNS} can be solved on the driver")
-    x = x.join(valid_samples(signal), "sample", "left_semi")
+        raise ValueError(f"{p} columns; {MOST_COLUMNS} can be solved or inverted on the driver: use the solver lsmr, without standard errors")
     g = np.zeros((p, p))
     t = gram(x).toPandas()
     g[t["i"], t["j"]] = t["g"]
     g[t["j"], t["i"]] = t["g"]
-    c = cross(x, signal).toPandas()
-    channels = sorted(r["channel"] for r in signal.select("channel").distinct().collect())
-    r = np.zeros((p, len(channels)))
-    r[c["col_ix"], c["channel"].map({k: i for i, k in enumerate(channels)})] = c["r"]
-    return g, r, channels
+    return g
+
+
+def normal_equations(x: DataFrame, signal: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """X'X, X'y (a column for each channel) and the channels, over the samples of the signal that no channel lacks."""
+    x = x.join(valid_samples(signal), "sample", "left_semi")
+    return left_side(x, p), *right_side(x, signal, p)
+
+
+def iterated(x: DataFrame, r: np.ndarray, rounds: int = ROUNDS, left: float = LEFT) -> np.ndarray:
+    """Least squares without X'X, for all channels at once: conjugate residuals on X'Xb = X'y with columns scaled to length 1. In exact arithmetic these
+    are the iterates of LSMR: each makes X'(y - Xb) as small as the directions so far allow. A round is one pass over the samples, which are packed once
+    (sample, its columns and values); the driver holds vectors of p x channels. An error if the rounds are not enough.
+
+    x: sample, col_ix, value x; r: X'y."""
+    p, channels = r.shape
+    packed = x.groupBy("sample").agg(F.collect_list(F.struct(F.col("col_ix").alias("c"), F.col("x").alias("v"))).alias("cells"))
+    packed = packed.select(F.transform("cells", lambda e: e["c"]).alias("c"), F.transform("cells", lambda e: e["v"]).alias("v")).persist()
+    sc = x.sparkSession.sparkContext
+
+    def times(b: np.ndarray) -> np.ndarray:
+        """X'X b."""
+        sent = sc.broadcast(b)
+
+        def run(batches):
+            out = np.zeros((p, channels))
+            for batch in batches:
+                if batch.num_rows:
+                    cols, values = np.asarray(batch.column("c").flatten()), np.asarray(batch.column("v").flatten())
+                    sizes = np.diff(np.asarray(batch.column("c").offsets))
+                    fitted = np.add.reduceat(values[:, None] * sent.value[cols], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    np.add.at(out, cols, values[:, None] * np.repeat(fitted, sizes, axis=0))
+            k = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(out.ravel()[k])], ["k", "v"])
+
+        got = packed.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        sent.unpersist()
+        out = np.zeros(p * channels)
+        out[got["k"].to_numpy()] = got["v"].to_numpy()
+        return out.reshape(p, channels)
+
+    try:
+        squares = x.groupBy("col_ix").agg(F.sum(F.col("x") * F.col("x")).alias("s")).toPandas()
+        scale = np.zeros((p, 1))
+        scale[squares["col_ix"].to_numpy(), 0] = 1 / np.sqrt(squares["s"].to_numpy())
+        dot = lambda a, b: (a * b).sum(0)
+        res = scale * r
+        b, first = np.zeros_like(r), np.sqrt(dot(res, res))
+        d, a_res = res.copy(), scale * times(scale * res)
+        a_d, rho = a_res.copy(), dot(res, a_res)
+        for _ in range(rounds):
+            if (np.sqrt(dot(res, res)) <= left * first).all():
+                return scale * b
+            step = rho / np.maximum(dot(a_d, a_d), 1e-300)
+            b, res = b + step * d, res - step * a_d
+            a_res, old = scale * times(scale * res), rho
+            rho = dot(res, a_res)
+            d, a_d = res + rho / np.maximum(old, 1e-300) * d, a_res + rho / np.maximum(old, 1e-300) * a_d
+        raise RuntimeError(f"the solver did not converge in {rounds} rounds")
+    finally:
+        packed.unpersist()
+
+
+def solved(x: DataFrame, signal: DataFrame, p: int, solver="default", stderror: bool = False) -> tuple[np.ndarray, np.ndarray | None, list[int]]:
+    """Estimates (a column for each channel), X'X where it was needed, and the channels, for a design x: sample, col_ix, x. Wide designs are iterated."""
+    x = x.join(valid_samples(signal), "sample", "left_semi")
+    r, channels = right_side(x, signal, p)
+    if solver == "lsmr" or solver == "default" and p > MOST_COLUMNS:
+        return iterated(x, r), left_side(x, p) if stderror else None, channels
+    g = left_side(x, p)
+    return solve(g, r, solver), g, channels
+
+
+def fit_design(x: DataFrame, signal: DataFrame, names: list[str], solver="default") -> DataFrame:
+    """channel, col_ix, coefname, estimate of a design that is given: sample, col_ix (from 0), x, and its columns' names."""
+    b, _, channels = solved(x, signal, len(names), solver)
+    rows = [(int(ch), j, n, float(b[j, i])) for i, ch in enumerate(channels) for j, n in enumerate(names)]
+    return x.sparkSession.createDataFrame(rows, "channel int, col_ix int, coefname string, estimate double")
 
 
 def _deconvolution(all_, events, signal, solver, stderror, latency, duration, column) -> Model:
     p = all_[-1].offset + all_[-1].width
     model = Model("deconvolution", all_, None, events, latency, duration, column)
-    x = model.design_matrix()
-    g, r, channels = normal_equations(x, signal, p)
-    b = solve(g, r, solver)
-    se = np.full(b.shape, np.nan)
+    x = model.design_matrix().persist()
+    b, g, channels = solved(x, signal, p, solver, stderror)
+    x.unpersist()
     spark = events.sparkSession
-    rows = lambda se: [(int(ch), None, None, ix, e, n, k, c, None if t is None else float(t), label, None, float(b[ix, i]), None if np.isnan(se[ix, i]) else float(se[ix, i])) for i, ch in enumerate(channels) for ix, e, n, k, c, t, label in model.columns()]
-    model.coefs = spark.createDataFrame(rows(se), _COEFS)
+
+    def rows(se: np.ndarray | None) -> list[tuple]:
+        out = []
+        for i, ch in enumerate(channels):
+            for ix, e, n, k, c, t, label in model.columns():
+                out.append((int(ch), None, None, ix, e, n, k, c, None if t is None else float(t), label, None, float(b[ix, i]), None if se is None else float(se[ix, i])))
+        return out
+
+    model.info = {"solver": solver if isinstance(solver, str) else "custom", "columns": p, "channels": len(channels)}
+    model.coefs = spark.createDataFrame(rows(None), _COEFS)
     if stderror:
         from lagwise.operators.predict import residuals
 
-        var = {v["channel"]: v["v"] for v in residuals(model, signal).join(valid_samples(signal), "sample", "left_semi").groupBy("channel").agg(F.var_samp("residual").alias("v")).collect()}
-        d = np.diag(np.linalg.inv(g))
-        model.coefs = spark.createDataFrame(rows(np.sqrt(np.outer(d, [var[ch] for ch in channels]))), _COEFS)
-    model.info = {"solver": solver if isinstance(solver, str) else "custom", "columns": p}
+        left = residuals(model, signal).join(valid_samples(signal), "sample", "left_semi")
+        var = {v["channel"]: v["v"] for v in left.groupBy("channel").agg(F.var_samp("residual").alias("v")).collect()}
+        model.coefs = spark.createDataFrame(rows(np.sqrt(np.outer(np.diag(np.linalg.inv(g)), [var[ch] for ch in channels]))), _COEFS)
     return model
 
 
 def _sums(x: DataFrame, k: int) -> np.ndarray:
-    """X'X of the array column x, by one aggregation."""
-    row = x.agg(*[F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    """X'X of the array column x."""
+    first = x.select("x", F.posexplode("x").alias("i", "a"))
+    pairs = first.select("i", "a", F.posexplode(F.slice("x", F.col("i") + 1, F.lit(k))).alias("d", "b"))
     g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
+    for row in pairs.groupBy("i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("g")).collect():
+        g[row["i"], row["j"]] = g[row["j"], row["i"]] = row["g"]
     return g
 
 
@@ -242,7 +338,7 @@ def folds(events: DataFrame, k: int, shuffle: bool = False, seed: int = 0) -> Da
 
 def cross_validated(design, events: DataFrame, epochs: DataFrame, k: int = 5, shuffle: bool = True, seed: int = 0, fit_test: bool = False, **options) -> Model:
     """A mass-univariate model whose coefs have one estimate for each fold, from the other folds' events (or, with fit_test, from the fold's own)."""
-    fold = folds(events, k, shuffle, seed).cache()
+    fold = folds(events, k, shuffle, seed)
     parts, model = [], None
     for i in range(k):
         keep = fold.where(F.col("fold") == i if fit_test else F.col("fold") != i)

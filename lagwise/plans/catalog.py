@@ -62,7 +62,7 @@ def query(sql: str | None = None, plain: bool = False):
     def of(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql if plain else f"WITH {_CTE} {sql}"
+            ORACLE_SQL[f.__name__] = sql if plain else f"WITH RECURSIVE {_CTE} {sql}"
         return f
 
     return of
@@ -171,6 +171,16 @@ def effects_coding(spark, sf_dir):
     return _coded(spark, sf_dir, "0 ~ 1 + event", {"event": "effects"})
 
 
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, " + ", ".join(f"CAST(CASE WHEN event='{k}' THEN {i}.0 WHEN event IN ({', '.join(repr(x) for x in KINDS[:i])}) THEN -1.0 ELSE 0.0 END AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS) if i) + " FROM ev")
+def helmert_coding(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + event", {"event": "helmert"})
+
+
+@query("SELECT event_ix, CAST(1.0 AS DOUBLE) AS x0, CAST(CASE event WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 1.0 WHEN 'error' THEN -2.0 ELSE 0.0 END AS DOUBLE) AS x1 FROM ev")
+def own_coding(spark, sf_dir):
+    return _coded(spark, sf_dir, "0 ~ 1 + event", {"event": {"good": {"click": 0, "error": -2, "purchase": 1, "signup": 1, "view": 0}}})
+
+
 @query("SELECT event_ix, " + ", ".join(f"CAST({_IS[k]} AS DOUBLE) AS x{i}" for i, k in enumerate(KINDS)) + " FROM ev")
 def full_coding(spark, sf_dir):
     return _coded(spark, sf_dir, "0 ~ 0 + event")
@@ -216,17 +226,27 @@ def fir_block_duration(spark, sf_dir):
     return _long(dm.expanded_design([e], rows, duration="duration"))
 
 
-@query()
+@query(""", s AS (SELECT CAST(floor(latency) AS BIGINT) AS l, CAST(ceil(k % 5 + 1) AS BIGINT) AS d FROM ev WHERE event='purchase'), r AS (SELECT l, d, CAST(range AS BIGINT) AS row FROM s CROSS JOIN range(0, 5) WHERE range < d),
+a AS (SELECT l, row, greatest(0.0, least(4.0, (row + 0.5) * 5.0 / d - 0.5)) AS pos FROM r), w AS (SELECT l - 1 + row AS sample, CAST(floor(pos) AS INTEGER) AS col_ix, 1 - (pos - floor(pos)) AS w FROM a
+UNION ALL SELECT l - 1 + row, CAST(least(floor(pos) + 1, 4) AS INTEGER), pos - floor(pos) FROM a) SELECT sample, col_ix, round(sum(w), 6) AS x FROM w WHERE sample >= 1 AND w <> 0 GROUP BY 1, 2 HAVING sum(w) <> 0""")
 def fir_stretched(spark, sf_dir):
     e, rows = _fir(spark, sf_dir, scale="linear")
     return _long(dm.expanded_design([e], rows, duration="duration"))
 
 
-@query()
+# The grid has 1/16 second steps (TR 2, 32 steps) up to 32 seconds and the duration; H sums the density up to a step.
+_HRF = """, u AS (SELECT CAST(range AS BIGINT) AS i FROM range(0, CAST(ceil(33.0/0.0625) AS BIGINT) + 1)), h AS (SELECT i, CASE WHEN i > 0 THEN exp(5*ln(i) - i/16.0 - lgamma(6.0) - 6*ln(16.0)) - exp(15*ln(i) - i/16.0 - lgamma(16.0) - 16*ln(16.0))/6 ELSE 0.0 END AS h FROM u),
+cum AS (SELECT i, sum(h) OVER (ORDER BY i) / (SELECT sum(h) FROM h) AS s FROM h), p AS (SELECT CAST(floor(latency) AS BIGINT) AS l, CAST(round_even((1 - (latency - floor(latency))) * 32, 0) AS BIGINT) AS z FROM ev WHERE event='purchase'),
+r AS (SELECT l, z, CAST(range AS BIGINT) AS row FROM p CROSS JOIN range(0, 18)),
+w AS (SELECT l + row AS sample, coalesce(a.s, CASE WHEN row*32 - z >= 0 THEN 1.0 ELSE 0.0 END) - coalesce(b.s, CASE WHEN row*32 - z - 32 >= 0 THEN 1.0 ELSE 0.0 END) AS w FROM r LEFT JOIN cum a ON a.i = row*32 - z LEFT JOIN cum b ON b.i = row*32 - z - 32)
+SELECT sample, CAST(0 AS INTEGER) AS col_ix, round(sum(w), 5) AS x FROM w WHERE sample >= 1 AND w <> 0 GROUP BY 1 HAVING sum(w) <> 0"""
+
+
+@query(_HRF)
 def hrf_kernel(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("duration", F.lit(1.0))
     entry = dm.entries([("purchase", ("0 ~ 1", bases.hrfbasis(2.0)))], e)[0]
-    return _long(dm.expanded_design([entry], e, duration="duration"))
+    return dm.expanded_design([entry], e, duration="duration").select("sample", "col_ix", F.round("x", 5).alias("x"))
 
 
 def _two(spark, sf_dir):
@@ -278,6 +298,21 @@ def mu_coef_simple(spark, sf_dir):
     return _mu(spark, sf_dir).coefs.select("time_ix", "coefname", F.round("estimate", 3).alias("estimate"))
 
 
+@query(_MU + """ SELECT CAST(1 AS INTEGER) AS channel, coefname, 'purchase' AS eventname, 'time' AS label, CAST(time_ix - 2 AS DOUBLE) AS time, estimate, CAST(NULL AS DOUBLE) AS stderror, CAST(NULL AS VARCHAR) AS "group"
+FROM (SELECT time_ix, '(Intercept)' AS coefname, round(a, 3) AS estimate FROM fit UNION ALL SELECT time_ix, 'value', round(b, 3) FROM fit)""")
+def coeftable_mu(spark, sf_dir):
+    return _rounded(_mu(spark, sf_dir).coeftable(), 3, "estimate")
+
+
+@query(_EPOCH.format(kinds="'purchase','error'", source="sig") + """, full_ AS (SELECT * FROM ep WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)), p AS (SELECT time_ix, regr_intercept(y, value) AS a, regr_slope(y, value) AS b FROM full_ WHERE event='purchase' GROUP BY 1)
+SELECT 'purchase' AS event, CAST(0 AS INTEGER) AS col_ix, '(Intercept)' AS coefname, time_ix, round(a, 3) AS estimate FROM p UNION ALL SELECT 'purchase', 1, 'value', time_ix, round(b, 3) FROM p
+UNION ALL SELECT 'error', 2, '(Intercept)', time_ix, round(avg(y), 3) FROM full_ WHERE event='error' GROUP BY time_ix""")
+def mu_coef_two_events(spark, sf_dir):
+    e, times = _events(spark, sf_dir, "purchase", "error"), ep.lags((-2.0, 5.0), 1.0)
+    m = sv.fit({"purchase": ("0 ~ 1 + value", times), "error": ("0 ~ 1", times)}, e, _epochs(spark, sf_dir, "purchase", "error"))
+    return m.coefs.select("event", "col_ix", "coefname", "time_ix", F.round("estimate", 3).alias("estimate"))
+
+
 _RES = ", res AS (SELECT time_ix, var_samp(y - a - b*value) AS v, var_samp(y) AS vy FROM full_ JOIN fit USING (time_ix) GROUP BY 1)"
 
 
@@ -308,9 +343,44 @@ def _deconvolved(spark, sf_dir, **options):
     return sv.fit([("purchase", ("0 ~ 1 + k", bases.fir((-1.0, 3.0), 1.0))), ("error", ("0 ~ 1", bases.fir((0.0, 2.0), 1.0)))], e, _signal(spark, sf_dir), **options)
 
 
-@query()
+# The 13 columns' cross products, reduced to the identity row by row with X'y and the identity beside them: b is the estimate, d the inverse's diagonal.
+_CELLS = """, c AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 5)), every_ AS (SELECT event_ix, CAST(floor(latency) AS BIGINT)-1+c AS sample, c AS col, 1.0 AS x FROM ev CROSS JOIN c WHERE event='purchase'
+UNION ALL SELECT event_ix, CAST(floor(latency) AS BIGINT)-1+c, c+5, k FROM ev CROSS JOIN c WHERE event='purchase' UNION ALL SELECT event_ix, CAST(floor(latency) AS BIGINT)+c, c+10, 1.0 FROM ev CROSS JOIN c WHERE event='error' AND c < 3),
+x AS (SELECT sample, col, CAST(sum(x) AS DOUBLE) AS x FROM every_ WHERE sample >= 1 GROUP BY 1, 2 HAVING sum(x) <> 0)"""
+_SOLVED = _CELLS + """, inside AS (SELECT * FROM x WHERE sample <= 4320),
+gg AS (SELECT a.col AS i, b.col AS j, sum(a.x*b.x) AS g FROM inside a JOIN inside b USING (sample) GROUP BY 1, 2), r AS (SELECT col AS i, sum(x*y) AS r FROM inside JOIN sig USING (sample) GROUP BY 1),
+n AS (SELECT CAST(range AS INTEGER) AS n FROM range(0, 13)), lines AS (SELECT a.n AS i, list_concat(list(coalesce(g, 0.0) ORDER BY b.n), [any_value(coalesce(r, 0.0))], list(CASE WHEN a.n = b.n THEN 1.0 ELSE 0.0 END ORDER BY b.n)) AS line
+FROM n a CROSS JOIN n b LEFT JOIN gg ON gg.i = a.n AND gg.j = b.n LEFT JOIN r ON r.i = a.n GROUP BY 1),
+reduced(k, m) AS (SELECT 0, list(CAST(line AS DOUBLE[]) ORDER BY i) FROM lines UNION ALL SELECT k+1, list_transform(m, lambda l, i: CASE WHEN i = k+1 THEN list_transform(l, lambda v: v/l[k+1]) ELSE list_transform(l, lambda v, j: v - l[k+1]*m[k+1][j]/m[k+1][k+1]) END) FROM reduced WHERE k < 13),
+s AS (SELECT n AS col, m[n+1][14] AS b, m[n+1][15+n] AS d, CASE WHEN n < 5 THEN '(Intercept)' WHEN n < 10 THEN 'k' ELSE '(Intercept)' END AS coefname, CASE WHEN n < 10 THEN 'purchase' ELSE 'error' END AS eventname, CAST(CASE WHEN n < 10 THEN n % 5 - 1 ELSE n - 10 END AS DOUBLE) AS time
+FROM reduced CROSS JOIN n WHERE k = 13), hat AS (SELECT sample, sum(x*b) AS yhat FROM x JOIN s USING (col) GROUP BY 1), left_ AS (SELECT sample, y, y - coalesce(yhat, 0.0) AS residual FROM sig LEFT JOIN hat USING (sample)),
+var_ AS (SELECT var_samp(residual) AS v FROM left_)"""
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.select([(F.round(c, digits) + 0.0).alias(c) if c in columns else c for c in df.columns])
+
+
+@query(_SOLVED + """ SELECT CAST(1 AS INTEGER) AS channel, coefname, eventname, 'time' AS label, time, round(b, 3)+0.0 AS estimate, round(sqrt(d*v), 3)+0.0 AS stderror, CAST(NULL AS VARCHAR) AS "group" FROM s CROSS JOIN var_""")
 def deconv_coef(spark, sf_dir):
-    return _deconvolved(spark, sf_dir, stderror=True).coeftable()
+    return _rounded(_deconvolved(spark, sf_dir, stderror=True).coeftable(), 3, "estimate", "stderror")
+
+
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, col AS col_ix, coefname, round(b, 3)+0.0 AS estimate FROM s")
+def deconv_lsmr(spark, sf_dir):
+    return _rounded(_deconvolved(spark, sf_dir, solver="lsmr").coefs.select("channel", "col_ix", "coefname", "estimate"), 3, "estimate")
+
+
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, col AS col_ix, round(b, 3)+0.0 AS estimate FROM s")
+def fit_from_design(spark, sf_dir):
+    m = _deconvolved(spark, sf_dir, design_only=True)
+    return _rounded(sv.fit_design(m.design_matrix(), _signal(spark, sf_dir), m.coefnames()).drop("coefname"), 3, "estimate")
+
+
+@query("SELECT CAST(n AS INTEGER) AS col_ix, CASE WHEN n < 5 THEN 'purchase : (Intercept) : ' || (n - 1) || '.0' WHEN n < 10 THEN 'purchase : k : ' || (n - 6) || '.0' ELSE 'error : (Intercept) : ' || (n - 10) || '.0' END AS name FROM (SELECT unnest(range(0, 13)) AS n)", plain=True)
+def deconv_coefnames(spark, sf_dir):
+    names = _deconvolved(spark, sf_dir, design_only=True).coefnames()
+    return spark.createDataFrame(list(enumerate(names)), "col_ix int, name string")
 
 
 @query("SELECT CAST(col_ix AS INTEGER) AS col_ix, CAST(0.0 AS DOUBLE) AS gap FROM (SELECT unnest(range(0, 13)) AS col_ix)")
@@ -321,24 +391,75 @@ def deconv_orthogonality(spark, sf_dir):
     return dm.cross(m.design_matrix(), left).join(size, ["channel", "col_ix"]).select("col_ix", (F.abs(F.round(F.col("r") / F.col("size"), 6)) + 0.0).alias("gap"))
 
 
-@query()
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, sample, round(sum(x*b), 2)+0.0 AS yhat FROM x JOIN s USING (col) WHERE col < 10 GROUP BY 2")
 def deconv_predict_partial(spark, sf_dir):
-    return pr.predict(_deconvolved(spark, sf_dir), keep=["purchase"])
+    return _rounded(pr.predict(_deconvolved(spark, sf_dir), keep=["purchase"]), 2, "yhat")
+
+
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, sample, round(sum(x*b), 2)+0.0 AS yhat FROM (SELECT sample, col, CAST(sum(x) AS DOUBLE) AS x FROM every_ JOIN ev USING (event_ix) WHERE sample >= 1 AND k >= 3 GROUP BY 1, 2) JOIN s USING (col) GROUP BY 2")
+def deconv_predict_new_events(spark, sf_dir):
+    new = _sampled(_events(spark, sf_dir, "purchase", "error")).where("k >= 3")
+    return _rounded(pr.predict(_deconvolved(spark, sf_dir), new, overlap=True), 2, "yhat")
 
 
-@query()
+_AROUND = ", a AS (SELECT event_ix, CAST(floor(latency) AS BIGINT) AS l, CAST(range AS BIGINT) AS t FROM ev CROSS JOIN range(-1, 4) WHERE event='purchase')"
+
+
+@query(_SOLVED + _AROUND + " SELECT CAST(1 AS INTEGER) AS channel, event_ix, CAST(t + 1 AS INTEGER) AS time_ix, CAST(t AS DOUBLE) AS time, round(yhat, 2)+0.0 AS yhat FROM a LEFT JOIN hat ON sample = l + t")
 def deconv_predict_epoched(spark, sf_dir):
-    return pr.predict(_deconvolved(spark, sf_dir), epoch_to="purchase")
+    return _rounded(pr.predict(_deconvolved(spark, sf_dir), epoch_to="purchase"), 2, "yhat")
+
+
+@query(_SOLVED + _AROUND + " SELECT CAST(1 AS INTEGER) AS channel, event_ix, CAST(t + 1 AS INTEGER) AS time_ix, CAST(t AS DOUBLE) AS time, round(residual, 2)+0.0 AS residual FROM a LEFT JOIN left_ ON sample = l + t")
+def deconv_residuals_epoched(spark, sf_dir):
+    return _rounded(pr.residuals(_deconvolved(spark, sf_dir), _signal(spark, sf_dir), epoch_to="purchase"), 2, "residual")
 
 
-@query()
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, sample, y, round(residual, 2)+0.0 AS residual FROM left_")
+def deconv_residuals(spark, sf_dir):
+    return _rounded(pr.residuals(_deconvolved(spark, sf_dir), _signal(spark, sf_dir)), 2, "residual")
+
+
+@query(_SOLVED + """ SELECT event_ix, event, value, k, eventname, CAST(1 AS INTEGER) AS channel, CAST(time + CASE WHEN event = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS time_ix, time,
+round(sum(CASE WHEN coefname = 'k' THEN b*k ELSE b END), 2)+0.0 AS yhat FROM ev JOIN s ON eventname = event GROUP BY ALL""")
 def deconv_predicttable(spark, sf_dir):
-    return pr.predicttable(_deconvolved(spark, sf_dir))
+    return _rounded(pr.predicttable(_deconvolved(spark, sf_dir)), 2, "yhat")
 
 
-@query()
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, round(1 - var_samp(residual)/var_samp(y), 6)+0.0 AS r2 FROM left_ WHERE sample IN (SELECT sample FROM x)")
 def deconv_r2(spark, sf_dir):
-    return pr.r2(_deconvolved(spark, sf_dir), _signal(spark, sf_dir), skip_notmodelled=True)
+    return _rounded(pr.r2(_deconvolved(spark, sf_dir), _signal(spark, sf_dir), skip_notmodelled=True), 6, "r2")
+
+
+@query(_SOLVED + """, v AS (SELECT unnest([1.0, 3.0]) AS k) SELECT CAST(k AS DOUBLE) AS k, eventname, CAST(time + CASE WHEN eventname = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS time_ix, time,
+round(sum(CASE WHEN coefname = 'k' THEN b*k ELSE b END), 2)+0.0 AS yhat FROM v CROSS JOIN s GROUP BY ALL""")
+def effects_deconv(spark, sf_dir):
+    return _rounded(pr.effects({"k": [1.0, 3.0]}, _deconvolved(spark, sf_dir)).select("k", "eventname", "time_ix", "time", "yhat"), 2, "yhat")
+
+
+@query(_SOLVED + " SELECT eventname, CAST(time + CASE WHEN eventname = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS time_ix, round(sum(CASE WHEN coefname = 'k' THEN b*(SELECT max(k) FROM ev WHERE event = 'purchase') ELSE b END), 2)+0.0 AS yhat FROM s GROUP BY ALL")
+def effects_max_deconv(spark, sf_dir):
+    return _rounded(pr.effects({}, _deconvolved(spark, sf_dir), typical="max").select("eventname", "time_ix", "yhat"), 2, "yhat")
+
+
+@query(_CELLS + " SELECT CAST(sample AS BIGINT) AS sample, CAST(col AS INTEGER) AS col_ix, round(x, 6) AS x FROM x")
+def combined_designs(spark, sf_dir):
+    e = _sampled(_events(spark, sf_dir, "purchase", "error"))
+    first = dm.entries([("purchase", ("0 ~ 1 + k", bases.fir((-1.0, 3.0), 1.0)))], e)
+    second = dm.entries([("error", ("0 ~ 1", bases.fir((0.0, 2.0), 1.0)))], e)
+    return _long(dm.combined(dm.expanded_design(first, e), dm.expanded_design(second, e), first[0].width))
+
+
+@query(_X + " SELECT sample, CAST(col_ix AS INTEGER) AS col_ix, round(x, 6) AS x FROM x WHERE sample <= 4000")
+def equalized_design(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return _long(ep.equalized(dm.expanded_design([e], rows), _signal(spark, sf_dir).where("sample <= 4000"))[0])
+
+
+@query(_X + " SELECT DISTINCT sample FROM x")
+def modelled_samples(spark, sf_dir):
+    e, rows = _fir(spark, sf_dir)
+    return dm.non_zero_rows(dm.expanded_design([e], rows)).where(F.col("sample") <= SAMPLES)
 
 
 @query(", b AS (SELECT unnest([quantile_cont(value, 0.0), quantile_cont(value, 1.0/3), quantile_cont(value, 2.0/3), quantile_cont(value, 1.0)]) AS b FROM ev) SELECT round(b, 6) AS b FROM b")
@@ -347,14 +468,16 @@ def spline_breakpoints(spark, sf_dir):
     return spark.createDataFrame([(float(b),) for b in s.breaks["value,6"]], "b double").select(F.round("b", 6).alias("b"))
 
 
-_COX = """, t AS (SELECT row_number() OVER (ORDER BY b, n)-1 AS i, b AS t FROM ({knots})), lim AS (SELECT min(t) AS lo, max(t) AS hi FROM t),
-xs AS (SELECT event_ix, {x} AS x FROM ev),
-n1 AS (SELECT event_ix, x, a.i, CASE WHEN x >= a.t AND a.t < b.t AND (x < b.t OR ({closed} AND x = b.t AND b.t = (SELECT hi FROM lim))) THEN 1.0 ELSE 0.0 END AS v FROM xs CROSS JOIN t a JOIN t b ON b.i = a.i+1)"""
-for _o in (2, 3, 4):
-    _COX += f""",
-n{_o} AS (SELECT p.event_ix, p.x, p.i, coalesce((p.x-a.t)/nullif(b.t-a.t, 0)*p.v, 0) + coalesce((d.t-p.x)/nullif(d.t-c.t, 0)*q.v, 0) AS v FROM n{_o - 1} p JOIN n{_o - 1} q ON q.event_ix = p.event_ix AND q.i = p.i+1
-JOIN t a ON a.i = p.i JOIN t b ON b.i = p.i+{_o - 1} JOIN t c ON c.i = p.i+1 JOIN t d ON d.i = p.i+{_o})"""
-_SPL = _COX.format(x="value", closed="true", knots="SELECT unnest([quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,0.0),quantile_cont(value,1.0/3),quantile_cont(value,2.0/3),quantile_cont(value,1.0),quantile_cont(value,1.0),quantile_cont(value,1.0),quantile_cont(value,1.0)]) AS b, 0 AS n FROM ev")
+# Each event's values of all functions as a list, from order 1 to 4.
+_COX = """, kn AS ({knots}), n1 AS (SELECT {key}, {x} AS x, t, list_transform(range(1, len(t)), lambda i: CASE WHEN {x} >= t[i] AND t[i] < t[i+1] AND ({x} < t[i+1] OR ({closed} AND {x} = t[i+1] AND t[i+1] = t[len(t)])) THEN 1.0 ELSE 0.0 END) AS v FROM {of} CROSS JOIN kn)"""
+_ORDERS = "".join(
+    f""", n{o} AS (SELECT {{key}}, x, t, list_transform(range(1, len(v)), lambda i: coalesce((x-t[i])/nullif(t[i+{o - 1}]-t[i], 0)*v[i], 0) + coalesce((t[i+{o}]-x)/nullif(t[i+{o}]-t[i+1], 0)*v[i+1], 0)) AS v FROM n{o - 1})"""
+    for o in (2, 3, 4)
+)
+_SPL = (_COX + _ORDERS).format(
+    key="event_ix", x="value", of="ev", closed="true",
+    knots="SELECT list_concat([q[1], q[1], q[1]], q, [q[4], q[4], q[4]]) AS t FROM (SELECT [quantile_cont(value, 0.0), quantile_cont(value, 1.0/3), quantile_cont(value, 2.0/3), quantile_cont(value, 1.0)] AS q FROM ev)",
+) + ", f AS (SELECT event_ix, unnest(range(0, len(v))) AS i, unnest(v) AS v FROM n4)"
 
 
 def _spline(spark, sf_dir, formula):
@@ -364,19 +487,32 @@ def _spline(spark, sf_dir, formula):
     return x.select("event_ix", F.col("j").cast("int").alias("j"), (F.round("x", 5) + 0.0).alias("x"))
 
 
-@query(_SPL + " SELECT event_ix, CAST(CASE WHEN i < 2 THEN i+1 ELSE i END AS INTEGER) AS j, round(v, 5) AS x FROM n4 WHERE i <> 2")
+@query(_SPL + " SELECT event_ix, CAST(CASE WHEN i < 2 THEN i+1 ELSE i END AS INTEGER) AS j, round(v, 5)+0.0 AS x FROM f WHERE i <> 2")
 def spline_basis(spark, sf_dir):
     return _spline(spark, sf_dir, "0 ~ 1 + spl(value, 6)")
 
 
-_CIRC = _COX.format(x="value - 20.0*floor(value/20.0)", closed="false", knots="SELECT CAST(range AS DOUBLE)*20.0/6 AS b, 0 AS n FROM range(-3, 10)")
+_CIRC = (_COX + _ORDERS).format(
+    key="event_ix", x="(value - 20.0*floor(value/20.0))", of="ev", closed="false", knots="SELECT list(CAST(range AS DOUBLE)*20.0/6 ORDER BY range) AS t FROM range(-3, 10)",
+) + ", f AS (SELECT event_ix, unnest(range(0, len(v))) AS i, unnest(v) AS v FROM n4)"
 
 
-@query(_CIRC + " , z AS (SELECT event_ix, CAST(i % 6 AS INTEGER) AS f, sum(v) AS v FROM n4 GROUP BY 1, 2) SELECT event_ix, CAST(CASE WHEN f < 2 THEN f+1 ELSE f END AS INTEGER) AS j, round(v, 5) AS x FROM z WHERE f <> 2")
+@query(_CIRC + " , z AS (SELECT event_ix, CAST(i % 6 AS INTEGER) AS f, sum(v) AS v FROM f GROUP BY 1, 2) SELECT event_ix, CAST(CASE WHEN f < 2 THEN f+1 ELSE f END AS INTEGER) AS j, round(v, 5)+0.0 AS x FROM z WHERE f <> 2")
 def circspl_basis(spark, sf_dir):
     return _spline(spark, sf_dir, "0 ~ 1 + circspl(value, 5, 0, 20)")
 
 
+_TIMES = (_COX + _ORDERS).format(
+    key="lag", x="lag", of="(SELECT CAST(range AS DOUBLE) AS lag FROM range(-1, 4))", closed="true", knots="SELECT [-1.0, -1.0, -1.0, -1.0, 1.0, 3.0, 3.0, 3.0, 3.0] AS t",
+) + ", f AS (SELECT lag, unnest(range(0, len(v))) AS i, unnest(v) AS v FROM n4)"
+
+
+@query(_TIMES + " SELECT CAST(floor(latency) AS BIGINT) + CAST(lag AS BIGINT) AS sample, CAST(i AS INTEGER) AS col_ix, round(sum(v), 6) AS x FROM ev CROSS JOIN f WHERE event='purchase' AND v <> 0 AND CAST(floor(latency) AS BIGINT) + CAST(lag AS BIGINT) >= 1 GROUP BY 1, 2 HAVING sum(v) <> 0")
+def spline_time_basis(spark, sf_dir):
+    e = _sampled(_events(spark, sf_dir))
+    return _long(dm.expanded_design(dm.entries([("purchase", ("0 ~ 1", bases.splinebasis((-1.0, 3.0), 1.0, 5, "")))], e), e))
+
+
 @query(_MU + " SELECT v AS value, time_ix, round(a + b*v, 2) AS yhat FROM fit CROSS JOIN (SELECT unnest([10.0, 50.0, 90.0]) AS v)".replace("v AS value", "CAST(v AS DOUBLE) AS value"))
 def effects_grid(spark, sf_dir):
     return pr.effects({"value": [10.0, 50.0, 90.0]}, _mu(spark, sf_dir)).select("value", "time_ix", F.round("yhat", 2).alias("yhat"))
@@ -387,6 +523,21 @@ def effects_typical(spark, sf_dir):
     return pr.effects({}, _mu(spark, sf_dir)).select("time_ix", F.round("yhat", 2).alias("yhat"))
 
 
+@query(_MU + " SELECT time_ix, round(a + b*(SELECT max(value) FROM e), 2) AS yhat FROM fit")
+def effects_max(spark, sf_dir):
+    return pr.effects({}, _mu(spark, sf_dir), typical="max").select("time_ix", F.round("yhat", 2).alias("yhat"))
+
+
+# One slope within both kinds and an intercept for each; the kind is held at the purchases' share.
+@query(_EPOCH.format(kinds="'purchase','error'", source="sig") + """, full_ AS (SELECT * FROM ep WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)), kinds AS (SELECT time_ix, event, avg(y) AS my, avg(value) AS mv, regr_sxy(y, value) AS sxy, regr_sxx(y, value) AS sxx FROM full_ GROUP BY 1, 2),
+b AS (SELECT time_ix, sum(sxy)/sum(sxx) AS b FROM kinds GROUP BY 1), a AS (SELECT time_ix, any_value(b) AS b, sum(CASE WHEN event='error' THEN my - b*mv END) AS ae, sum(CASE WHEN event='purchase' THEN my - b*mv END) AS ap FROM kinds JOIN b USING (time_ix) GROUP BY 1)
+SELECT CAST(v AS DOUBLE) AS value, time_ix, round(ae + (ap - ae)*(SELECT avg(CASE WHEN event='purchase' THEN 1.0 ELSE 0.0 END) FROM e) + b*v, 2) AS yhat FROM a CROSS JOIN (SELECT unnest([10.0, 90.0]) AS v)""")
+def effects_typical_kind(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase", "error")
+    m = sv.fit(("0 ~ 1 + event + value", ep.lags((-2.0, 5.0), 1.0)), e, _epochs(spark, sf_dir, "purchase", "error"))
+    return pr.effects({"value": [10.0, 90.0]}, m).select("value", "time_ix", F.round("yhat", 2).alias("yhat"))
+
+
 @query("SELECT event_ix, CAST(ntile(5) OVER (ORDER BY event_ix)-1 AS INTEGER) AS fold FROM ev WHERE event='purchase'")
 def cv_folds(spark, sf_dir):
     return sv.folds(_events(spark, sf_dir, "purchase"), 5)
@@ -400,7 +551,30 @@ def cv_coef(spark, sf_dir):
     return m.coefs.where("coefname = 'value'").select("fold", "time_ix", F.round("estimate", 3).alias("slope"))
 
 
-@query()
+@query(_EPOCH.format(kinds="'purchase'", source="sig") + """, f AS (SELECT event_ix, ntile(3) OVER (ORDER BY event_ix)-1 AS fold FROM e), full_ AS (SELECT * FROM ep JOIN f USING (event_ix) WHERE event_ix NOT IN (SELECT event_ix FROM ep WHERE y IS NULL)),
+o AS (SELECT unnest([0, 1, 2]) AS out), p AS (SELECT out, time_ix, regr_slope(y, value) AS slope FROM full_ JOIN o ON fold <> out GROUP BY 1, 2) SELECT CAST(time_ix - 2 AS DOUBLE) AS time, round(avg(slope), 3) AS estimate FROM p GROUP BY 1""")
+def cv_mean(spark, sf_dir):
+    e = _events(spark, sf_dir, "purchase")
+    m = sv.cross_validated([("purchase", ("0 ~ 1 + value", ep.lags((-2.0, 5.0), 1.0)))], e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0), k=3, shuffle=False)
+    return m.coeftable().where("coefname = 'value'").select("time", F.round("estimate", 3).alias("estimate"))
+
+
+@query(""", s AS (SELECT * FROM ev WHERE event='error'), t AS (SELECT * FROM ev WHERE event='purchase'), n AS (SELECT s.event_ix AS si, s.latency AS sl, s.value, arg_min(t.event_ix, t.latency) AS event_ix FROM s JOIN t ON abs(t.latency - s.latency) <= 2 GROUP BY 1, 2, 3),
+w AS (SELECT event_ix, arg_max(value, sl) AS near_value FROM n GROUP BY 1) SELECT event_ix, event, round(near_value, 6) AS near_value FROM ev LEFT JOIN w USING (event_ix) WHERE event IN ('purchase','error')""")
+def copy_by_function(spark, sf_dir):
+    """The earliest purchase in reach of each error."""
+    out = ev.copy_eventinfo(_events(spark, sf_dir, "purchase", "error"), "error", "purchase", "value", "near_value", search=lambda lat, lats: F.lit(0), within=2.0)
+    return out.select("event_ix", "event", F.round("near_value", 6).alias("near_value"))
+
+
+# Fifty rounds of weighted regression with the biweight; what a round needs of each event is its value, its y and its residual.
+@query(_EPOCH.format(kinds="'purchase'", source="sig") + """, d AS (SELECT time_ix, list({'v': value, 'y': y} ORDER BY event_ix) AS d, regr_intercept(y, value) AS a, regr_slope(y, value) AS b FROM ep WHERE y IS NOT NULL GROUP BY 1),
+it(time_ix, n, d, a, b) AS (SELECT time_ix, 0, d, a, b FROM d UNION ALL SELECT time_ix, n+1, d, coalesce((wy - slope*wv)/nullif(w, 0), 0), slope FROM (SELECT *, coalesce((w*wvy - wv*wy)/nullif(w*wvv - wv*wv, 0), 0) AS slope FROM (
+SELECT time_ix, n, d, list_sum(list_transform(p, lambda e: e.w)) AS w, list_sum(list_transform(p, lambda e: e.w*e.v)) AS wv, list_sum(list_transform(p, lambda e: e.w*e.y)) AS wy, list_sum(list_transform(p, lambda e: e.w*e.v*e.v)) AS wvv, list_sum(list_transform(p, lambda e: e.w*e.v*e.y)) AS wvy FROM (
+SELECT time_ix, n, d, list_transform(r, lambda e: {'v': e.v, 'y': e.y, 'w': CASE WHEN abs(e.r) < far THEN (1 - (e.r/far)*(e.r/far))*(1 - (e.r/far)*(e.r/far)) ELSE 0.0 END}) AS p FROM (
+SELECT time_ix, n, d, r, 4.685*greatest(list_median(list_transform(r, lambda e: abs(e.r - mid)))/0.6745, 1e-12) AS far FROM (SELECT time_ix, n, d, r, list_median(list_transform(r, lambda e: e.r)) AS mid FROM (
+SELECT time_ix, n, d, list_transform(d, lambda e: {'v': e.v, 'y': e.y, 'r': e.y - a - b*e.v}) AS r FROM it WHERE n < 50)))))))
+SELECT CAST(1 AS INTEGER) AS channel, time_ix, coefname, estimate FROM (SELECT time_ix, '(Intercept)' AS coefname, round(a, 3)+0.0 AS estimate FROM it WHERE n = 50 UNION ALL SELECT time_ix, 'value', round(b, 3)+0.0 FROM it WHERE n = 50)""")
 def robust_fit(spark, sf_dir):
     e = _events(spark, sf_dir, "purchase")
-    return sv.robust("0 ~ 1 + value", e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0))
+    return _rounded(sv.robust("0 ~ 1 + value", e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0)), 3, "estimate")

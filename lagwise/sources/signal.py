@@ -21,8 +21,13 @@ def signal_from_arrays(df: DataFrame, values: str = "values", channel: str | Non
 
 def signal_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """A line of comma-separated samples for each channel; a channel's number is its line's."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    numbered = lines.select(F.dense_rank().over(Window.orderBy("line")).alias("channel"), F.split("value", ",").alias("v"))  # one row for each channel
+    # a line's number: its place in its part of the file after the lines of the parts before, of which the driver gets the counts
+    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    before, at = {}, 0
+    for r in lines.groupBy("part").count().orderBy("part").collect():
+        before[r["part"]], at = at, at + r["count"]
+    offset = F.element_at(F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values()))), F.col("part")) if before else F.lit(0)
+    numbered = lines.select((offset + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("channel"), F.split("value", ",").alias("v"))
     long = numbered.select("channel", F.posexplode("v").alias("at", "text"))
     return long.select(F.col("channel").cast("int").alias("channel"), (F.col("at") + 1).cast("long").alias("sample"), F.expr("try_cast(trim(text) as double)").alias("y"))
 
@@ -53,9 +58,10 @@ def sample_of(ts: str, start: int, step: int):
 
 
 def gridded(rows: DataFrame, ts: str, value, start: int, step: int, samples: int, channel=None, fill: bool = True) -> DataFrame:
-    """Sums of value on a regular grid. With fill, samples without rows are 0, else null. channel: a column of integers."""
-    ch = channel if channel is not None else F.lit(1)
-    sums = rows.groupBy(ch.cast("int").alias("channel"), sample_of(ts, start, step).alias("sample")).agg(F.sum(value).cast("double").alias("y"))
+    """Sums of value on a regular grid. With fill, samples without rows are 0, else null. channel: a column of integers. A row beyond the grid is an error."""
+    ch, at = channel if channel is not None else F.lit(1), sample_of(ts, start, step)
+    at = F.when(at.between(1, samples), at).otherwise(F.raise_error(F.lit(f"a row lies beyond the grid of {samples} samples")).cast("long"))
+    sums = rows.groupBy(ch.cast("int").alias("channel"), at.alias("sample")).agg(F.sum(value).cast("double").alias("y"))
     grid = rows.sparkSession.range(1, samples + 1).select(F.col("id").alias("sample"))
     channels = sums.select("channel").distinct()
     # channels are few by nature; the grid is generated where it is joined

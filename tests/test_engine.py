@@ -49,7 +49,7 @@ def test_deconvolution_of_overlap(spark, tmp_path):
     got = {(r["eventname"], round(r["time"], 2)): r["estimate"] for r in m.coeftable().collect()}
     assert got["a", 0.5] == pytest.approx(2) and got["b", 0.5] == pytest.approx(3) and got["a", -0.1] == pytest.approx(0, abs=1e-8) and got["b", 1.1] == pytest.approx(0, abs=1e-8)
     assert pr.r2(m, y, skip_notmodelled=True).first()["r2"] == pytest.approx(1)
-    for solver in ("pinv", "qr", "cholesky", "cg"):
+    for solver in ("pinv", "qr", "cholesky", "cg", "intern", "lsmr"):
         other = sv.fit(design, e, y, solver=solver).coefs.agg(F.sum("estimate")).first()[0]
         assert other == pytest.approx(sum(got.values()), abs=1e-4)
     part = pr.predict(m, keep=["a"]).agg(F.max("yhat")).first()[0]
@@ -133,8 +133,12 @@ def test_kernels(spark):
     assert all(sum(w for (_, c), w in block.items() if c == k) == 3 for k in range(4))
     same = bases.fir((0.0, 2.0), 1.0, scale="linear")
     assert at(same) == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
-    h = bases.hrf_kernel(0.3, 2.0)
-    assert len(h) >= 17 and int(np.argmax(h)) == 3 and bases.hrf_kernel(0.0, 2.0)[1:] == pytest.approx(bases.hrf_kernel(1.0, 2.0)[: len(bases.hrf_kernel(0.0, 2.0)) - 1], abs=1e-9)
+    h = bases.hrf_kernel(round(0.7 * 32), 2.0)
+    assert len(h) == 17 and int(np.argmax(h)) == 3
+    late, early = bases.hrf_kernel(32, 2.0), bases.hrf_kernel(0, 2.0)
+    assert late[1:] == pytest.approx(early[:-1], abs=1e-9)
+    long = at(bases.hrfbasis(2.0), "duration")
+    assert len(bases.hrf_kernel(24, 2.0, 3.0)) == 20 and [long[k, 0] for k in range(1, 20)] == pytest.approx(bases.hrf_kernel(24, 2.0, 3.0)[1:])
     assert sum(at(bases.splinebasis((-1.0, 1.0), 10, 5)).values()) == pytest.approx(20)  # of 21 lags the first lies before sample 1
 
 
@@ -187,3 +191,55 @@ def test_copying_crosses_ranges_in_many_tasks(spark):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "_range" in plan
     assert e.select(ev.latency_range(e, "latency").alias("r")).agg(F.count_distinct("r")).first()[0] > 30
+
+
+def test_wide_designs_are_iterated(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    e = table(spark, [(float(rng.integers(5, 400)), "a", float(rng.normal())) for _ in range(80)], "latency double, event string, v double")
+    y = spark.createDataFrame([(c, i, float(v)) for c in (1, 2) for i, v in enumerate(rng.normal(size=420), 1)], "channel int, sample long, y double")
+    design = [("a", ("0 ~ 1 + v", bases.fir((-2.0, 6.0), 1.0)))]
+    want = {(r["channel"], r["col_ix"]): r["estimate"] for r in sv.fit(design, e, y).coefs.collect()}
+    monkeypatch.setattr(sv, "MOST_COLUMNS", 5)
+    assert {(r["channel"], r["col_ix"]): r["estimate"] for r in sv.fit(design, e, y).coefs.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    for options in ({"solver": "qr"}, {"stderror": True}):
+        with pytest.raises(ValueError):
+            sv.fit(design, e, y, **options)
+    # two equal columns: no unique solution, but the fitted values are the same
+    x = sv.fit(design, e, y, design_only=True).design_matrix().where("col_ix < 9")
+    twice = dm.combined(x, x, 9)
+    b = sv.fit_design(twice, y, [str(i) for i in range(18)], solver="lsmr")
+    left = sv.fit_design(x, y, [str(i) for i in range(9)])
+    both = lambda df: {(r["channel"], r["k"]): r["b"] for r in df.groupBy("channel", (F.col("col_ix") % 9).alias("k")).agg(F.sum("estimate").alias("b")).collect()}
+    assert both(b) == {k: pytest.approx(v, abs=1e-6) for k, v in both(left).items()}
+
+
+def test_copying_by_a_function(spark):
+    e = table(spark, [(10.0, "S", 1.0), (12.0, "R", 2.0), (14.0, "R", 3.0), (40.0, "R", 4.0)], "latency double, event string, rt double")
+    last = lambda lat, lats: F.size(lats) - 1
+    assert {r["event_ix"]: r["got"] for r in ev.copy_eventinfo(e, "S", "R", "rt", "got", search=last, within=5.0).collect()} == {1: None, 2: None, 3: 1.0, 4: None}
+    never = lambda lat, lats: F.lit(None).cast("int")
+    assert ev.copy_eventinfo(e, "S", "R", "rt", "got", search=never, within=5.0).where("got is not null").count() == 0
+    with pytest.raises(ValueError):
+        ev.copy_eventinfo(e, "S", "R", "rt", "got", search=last)
+
+
+def test_clear_errors(spark):
+    e = table(spark, [(float(5 + 9 * i), "ab"[i % 2]) for i in range(9)], "latency double, event string")
+    y = boxes(spark, [], 100, 1)
+    m = sv.fit([(k, ("0 ~ 1", bases.fir((0.0, 2.0), 1.0))) for k in "ab"], e, y)
+    for wrong in ({"keep": ["x"]}, {"exclude": ["a", "b"]}):
+        with pytest.raises(ValueError):
+            pr.predict(m, **wrong)
+    with pytest.raises(ValueError):
+        Schema.fit("0 ~ 1 + c", spark.range(3000).selectExpr("id event_ix", "cast(id as string) c"))
+    late = spark.sql("select timestamp'2024-01-01 01:00:00' ts, 1.0 v")
+    with pytest.raises(Exception, match="beyond the grid"):
+        sg.gridded(late, "ts", F.col("v"), 1704067200000000, 60_000_000, 30).collect()
+
+
+def test_csv_lines_of_many_parts(spark, tmp_path):
+    (tmp_path / "many.csv").write_text("".join(f"{i},{i + 0.5}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    got = {(r["channel"], r["sample"]): r["y"] for r in sg.signal_from_csv(spark, str(tmp_path / "many.csv")).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(i + 1, k + 1): i + 0.5 * k for i in range(500) for k in range(2)}
