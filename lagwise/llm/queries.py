@@ -56,5 +56,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_packing, op4_fingerprints, op5_lm_score, op6_decontamination, op7_ngram_join, op8_language, op9_pii, op10_toxicity, pipeline)}
-#: None of these can be told in SQL (trained models, tokenizers, EM, MD5-based order of ties); tests compare them with brute force.
+#: None of these can be told in SQL (trained models, tokenizers, EM, MD5-based order of ties); tests/llm compares them with plain versions.
 ORACLE_SQL: dict[str, str] = {}
