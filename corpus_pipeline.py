@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: each stage takes the documents that the one before it kept.
 
-The first four stages return the columns of documents; the last returns the pieces of the packed sequences. Stages are written as Parquet and
-read again, so a lost executor repeats one stage at most.
+The first four stages return the columns of documents, whatever other columns there are and whatever they are called; the last returns the pieces of
+the packed sequences. Stages are written as Parquet and read again, so a lost executor repeats one stage at most. An empty table passes through
+every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -15,31 +16,31 @@ from lagwise.session import ship
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. Null and empty texts stay, unless every text is rejected; repeated rows share their fate."""
     ship(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each group of copies and near copies stays: that of the least id (null ids last). Null and empty texts are copies of each other."""
     ship(spark)
     return ngram_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go. Null and empty texts stay."""
     ship(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; all documents stay."""
+    """Personal data is replaced by its kind; all documents stay, repeated rows and null texts too."""
     ship(spark)
     return pii.masked(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences of 2048: where each document's pieces lie."""
+    """Token ids in sequences of 2048: where each document's pieces lie. A null or empty text is one piece of one id."""
     ship(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +53,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Classifiers, MinHash and tokenizers cannot be told in SQL; tests/llm compares each stage with a plain version.
+#: Classifiers, MinHash and tokenizers cannot be told in SQL; tests/llm/test_pipeline.py, test_join.py and test_edges.py compare stages with plain versions.
 ORACLE_SQL = None
 
 
