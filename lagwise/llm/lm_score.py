@@ -104,9 +104,9 @@ class Lattice:
         return self.table
 
     def _edges(self, x: np.ndarray, begin: int, end: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words x (n x length code points) those that have an edge from begin to end, its log probability and table index (-1: an unknown code point)."""
+        """Of words x (length x n code points) those that have an edge from begin to end, its log probability and table index (-1: an unknown code point)."""
         keys, first, inner, _, marks = self._arrays()
-        h = _finish(prefix[:, end] - prefix[:, begin] * _power(end - begin), end - begin)
+        h = _finish(prefix[end] - prefix[begin] * _power(end - begin), end - begin)
         rows = np.flatnonzero(marks[h & _MARKS])  # most runs of letters are no piece: only likely ones are searched for
         i = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
         p = (inner if begin else first)[i]
@@ -114,27 +114,35 @@ class Lattice:
         rows, i, p = rows[hit], i[hit], p[hit]
         if end > begin + 1:
             return rows, p, i
-        every, number = np.full(len(x), self.unknown[begin > 0] - np.log(_CODEPOINTS)), np.full(len(x), -1)
+        n = x.shape[1]
+        every, number = np.full(n, self.unknown[begin > 0] - np.log(_CODEPOINTS)), np.full(n, -1)
         better = p >= every[rows]
         every[rows[better]], number[rows[better]] = p[better], i[better]
-        return np.arange(len(x)), every, number
+        return np.arange(n), every, number
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """alpha (n x length+1, natural logs; the stop's factor included between pieces) and the rolling hashes."""
-        n, length = x.shape
-        prefix = np.zeros((n, length + 1), np.uint64)
+    def forward(self, x: np.ndarray, edges: list[tuple] | None = None) -> np.ndarray:
+        """alpha (length+1 x n, natural logs; the stop's factor included between pieces) of words x (length x n code points). The edges (begin, end,
+        words, log probability with going on after a piece, table index) are put into a list where one is given."""
+        length, n = x.shape
+        prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
-            prefix[:, j + 1] = prefix[:, j] * _BASE + x[:, j].astype(np.uint64) + np.uint64(1)
-        alpha = np.full((n, length + 1), -np.inf)
-        alpha[:, 0] = 0
+            prefix[j + 1] = prefix[j] * _BASE + x[j].astype(np.uint64) + np.uint64(1)
+        alpha = np.zeros((length + 1, n))
         go = np.log1p(-self.stop)
-        with np.errstate(invalid="ignore"):
-            for end in range(1, length + 1):
-                for begin in range(max(0, end - self.longest), end):
-                    r, p, _ = self._edges(x, begin, end, prefix)
-                    if len(r):
-                        alpha[r, end] = np.logaddexp(alpha[r, end], alpha[r, begin] + p + (go if begin else 0))
-        return alpha, prefix
+        for end in range(1, length + 1):
+            # each word has an edge of one code point, which comes first
+            for begin in range(end - 1, max(0, end - self.longest) - 1, -1):
+                r, p, i = self._edges(x, begin, end, prefix)
+                if not len(r):
+                    continue
+                p = p + go if begin else p
+                if begin == end - 1:
+                    alpha[end] = alpha[begin] + p
+                else:
+                    alpha[end, r] = np.logaddexp(alpha[end, r], alpha[begin, r] + p)
+                if edges is not None:
+                    edges.append((begin, end, r, p, i))
+        return alpha
 
     def _all_edges(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """begin, end, log probability (with going on after a piece) and table index of all edges of one long word, by end."""
@@ -169,7 +177,7 @@ class Lattice:
                 for k, one in zip(at, x):
                     out[k] = _recursion(*self._all_edges(one)[:3], len(one))[-1] + np.log(self.stop)
             else:
-                out[at] = self.forward(x)[0][:, -1] + np.log(self.stop)
+                out[at] = self.forward(np.ascontiguousarray(x.T))[-1] + np.log(self.stop)
         return out
 
     def expectations(self, texts: list[str], count: np.ndarray, total: float) -> np.ndarray:
@@ -187,11 +195,11 @@ class Lattice:
             return left
 
         def add(begin: np.ndarray, number: np.ndarray, share: np.ndarray) -> None:
-            share = np.where(np.isfinite(share), share, 0)
-            known, inner = number >= 0, (begin > 0).astype(np.int64)
-            np.add.at(uses, (number + size * inner)[known], share[known])
-            rest[0] += share.sum()
-            np.add.at(rest, 2 + inner[~known], share[~known])
+            share, inner = np.where(np.isfinite(share), share, 0), (begin > 0).astype(np.int64)
+            got = np.bincount(np.where(number >= 0, number + size * inner, 2 * size + inner), share, 2 * size + 2)
+            uses[:] += got[: 2 * size]
+            rest[0] += got.sum()
+            rest[2:4] += got[2 * size :]
 
         for at, x in _by_length(texts):
             n, length = x.shape
@@ -204,18 +212,21 @@ class Lattice:
                     weight = spelled(np.array([k]), alpha[-1:])
                     add(begin, number, weight * np.exp(np.minimum(0, alpha[begin] + p + beta[end] - alpha[-1])))
                 continue
-            alpha, prefix = self.forward(x)
-            weight, go = spelled(at, alpha[:, -1]), np.log1p(-self.stop)
-            beta = np.full((n, length + 1), -np.inf)
-            beta[:, length] = 0
-            with np.errstate(invalid="ignore"):
-                for begin in range(length - 1, -1, -1):
-                    for end in range(begin + 1, min(length, begin + self.longest) + 1):
-                        r, p, i = self._edges(x, begin, end, prefix)
-                        if len(r):
-                            step = p + beta[r, end] + (go if begin else 0)
-                            beta[r, begin] = np.logaddexp(beta[r, begin], step)
-                            add(np.full(len(r), begin), i, weight[r] * np.exp(np.minimum(0, alpha[r, begin] + step - alpha[r, length])))
+            edges: list[tuple] = []
+            alpha = self.forward(np.ascontiguousarray(x.T), edges)
+            weight = spelled(at, alpha[-1])
+            beta, reached, shares = np.zeros((length + 1, n)), {length}, []
+            edges.sort(key=lambda e: (-e[0], e[1]))
+            for begin, end, r, p, _ in edges:
+                step = p + beta[end, r]
+                if begin in reached:
+                    beta[begin, r] = np.logaddexp(beta[begin, r], step)
+                else:  # the edge of one code point, which each word has
+                    beta[begin] = step
+                    reached.add(begin)
+                shares.append(weight[r] * np.exp(np.minimum(0, alpha[begin, r] + step - alpha[-1, r])))
+            begins = np.repeat([e[0] for e in edges], [len(e[2]) for e in edges])
+            add(begins, np.concatenate([e[4] for e in edges]), np.concatenate(shares))
         return np.concatenate([uses, rest])
 
 
