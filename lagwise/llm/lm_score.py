@@ -380,19 +380,22 @@ def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> D
         names, known, base, score = index.value
         number = {w: i for i, w in enumerate(names)}
         for part in slices(batches):
-            out: list[tuple] = []
-            for doc, key, text, held in zip(part["doc_id"], part["key"], part["text"], part["held_out"]):
+            sums, rare, times, each = [], [], [], []
+            for text in part["text"]:
                 got = words(text)
                 k = np.fromiter(map(number.get, got, repeat(-1)), np.int64, len(got))
                 hit = k[k >= 0]
-                out.append((doc, key, held, None, 1, len(got) + 1, int(known[hit].sum()) + end[0], float(base[hit].sum()) + end[1], float(score[hit].sum()) + end[2]))
-                if len(hit) < len(got):
-                    for w, n in Counter([got[i] for i in np.flatnonzero(k < 0)]).items():
-                        out.append((doc, key, held, w, n, 0, 0, 0.0, 0.0))
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)]
-            columns[3] = columns[3].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "base_score", "score"])
+                sums.append((len(got) + 1, int(known[hit].sum()) + end[0], float(base[hit].sum()) + end[1], float(score[hit].sum()) + end[2]))
+                counts = Counter([got[i] for i in np.flatnonzero(k < 0)]) if len(hit) < len(got) else {}
+                rare.extend(counts)
+                times.extend(counts.values())
+                each.append(len(counts))
+            n = len(each)
+            row = pa.array(np.concatenate([np.arange(n), np.repeat(np.arange(n), each)]))
+            ids = [pa.array(part[c], t).take(row) for c, t in (("doc_id", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()))]
+            word = pa.array([None] * n + rare, pa.binary()).cast(pa.string())
+            texts = [np.concatenate([np.array(column), np.zeros(len(rare), type(column[0]))]) for column in zip(*sums)]
+            yield pa.RecordBatch.from_arrays([*ids, word, pa.array([1] * n + times, pa.int64()), *map(pa.array, texts)], ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "base_score", "score"])
 
     parts = rows.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, held_out boolean, word string, times long, n_tokens long, n_known long, base_score double, score double")
     parts = written(parts)
