@@ -417,7 +417,7 @@ def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict |
     """channel, time_ix, coefname, estimate: an M-estimate for each channel and time over the events that have a value there.
 
     Where a channel and time has more than most_rows events, the estimates are made in rounds of partial sums over all rows. Another estimator than
-    tukey is a function of a whole group and gets each channel and time as one, however large."""
+    tukey is a function of a whole group and gets each channel and time as one: groups of more than most_rows events are an error then."""
     schema = Schema.fit(formula, events, contrasts)
     names = schema.names()
 
@@ -427,7 +427,10 @@ def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict |
 
     rows = epochs.where("y is not null").join(schema.design(events), "event_ix").select("channel", F.col("time_ix").cast("int").alias("time_ix"), "y", "x")
     out = "channel int, time_ix int, coefname string, estimate double"
-    if estimator is tukey and (rows.groupBy("channel", "time_ix").count().agg(F.max("count")).first()[0] or 0) > most_rows:
+    largest = rows.groupBy("channel", "time_ix").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_rows and estimator is not tukey:
+        raise ValueError(f"a channel and time has {largest} events, more than most_rows ({most_rows}) that an own estimator may get at once")
+    if largest > most_rows:
         rows = rows.withColumn("channel", F.col("channel").cast("int")).persist()
         beta = _tukey_rounds(rows, len(names))
         rows.unpersist()

@@ -171,6 +171,8 @@ def test_robust_in_rounds_equals_whole_groups(spark):
     get = lambda most: {(r["time_ix"], r["coefname"]): r["estimate"] for r in sv.robust("0 ~ 1 + x", e, epochs, most_rows=most).collect()}
     whole, rounds = get(10**9), get(10)
     assert len(whole) == 4 and rounds == {k: pytest.approx(v, abs=1e-7) for k, v in whole.items()}
+    with pytest.raises(ValueError, match="more than most_rows"):
+        sv.robust("0 ~ 1 + x", e, epochs, estimator=lambda x, y: x[0], most_rows=10)
 
 
 def test_medians_are_exact(spark):
