@@ -49,6 +49,9 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.mark = self._ids([_MARK])[0]
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -58,13 +61,24 @@ class _Words(dict):
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str], between: str) -> np.ndarray:
+        """Ids of the words, tokenized _TOGETHER at a time with so much between them and after the last."""
+        rows = self._ids([between.join([*words[i : i + _TOGETHER], ""]) for i in range(0, len(words), _TOGETHER)])
+        return np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
+
     def learn(self, words: set[str]) -> None:
+        """Words of letters end with the id that says so, where the vocabulary has such ids and each word has one; others are told apart by marks or tokenized alone."""
+        letters = sorted(w for w in words if w.isalpha()) if self.ends.any() else []
+        ids = self._together(letters, " ")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(letters):
+            self._add(letters, ids, np.diff(last, prepend=-1))
+            words = words.difference(letters)
         together = sorted(w for w in words if _MARK not in w) if len(self.mark) == 1 else []
-        alone = sorted(words.difference(together))
-        rows = self._ids([f" {_MARK} ".join([*together[i : i + _TOGETHER], ""]) for i in range(0, len(together), _TOGETHER)])
-        ids = np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
+        ids = self._together(together, f" {_MARK} ")
         marks = ids == self.mark[0]
         self._add(together, ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        alone = sorted(words.difference(together))
         rows = self._ids(alone)
         self._add(alone, np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows))), np.fromiter(map(len, rows), np.int64, len(rows)))
 
