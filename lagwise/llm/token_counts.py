@@ -7,6 +7,9 @@ chunk's boundary there is the whole text's: it is when it lies before the last n
 boundaries). The left chunk's tokens up to that place and the right chunk's from there on are the whole text's. Where an overlap has no common boundary
 it is widened WIDEN times, and where it would reach beyond the right chunk, both become one; only the chunks concerned are encoded again.
 
+Shorter documents are counted by their words: a single blank between two characters that are not blank always begins a match, so that a text has as many tokens as
+the parts between such blanks have together. A task remembers the counts of parts that it has seen, REMEMBERED or REMEMBERED_CHARS at most.
+
 Other tokenizers (with a normalizer, other pre-tokenizers, or special strings that can overlap) are refused: the proof doesn't hold for them.
 
 A null text is an empty one, of 0 tokens. Null ids and repeated rows are counted each; an empty table gives no rows; columns other than doc_id and text
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +33,8 @@ from lagwise.llm.common import shuffle_parts, slices, written
 
 #: Characters of a chunk and of the first overlap; times that an overlap grows; tokens beyond which a document is over the limit.
 CHUNK, OVERLAP, WIDEN, LIMIT = 16_384, 256, 4, 512
+#: Parts, and their characters, whose counts a worker remembers.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 32_000_000
 #: Characters that a pattern of the pre-tokenizer looks at beyond its match at most, other than blanks: those of 'll, 've and 're.
 LOOKAHEAD = 3
 
@@ -138,11 +144,37 @@ def _huge_counts(huge: DataFrame, file: str, chunk: int, overlap: int) -> DataFr
         todo = huge.join(again, "key").select("key", "text", F.col("ranges").cast(_RANGE).alias("ranges"))
 
 
+#: What Python takes for blank includes all that the pre-tokenizer does.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+class _Known(dict):
+    """Tokens of a blank and a part, by part."""
+
+    chars = 0
+
+    def counts(self, texts: list[str], tokenizer) -> list[int]:
+        split = [_BETWEEN.split(t) for t in texts]
+        if len(self) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.clear()
+            self.chars = 0
+        new = list(set().union(*(s[1:] for s in split)).difference(self))
+        n = [len(e) for e in tokenizer.encode_batch_fast([*(s[0] for s in split), *(f" {p}" for p in new)], add_special_tokens=False)]
+        self.update(zip(new, n[len(split) :]))
+        self.chars += sum(map(len, new))
+        return [first + sum(map(self.__getitem__, s[1:])) for first, s in zip(n, split)]
+
+
+@lru_cache(maxsize=1)
+def _known(file: str) -> _Known:
+    return _Known()
+
+
 def _count(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(file)
+        tokenizer, known = _tokenizer(file), _known(file)
         for part in slices(batches):
-            n = [len(e) for e in tokenizer.encode_batch_fast(part["text"], add_special_tokens=False)]
+            n = known.counts(part["text"], tokenizer)
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["n_bytes"], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
@@ -152,6 +184,7 @@ def counted(docs: DataFrame, file: str, chunk: int = CHUNK, overlap: int = OVERL
     """doc_id, n_bytes, n_tokens, over_limit for each row; file: a vocabulary of the tokenizers library, at the same path on each executor."""
     if overlap < 1 or overlap > chunk:
         raise ValueError("an overlap is at least 1 character and at most a chunk")
+    margin(file)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_chars"))
     plain = rows.where(F.col("n_chars") <= 2 * chunk).select("doc_id", "n_bytes", "text").mapInArrow(_count(file), "doc_id long, n_bytes long, n_tokens long")
