@@ -5,9 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions import splines
@@ -108,9 +106,9 @@ class SplineTime(Basis):
 
     def _kernel(self, events: DataFrame, fraction: Column, duration: Column | None) -> DataFrame:
         breaks = splines.linspace(self.times[0], self.times[-1], self.n - 2)
-        knots, x = splines.clamped(breaks), F.col("_k") / F.lit(float(self.sfreq)) + F.lit(self.first / self.sfreq)
+        of, x = splines.pieces(splines.clamped(breaks)), F.col("_k") / F.lit(float(self.sfreq)) + F.lit(self.first / self.sfreq)
         table = events.sparkSession.range(len(self.times)).select(F.col("id").alias("_k"))
-        table = table.select(F.col("_k").alias("k"), F.posexplode(F.array(*[splines.basis(x, knots, i, closed=breaks[-1]) for i in range(self.n)])).alias("col", "w"))
+        table = table.select(F.col("_k").alias("k"), F.posexplode(F.array(*[splines.basis(x, of[i], breaks[-1]) for i in range(self.n)])).alias("col", "w"))
         return events.join(F.broadcast(table))  # times by functions, a fixed small table
 
 
@@ -122,22 +120,6 @@ def splinebasis(times: tuple[float, float], sfreq: float, n: int, name: str = "s
 STEPS = 32  # of a sample, on the grid of the haemodynamic kernel
 
 
-def hrf_kernel(phase: int, tr: float, duration: float | None = None, p=(6, 16, 1, 1, 6, 0, 32)) -> np.ndarray:
-    """Difference of two gamma densities on a grid of STEPS steps a sample, convolved with a box as long as the event that begins phase steps after the
-    first sample, at each whole sample up to the kernel's and the event's length. phase: (1 - fraction of the latency) in steps."""
-    dt = tr / STEPS
-    d = duration if duration and duration > 0 else 1 / STEPS
-    u = np.arange(0, math.ceil((p[6] + d) / dt) + 1) - p[5] / dt
-
-    def gamma(shape: float, scale: float) -> np.ndarray:
-        x = np.maximum(u, 1e-300)
-        return np.where(u > 0, np.exp((shape - 1) * np.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale)), 0.0)
-
-    h = gamma(p[0] / p[2], p[2] / dt) - gamma(p[1] / p[3], p[3] / dt) / p[4]
-    box = np.concatenate([np.zeros(phase), np.ones(math.ceil(d * STEPS))])
-    return np.convolve(h / h.sum(), box)[::STEPS][: math.floor(p[6] / tr + d) + 1]
-
-
 @dataclass(frozen=True)
 class Hrf(Basis):
     parameters: tuple = (6, 16, 1, 1, 6, 0, 32)
@@ -145,18 +127,35 @@ class Hrf(Basis):
     times = (float("nan"),)
     colnames = (0.0,)
 
-    def _kernel(self, events: DataFrame, fraction: Column, duration: Column | None) -> DataFrame:
-        """A kernel is made once for each of the 33 phases and each duration that occur, and joined to the events."""
-        tr, p = 1 / self.sfreq, self.parameters
+    def response(self, spark, steps: int) -> DataFrame:
+        """i, s: the sum of the response's values at the grid's steps 0 to i. The response is a difference of two gamma densities."""
+        p, dt = self.parameters, 1 / self.sfreq / STEPS
+        u = F.col("i") - F.lit(p[5] / dt)
+
+        def gamma(shape: float, scale: float) -> Column:
+            return F.when(u > 0, F.exp(F.lit(shape - 1) * F.log(u) - u / F.lit(scale) - F.lit(math.lgamma(shape) + shape * math.log(scale)))).otherwise(0.0)
 
-        @F.pandas_udf("array<double>")
-        def weights(phase: pd.Series, d: pd.Series) -> pd.Series:
-            return pd.Series([hrf_kernel(int(a), tr, b, p).tolist() for a, b in zip(phase, d)])
+        h = gamma(p[0] / p[2], p[2] / dt) - gamma(p[1] / p[3], p[3] / dt) / F.lit(float(p[4]))
+        # one row for each step up to the longest event's
+        return spark.range(steps + 1).withColumnRenamed("id", "i").select("i", F.sum(h).over(Window.orderBy("i")).alias("s"))
 
+    def _kernel(self, events: DataFrame, fraction: Column, duration: Column | None) -> DataFrame:
+        """The response on a grid of STEPS steps a sample, convolved with a box as long as the event that begins a phase (1 less the latency's fraction, in steps)
+        after the first sample, at each whole sample up to the response's and the event's length, and scaled by the response's sum over both lengths. What a box
+        sums is the difference of the response's sums at its ends: the table of sums is joined there, for each phase and duration that occur."""
+        tr, p = 1 / self.sfreq, self.parameters
         d = F.coalesce(duration.cast("double"), F.lit(0.0)) if duration is not None else F.lit(0.0)
-        placed = events.withColumn("_phase", F.rint((1 - fraction) * STEPS).cast("int")).withColumn("_d", d)
-        kernels = placed.select("_phase", "_d").distinct().select("_phase", "_d", F.posexplode(weights("_phase", "_d")).alias("k", "w"))
-        return placed.join(kernels, ["_phase", "_d"]).select(*events.columns, F.col("k").cast("long").alias("k"), "w", F.lit(0).alias("col"))
+        placed = events.withColumn("_phase", F.rint((1 - fraction) * STEPS).cast("int")).withColumn("_d", F.when(d > 0, d).otherwise(1 / STEPS))
+        end = F.ceil((F.lit(float(p[6])) + F.col("_d")) / F.lit(tr / STEPS)).cast("long")
+        longest = placed.agg(F.max(end)).first()[0] or 0
+        sums = self.response(events.sparkSession, longest)
+        boxes = placed.select("_phase", "_d").distinct().withColumn("_end", end).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(p[6] / tr) + F.col("_d")).cast("long"))))
+        high = F.col("k") * STEPS - F.col("_phase")
+        boxes = boxes.withColumn("_high", F.least(high, "_end")).withColumn("_low", F.least(high - F.ceil(F.col("_d") * STEPS), "_end"))
+        of = lambda place, name: sums.select(F.col("i").alias(place), F.col("s").alias(name))
+        kernels = boxes.join(of("_end", "_all"), "_end").join(of("_high", "_to"), "_high", "left").join(of("_low", "_from"), "_low", "left")
+        kernels = kernels.select("_phase", "_d", "k", ((F.coalesce("_to", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))) / F.col("_all")).alias("w"))
+        return placed.join(kernels, ["_phase", "_d"]).select(*events.columns, "k", "w", F.lit(0).alias("col"))
 
 
 def hrfbasis(tr: float, parameters=(6, 16, 1, 1, 6, 0, 32), name: str = "") -> Hrf:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +26,48 @@ def periodic(breaks: list[float]) -> list[float]:
     return [x - period for x in breaks[-ORDER:-1]] + list(breaks) + [x + period for x in breaks[1:ORDER]]
 
 
-def basis(x: Column, knots: list[float], i: int, order: int = ORDER, closed: float | None = None) -> Column:
-    """Cox-de Boor: the i-th function of that order; closed: the last break, which belongs to the interval before it."""
-    if order == 1:
-        a, b = knots[i], knots[i + 1]
-        if a == b:
-            return F.lit(0.0)
-        return F.when((x >= F.lit(a)) & ((x < F.lit(b)) | ((x == F.lit(b)) & F.lit(b == closed))), F.lit(1.0)).otherwise(F.lit(0.0))
-    out = F.lit(0.0)
-    if knots[i + order - 1] > knots[i]:
-        out = out + (x - F.lit(knots[i])) / F.lit(knots[i + order - 1] - knots[i]) * basis(x, knots, i, order - 1, closed)
-    if knots[i + order] > knots[i + 1]:
-        out = out + (F.lit(knots[i + order]) - x) / F.lit(knots[i + order] - knots[i + 1]) * basis(x, knots, i + 1, order - 1, closed)
+def _value(x: float, t: list[float], span: int) -> list[float]:
+    """The four functions that are not zero between t[span] and t[span + 1], at x: those of number span - 3 to span (triangular recurrence)."""
+    n = [1.0]
+    for d in range(1, ORDER):
+        out, saved = [], 0.0
+        for r in range(d):
+            right, left = t[span + r + 1] - x, x - t[span + 1 + r - d]
+            share = n[r] / (right + left)
+            out.append(saved + right * share)
+            saved = left * share
+        n = [*out, saved]
+    return n
+
+
+def pieces(knots: list[float]) -> dict[int, list[tuple[float, float, list[float]]]]:
+    """For each function its pieces: from, to, and a cubic's four coefficients in Bernstein's form: what it is at both ends is exact, so that zeros are."""
+    at = np.array([0.0, 1 / 3, 2 / 3, 1.0])
+    invert = np.linalg.inv(np.stack([(1 - at) ** 3, 3 * at * (1 - at) ** 2, 3 * at**2 * (1 - at), at**3], axis=1))
+    out: dict[int, list] = {}
+    for span in range(ORDER - 1, len(knots) - ORDER):
+        a, b = knots[span], knots[span + 1]
+        if a < b:
+            values = np.array([_value(a + (b - a) * u, knots, span) for u in at])
+            for i, c in enumerate(np.where(np.abs(invert @ values) < 1e-14, 0.0, invert @ values).T):
+                out.setdefault(span - ORDER + 1 + i, []).append((a, b, c.tolist()))
     return out
 
 
+def basis(x: Column, parts: list[tuple[float, float, list[float]]], closed: float | None = None) -> Column:
+    """A function given by its pieces, in order; 0 elsewhere. closed: the last break, which belongs to the piece before it. The expression's size depends on
+    the pieces (four where nothing is periodic), not on how many functions there are."""
+    out = F.when(x < F.lit(parts[0][0]), F.lit(0.0))
+    end = parts[0][0]
+    for a, b, c in parts:
+        if a > end:
+            out = out.when(x < F.lit(a), F.lit(0.0))
+        u, v, end = (x - F.lit(a)) / F.lit(b - a), (F.lit(b) - x) / F.lit(b - a), b
+        cubic = v * v * (v * F.lit(c[0]) + u * F.lit(3 * c[1])) + u * u * (v * F.lit(3 * c[2]) + u * F.lit(c[3]))
+        out = out.when(x <= F.lit(b) if b == closed else x < F.lit(b), cubic)
+    return out.otherwise(F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Spline:
     """spl(x, df) or, with low and high, circspl(x, df, low, high). breaks are learned for spl, given for circspl."""
@@ -69,15 +97,21 @@ class Spline:
         x = F.col(self.var).cast("double")
         if not self.circular:
             b = list(self.breaks)
-            knots = clamped(b)
+            of = pieces(clamped(b))
             inside = (x >= F.lit(b[0])) & (x <= F.lit(b[-1]))
-            return [F.when(inside, basis(x, knots, i, closed=b[-1])) for i in range(self.df)]
+            return [F.when(inside, basis(x, of[i], b[-1])) if i in of else F.when(inside, F.lit(0.0)) for i in range(self.df)]
         breaks = linspace(self.low, self.high, self.df + 2)
-        knots, n = periodic(breaks), self.df + 1
+        n, of = self.df + 1, pieces(periodic(breaks))
         w = F.pmod(x - F.lit(self.low), F.lit(self.high - self.low)) + F.lit(self.low)
-        total = len(knots) - ORDER
-        # functions that run over the end continue at the beginning
-        return [sum((basis(w, knots, j) for j in range(i + n, total, n)), basis(w, knots, i)) for i in range(n)]
+        out = []
+        for i in range(n):
+            # functions that run over the end continue at the beginning: pieces of one place are added
+            places: dict[tuple[float, float], np.ndarray] = {}
+            for j in range(i, max(of) + 1, n):
+                for a, b, c in of.get(j, []):
+                    places[a, b] = places.get((a, b), 0) + np.array(c)
+            out.append(basis(w, [(a, b, c.tolist()) for (a, b), c in sorted(places.items(), key=lambda p: p[0])]))
+        return out
 
     def columns(self) -> list[tuple[str, Column]]:
         cols = self.all_columns()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lagwise.functions.basis import Basis
 from lagwise.functions.formula import Schema
+from lagwise.operators import blocks
 from lagwise.operators.events import ANY, filter_events
 
 
@@ -43,20 +44,21 @@ def entries(design, events: DataFrame, contrasts: dict | None = None, column: st
     return out
 
 
-def time_expand(entry: Entry, events: DataFrame, latency: str = "latency", duration: str | None = None, column: str = "event") -> DataFrame:
-    """sample, col_ix, x of one kind of event; equal cells of different events are added up by expanded_design."""
+def time_expand(entry: Entry, events: DataFrame, latency: str = "latency", duration: str | None = None, column: str = "event", series: str | None = None) -> DataFrame:
+    """sample, col_ix, x of one kind of event, and its series if that is asked for; equal cells of different events are added up by expanded_design."""
     own = filter_events(events, entry.key, column, check=False)
-    extra = [latency, *([duration] if duration else [])]
+    keys = [series] if series else []
+    extra = [*keys, latency, *([duration] if duration else [])]
     rows = entry.schema.design(own, extra)
     w = entry.basis.width
     wide = entry.basis.expanded(rows, latency, duration)
-    return wide.select("event_ix", "sample", "col", "w", F.posexplode("x").alias("p", "v")).select("event_ix", "sample", (F.lit(entry.offset) + F.col("p") * w + F.col("col")).cast("int").alias("col_ix"), (F.col("w") * F.col("v")).alias("x"))
+    return wide.select(*keys, "event_ix", "sample", "col", "w", F.posexplode("x").alias("p", "v")).select(*keys, "event_ix", "sample", (F.lit(entry.offset) + F.col("p") * w + F.col("col")).cast("int").alias("col_ix"), (F.col("w") * F.col("v")).alias("x"))
 
 
-def expanded_design(all_: list[Entry], events: DataFrame, latency: str = "latency", duration: str | None = None, column: str = "event") -> DataFrame:
-    """sample, col_ix, x: the time-expanded design of all kinds, without zeros."""
-    parts = [time_expand(e, events, latency, duration, column) for e in all_]
-    return reduce(DataFrame.unionByName, parts).groupBy("sample", "col_ix").agg(F.sum("x").alias("x")).where("x != 0")
+def expanded_design(all_: list[Entry], events: DataFrame, latency: str = "latency", duration: str | None = None, column: str = "event", series: str | None = None) -> DataFrame:
+    """sample, col_ix, x: the time-expanded design of all kinds, without zeros. series: a column whose values have samples of their own."""
+    parts = [time_expand(e, events, latency, duration, column, series) for e in all_]
+    return reduce(DataFrame.unionByName, parts).groupBy(*([series] if series else []), "sample", "col_ix").agg(F.sum("x").alias("x")).where("x != 0")
 
 
 def combined(first: DataFrame, second: DataFrame, columns: int) -> DataFrame:
@@ -74,16 +76,20 @@ def valid_samples(signal: DataFrame) -> DataFrame:
 
 
 def gram(x: DataFrame) -> DataFrame:
-    """i, j, g for i <= j: sums of products of the columns. A sample's cells are gathered (as many as columns overlap there) and paired in place."""
-    rows = x.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("col_ix", "x"))).alias("c"))
-    first = rows.select("c", F.posexplode("c").alias("at", "a"))
-    pairs = first.select("a", F.explode(F.slice("c", F.col("at") + 1, F.size("c"))).alias("b"))
-    return pairs.groupBy(F.col("a.col_ix").alias("i"), F.col("b.col_ix").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
+    """i, j, g for i <= j: sums of products of the columns, made by blocks of samples."""
+    p = (x.agg(F.max("col_ix")).first()[0] or 0) + 1
+    rows = blocks.sums(x, p).select(F.explode(F.arrays_zip("keys", "values")).alias("s"))
+    at = F.col("s.keys")
+    return rows.select(F.expr(f"cast(s.keys div {p} as int)").alias("i"), (at % p).cast("int").alias("j"), F.col("s.values").alias("g"))
 
 
 def cross(x: DataFrame, signal: DataFrame) -> DataFrame:
-    """channel, col_ix, r: sums of products of the columns with each channel."""
-    return x.join(signal.where("y is not null"), "sample").groupBy("channel", "col_ix").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+    """channel, col_ix, r: sums of products of the columns with each channel, over the samples that the channel has."""
+    packed = blocks.pack(signal, complete=False)
+    n, rows = packed.width, blocks.sums(x, 1, packed, xx=False)
+    cells = rows.select("keys", F.posexplode("values").alias("at", "r"))
+    channel = F.get(F.array(*map(F.lit, packed.channels)), F.col("at") % n) if n else F.lit(None)
+    return cells.select(channel.alias("channel"), F.expr(f"cast(keys[cast(at div {max(1, n)} as int)] as int)").alias("col_ix"), "r")
 
 
 def gram_lagged(entry: Entry, events: DataFrame, samples: int, latency: str = "latency", column: str = "event") -> DataFrame:

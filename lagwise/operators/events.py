@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagwise.session import written
+
 ANY = object()
+#: Events of a range in which the matchers scan.
+RANGE = 500_000
 
 
 def filter_events(events: DataFrame, key, column: str = "event", check: bool = True) -> DataFrame:
@@ -30,75 +36,93 @@ def require_complete(events: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing values in predictors: {bad}")
 
 
-def latency_range(events: DataFrame, latency: str, parts: int = 64) -> Column:
-    """The number of an event's range of latencies; events of equal latency share one."""
-    key = F.col(latency).cast("double")
-    cuts = sorted(set(events.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []))
-    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key))) if cuts else F.lit(0)
-
-
-def _carried(rows: DataFrame, target: Column, latency: str) -> DataFrame:
-    """_range, before, after: for each range the last target of the ranges before it and the first of those after it. The driver gets one row for each range."""
-    last, first = F.max_by(target, F.when(target.isNotNull(), F.struct(latency, -F.col("event_ix")))), F.min_by(target, F.when(target.isNotNull(), F.struct(latency, "event_ix")))
-    ends = rows.groupBy("_range").agg(last.alias("before"), first.alias("after")).orderBy("_range")
-    got = ends.collect()
-    before, after = [None] * len(got), [None] * len(got)
-    for i in range(1, len(got)):
-        before[i] = got[i - 1]["before"] or before[i - 1]
-    for i in range(len(got) - 2, -1, -1):
-        after[i] = got[i + 1]["after"] or after[i + 1]
-    return rows.sparkSession.createDataFrame([(r["_range"], b, a) for r, b, a in zip(got, before, after)], ends.schema)
-
-
 def _said(latency: str, field: str) -> Column:
     """What a source says: its latency, number and value."""
     return F.struct(F.col(latency).alias("l"), F.col("event_ix").alias("i"), F.col(field).alias("v")).alias("s")
 
 
-def _nearest(events: DataFrame, keys: list[str], source, target, field: str, search: str, column: str, latency: str) -> DataFrame:
-    """keys, event_ix of the target of each source, s."""
-    parts = Window.partitionBy(*keys) if keys else Window.partitionBy("_range")
-    t = F.when(F.col(column) == F.lit(target), F.struct(F.col(latency).alias("lat"), F.col("event_ix").alias("ix")))
-    back = parts.orderBy(latency, F.when(F.col(column) == F.lit(target), 0).otherwise(1), F.col("event_ix").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = parts.orderBy(latency, F.when(F.col(column) == F.lit(target), 1).otherwise(0), "event_ix").rowsBetween(0, Window.unboundedFollowing)
-    rows = events.select(*keys, "event_ix", latency, column, field)
-    if not keys:
-        rows = rows.withColumn("_range", latency_range(rows, latency))
-    near = rows.withColumn("b", F.last(t, ignorenulls=True).over(back)).withColumn("f", F.first(t, ignorenulls=True).over(ahead))
-    if not keys:
-        near = near.join(F.broadcast(_carried(rows, t, latency)), "_range", "left").withColumn("b", F.coalesce("b", "before")).withColumn("f", F.coalesce("f", "after"))
-    db, df_ = F.col(latency) - F.col("b.lat"), F.col("f.lat") - F.col(latency)
-    closest = F.when(F.col("b").isNull(), F.col("f.ix")).when(F.col("f").isNull(), F.col("b.ix")).when(db < df_, F.col("b.ix")).when(df_ < db, F.col("f.ix")).otherwise(F.least("b.ix", "f.ix"))
-    chosen = {"closest": closest, "backward": F.col("b.ix"), "forward": F.col("f.ix")}[search]
-    return near.where(F.col(column) == F.lit(source)).select(*keys, chosen.alias("event_ix"), _said(latency, field))
-
-
-def _chosen(events: DataFrame, keys: list[str], source, target, field: str, search, column: str, latency: str, within: float) -> DataFrame:
-    """The same by a function; sources and targets meet through ranges of latency as wide as `within`."""
-    bucket = lambda shift: (F.floor(F.col(latency) / F.lit(float(within))) + shift).cast("long")
-    sources = events.where(F.col(column) == F.lit(source)).select(*keys, F.explode(F.array(*map(bucket, (-1, 0, 1)))).alias("_bucket"), F.col(latency).alias("_lat"), _said(latency, field))
-    targets = events.where(F.col(column) == F.lit(target)).select(*keys, bucket(0).alias("_bucket"), F.struct(F.col(latency).alias("lat"), F.col("event_ix").alias("ix")).alias("t"))
-    near = sources.join(targets, [*keys, "_bucket"]).where(F.abs(F.col("t.lat") - F.col("_lat")) <= F.lit(float(within)))
-    near = near.groupBy(*keys, "_lat", "s").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    at = search(F.col("_lat"), F.transform("ts", lambda t: t["lat"]))
-    return near.select(*keys, F.get("ts", F.when(at >= 0, at).cast("int"))["ix"].alias("event_ix"), "s")
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with _range: the number of the range of `order` that they lie in, each of some RANGE rows at most on the average; written, so that it stays."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows.count() // RANGE))
+    return written(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))[0]
 
 
-def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None = None, search="closest", column: str = "event", group: str | None = None, latency: str = "latency", within: float | None = None) -> DataFrame:
+def _nearest(events: DataFrame, keys: list[str], source, target, field: str, search: str, column: str, latency: str) -> DataFrame:
+    """keys, event_ix of the target of each source, s.
+
+    Sources and targets are sorted in ranges of (keys, latency), targets before sources of equal latency, so that a group of any size is cut too. In each range
+    one scan forward has the last target so far, one backward the next (running maxima and minima); what the ranges before and after have to offer follows
+    from two rows of each group and range. The work is that of sorting."""
+    is_target, is_source = F.col(column) == F.lit(target), F.col(column) == F.lit(source)
+    rows = events.where((is_target | is_source) & F.col(latency).isNotNull()).where(" and ".join(f"`{k}` is not null" for k in keys) or "true")
+    rows = rows.select(*keys, "event_ix", F.col(latency).alias("_l"), F.when(is_target, 0).otherwise(1).alias("_kind"), is_source.alias("_source"), _said(latency, field))
+    order = ["_l", "_kind", "event_ix"]
+    rows = _ranged(rows, [*keys, *order])
+    # equally near targets: the one of the least number
+    back, ahead = F.when(F.col("_kind") == 0, F.struct("_l", (-F.col("event_ix")).alias("ix"))), F.when(F.col("_kind") == 0, F.struct("_l", F.col("event_ix").alias("ix")))
+    here, so_far = Window.partitionBy("_range", *keys), (Window.unboundedPreceding, 0)
+    near = rows.withColumn("b", F.max(back).over(here.orderBy(*order).rowsBetween(*so_far))).withColumn("f", F.min(ahead).over(here.orderBy(*map(F.desc, order)).rowsBetween(*so_far)))
+    ends, ranges = rows.groupBy(*keys, "_range").agg(F.max(back).alias("last"), F.min(ahead).alias("first")), Window.partitionBy(*keys)
+    beyond = (Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_range", F.max("last").over(ranges.orderBy("_range").rowsBetween(*beyond)).alias("before"), F.min("first").over(ranges.orderBy(F.desc("_range")).rowsBetween(*beyond)).alias("after"))
+    near = near.where("_source").join(carried, [*keys, "_range"]).withColumn("b", F.greatest("b", "before")).withColumn("f", F.least("f", "after"))
+    b, at = -F.col("b.ix"), F.col("_l")
+    # a target of equal latency lies before its sources; it is the nearest on both sides
+    same = F.col("b._l") == at
+    f, db, df_ = F.when(same, b).otherwise(F.col("f.ix")), at - F.col("b._l"), F.when(same, F.lit(0.0)).otherwise(F.col("f._l") - at)
+    closest = F.when(F.col("b").isNull(), f).when(f.isNull(), b).when(db < df_, b).when(df_ < db, f).otherwise(F.least(b, f))
+    return near.select(*keys, {"closest": closest, "backward": b, "forward": f}[search].alias("event_ix"), "s")
+
+
+def _chosen(sources: DataFrame, targets: DataFrame, keys: list[str], search, reach: float) -> DataFrame:
+    """keys, _lat, s of each source, with ts: the targets (lat, ix) at most reach away, in order, and event_ix of the one that search chooses. Sources and targets
+    meet through ranges of latency as wide as reach."""
+    bucket = lambda c, shift: (F.floor(c / F.lit(float(reach))) + shift).cast("long")
+    spread = sources.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("_lat"), i) for i in (-1, 0, 1)])))
+    near = spread.join(targets.withColumn("_bucket", bucket(F.col("t.lat"), 0)), [*keys, "_bucket"], "left")
+    inside = F.when(F.abs(F.col("t.lat") - F.col("_lat")) <= F.lit(float(reach)), F.col("t"))
+    near = near.groupBy(*keys, "_lat", "s").agg(F.array_sort(F.collect_list(inside)).alias("ts"))
+    at = search(F.col("_lat"), F.transform("ts", lambda t: t["lat"]))
+    return near.withColumn("event_ix", F.get("ts", F.when(at >= 0, at).cast("int"))["ix"])
+
+
+def _by_function(events: DataFrame, keys: list[str], source, target, field: str, search, column: str, latency: str, within: float | None, settled) -> DataFrame:
+    """keys, event_ix of the target of each source, s. Without `within` the reach grows in rounds, for those sources only whose answer isn't settled."""
+    there = events.where(F.col(latency).isNotNull()).where(" and ".join(f"`{k}` is not null" for k in keys) or "true")
+    sources = there.where(F.col(column) == F.lit(source)).select(*keys, F.col(latency).cast("double").alias("_lat"), _said(latency, field))
+    targets = there.where(F.col(column) == F.lit(target)).select(*keys, F.struct(F.col(latency).cast("double").alias("lat"), F.col("event_ix").alias("ix")).alias("t"))
+    if within is not None:
+        return _chosen(sources, targets, keys, search, within).select(*keys, "event_ix", "s")
+    span = there.where(F.col(column).isin(source, target)).agg((F.max(latency) - F.min(latency)).cast("double").alias("span"), F.count_if(F.col(column) == F.lit(target)).alias("n")).first()
+    reach, picks, span, columns = max(span["span"] or 0.0, 1e-9) / max(1, span["n"]) * 4, [], span["span"] or 0.0, sources.columns
+    while True:
+        got = _chosen(sources, targets, keys, search, reach)
+        last = reach >= span
+        done = F.lit(last) if last or settled is None else F.coalesce(settled(F.col("_lat"), F.transform("ts", lambda t: t["lat"]), F.lit(float(reach))), F.lit(False))
+        table, _ = written(got.select(*keys, "_lat", "s", "event_ix", done.alias("_done")))
+        picks.append(table.where("_done").select(*keys, "event_ix", "s"))
+        sources = table.where("not _done").select(*columns)
+        if last or sources.isEmpty():
+            return reduce(DataFrame.unionByName, picks)
+        reach = reach * 4 if settled is not None else max(span, reach)
+
+
+def copy_eventinfo(events: DataFrame, source, target, field: str, to: str | None = None, search="closest", column: str = "event", group: str | None = None, latency: str = "latency", within: float | None = None, settled=None) -> DataFrame:
     """For each source event, writes its field into one target event's field `to`: the closest, the nearest at or before (backward), or at or after (forward),
-    or the one that a function chooses: search(latency, latencies) gets the source's latency and the array of the targets' latencies at most `within` away,
-    in order, as columns, and gives the number (from 0) of one of them, or null.
+    or the one that a function chooses: search(latency, latencies) gets the source's latency and the array of the targets' latencies, in order, as columns, and
+    gives the number (from 0) of one of them, or null. With `within` it sees the targets at most so far away. Without, it sees all of them, or as many as it
+    needs: settled(latency, latencies, reach) says that no target beyond the reach can change its choice; where it does not, the reach is widened.
 
     Equally close targets: the earlier in event_ix. Where several sources choose one target, the last (by latency, then event_ix) wins. Targets that no
-    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series); without it they are ordered
-    in ranges of latency, and each range's last and first target is carried to the ranges beside it."""
-    if callable(search) != (within is not None):
-        raise ValueError("a function that chooses needs `within`, and only such a one")
+    source chooses keep their value, or null in a new column. group: a column within which events are ordered (a series). Events without a latency or group
+    choose nothing and are not chosen."""
+    if not callable(search) and (within is not None or settled is not None):
+        raise ValueError("only a function that chooses has a reach")
     if not callable(search) and search not in ("closest", "backward", "forward"):
         raise ValueError(f"search must be closest, backward or forward, not {search!r}")
     to = to or field
     keys = [group] if group else []
-    choose = _chosen(events, keys, source, target, field, search, column, latency, within) if callable(search) else _nearest(events, keys, source, target, field, search, column, latency)
+    choose = _by_function(events, keys, source, target, field, search, column, latency, within, settled) if callable(search) else _nearest(events, keys, source, target, field, search, column, latency)
     picks = choose.where("event_ix is not null")
     won = picks.groupBy(*keys, "event_ix").agg(F.max_by("s", F.struct("s.l", "s.i")).alias("s")).select(*keys, "event_ix", F.col("s.v").alias("_new"), F.lit(True).alias("_hit"))
     old = F.col(to) if to in events.columns else F.lit(None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,52 +15,56 @@ from pyspark.sql import functions as F
 from lagwise.functions import basis as bases
 from lagwise.functions.basis import Basis
 from lagwise.functions.formula import Schema
-from lagwise.operators.design import Entry, cross, entries, expanded_design, gram, valid_samples
+from lagwise.operators import blocks
+from lagwise.operators.blocks import Packed
+from lagwise.operators.design import Entry, entries, expanded_design, valid_samples
 from lagwise.operators.epochs import drop_missing_epochs
 from lagwise.operators.events import ANY, filter_events
 
 #: Columns of a design whose cross product is solved on the driver: 5,000 make 200 MB. Wider designs are solved in rounds over the samples.
 MOST_COLUMNS = 5000
-#: Rounds of the iterative solver, and the share of X'y that may be left in X'(y - Xb).
-ROUNDS, LEFT = 2000, 1e-10
+#: The share of X'y that the solver cg may leave in X'(y - Xb).
+LEFT = 1e-14
 #: Events of one channel and time that a robust fit takes into one task; more are fitted in rounds of partial sums.
 MOST_ROWS = 100_000
 
 
 def solve(g: np.ndarray, r: np.ndarray, solver="default") -> np.ndarray:
-    """Least squares from the cross products; the default is cholesky, with the minimum-norm solution where g is singular; intern is numpy's general
-    solver. A callable gets (g, r). lsmr works on the design instead: see iterated."""
+    """Least squares from the cross products, whose columns are first scaled to length 1, so that no predictor's unit and no signal's matters; the default
+    is cholesky, with the minimum-norm solution (of the scaled columns) where g is singular; intern is numpy's general solver. A callable gets (g, r) as
+    they are. lsmr works on the design instead: see blocks."""
     if callable(solver):
         return solver(g, r)
-    scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1))
-    s = g * scale[:, None] * scale[None, :]
+    scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1))[:, None]
+    s, y = g * scale * scale.T, scale * r
     if solver == "intern":
-        return np.linalg.solve(g, r)
+        return scale * np.linalg.solve(s, y)
     if solver in ("default", "cholesky"):
         try:
             c = np.linalg.cholesky(s)
             if np.diag(c).min() > 1e-6:
-                return scale[:, None] * np.linalg.solve(c.T, np.linalg.solve(c, scale[:, None] * r))
+                return scale * np.linalg.solve(c.T, np.linalg.solve(c, y))
         except np.linalg.LinAlgError:
             pass
-        return np.linalg.pinv(g, hermitian=True, rcond=1e-10) @ r
-    if solver == "pinv":
-        return np.linalg.pinv(g, hermitian=True, rcond=1e-10) @ r
+    if solver in ("default", "cholesky", "pinv"):
+        return scale * (np.linalg.pinv(s, hermitian=True, rcond=1e-10) @ y)
     if solver == "qr":
-        q, t = np.linalg.qr(g)
-        return np.linalg.solve(t, q.T @ r)
+        q, t = np.linalg.qr(s)
+        return scale * np.linalg.solve(t, q.T @ y)
     if solver == "cg":
-        b, res = np.zeros_like(r), r.copy()
+        b, res = np.zeros_like(y), y.copy()
         d, old = res.copy(), (res * res).sum(0)
+        first = old
         for _ in range(10 * len(g)):
-            if old.max() < 1e-20:
+            if (old <= LEFT**2 * first).all():
                 break
-            gd = g @ d
-            step = old / np.maximum((d * gd).sum(0), 1e-300)
+            gd = s @ d
+            bend = (d * gd).sum(0)
+            step = np.where(bend > 0, old / np.where(bend > 0, bend, 1), 0)
             b, res = b + step * d, res - step * gd
             new = (res * res).sum(0)
-            d, old = res + new / np.maximum(old, 1e-300) * d, new
-        return b
+            d, old = res + np.where(old > 0, new / np.where(old > 0, old, 1), 0) * d, new
+        return scale * b
     raise ValueError(f"unknown solver {solver!r}")
 
 
@@ -153,94 +158,38 @@ def fit(design, events: DataFrame, data: DataFrame, *, solver="default", stderro
     return _mass_univariate(all_, events, data, solver, stderror, latency, column)
 
 
-def right_side(x: DataFrame, signal: DataFrame, p: int) -> tuple[np.ndarray, list[int]]:
-    """X'y (a column for each channel) and the channels."""
-    c = cross(x, signal).toPandas()
-    channels = sorted(r["channel"] for r in signal.select("channel").distinct().collect())
-    r = np.zeros((p, len(channels)))
-    r[c["col_ix"], c["channel"].map({k: i for i, k in enumerate(channels)})] = c["r"]
-    return r, channels
+def _narrow(p: int) -> None:
+    if p > MOST_COLUMNS:
+        raise ValueError(f"{p} columns; {MOST_COLUMNS} can be solved on the driver: use the solver lsmr")
 
 
-def left_side(x: DataFrame, p: int) -> np.ndarray:
-    """X'X, of designs narrow enough for the driver."""
-    if p > MOST_COLUMNS:
-        raise ValueError(f"{p} columns; {MOST_COLUMNS} can be solved or inverted on the driver: use the solver lsmr, without standard errors")
-    g = np.zeros((p, p))
-    t = gram(x).toPandas()
-    g[t["i"], t["j"]] = t["g"]
-    g[t["j"], t["i"]] = t["g"]
-    return g
+def solved(x: DataFrame, signal: DataFrame | Packed, p: int, solver="default", stderror: bool = False) -> tuple[np.ndarray, np.ndarray | None, list[int]]:
+    """Estimates (a column for each channel), with stderror the diagonal of the inverse of X'X, and the channels, for a design x: sample, col_ix, x, over the
+    samples of the signal that no channel lacks. Wide designs are iterated over the samples, for the inverse too."""
+    wide = p > MOST_COLUMNS
+    if solver not in ("lsmr", "default"):
+        _narrow(p)
+    packed = signal if isinstance(signal, Packed) else blocks.pack(signal)
+    if solver == "lsmr" or wide:
+        return blocks.lsmr(x, packed, p), blocks.inverse_diagonal(x, packed, p) if stderror else None, packed.channels
+    g, r = blocks.normal_equations(x, packed, p)
+    return solve(g, r, solver), np.diag(solve(g, np.eye(p))) if stderror else None, packed.channels
 
 
-def normal_equations(x: DataFrame, signal: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """X'X, X'y (a column for each channel) and the channels, over the samples of the signal that no channel lacks."""
-    x = x.join(valid_samples(signal), "sample", "left_semi")
-    return left_side(x, p), *right_side(x, signal, p)
-
-
-def iterated(x: DataFrame, r: np.ndarray, rounds: int = ROUNDS, left: float = LEFT) -> np.ndarray:
-    """Least squares without X'X, for all channels at once: conjugate residuals on X'Xb = X'y with columns scaled to length 1. In exact arithmetic these
-    are the iterates of LSMR: each makes X'(y - Xb) as small as the directions so far allow. A round is one pass over the samples, which are packed once
-    (sample, its columns and values); the driver holds vectors of p x channels. An error if the rounds are not enough.
-
-    x: sample, col_ix, value x; r: X'y."""
-    p, channels = r.shape
-    packed = x.groupBy("sample").agg(F.collect_list(F.struct(F.col("col_ix").alias("c"), F.col("x").alias("v"))).alias("cells"))
-    packed = packed.select(F.transform("cells", lambda e: e["c"]).alias("c"), F.transform("cells", lambda e: e["v"]).alias("v")).persist()
-    sc = x.sparkSession.sparkContext
-
-    def times(b: np.ndarray) -> np.ndarray:
-        """X'X b."""
-        sent = sc.broadcast(b)
-
-        def run(batches):
-            out = np.zeros((p, channels))
-            for batch in batches:
-                if batch.num_rows:
-                    cols, values = np.asarray(batch.column("c").flatten()), np.asarray(batch.column("v").flatten())
-                    sizes = np.diff(np.asarray(batch.column("c").offsets))
-                    fitted = np.add.reduceat(values[:, None] * sent.value[cols], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                    np.add.at(out, cols, values[:, None] * np.repeat(fitted, sizes, axis=0))
-            k = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(out.ravel()[k])], ["k", "v"])
-
-        got = packed.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-        sent.unpersist()
-        out = np.zeros(p * channels)
-        out[got["k"].to_numpy()] = got["v"].to_numpy()
-        return out.reshape(p, channels)
-
-    try:
-        squares = x.groupBy("col_ix").agg(F.sum(F.col("x") * F.col("x")).alias("s")).toPandas()
-        scale = np.zeros((p, 1))
-        scale[squares["col_ix"].to_numpy(), 0] = 1 / np.sqrt(squares["s"].to_numpy())
-        dot = lambda a, b: (a * b).sum(0)
-        res = scale * r
-        b, first = np.zeros_like(r), np.sqrt(dot(res, res))
-        d, a_res = res.copy(), scale * times(scale * res)
-        a_d, rho = a_res.copy(), dot(res, a_res)
-        for _ in range(rounds):
-            if (np.sqrt(dot(res, res)) <= left * first).all():
-                return scale * b
-            step = rho / np.maximum(dot(a_d, a_d), 1e-300)
-            b, res = b + step * d, res - step * a_d
-            a_res, old = scale * times(scale * res), rho
-            rho = dot(res, a_res)
-            d, a_d = res + rho / np.maximum(old, 1e-300) * d, a_res + rho / np.maximum(old, 1e-300) * a_d
-        raise RuntimeError(f"the solver did not converge in {rounds} rounds")
-    finally:
-        packed.unpersist()
-
-
-def solved(x: DataFrame, signal: DataFrame, p: int, solver="default", stderror: bool = False) -> tuple[np.ndarray, np.ndarray | None, list[int]]:
-    """Estimates (a column for each channel), X'X where it was needed, and the channels, for a design x: sample, col_ix, x. Wide designs are iterated."""
-    x = x.join(valid_samples(signal), "sample", "left_semi")
-    r, channels = right_side(x, signal, p)
-    if solver == "lsmr" or solver == "default" and p > MOST_COLUMNS:
-        return iterated(x, r), left_side(x, p) if stderror else None, channels
-    g = left_side(x, p)
-    return solve(g, r, solver), g, channels
+def fit_series(design, events: DataFrame, signal: DataFrame, series: str, solver="default", contrasts: dict | None = None, latency: str = "latency", duration: str | None = None, column: str = "event") -> DataFrame:
+    """A deconvolution of each series (subject, sensor; an integer column of events and signal), all in one job: series, channel, col_ix, coefname, estimate.
+
+    The formulas' schemas are learned once, from all series. Blocks of samples are summed in parallel, whatever their series; what meets in one task are a
+    series' sums, p x p and p x channels numbers, and there they are solved. Rows without a series are left out; a column that a series doesn't have is 0 there."""
+    all_ = entries(design, events, contrasts, column)
+    model = Model("deconvolution", all_, None, events, latency, duration, column)
+    p, names = all_[-1].offset + all_[-1].width, model.coefnames()
+    _narrow(p)
+    packed = blocks.pack(signal.where(F.col(series).isNotNull()), series)
+    x = expanded_design(all_, events.where(F.col(series).isNotNull()), latency, duration, column, series)
+    out = blocks.solved_by_series(blocks.sums(x, p, packed, series), p, packed.width, lambda g, r: solve(g, r, solver))
+    channels, labels = F.array(*map(F.lit, packed.channels)), F.array(*map(F.lit, names))
+    return out.select(F.col("series").alias(series), F.get(channels, F.col("channel")).alias("channel"), "col_ix", F.get(labels, F.col("col_ix")).alias("coefname"), "estimate")
 
 
 def fit_design(x: DataFrame, signal: DataFrame, names: list[str], solver="default") -> DataFrame:
@@ -253,9 +202,7 @@ def fit_design(x: DataFrame, signal: DataFrame, names: list[str], solver="defaul
 def _deconvolution(all_, events, signal, solver, stderror, latency, duration, column) -> Model:
     p = all_[-1].offset + all_[-1].width
     model = Model("deconvolution", all_, None, events, latency, duration, column)
-    x = model.design_matrix().persist()
-    b, g, channels = solved(x, signal, p, solver, stderror)
-    x.unpersist()
+    b, inverse, channels = solved(model.design_matrix(), signal, p, solver, stderror)
     spark = events.sparkSession
 
     def rows(se: np.ndarray | None) -> list[tuple]:
@@ -272,53 +219,74 @@ def _deconvolution(all_, events, signal, solver, stderror, latency, duration, co
 
         left = residuals(model, signal).join(valid_samples(signal), "sample", "left_semi")
         var = {v["channel"]: v["v"] for v in left.groupBy("channel").agg(F.var_samp("residual").alias("v")).collect()}
-        model.coefs = spark.createDataFrame(rows(np.sqrt(np.outer(np.diag(np.linalg.inv(g)), [var[ch] for ch in channels]))), _COEFS)
+        model.coefs = spark.createDataFrame(rows(np.sqrt(np.outer(inverse, [var[ch] for ch in channels]))), _COEFS)
     return model
 
 
-def _sums(x: DataFrame, k: int) -> np.ndarray:
-    """X'X of the array column x."""
-    first = x.select("x", F.posexplode("x").alias("i", "a"))
-    pairs = first.select("i", "a", F.posexplode(F.slice("x", F.col("i") + 1, F.lit(k))).alias("d", "b"))
-    g = np.zeros((k, k))
-    for row in pairs.groupBy("i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("g")).collect():
-        g[row["i"], row["j"]] = g[row["j"], row["i"]] = row["g"]
+def _sums(x: DataFrame, k: int, n: int) -> np.ndarray:
+    """X'X of the array column x, for each of n folds."""
+    first = x.select("fold", "x", F.posexplode("x").alias("i", "a"))
+    pairs = first.select("fold", "i", "a", F.posexplode(F.slice("x", F.col("i") + 1, F.lit(k))).alias("d", "b"))
+    g = np.zeros((n, k, k))
+    for row in pairs.groupBy("fold", "i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("g")).collect():
+        g[row["fold"], row["i"], row["j"]] = g[row["fold"], row["j"], row["i"]] = row["g"]
     return g
 
 
-def _mass_univariate(all_, events, epochs, solver, stderror, latency, column) -> Model:
+def _times(rows: DataFrame, inverses: np.ndarray) -> DataFrame:
+    """rows (channel, time_ix, time, fold, r) with b: the fold's inverse times r."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fold, r = batch.column("fold").to_numpy(), np.array(batch.column("r").to_pylist())
+                b = np.zeros_like(r)
+                for f in np.unique(fold):
+                    b[fold == f] = r[fold == f] @ inverses[f].T
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(b.tolist(), pa.list_(pa.float64()))], [*batch.schema.names[:4], "b"])
+
+    return rows.select("channel", "time_ix", "time", "fold", "r").mapInArrow(run, "channel int, time_ix int, time double, fold int, b array<double>")
+
+
+def _mass_univariate(all_, events, epochs, solver, stderror, latency, column, fold: DataFrame | None = None, n: int = 1, fit_test: bool = True) -> Model:
+    """fold: event_ix, fold of n folds, each of which gets estimates from the other folds' events, or (fit_test) from its own; without it all events are of
+    one fold. The epochs are read once, whatever the number of folds: sums of a fold's events are taken from the sums of all."""
     parts, full = [], drop_missing_epochs(epochs)
     for e in all_:
         n_times = epochs.select("time_ix").distinct().count()
         if n_times != len(e.times):
             raise ValueError(f"{len(e.times)} times but epochs of {n_times}")
         design = e.schema.design(filter_events(events, e.key, column))
+        design = design.join(fold, "event_ix") if fold is not None else design.withColumn("fold", F.lit(0))
         names, k = e.schema.names(), len(e.schema.names())
-        used = design.join(full.select("event_ix").distinct(), "event_ix", "left_semi")
-        g = _sums(used, k)
-        inverse = solve(g, np.eye(k), solver)
-        joined = full.join(design, "event_ix")
-        sums = joined.groupBy("channel", "time_ix", "time").agg(*[F.sum(F.get("x", F.lit(j)) * F.col("y")).alias(f"r{j}") for j in range(k)])
-        beta = [sum((F.lit(float(inverse[i, j])) * F.col(f"r{j}") for j in range(k)), F.lit(0.0)) for i in range(k)]
-        wide = sums.withColumn("b", F.array(*beta))
+        g = _sums(design.join(full.select("event_ix").distinct(), "event_ix", "left_semi"), k, n)
+        g = g if fit_test else g.sum(0) - g
+        inverses = np.stack([solve(m, np.eye(k), solver) for m in g])
+        joined = full.join(design, "event_ix").withColumn("channel", F.col("channel").cast("int")).withColumn("time_ix", F.col("time_ix").cast("int"))
+        keys, r = ["channel", "time_ix", "time"], F.array(*[F.sum(F.get("x", F.lit(j)) * F.col("y")) for j in range(k)])
+        sums = joined.groupBy(*keys, "fold").agg(r.alias("r"))
+        if not fit_test:
+            add = lambda a, b: F.zip_with(a, b, lambda u, v: u + v)
+            own = sums.groupBy(*keys).agg(F.collect_list(F.struct("fold", "r")).alias("own"))
+            others = lambda i: F.aggregate(F.filter("own", lambda s: s["fold"] != i), F.array_repeat(F.lit(0.0), k), lambda t, s: add(t, s["r"]))
+            sums = own.select(*keys, "own", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("fold")).withColumn("r", others(F.col("fold")))
+        wide = _times(sums, inverses)
         if stderror:
-            # the residual's variance follows from sums of squares: one pass, n - 1 as the denominator
-            more = joined.join(wide.select("channel", "time_ix", "b"), ["channel", "time_ix"])
-            fitted = sum((F.get("x", F.lit(j)) * F.get("b", F.lit(j)) for j in range(k)), F.lit(0.0))
-            var = more.groupBy("channel", "time_ix").agg(F.var_samp(F.col("y") - fitted).alias("v"))
-            d = np.diag(np.linalg.inv(g))
-            wide = wide.join(var, ["channel", "time_ix"]).withColumn("s", F.array(*[F.sqrt(F.lit(float(x)) * F.col("v")) for x in d]))
+            # the residuals' variance, n - 1 as the denominator: each event with the estimates that it had a part in
+            seen = joined.withColumnRenamed("fold", "own").join(wide, keys).where(F.col("fold") == F.col("own") if fit_test else F.col("fold") != F.col("own"))
+            fitted = F.aggregate(F.zip_with("x", "b", lambda v, c: v * c), F.lit(0.0), lambda t, v: t + v)
+            var = seen.groupBy("channel", "time_ix", "fold").agg(F.var_samp(F.col("y") - fitted).alias("v"))
+            d = F.array(*[F.array(*map(F.lit, np.diag(solve(m, np.eye(k))).tolist())) for m in g])
+            wide = wide.join(var, ["channel", "time_ix", "fold"]).withColumn("s", F.transform(F.get(d, F.col("fold")), lambda x: F.sqrt(x * F.col("v"))))
         else:
             wide = wide.withColumn("s", F.lit(None).cast("array<double>"))
-        long = wide.select("channel", "time_ix", "time", F.posexplode("b").alias("coef_ix", "estimate"), "s")
+        long = wide.select(*keys, "fold", F.posexplode("b").alias("coef_ix", "estimate"), "s")
         parts.append(long.select(
-            F.col("channel").cast("int").alias("channel"), F.col("time_ix").cast("int").alias("time_ix"), "time", (F.col("coef_ix") + e.offset).alias("col_ix"), F.lit(e.event).alias("event"),
-            F.get(F.array(*map(F.lit, names)), F.col("coef_ix")).alias("coefname"), "coef_ix", F.lit(0).alias("basis_ix"), F.lit(None).cast("double").alias("basis_time"), F.lit("time").alias("label"), F.lit(None).cast("int").alias("fold"), "estimate", F.get("s", F.col("coef_ix")).alias("stderror"),
+            *keys[:2], "time", (F.col("coef_ix") + e.offset).alias("col_ix"), F.lit(e.event).alias("event"), F.get(F.array(*map(F.lit, names)), F.col("coef_ix")).alias("coefname"), "coef_ix",
+            F.lit(0).alias("basis_ix"), F.lit(None).cast("double").alias("basis_time"), F.lit("time").alias("label"), F.col("fold") if fold is not None else F.lit(None).cast("int").alias("fold"),
+            "estimate", F.get("s", F.col("coef_ix")).alias("stderror"),
         ))
-    coefs = parts[0]
-    for part in parts[1:]:
-        coefs = coefs.unionByName(part)
-    return Model("mass-univariate", all_, coefs, events, latency, None, column, {"solver": solver if isinstance(solver, str) else "custom"})
+    return Model("mass-univariate", all_, reduce(DataFrame.unionByName, parts), events, latency, None, column, {"solver": solver if isinstance(solver, str) else "custom"})
 
 
 def folds(events: DataFrame, k: int, shuffle: bool = False, seed: int = 0) -> DataFrame:
@@ -337,31 +305,42 @@ def folds(events: DataFrame, k: int, shuffle: bool = False, seed: int = 0) -> Da
 
 
 def cross_validated(design, events: DataFrame, epochs: DataFrame, k: int = 5, shuffle: bool = True, seed: int = 0, fit_test: bool = False, **options) -> Model:
-    """A mass-univariate model whose coefs have one estimate for each fold, from the other folds' events (or, with fit_test, from the fold's own)."""
-    fold = folds(events, k, shuffle, seed)
-    parts, model = [], None
-    for i in range(k):
-        keep = fold.where(F.col("fold") == i if fit_test else F.col("fold") != i)
-        model = fit(design, events.join(keep, "event_ix", "left_semi"), epochs.join(keep, "event_ix", "left_semi"), **options)
-        parts.append(model.coefs.withColumn("fold", F.lit(i)))
-    coefs = parts[0]
-    for part in parts[1:]:
-        coefs = coefs.unionByName(part)
-    model.coefs, model.events, model.info = coefs, events, {**model.info, "folds": k}
+    """A mass-univariate model whose coefs have one estimate for each fold, from the other folds' events (or, with fit_test, from the fold's own). Formulas learn
+    their levels and breaks from all events, so that all folds have the same columns."""
+    if isinstance(design, tuple) and isinstance(design[0], str):
+        design = [(ANY, design)]
+    column, solver, stderror, latency = (options.pop(o, d) for o, d in (("column", "event"), ("solver", "default"), ("stderror", False), ("latency", "latency")))
+    all_ = entries(design, events, options.pop("contrasts", None), column)
+    if any(e.basis for e in all_) or options:
+        raise ValueError(f"cross-validation is of mass-univariate models, without {sorted(options)}")
+    model = _mass_univariate(all_, events, epochs, solver, stderror, latency, column, folds(events, k, shuffle, seed), k, fit_test)
+    model.info["folds"] = k
     return model
 
 
-def tukey(x: np.ndarray, y: np.ndarray, c: float = 4.685, rounds: int = 50) -> np.ndarray:
-    """M-estimate with Tukey's biweight and the median absolute deviation as scale."""
+def biweight(c: float = 4.685) -> Callable:
+    """Tukey's weights: 0 beyond c scales."""
+    return lambda u: np.where(np.abs(u) < c, (1 - (u / c) ** 2) ** 2, 0.0)
+
+
+def huber(c: float = 1.345) -> Callable:
+    """Huber's weights: 1 up to c scales, then as small as the residual is large."""
+    return lambda u: np.minimum(1.0, c / np.maximum(np.abs(u), c))
+
+
+def reweighted(x: np.ndarray, y: np.ndarray, weight: Callable, rounds: int = 50) -> np.ndarray:
+    """M-estimate by reweighted least squares; the scale is the median absolute deviation of the residuals. Tolerances are relative to the largest value."""
     b = np.linalg.lstsq(x, y, rcond=None)[0]
+    size = np.abs(y).max(initial=0) or 1.0
     for _ in range(rounds):
         res = y - x @ b
-        scale = max(np.median(np.abs(res - np.median(res))) / 0.6745, 1e-12)
-        w = np.where(np.abs(res) < c * scale, (1 - (res / (c * scale)) ** 2) ** 2, 0)
-        new = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-        if np.abs(new - b).max() < 1e-10:
-            break
+        scale = max(np.median(np.abs(res - np.median(res))) / 0.6745, 1e-12 * size)
+        w = np.sqrt(weight(res / scale))
+        new = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+        done = np.abs(x @ (new - b)).max(initial=0) < 1e-12 * size
         b = new
+        if done:
+            break
     return b
 
 
@@ -378,23 +357,26 @@ def _medians(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return at.groupBy(*keys).agg(((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2).alias("median"))
 
 
-def _tukey_rounds(rows: DataFrame, k: int, c: float = 4.685, rounds: int = 50) -> dict[tuple, np.ndarray]:
-    """What tukey gives for each (channel, time_ix), in rounds of partial sums; the driver gets k x k sums for each."""
+def _rounds(rows: DataFrame, k: int, weight: Callable, rounds: int = 50) -> dict[tuple, np.ndarray]:
+    """What reweighted gives for each (channel, time_ix), in rounds of partial sums; the driver gets k x k sums for each."""
     spark, keys = rows.sparkSession, ["channel", "time_ix"]
+    weights = F.pandas_udf(lambda u: pd.Series(weight(u.to_numpy())), "double")
     x = [F.get("x", F.lit(i)) for i in range(k)]
 
-    def solved(weighted: DataFrame) -> dict[tuple, np.ndarray]:
+    def solved(weighted: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray, float]]:
+        """Estimates, X'WX and the largest value."""
         pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-        sums = weighted.groupBy(*keys).agg(*[F.sum(F.col("w") * x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col("w") * x[i] * F.col("y")).alias(f"r{i}") for i in range(k)])
+        sums = weighted.groupBy(*keys).agg(*[F.sum(F.col("w") * x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col("w") * x[i] * F.col("y")).alias(f"r{i}") for i in range(k)], F.max(F.abs("y")).alias("size"))
         out = {}
         for row in sums.collect():
             g = np.zeros((k, k))
             for i, j in pairs:
                 g[i, j] = g[j, i] = row[f"g{i}_{j}"]
-            out[row["channel"], row["time_ix"]] = solve(g, np.array([[row[f"r{i}"]] for i in range(k)]))[:, 0]
+            out[row["channel"], row["time_ix"]] = solve(g, np.array([[row[f"r{i}"]] for i in range(k)]))[:, 0], g, row["size"] or 1.0
         return out
 
-    beta, done = solved(rows.withColumn("w", F.lit(1.0))), set()
+    first, done = solved(rows.withColumn("w", F.lit(1.0))), set()
+    beta, sizes = {key: b for key, (b, _, _) in first.items()}, {key: size for key, (_, _, size) in first.items()}
     for _ in range(rounds):
         now = [(*key, b.tolist()) for key, b in beta.items() if key not in done]
         if not now:
@@ -403,36 +385,36 @@ def _tukey_rounds(rows: DataFrame, k: int, c: float = 4.685, rounds: int = 50) -
         left = left.withColumn("res", F.col("y") - sum((F.get("b", F.lit(i)) * x[i] for i in range(k)), F.lit(0.0)))
         here = spark.createDataFrame([tuple(r) for r in _medians(left, keys, F.col("res")).collect()], "channel int, time_ix int, middle double")
         mad = _medians(left.join(F.broadcast(here), keys), keys, F.abs(F.col("res") - F.col("middle"))).collect()
-        scales = spark.createDataFrame([(r["channel"], r["time_ix"], c * max(r["median"] / 0.6745, 1e-12)) for r in mad], "channel int, time_ix int, far double")
-        u = F.col("res") / F.col("far")
-        for key, new in solved(left.join(F.broadcast(scales), keys).withColumn("w", F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0))).items():
-            if np.abs(new - beta[key]).max() < 1e-10:
+        scales = spark.createDataFrame([(r["channel"], r["time_ix"], max(r["median"] / 0.6745, 1e-12 * sizes[r["channel"], r["time_ix"]])) for r in mad], "channel int, time_ix int, scale double")
+        for key, (new, _, _) in solved(left.join(F.broadcast(scales), keys).withColumn("w", weights(F.col("res") / F.col("scale")))).items():
+            g = first[key][1]  # without weights, which may all be 0
+            if max(0.0, (new - beta[key]) @ g @ (new - beta[key])) ** 0.5 < 1e-12 * sizes[key]:
                 done.add(key)
-            else:
-                beta[key] = new
+            beta[key] = new
     return beta
 
 
-def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict | None = None, estimator: Callable = tukey, most_rows: int = MOST_ROWS) -> DataFrame:
+def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict | None = None, weight: Callable = biweight(), most_rows: int = MOST_ROWS) -> DataFrame:
     """channel, time_ix, coefname, estimate: an M-estimate for each channel and time over the events that have a value there.
 
-    Where a channel and time has more than most_rows events, the estimates are made in rounds of partial sums over all rows. Another estimator than
-    tukey is a function of a whole group and gets each channel and time as one: groups of more than most_rows events are an error then."""
+    weight: biweight(), huber() or a function of one's own: residuals (an array, in units of their scale) to weights. Where no channel and time has more than
+    most_rows events, each is a group of its task's; else all are fitted in rounds of partial sums over all rows, with the same scale and the same end, so any
+    weights work at any size."""
     schema = Schema.fit(formula, events, contrasts)
     names = schema.names()
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        b = estimator(np.array(part["x"].tolist()), part["y"].to_numpy())
+        b = reweighted(np.array(part["x"].tolist()), part["y"].to_numpy(), weight)
         return pd.DataFrame({"channel": key[0], "time_ix": key[1], "coefname": names, "estimate": b})
 
     rows = epochs.where("y is not null").join(schema.design(events), "event_ix").select("channel", F.col("time_ix").cast("int").alias("time_ix"), "y", "x")
     out = "channel int, time_ix int, coefname string, estimate double"
     largest = rows.groupBy("channel", "time_ix").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_rows and estimator is not tukey:
-        raise ValueError(f"a channel and time has {largest} events, more than most_rows ({most_rows}) that an own estimator may get at once")
     if largest > most_rows:
         rows = rows.withColumn("channel", F.col("channel").cast("int")).persist()
-        beta = _tukey_rounds(rows, len(names))
-        rows.unpersist()
+        try:
+            beta = _rounds(rows, len(names), weight)
+        finally:
+            rows.unpersist()
         return rows.sparkSession.createDataFrame([(*key, name, float(v)) for key, b in beta.items() for name, v in zip(names, b)], out)
     return rows.groupBy("channel", "time_ix").applyInPandas(one, out)

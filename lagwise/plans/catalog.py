@@ -112,6 +112,16 @@ def copy_closest(spark, sf_dir):
     return _copied(spark, sf_dir, "closest")
 
 
+_IN_GROUP = _NEAR.replace("s.latency >= t.latency", "s.k = t.k AND s.latency >= t.latency").replace("b.sl <= t.latency", "b.k = t.k AND b.sl <= t.latency").replace("s.latency AS sl,", "s.latency AS sl, s.k,")
+
+
+@query(_IN_GROUP.format(pick="CASE WHEN bi IS NULL THEN fi WHEN fi IS NULL THEN bi WHEN sl-bl<fl-sl THEN bi WHEN fl-sl<sl-bl THEN fi ELSE least(bi,fi) END"))
+def copy_closest_grouped(spark, sf_dir):
+    """The closest purchase of the same k."""
+    out = ev.copy_eventinfo(_events(spark, sf_dir, "purchase", "error"), "error", "purchase", "value", "near_value", group="k")
+    return out.select("event_ix", "event", F.round("near_value", 6).alias("near_value"))
+
+
 _EPOCH = """, e AS (SELECT event_ix, CAST(round_even(latency, 0) AS BIGINT) AS pos, event, value FROM ev WHERE event IN ({kinds})), k AS (SELECT CAST(range AS BIGINT) AS k FROM range(-2, 6)),
 ep AS (SELECT 1 AS channel, event_ix, event, value, CAST(k+2 AS INTEGER) AS time_ix, k/1.0 AS time, y FROM e CROSS JOIN k LEFT JOIN {source} ON sample = pos + k)"""
 
@@ -284,6 +294,14 @@ def rxy_fir(spark, sf_dir):
     return dm.cross(dm.expanded_design([e], rows), _signal(spark, sf_dir))
 
 
+@query(f"""{_X}, m AS (SELECT list_position({list(KINDS)}, event_type) AS channel, sample, CAST(sum(cents) AS DOUBLE) AS y FROM g GROUP BY 1, 2)
+SELECT CAST(channel AS INTEGER) AS channel, col_ix, sum(x*y) AS r FROM x JOIN m USING (sample) GROUP BY 1, 2""")
+def rxy_multichannel(spark, sf_dir):
+    """A channel for each kind; samples that a channel lacks are left out of its sums."""
+    e, rows = _fir(spark, sf_dir)
+    return dm.cross(dm.expanded_design([e], rows), _signal(spark, sf_dir, fill=False, multi=True))
+
+
 def _mu(spark, sf_dir, formula="0 ~ 1 + value", **options):
     e = _events(spark, sf_dir, "purchase")
     return sv.fit([("purchase", (formula, ep.lags((-2.0, 5.0), 1.0)))], e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0), **options)
@@ -371,6 +389,70 @@ def deconv_lsmr(spark, sf_dir):
     return _rounded(_deconvolved(spark, sf_dir, solver="lsmr").coefs.select("channel", "col_ix", "coefname", "estimate"), 3, "estimate")
 
 
+def _units(spark, sf_dir, solver):
+    """The same fit with k in millions and a signal in thousand millionths; what it gives is converted back."""
+    e = _sampled(_events(spark, sf_dir, "purchase", "error")).withColumn("k", F.col("k") / 1e6)
+    design = [("purchase", ("0 ~ 1 + k", bases.fir((-1.0, 3.0), 1.0))), ("error", ("0 ~ 1", bases.fir((0.0, 2.0), 1.0)))]
+    c = sv.fit(design, e, _signal(spark, sf_dir).withColumn("y", F.col("y") * 1e-9), solver=solver).coefs
+    back = F.col("estimate") * 1e9 / F.when(F.col("coefname") == "k", 1e6).otherwise(1.0)
+    return c.select("col_ix", (F.round(back, 3) + 0.0).alias("estimate"))
+
+
+_UNITS = _SOLVED + " SELECT col AS col_ix, round(b, 3)+0.0 AS estimate FROM s"
+
+
+@query(_UNITS)
+def deconv_pinv_units(spark, sf_dir):
+    return _units(spark, sf_dir, "pinv")
+
+
+@query(_UNITS)
+def deconv_qr_units(spark, sf_dir):
+    return _units(spark, sf_dir, "qr")
+
+
+@query(_UNITS)
+def deconv_cg_units(spark, sf_dir):
+    return _units(spark, sf_dir, "cg")
+
+
+@query(_UNITS)
+def deconv_intern_units(spark, sf_dir):
+    return _units(spark, sf_dir, "intern")
+
+
+@query(_UNITS)
+def deconv_lsmr_units(spark, sf_dir):
+    return _units(spark, sf_dir, "lsmr")
+
+
+@query(_UNITS)
+def deconv_custom_units(spark, sf_dir):
+    """A solver of the caller's own: refined once."""
+    import numpy as np
+
+    def refined(g, r):
+        d = 1 / np.sqrt(np.diag(g))[:, None]
+        m = np.linalg.inv(g * d * d.T)
+        b = d * (m @ (d * r))
+        return b + d * (m @ (d * (r - g @ b)))
+
+    return _units(spark, sf_dir, refined)
+
+
+# Two columns, a purchase at its sample and one sample later, in each series: solved in closed form.
+@query(f""", c AS (SELECT unnest([0, 1]) AS c), k_ AS (SELECT event_type, (epoch_us(ts)-{START})//{STEP}+1 AS sample, CAST(round(value*100) AS BIGINT) AS cents, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS series FROM events),
+x AS (SELECT series, sample + c AS sample, c, CAST(count(*) AS DOUBLE) AS x FROM k_ CROSS JOIN c WHERE event_type='purchase' AND sample + c <= {SAMPLES} GROUP BY 1, 2, 3), w AS (SELECT series, sample, coalesce(sum(x) FILTER (c = 0), 0) AS a, coalesce(sum(x) FILTER (c = 1), 0) AS b FROM x GROUP BY 1, 2),
+y AS (SELECT series, sample, CAST(sum(cents) AS DOUBLE) AS y FROM k_ GROUP BY 1, 2), t AS (SELECT series, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*coalesce(y, 0.0)) AS ay, sum(b*coalesce(y, 0.0)) AS by_ FROM w LEFT JOIN y USING (series, sample) GROUP BY 1)
+SELECT series, CAST(0 AS INTEGER) AS col_ix, round((bb*ay - ab*by_)/(aa*bb - ab*ab), 3)+0.0 AS estimate FROM t UNION ALL SELECT series, 1, round((aa*by_ - ab*ay)/(aa*bb - ab*ab), 3)+0.0 FROM t""")
+def deconv_by_series(spark, sf_dir):
+    """A deconvolution of each of seven series, in one job."""
+    rows = _table(spark, sf_dir, "events").withColumn("series", F.get_json_object("props", "$.k").cast("long") % 7)
+    y = sg.gridded(rows, "ts", F.round(F.col("value") * 100).cast("long"), START, STEP, SAMPLES, F.col("series").cast("int")).select(F.col("channel").cast("long").alias("series"), F.lit(1).alias("channel"), "sample", "y")
+    e = _sampled(_events(spark, sf_dir, "purchase")).withColumn("series", F.col("k").cast("long") % 7)
+    return _rounded(sv.fit_series([("purchase", ("0 ~ 1", bases.fir((0.0, 1.0), 1.0)))], e, y, "series").select("series", "col_ix", "estimate"), 3, "estimate")
+
+
 @query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, col AS col_ix, round(b, 3)+0.0 AS estimate FROM s")
 def fit_from_design(spark, sf_dir):
     m = _deconvolved(spark, sf_dir, design_only=True)
@@ -396,6 +478,11 @@ def deconv_predict_partial(spark, sf_dir):
     return _rounded(pr.predict(_deconvolved(spark, sf_dir), keep=["purchase"]), 2, "yhat")
 
 
+@query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, sample, round(sum(x*b), 2)+0.0 AS yhat FROM x JOIN s USING (col) WHERE col >= 10 GROUP BY 2")
+def deconv_predict_excluded(spark, sf_dir):
+    return _rounded(pr.predict(_deconvolved(spark, sf_dir), exclude=["purchase"]), 2, "yhat")
+
+
 @query(_SOLVED + " SELECT CAST(1 AS INTEGER) AS channel, sample, round(sum(x*b), 2)+0.0 AS yhat FROM (SELECT sample, col, CAST(sum(x) AS DOUBLE) AS x FROM every_ JOIN ev USING (event_ix) WHERE sample >= 1 AND k >= 3 GROUP BY 1, 2) JOIN s USING (col) GROUP BY 2")
 def deconv_predict_new_events(spark, sf_dir):
     new = _sampled(_events(spark, sf_dir, "purchase", "error")).where("k >= 3")
@@ -567,6 +654,17 @@ def copy_by_function(spark, sf_dir):
     return out.select("event_ix", "event", F.round("near_value", 6).alias("near_value"))
 
 
+@query(""", s AS (SELECT * FROM ev WHERE event='error'), t AS (SELECT * FROM ev WHERE event='purchase'), n AS (SELECT s.event_ix AS si, s.latency AS sl, s.value, t.event_ix FROM s JOIN t ON t.latency >= s.latency
+QUALIFY row_number() OVER (PARTITION BY s.event_ix ORDER BY t.latency, t.event_ix) = 2), w AS (SELECT event_ix, arg_max(value, sl) AS near_value FROM n GROUP BY 1)
+SELECT event_ix, event, round(near_value, 6) AS near_value FROM ev LEFT JOIN w USING (event_ix) WHERE event IN ('purchase','error')""")
+def copy_second_next(spark, sf_dir):
+    """The second purchase at or after each error, however far; a source is settled once two are in reach."""
+    second = lambda lat, lats: F.size(F.filter(lats, lambda t: t < lat)) + 1
+    settled = lambda lat, lats, reach: F.size(F.filter(lats, lambda t: t >= lat)) >= 2
+    out = ev.copy_eventinfo(_events(spark, sf_dir, "purchase", "error"), "error", "purchase", "value", "near_value", search=second, settled=settled)
+    return out.select("event_ix", "event", F.round("near_value", 6).alias("near_value"))
+
+
 # Fifty rounds of weighted regression with the biweight; what a round needs of each event is its value, its y and its residual.
 @query(_EPOCH.format(kinds="'purchase'", source="sig") + """, d AS (SELECT time_ix, list({'v': value, 'y': y} ORDER BY event_ix) AS d, regr_intercept(y, value) AS a, regr_slope(y, value) AS b FROM ep WHERE y IS NOT NULL GROUP BY 1),
 it(time_ix, n, d, a, b) AS (SELECT time_ix, 0, d, a, b FROM d UNION ALL SELECT time_ix, n+1, d, coalesce((wy - slope*wv)/nullif(w, 0), 0), slope FROM (SELECT *, coalesce((w*wvy - wv*wy)/nullif(w*wvv - wv*wv, 0), 0) AS slope FROM (
@@ -576,5 +674,16 @@ SELECT time_ix, n, d, r, 4.685*greatest(list_median(list_transform(r, lambda e:
 SELECT time_ix, n, d, list_transform(d, lambda e: {'v': e.v, 'y': e.y, 'r': e.y - a - b*e.v}) AS r FROM it WHERE n < 50)))))))
 SELECT CAST(1 AS INTEGER) AS channel, time_ix, coefname, estimate FROM (SELECT time_ix, '(Intercept)' AS coefname, round(a, 3)+0.0 AS estimate FROM it WHERE n = 50 UNION ALL SELECT time_ix, 'value', round(b, 3)+0.0 FROM it WHERE n = 50)""")
 def robust_fit(spark, sf_dir):
+    return _robust(spark, sf_dir)
+
+
+@query(ORACLE_SQL["robust_fit"], plain=True)
+def robust_units(spark, sf_dir):
+    """The same with a signal in thousand millionths, converted back."""
+    return _robust(spark, sf_dir, 1e-9)
+
+
+def _robust(spark, sf_dir, unit=1.0):
     e = _events(spark, sf_dir, "purchase")
-    return _rounded(sv.robust("0 ~ 1 + value", e, ep.epoch(_signal(spark, sf_dir), e, (-2.0, 5.0), 1.0)), 3, "estimate")
+    y = _signal(spark, sf_dir).withColumn("y", F.col("y") * unit)
+    return _rounded(sv.robust("0 ~ 1 + value", e, ep.epoch(y, e, (-2.0, 5.0), 1.0)).withColumn("estimate", F.col("estimate") / unit), 3, "estimate")

@@ -1,5 +1,8 @@
 """Simulated box responses, literal matrices and identities."""
 
+import math
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +128,21 @@ def _spline(s):
     return atom.fitted(s.breaks["x,6"])
 
 
+def hrf_kernel(phase: int, tr: float, duration: float | None = None, p=(6, 16, 1, 1, 6, 0, 32)) -> np.ndarray:
+    """The haemodynamic kernel by a plain convolution on a grid of 32 steps a sample."""
+    dt = tr / 32
+    d = duration if duration and duration > 0 else 1 / 32
+    u = np.arange(0, math.ceil((p[6] + d) / dt) + 1) - p[5] / dt
+
+    def gamma(shape: float, scale: float) -> np.ndarray:
+        x = np.maximum(u, 1e-300)
+        return np.where(u > 0, np.exp((shape - 1) * np.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale)), 0.0)
+
+    h = gamma(p[0] / p[2], p[2] / dt) - gamma(p[1] / p[3], p[3] / dt) / p[4]
+    box = np.concatenate([np.zeros(phase), np.ones(math.ceil(d * 32))])
+    return np.convolve(h / h.sum(), box)[::32][: math.floor(p[6] / tr + d) + 1]
+
+
 def test_kernels(spark):
     e = table(spark, [(10.25, 3.0)], "latency double, duration double")
     at = lambda b, d="duration": {(r["k"], r["col"]): r["w"] for r in b.expanded(e, "latency", d).collect()}
@@ -133,12 +151,12 @@ def test_kernels(spark):
     assert all(sum(w for (_, c), w in block.items() if c == k) == 3 for k in range(4))
     same = bases.fir((0.0, 2.0), 1.0, scale="linear")
     assert at(same) == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
-    h = bases.hrf_kernel(round(0.7 * 32), 2.0)
+    h = hrf_kernel(round(0.7 * 32), 2.0)
     assert len(h) == 17 and int(np.argmax(h)) == 3
-    late, early = bases.hrf_kernel(32, 2.0), bases.hrf_kernel(0, 2.0)
+    late, early = hrf_kernel(32, 2.0), hrf_kernel(0, 2.0)
     assert late[1:] == pytest.approx(early[:-1], abs=1e-9)
     long = at(bases.hrfbasis(2.0), "duration")
-    assert len(bases.hrf_kernel(24, 2.0, 3.0)) == 20 and [long[k, 0] for k in range(1, 20)] == pytest.approx(bases.hrf_kernel(24, 2.0, 3.0)[1:])
+    assert len(hrf_kernel(24, 2.0, 3.0)) == 20 and [long[k, 0] for k in range(1, 20)] == pytest.approx(hrf_kernel(24, 2.0, 3.0)[1:])
     assert sum(at(bases.splinebasis((-1.0, 1.0), 10, 5)).values()) == pytest.approx(20)  # of 21 lags the first lies before sample 1
 
 
@@ -171,8 +189,10 @@ def test_robust_in_rounds_equals_whole_groups(spark):
     get = lambda most: {(r["time_ix"], r["coefname"]): r["estimate"] for r in sv.robust("0 ~ 1 + x", e, epochs, most_rows=most).collect()}
     whole, rounds = get(10**9), get(10)
     assert len(whole) == 4 and rounds == {k: pytest.approx(v, abs=1e-7) for k, v in whole.items()}
-    with pytest.raises(ValueError, match="more than most_rows"):
-        sv.robust("0 ~ 1 + x", e, epochs, estimator=lambda x, y: x[0], most_rows=10)
+    # weights of one's own, and Huber's, at any size
+    for weight in (sv.huber(), lambda u: 1 / (1 + u * u)):
+        few, many = ({(r["channel"], r["time_ix"], r["coefname"]): r["estimate"] for r in sv.robust("0 ~ 1 + x", e, epochs, weight=weight, most_rows=n).collect()} for n in (1000, 10))
+        assert few == {k: pytest.approx(v, abs=1e-7) for k, v in many.items()}
 
 
 def test_medians_are_exact(spark):
@@ -182,17 +202,100 @@ def test_medians_are_exact(spark):
     assert {r["g"]: r["median"] for r in sv._medians(rows, ["g"], rows["v"]).collect()} == {k: np.median(v) for k, v in values.items()}
 
 
-def test_copying_crosses_ranges_in_many_tasks(spark):
-    lat = np.random.default_rng(4).integers(0, 3000, 2000)
-    e = table(spark, [(float(v), "S" if i % 97 == 5 else "R", float(i), "g") for i, v in enumerate(lat)], "latency double, event string, rt double, g string")
+def copied(rows: list[tuple], search: str) -> dict:
+    """rows: event_ix, latency, event, rt, group. What each target gets, by comparing each source with each target."""
+    won: dict[int, tuple] = {}
+    for ix, lat, event, rt, g in rows:
+        if event != "R" or lat is None or g is None:
+            continue
+        near = [(abs(l2 - lat), i2) for i2, l2, e2, _, g2 in rows if e2 == "S" and l2 is not None and g2 == g and (search == "closest" or (l2 <= lat if search == "backward" else l2 >= lat))]
+        if near:
+            won[min(near)[1]] = max(won.get(min(near)[1], (-1.0, -1, None)), (lat, ix, rt))
+    return {i: w[2] for i, w in won.items()}
+
+
+def test_copying_in_ranges_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(ev, "RANGE", 100)
+    rng = np.random.default_rng(4)
+    rows = [(i + 1, float(v) if i % 50 else None, "S" if i % 7 == 5 else "R" if i % 11 else "other", float(i), [None, "a", "b", "b", "b", "b"][int(g)]) for i, (v, g) in enumerate(zip(rng.integers(0, 300, 1500), rng.integers(0, 6, 1500)))]
+    e = spark.createDataFrame(rows, "event_ix long, latency double, event string, rt double, g string").repartition(6)
     for search in ("closest", "backward", "forward"):
-        got = ev.copy_eventinfo(e, "R", "S", "rt", "got", search=search)
-        want = ev.copy_eventinfo(e, "R", "S", "rt", "got", search=search, group="g")
-        key = lambda df: sorted((r["event_ix"], r["got"]) for r in df.where("event = 'S'").collect())
-        assert key(got) == key(want)
-        plan = got._jdf.queryExecution().optimizedPlan().toString()
-        assert "_range" in plan
-    assert e.select(ev.latency_range(e, "latency").alias("r")).agg(F.count_distinct("r")).first()[0] > 30
+        for group in (None, "g"):
+            got = ev.copy_eventinfo(e, "R", "S", "rt", "got", search=search, group=group)
+            assert got.count() == len(rows)
+            assert {r["event_ix"]: r["got"] for r in got.where("got is not null").collect()} == copied([(*r[:4], r[4] if group else "all") for r in rows], search)
+
+
+def test_one_group_is_scanned_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ev, "RANGE", 1000)
+    e = spark.range(1, 20_001).select(F.col("id").alias("event_ix"), F.col("id").cast("double").alias("latency"), F.when(F.col("id") % 5000 == 1, "S").otherwise("R").alias("event"), F.col("id").alias("rt"), F.lit("g").alias("g"))
+    got = ev.copy_eventinfo(e, "R", "S", "rt", "got", search="backward", group="g").where("got is not null").collect()
+    assert {r["event_ix"]: r["got"] for r in got} == {1: 5000, 5001: 10000, 10001: 15000, 15001: 20000}
+    cut = ev._ranged(e.select("g", "latency"), ["g", "latency"]).groupBy("_range").count().collect()
+    assert len(cut) > 10 and max(r["count"] for r in cut) < 4000
+
+
+def test_folds_are_taken_from_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(20 + 12 * i), "uvw"[int(rng.integers(3))], float(rng.normal())) for i in range(60)]
+    e = table(spark, rows, "latency double, c string, v double")
+    y = spark.createDataFrame([(ch, i, float(rng.normal())) for ch in (1, 2) for i in range(1, 751)], "channel int, sample long, y double")
+    epochs, design = ep.epoch(y, e, (-0.2, 0.3), 10), [(ev.ANY, ("0 ~ 1 + c + v", ep.lags((-0.2, 0.3), 10)))]
+    key = lambda df: {(r["channel"], r["time_ix"], r["coefname"]): (pytest.approx(r["estimate"]), pytest.approx(r["stderror"])) for r in df.collect()}
+    value = lambda df: {(r["channel"], r["time_ix"], r["coefname"]): (r["estimate"], r["stderror"]) for r in df.collect()}
+    for fit_test in (False, True):
+        m = sv.cross_validated(design, e, epochs, k=4, seed=3, fit_test=fit_test, stderror=True)
+        fold = sv.folds(e, 4, True, 3)
+        for f in range(4):
+            keep = fold.where(F.col("fold") == f if fit_test else F.col("fold") != f)
+            one = sv.fit(design, e.join(keep, "event_ix", "left_semi"), epochs.join(keep, "event_ix", "left_semi"), stderror=True)
+            assert value(m.coefs.where(F.col("fold") == f)) == key(one.coefs)
+    with pytest.raises(ValueError):
+        sv.cross_validated([(ev.ANY, ("0 ~ 1", bases.fir((0.0, 1.0), 10)))], e, epochs)
+
+
+def test_splines_of_many_functions_are_small_expressions(spark):
+    e = spark.range(4001).select(F.col("id").alias("event_ix"), (F.col("id") / 40).alias("x"))
+    began = time.time()
+    s = Schema.fit("0 ~ 1 + spl(x, 50)", e)
+    plan = s.design(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert time.time() - began < 12 and len(plan) > 0
+    from lagwise.functions import splines
+
+    rng, knots = np.random.default_rng(9), splines.clamped([0.0, 1.0, 1.0, 2.5, 4.0, 4.0])
+    xs = np.r_[rng.uniform(0, 4, 50), 0.0, 1.0, 2.5, 4.0]
+    of = splines.pieces(knots)
+
+    def cox(i: int, k: int, x: float) -> float:
+        if k == 1:
+            return float(knots[i] <= x < knots[i + 1] or (x == knots[-1] == knots[i + 1] > knots[i]))
+        first = (x - knots[i]) / (knots[i + k - 1] - knots[i]) * cox(i, k - 1, x) if knots[i + k - 1] > knots[i] else 0.0
+        return first + ((knots[i + k] - x) / (knots[i + k] - knots[i + 1]) * cox(i + 1, k - 1, x) if knots[i + k] > knots[i + 1] else 0.0)
+
+    got = spark.createDataFrame([(float(x),) for x in xs], "x double").select(*[(splines.basis(F.col("x"), of[i], 4.0) if i in of else F.lit(0.0)).alias(f"b{i}") for i in range(8)]).toPandas().to_numpy()
+    assert got == pytest.approx(np.array([[cox(i, 4, x) for i in range(8)] for x in xs]), abs=1e-12)
+
+
+def test_haemodynamic_kernels_of_any_duration(spark):
+    rows = [(float(i * 3) + i / 9, d) for i, d in enumerate([None, 0.0, -1.0, 0.2, 1.0, 7.5, 40.0, 3.0, 3.0])]
+    e = table(spark, rows, "latency double, duration double")
+    for tr, p in ((2.0, (6, 16, 1, 1, 6, 0, 32)), (0.7, (5, 14, 1, 1.2, 4, 1, 20))):
+        got = {(r["event_ix"], r["k"]): r["w"] for r in bases.hrfbasis(tr, p)._kernel(e, F.col("latency") - F.floor("latency"), F.col("duration")).collect()}
+        want = {(i + 1, k): w for i, (lat, d) in enumerate(rows) for k, w in enumerate(hrf_kernel(int(np.rint((1 - (lat - math.floor(lat))) * 32)), tr, d, p))}
+        assert got == {k: pytest.approx(w, abs=1e-9) for k, w in want.items()}
+
+
+@pytest.mark.parametrize("unit", [1e-13, 1e-9, 1e6])
+def test_robust_fits_do_not_depend_on_the_unit(spark, unit):
+    rng = np.random.default_rng(10)
+    v = rng.uniform(0, 100, 200)
+    rows = [(1, 0, i + 1, float((2 + 3 * x + rng.normal() + (400 if i % 9 == 0 else 0)) * unit)) for i, x in enumerate(v)]
+    e, epochs = table(spark, [(float(x),) for x in v], "x double"), spark.createDataFrame(rows, "channel int, time_ix int, event_ix long, y double")
+    x, y = np.c_[np.ones(200), v], np.array([r[3] for r in rows])
+    want = sv.reweighted(x, y / unit, sv.biweight())
+    for most in (1000, 10):
+        got = {r["coefname"]: r["estimate"] / unit for r in sv.robust("0 ~ 1 + x", e, epochs, most_rows=most).collect()}
+        assert [got["(Intercept)"], got["x"]] == pytest.approx(want, rel=1e-7)
 
 
 def test_wide_designs_are_iterated(spark, monkeypatch):
@@ -203,9 +306,11 @@ def test_wide_designs_are_iterated(spark, monkeypatch):
     want = {(r["channel"], r["col_ix"]): r["estimate"] for r in sv.fit(design, e, y).coefs.collect()}
     monkeypatch.setattr(sv, "MOST_COLUMNS", 5)
     assert {(r["channel"], r["col_ix"]): r["estimate"] for r in sv.fit(design, e, y).coefs.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
-    for options in ({"solver": "qr"}, {"stderror": True}):
-        with pytest.raises(ValueError):
-            sv.fit(design, e, y, **options)
+    with pytest.raises(ValueError):
+        sv.fit(design, e, y, solver="qr")
+    errors = {(r["channel"], r["col_ix"]): r["stderror"] for r in sv.fit(design, e, y, stderror=True).coefs.collect()}
+    monkeypatch.undo()
+    assert errors == {(r["channel"], r["col_ix"]): pytest.approx(r["stderror"], rel=1e-6) for r in sv.fit(design, e, y, stderror=True).coefs.collect()}
     # two equal columns: no unique solution, but the fitted values are the same
     x = sv.fit(design, e, y, design_only=True).design_matrix().where("col_ix < 9")
     twice = dm.combined(x, x, 9)
@@ -221,8 +326,26 @@ def test_copying_by_a_function(spark):
     assert {r["event_ix"]: r["got"] for r in ev.copy_eventinfo(e, "S", "R", "rt", "got", search=last, within=5.0).collect()} == {1: None, 2: None, 3: 1.0, 4: None}
     never = lambda lat, lats: F.lit(None).cast("int")
     assert ev.copy_eventinfo(e, "S", "R", "rt", "got", search=never, within=5.0).where("got is not null").count() == 0
+    # without a distance all targets are seen
+    assert {r["event_ix"]: r["got"] for r in ev.copy_eventinfo(e, "S", "R", "rt", "got", search=last).collect()} == {1: None, 2: None, 3: None, 4: 1.0}
     with pytest.raises(ValueError):
-        ev.copy_eventinfo(e, "S", "R", "rt", "got", search=last)
+        ev.copy_eventinfo(e, "S", "R", "rt", "got", search="closest", within=1.0)
+
+
+def test_copying_by_a_function_that_settles(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i + 1, float(x), "SR"[int(rng.integers(2))], float(i), "ab"[i % 2]) for i, x in enumerate(np.cumsum(rng.exponential(1, 200) * (rng.random(200) < 0.9) * rng.choice([1, 50], 200)))]
+    e = spark.createDataFrame(rows, "event_ix long, latency double, event string, rt double, g string")
+    third = lambda lat, lats: F.size(F.filter(lats, lambda t: t <= lat)) + 2
+    settled = lambda lat, lats, reach: F.size(F.filter(lats, lambda t: t > lat)) >= 3
+    want: dict[int, tuple] = {}
+    for ix, lat, event, rt, g in rows:
+        after = sorted((l2, i2) for i2, l2, e2, _, g2 in rows if e2 == "R" and g2 == g and l2 > lat)
+        if event == "S" and len(after) >= 3:
+            want[after[2][1]] = max(want.get(after[2][1], (-1.0, 0, 0.0)), (lat, ix, rt))
+    for options in ({"settled": settled}, {}):
+        got = ev.copy_eventinfo(e, "S", "R", "rt", "got", search=third, group="g", **options).where("got is not null").collect()
+        assert {r["event_ix"]: r["got"] for r in got} == {i: w[2] for i, w in want.items()}
 
 
 def test_clear_errors(spark):
