@@ -2,12 +2,12 @@
 
 Candidates are runs of 16 or more letters, digits and + / = _ - . with at least two digits, keys of 16 or more of these characters with a known
 beginning that doesn't follow a letter or digit (up to the run's end, or to a = or / before the next known beginning), and values of 8 or more
-characters that are assigned to a name such as token or password, however long they are: a value ends at a blank, quote, comma, semicolon or angle
-bracket. The forest judges length, character transitions, coverage by dictionary words, the path and the neighbouring words. It is trained from
-labelled findings: a table (candidate, before, after, path, label), by default one that is generated by rule (keys of common forms with names that
-announce them; hashes, identifiers, placeholders, names and prose that don't).
+characters that are assigned to a name such as token or password (the whole of a name: author is none), however long they are: a value ends at a blank,
+quote, comma, semicolon or angle bracket. The forest judges length, character transitions, coverage by dictionary words, the path and the neighbouring words. It is trained from
+labelled findings: a table (candidate, before, after, path, label), by default one that is generated by rule (keys of common forms, most with names that
+announce them; hashes, identifiers, placeholders, names and prose that don't, and plain words, bylines, links and code after names that would announce a key).
 
-The dictionary is the corpus's own: the DICTIONARY runs of four or more letters that stand in the most documents, counted over all of them.
+The dictionary is the corpus's own: the DICTIONARY runs of 4 to 24 letters (longer ones are cut there) that stand in the most documents, counted over all of them.
 Labelled findings are described with the same words.
 
 Null and empty texts have no findings. Findings are reported for every row, repeated ones too, with code point positions; an empty table gives none.
@@ -32,7 +32,7 @@ from lagwise.llm.common import slices, written
 
 CONTEXT, FINDINGS, TREES, DEPTH, LEAST = 48, 6000, 40, 8, 16
 _RUN = re.compile(r"[A-Za-z0-9+/=_.\-]{16,}")
-_ASSIGNED = re.compile(r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\w{0,12}["']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}["']?([^\s"',;<>]{8,}+)""")
+_ASSIGNED = re.compile(r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)s?(?:[_-]?(?:key|value|token|secret|code|id|env|[0-9]{1,3})s?)*(?:[_-]\w{1,24})?(?!\w)["']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}["']?([^\s"',;<>]{8,}+)""")
 # fixed values: beginnings of well-known kinds of keys, and words that stand near true and false findings
 KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|ya29\.|eyJ|SG\.|npm_|hf_)")
 _KEY = re.compile(rf"(?<![A-Za-z0-9]){KNOWN.pattern[1:]}(?:[A-Za-z0-9+_.\-]|[=/](?!{KNOWN.pattern[1:]}))*+")
@@ -139,16 +139,21 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[str, str,
         tail = pick(('" ', "\n", "' ", " ")) + prose(int(rng.integers(0, 4)))
         if i % 2:
             s = pick((lambda: chars(hexa, pick((32, 40, 64))), lambda: chars(base, pick((24, 32, 40, 44))), lambda: "AKIA" + chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + chars(alnum, 36), lambda: chars(alnum, int(rng.integers(16, 48))), lambda: chars(alnum + "!#%&", int(rng.integers(10, 20)))))()
-            name = pick(FOR) + pick(("", "", "_key", "_value", "-token"))
+            # one in five is announced by nothing that a name feature knows
+            name = pick(FOR) + pick(("", "", "_key", "_value", "-token")) if rng.random() < 0.8 else pick(("config", "value", "x-signature", "conn", word()))
             before = prose(int(rng.integers(0, 5))) + " " + name + pick((" = ", "=", ": ", " = \"", '": "', " ", "='"))
             out.append((s, before[-CONTEXT:], tail, path, 1))
         else:
-            kind = int(rng.integers(7))
-            h = chars(hexa, 32)
+            kind = int(rng.integers(11))
+            h, plain = chars(hexa, 32), pick(("administrator", "Jonathan", "required", "forgotten", "Christopher", "unauthorized", "authentication", "documentation", "Massachusetts", "undefined", "null_value", word() + word() + word(), word().title() + word() + word()))
+            named = pick(FOR) + pick(("", "s", "_name", "_type", "_policy")) + pick((": ", " = ", "=", ': "', " - "))
             s, name = (
                 (chars(hexa, pick((7, 32, 40, 64)) + 9), pick(("commit ", "sha256: ", "md5 ", "checksum=", "revision ", "integrity "))), (f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", pick(("uuid ", "id=", "id: "))),
                 (pick(("your_api_key_here_123", "xxxxxxxxxxxxxxxx0000", "EXAMPLE_KEY_1234567", "changeme12345678")), pick(("token = ", "api_key=", "secret: "))), ("_".join(word() for _ in range(4)) + chars("0123456789", 3), prose(3) + " "),
                 ("/".join(word() + chars("0123456789", 1) for _ in range(4)) + ".html", prose(2) + " "), (chars("0123456789", int(rng.integers(14, 20))) + pick(("", "-a1")), prose(2) + " "), (word() + word() + word() + word() + chars("0123456789", 2), prose(4) + " "),
+                (plain, pick((named, "author: ", "authors: ", "by: "))), ("https://" + ".".join(word() for _ in range(3)) + "/" + "/".join(word() for _ in range(int(rng.integers(1, 4)))), pick((named, "authors: ", "see: "))),
+                (pick((f"get_{word()}_{word()}()", f"os.environ[{word().upper()}]", f"self.{word()}.{word()}", f"{word()}{word().title()}{word().title()}", f"config.{word()}_{word()}", f"{word()}-{word()}-{word()}")), named),
+                (prose(1) + word() + pick((".", ")", ":", "!", "?")) + word(), named),
             )[kind]
             out.append((s, (prose(int(rng.integers(0, 4))) + " " + name)[-CONTEXT:], tail, path, 0))
     return out
