@@ -6,6 +6,7 @@ import string
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 
 from lagwise.llm import collocations as co
 from lagwise.llm import queries
@@ -51,7 +52,7 @@ def test_counts_are_exact_in_many_blocks_and_with_a_full_sketch(spark):
     rows = texts(2, 200)
     df = spark.createDataFrame(rows, "lang string, text string")
     want = {(lang, p, a) for lang, _, p, a, *_ in plain(rows, 3, 10**6)}
-    for candidates, width in ((10, 1 << 20), (7, 1 << 16)):
+    for candidates, width in ((10, 1 << 20), (7, 1 << 11)):
         phrases, words = co.phrase_counts(df, 3, candidates, width)
         got = {tuple(r) for r in phrases.collect()}
         assert want <= got and len(got) == len({x[:2] for x in got})
@@ -68,6 +69,15 @@ def test_long_texts_are_worked_on_in_parts():
     assert list(co.parts(b"x" * 100, 20)) == [b"x" * 100, b""]
 
 
+def test_steps_lead_to_the_places():
+    rng = np.random.default_rng(1)
+    for most, n in ((10, 50), (70_000, 20), (1 << 30, 40), (1, 0)):
+        at = np.sort(rng.integers(0, most, n).astype(np.uint32))
+        assert (co.places(co.steps(at)) == at).all()
+    for at in ([65534], [65535], [65536], [131070, 131070]):
+        assert co.places(co.steps(np.array(at, np.uint32))).tolist() == at
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(r["lang"], r["text"]) for r in odd.collect()]
     assert sorted(tuple(r) for r in co.collocations(odd).collect()) == plain(rows, 10, 2000)
