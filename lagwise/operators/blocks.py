@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lagwise.session import dropped, written
 
 #: Samples in a block; sums (8 bytes each) that a task keeps before it passes them on; sums in a row; pairs of
-#: cells multiplied at once.
-BLOCK, KEPT, ROW, PAIRS = 512, 4_000_000, 65_536, 2_000_000
+#: cells multiplied at once; numbers gathered at once.
+BLOCK, KEPT, ROW, PAIRS, GATHERED = 512, 4_000_000, 65_536, 2_000_000, 65_536
 #: Kinds of sums: products of columns, of columns with channels, squares of the channels.
 XX, XY, YY = 0, 1, 2
 _SUMS = "series long, kind int, part long, keys array<long>, values array<double>"
@@ -167,13 +167,23 @@ def _pairs(r: np.ndarray, c: np.ndarray, v: np.ndarray, p: int) -> tuple[np.ndar
     return keys, np.bincount(where, v[a] * v[b], len(keys))
 
 
-def _products(c: np.ndarray, v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the cells times their samples' rows of y, by column."""
+def _products(c: np.ndarray, v: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the cells times their samples' rows r of y, by column; so many cells at a time that what is gathered stays in a core's cache."""
     if not len(c):
         return c.astype(np.int64), np.zeros((0, y.shape[1]))
     order = np.argsort(c, kind="stable")
-    first = np.flatnonzero(np.diff(c[order], prepend=-1))
-    return c[order][first].astype(np.int64), np.add.reduceat(v[order, None] * y[order], first)
+    c, v, r = c[order], v[order, None], r[order]
+    first = np.flatnonzero(np.diff(c, prepend=-1))
+    out = np.empty((len(first), y.shape[1]))
+    ends = np.append(first, len(c))
+    i, many = 0, max(1, GATHERED // y.shape[1])
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + many, "right")) - 1)
+        z = y[r[ends[i] : ends[j]]]
+        z *= v[ends[i] : ends[j]]
+        out[i:j] = np.add.reduceat(z, first[i:j] - ends[i])
+        i = j
+    return c[first].astype(np.int64), out
 
 
 def _multiply(p: int, width: int, xx: bool, xy: bool):
@@ -191,7 +201,7 @@ def _multiply(p: int, width: int, xx: bool, xy: bool):
                 if xx:
                     sums.put(series, XX, *_pairs(r, c, v, p))
                 if xy:
-                    sums.put(series, XY, *_products(c, v, y.reshape(len(at), width)[place[r]]))
+                    sums.put(series, XY, *_products(c, v, y.reshape(len(at), width), place[r]))
                 if sums.full():
                     yield from sums.rows(widths)
         yield from sums.rows(widths)
@@ -269,14 +279,14 @@ def _turn(p: int, width: int, v, step: np.ndarray | None):
                     place[packed[i]] = np.arange(len(packed[i]))
                     keep = place[r] >= 0
                     r, c, x = place[r][keep].astype(np.int32), c[keep], x[keep]
-                    sums.put(0, XX, *(_products(c, x * x, np.ones((len(c), 1)))))
+                    sums.put(0, XX, *_products(c, x * x, np.ones((1, 1)), np.zeros(len(c), np.int64)))
                 if v is not None:
                     fitted = np.zeros_like(left)
                     if len(r):
                         first = np.flatnonzero(np.diff(r, prepend=-1))
                         fitted[r[first]] = np.add.reduceat(x[:, None] * v.value[c], first)
                     left = fitted - step * left
-                sums.put(0, XY, *_products(c, x, left[r]))
+                sums.put(0, XY, *_products(c, x, left, r))
                 sums.put(0, YY, np.zeros(1, np.int64), (left * left).sum(0))
                 if sums.full():
                     sums.merge()
@@ -440,11 +450,11 @@ def inverse_diagonal(x: DataFrame, signal: Packed, p: int, left: float = 1e-11,
             for batch in batches:
                 for r, c, v in zip(*(_numpy(batch, k) for k in "rcv")):
                     if sent.value is None:
-                        sums.put(0, XY, *_products(c, v * v, np.ones((len(c), 1))))
+                        sums.put(0, XY, *_products(c, v * v, np.ones((1, 1)), np.zeros(len(c), np.int64)))
                     elif len(r):
                         first = np.flatnonzero(np.diff(r, prepend=-1))
                         fitted = np.add.reduceat(v[:, None] * sent.value[c], first)
-                        sums.put(0, XY, *_products(c, v, np.repeat(fitted, np.diff(np.append(first, len(r))), axis=0)))
+                        sums.put(0, XY, *_products(c, v, fitted, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))))
                     if sums.full():
                         sums.merge()
             yield from sums.rows({XY: width})
