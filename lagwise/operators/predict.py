@@ -74,7 +74,7 @@ def _alone_univariate(model: Model, events: DataFrame) -> DataFrame:
         b = beta.where(F.col("col_ix").between(e.offset, e.offset + k - 1)).groupBy("channel", "time_ix", "time").agg(F.array_sort(F.collect_list(F.struct("coef_ix", "b"))).alias("b"))
         x = e.schema.design(filter_events(events, e.key, model.column, check=False))
         yhat = F.aggregate(F.zip_with("x", "b", lambda v, c: v * c["b"]), F.lit(0.0), lambda s, v: s + v)
-        parts.append(x.join(F.broadcast(b)).select("event_ix", F.lit(e.event).alias("eventname"), "channel", "time_ix", "time", yhat.alias("yhat")))  # a row for each channel and time
+        parts.append(x.join(_small(b, model)).select("event_ix", F.lit(e.event).alias("eventname"), "channel", "time_ix", "time", yhat.alias("yhat")))  # a row for each channel and time
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -85,7 +85,7 @@ def _alone(model: Model, events: DataFrame) -> DataFrame:
         own = filter_events(events, e.key, model.column, check=False).withColumn(model.latency, F.lit(float(1 - e.basis.shift)))
         out = e.schema.design(own).where("x is null").select("event_ix")
         fs = F.lit(float(e.basis.sfreq))
-        cells = time_expand(e, own, model.latency, model.duration, model.column).join(F.broadcast(beta), "col_ix")
+        cells = time_expand(e, own, model.latency, model.duration, model.column).join(_small(beta, model), "col_ix")
         yhat = cells.groupBy("event_ix", "channel", (F.col("sample") - 1).cast("int").alias("time_ix")).agg(F.sum(F.col("x") * F.col("b")).alias("yhat"))
         yhat = yhat.where(F.col("time_ix") < len(e.basis.times)) if len(e.basis.times) > 1 else yhat
         channels = beta.select("channel").distinct()
@@ -172,7 +172,7 @@ def effects(given: dict[str, list], model: Model, typical: str | Callable = "mea
             b = beta.where(F.col("col_ix").between(e.offset, e.offset + e.width - 1)).select("channel", "coef_ix", "basis_ix", "b").join(w, "basis_ix").groupBy("channel", "coef_ix", "time_ix", "time").agg(F.sum(F.col("b") * F.col("w")).alias("b"))
         b = b.groupBy("channel", "time_ix", "time").agg(F.array_sort(F.collect_list(F.struct("coef_ix", "b"))).alias("b"))
         yhat = F.aggregate(F.zip_with("x", "b", lambda v, c: v * c["b"]), F.lit(0.0), lambda s, v: s + v)
-        parts.append(design.join(F.broadcast(b)).select("event_ix", *given, F.lit(e.event).alias("eventname"), "channel", "time_ix", "time", yhat.alias("yhat")))
+        parts.append(design.join(_small(b, model)).select("event_ix", *given, F.lit(e.event).alias("eventname"), "channel", "time_ix", "time", yhat.alias("yhat")))
     return reduce(DataFrame.unionByName, parts)
 
 

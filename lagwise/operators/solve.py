@@ -131,6 +131,18 @@ class Model:
         agg = [F.avg("estimate").alias("estimate"), F.avg("stderror").alias("stderror")]
         return c.groupBy("channel", "coefname", F.col("event").alias("eventname"), "label", time.alias("time")).agg(*agg).withColumn("group", F.lit(None).cast("string"))
 
+    def describe(self) -> str:
+        """The design in words: a line for each kind of event, one for each of its predictors, and what is known of the fit."""
+        lines = [f"{self.kind} model, {sum(e.width for e in self.entries)} columns" + "".join(f", {k} {v}" for k, v in self.info.items() if k in ("solver", "channels", "folds"))]
+        for e in self.entries:
+            how = f"{type(e.basis).__name__} of {e.basis.width} columns, {e.basis.sfreq:g} samples a second" if e.basis else f"{len(e.times)} times from {e.times[0]:g} to {e.times[-1]:g}"
+            lines.append(f"  {e.event}: {e.schema.formula}, {how}")
+            for i, name in enumerate(e.schema.names()):
+                first = e.offset + i * (e.basis.width if e.basis else 1)
+                lines.append(f"    {name}: column {first}" + (f" to {first + e.basis.width - 1}" if e.basis and e.basis.width > 1 else ""))
+            lines += [f"    {v}: {e.schema.contrasts[v] if isinstance(e.schema.contrasts[v], str) else 'own'} coding of {', '.join(map(str, levels))}" for v, levels in e.schema.levels.items()]
+        return "\n".join(lines)
+
     def __repr__(self) -> str:
         return f"{self.kind} model of " + ", ".join(f"{e.event}: {e.schema.formula}" + (f" on {type(e.basis).__name__} of {e.basis.width}" if e.basis else f" at {len(e.times)} times") for e in self.entries)
 
@@ -252,8 +264,8 @@ def _mass_univariate(all_, events, epochs, solver, stderror, latency, column, fo
     """fold: event_ix, fold of n folds, each of which gets estimates from the other folds' events, or (fit_test) from its own; without it all events are of
     one fold. The epochs are read once, whatever the number of folds: sums of a fold's events are taken from the sums of all."""
     parts, full = [], drop_missing_epochs(epochs)
+    n_times, n_channels = epochs.agg(F.count_distinct("time_ix"), F.count_distinct("channel")).first()
     for e in all_:
-        n_times = epochs.select("time_ix").distinct().count()
         if n_times != len(e.times):
             raise ValueError(f"{len(e.times)} times but epochs of {n_times}")
         design = e.schema.design(filter_events(events, e.key, column))
@@ -286,7 +298,8 @@ def _mass_univariate(all_, events, epochs, solver, stderror, latency, column, fo
             F.lit(0).alias("basis_ix"), F.lit(None).cast("double").alias("basis_time"), F.lit("time").alias("label"), F.col("fold") if fold is not None else F.lit(None).cast("int").alias("fold"),
             "estimate", F.get("s", F.col("coef_ix")).alias("stderror"),
         ))
-    return Model("mass-univariate", all_, reduce(DataFrame.unionByName, parts), events, latency, None, column, {"solver": solver if isinstance(solver, str) else "custom"})
+    info = {"solver": solver if isinstance(solver, str) else "custom", "columns": (all_[-1].offset + all_[-1].width) * n_times, "channels": n_channels}
+    return Model("mass-univariate", all_, reduce(DataFrame.unionByName, parts), events, latency, None, column, info)
 
 
 def folds(events: DataFrame, k: int, shuffle: bool = False, seed: int = 0) -> DataFrame:

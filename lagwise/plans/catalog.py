@@ -605,6 +605,22 @@ def effects_grid(spark, sf_dir):
     return pr.effects({"value": [10.0, 50.0, 90.0]}, _mu(spark, sf_dir)).select("value", "time_ix", F.round("yhat", 2).alias("yhat"))
 
 
+# Five columns, reduced to the identity at each time; the values asked for are points with negative numbers.
+_SPLINED = (_MU + ", pts AS (SELECT event_ix, value FROM e UNION ALL SELECT CAST(-v AS BIGINT), CAST(v AS DOUBLE) FROM (SELECT unnest([10, 50, 90]) AS v))" + (_COX + _ORDERS).format(
+    key="event_ix", x="value", of="pts", closed="true",
+    knots="SELECT list_concat([q[1], q[1], q[1]], q, [q[3], q[3], q[3]]) AS t FROM (SELECT [quantile_cont(value, 0.0), quantile_cont(value, 0.5), quantile_cont(value, 1.0)] AS q FROM e)",
+) + """, xs AS (SELECT event_ix, [1.0, v[1], v[2], v[4], v[5]] AS x FROM n4), fx AS (SELECT time_ix, y, x FROM full_ JOIN xs USING (event_ix)), n AS (SELECT CAST(range AS INTEGER) AS n FROM range(0, 5)),
+lines AS (SELECT time_ix, n AS i, [sum(x[n+1]*x[1]), sum(x[n+1]*x[2]), sum(x[n+1]*x[3]), sum(x[n+1]*x[4]), sum(x[n+1]*x[5]), sum(x[n+1]*y)] AS line FROM fx CROSS JOIN n GROUP BY 1, 2),
+reduced(time_ix, k, m) AS (SELECT time_ix, 0, list(CAST(line AS DOUBLE[]) ORDER BY i) FROM lines GROUP BY 1 UNION ALL SELECT time_ix, k+1, list_transform(m, lambda l, i: CASE WHEN i = k+1 THEN list_transform(l, lambda v: v/l[k+1]) ELSE list_transform(l, lambda v, j: v - l[k+1]*m[k+1][j]/m[k+1][k+1]) END) FROM reduced WHERE k < 5),
+s AS (SELECT time_ix, list_transform(m, lambda l: l[6]) AS b FROM reduced WHERE k = 5)
+SELECT CAST(-event_ix AS DOUBLE) AS value, time_ix, round(list_sum(list_transform(range(1, 6), lambda i: b[i]*x[i])), 2)+0.0 AS yhat FROM s CROSS JOIN (SELECT * FROM xs WHERE event_ix < 0)""")
+
+
+@query(_SPLINED)
+def effects_spline(spark, sf_dir):
+    return _rounded(pr.effects({"value": [10.0, 50.0, 90.0]}, _mu(spark, sf_dir, "0 ~ 1 + spl(value, 5)")).select("value", "time_ix", "yhat"), 2, "yhat")
+
+
 @query(_MU + " SELECT time_ix, round(a + b*(SELECT avg(value) FROM e), 2) AS yhat FROM fit")
 def effects_typical(spark, sf_dir):
     return pr.effects({}, _mu(spark, sf_dir)).select("time_ix", F.round("yhat", 2).alias("yhat"))

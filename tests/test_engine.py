@@ -362,6 +362,14 @@ def test_clear_errors(spark):
         sg.gridded(late, "ts", F.col("v"), 1704067200000000, 60_000_000, 30).collect()
 
 
+def test_models_describe_themselves(spark):
+    e = table(spark, [(float(5 + 9 * i), "ab"[i % 2], "uv"[i % 2], float(i)) for i in range(9)], "latency double, event string, c string, v double")
+    m = sv.fit([("a", ("0 ~ 1 + v", bases.fir((0.0, 2.0), 1.0))), ("b", ("0 ~ 1 + c", bases.fir((0.0, 1.0), 1.0)))], e, boxes(spark, [], 100, 1), design_only=True)
+    lines = m.describe().split("\n")
+    assert lines[0] == "deconvolution model, 8 columns" and lines[1] == "  a: 0 ~ 1 + v, Fir of 3 columns, 1 samples a second" and lines[2:4] == ["    (Intercept): column 0 to 2", "    v: column 3 to 5"]
+    assert lines[-1] == "    c: dummy coding of v" and "b: 0 ~ 1 + c" in lines[4]
+
+
 def test_csv_lines_of_many_parts(spark, tmp_path):
     (tmp_path / "many.csv").write_text("".join(f"{i},{i + 0.5}\n" for i in range(500)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
