@@ -77,10 +77,10 @@ def valid_samples(signal: DataFrame) -> DataFrame:
 
 def gram(x: DataFrame) -> DataFrame:
     """i, j, g for i <= j: sums of products of the columns, made by blocks of samples."""
-    p = (x.agg(F.max("col_ix")).first()[0] or 0) + 1
+    p = 1 << 31  # more than there are columns
     rows = blocks.sums(x, p).select(F.explode(F.arrays_zip("keys", "values")).alias("s"))
     at = F.col("s.keys")
-    return rows.select(F.expr(f"cast(s.keys div {p} as int)").alias("i"), (at % p).cast("int").alias("j"), F.col("s.values").alias("g"))
+    return rows.select(F.expr(f"cast(s.keys div {p}L as int)").alias("i"), (at % p).cast("int").alias("j"), F.col("s.values").alias("g"))
 
 
 def cross(x: DataFrame, signal: DataFrame) -> DataFrame:
