@@ -8,7 +8,8 @@ two of their three bytes and come in repeated words, so that each counts for les
 large.) What is left is the document's set of languages; the prediction is that of the largest proportion, score is that proportion.
 
 Texts that are null or have no letter, and letters of which no gram can be made, are `und` with score 0 and no languages. Languages are the non-null
-values of lang; rows with a null lang teach nothing. Without any labelled document all are `und`. A sample of about PER_LANGUAGE documents of each
+values of lang, MOST_LANGUAGES at most (a document is compared with all of them; more, such as a column of other things, are an error);
+rows with a null lang teach nothing. Without any labelled document all are `und`. A sample of about PER_LANGUAGE documents of each
 language at most, chosen by a hash of id and text, is learned from. Every row gives one row; an empty table gives none; columns other than doc_id,
 text (and lang for learning) are not read.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import fold, slices
 
 PER_LANGUAGE, CELLS, SMOOTHING, ROUNDS, TOLERANCE, PENALTY = 3000, 1 << 14, 0.1, 200, 1e-3, 6.0
+MOST_LANGUAGES = 400
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123], _LETTER[128:] = np.arange(97, 123), np.arange(128, 256)
 _LETTER[65:91] = np.arange(97, 123)
@@ -101,15 +104,15 @@ def _em(p: np.ndarray, n: np.ndarray, start: np.ndarray | None = None) -> tuple[
     return share, float(n @ np.log(share @ p + 1e-300))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """docs: doc_id, text, lang of the documents to learn from."""
     rows = docs.where("lang is not null and text is not null").withColumn("lang", F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
     if not sizes:
         return Model([], np.zeros((0, CELLS)))
-    part = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        part = F.when(F.col("lang") == lang, int(1_000_003 * min(1.0, per_language / n)) + 1).otherwise(part)
+    part = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(int(1_000_003 * min(1.0, per_language / n)) + 1)) for lang, n in sorted(sizes.items())))[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < part).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

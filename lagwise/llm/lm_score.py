@@ -7,7 +7,7 @@ A word's lattice has an edge for each run of letters that is a piece of the voca
 of their own) or a single code point, and one edge over the whole word, whose weight is the word's share of the training words. The file's scores
 weight the pieces: a score that is the negative rank of a merge, as in the given file, by Zipf's law of the rank (for a file whose scores are log
 probabilities, weigh=math.exp). Expectation-maximisation over all training words (forward and backward recursions over all segmentations, each
-word with its count) re-estimates the pieces' weights, of which the file's weights stay a part as a prior worth PRIOR uses, how often a word ends
+word with its count) re-estimates the pieces' weights, of which the file's weights stay the share PRIOR, however large the corpus is, how often a word ends
 after a piece, and the share of words that take the edge of the whole word. For that, a word's own occurrence is left out of its count, so that words seen
 once count as spelled ones and the share left for spelling is what new words need. All of this is one proper distribution over texts.
 
@@ -29,13 +29,16 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.common import fold, slices, written
 
-#: LONG: letters above which a word is taken by itself, all edges of a length at once.
-FREQUENT, EM_ROUNDS, PRIOR, FLUSH, LONG = 120_000, 2, 1000.0, 200_000, 256
+#: PRIOR: the file's share of a piece's weight; LONG: letters above which a word is taken by itself, all edges of a length at once.
+FREQUENT, EM_ROUNDS, PRIOR, FLUSH, LONG = 120_000, 2, 0.2, 200_000, 256
+#: Repeats of a row that are written out at a time; bytes of words that are put together.
+REPEATS, GATHERED = 1000, 32 << 20
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _CODEPOINTS = 1_114_112
@@ -46,14 +49,17 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they have so many rows: the lattice works on words of equal length at once."""
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000, most: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes, and batches of more bytes cut: the lattice works on words of equal length at once."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+    for whole in batches:
+        place = np.asarray(pc.fill_null(pc.binary_length(whole.column("word")), 0)).astype(np.int64).cumsum() // most
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), whole.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            held.append(whole.slice(begin, end - begin))
+            if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
     if held and sum(b.num_rows for b in held):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -329,9 +335,10 @@ def trained(lattice: Lattice, counts: DataFrame, total: int, rounds: int = EM_RO
         sums = np.zeros(2 * size + 5)
         sums[got["k"].to_numpy(int)] = got["v"].to_numpy()
         used, spelled, u0, u1, whole = sums[-5:]
-        # the file's weights are worth prior uses; a little more keeps every spelling possible
-        first = {t: sums[i] + prior * math.exp(given.first.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.first}
-        inner = {t: sums[size + i] + prior * math.exp(given.inner.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.inner}
+        # the file's weights are worth prior of all uses in either place; a little more keeps every spelling possible
+        worth, inside = (prior / (1 - prior) * part.sum() for part in (sums[:size], sums[size : 2 * size]))
+        first = {t: sums[i] + worth * math.exp(given.first.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.first}
+        inner = {t: sums[size + i] + inside * math.exp(given.inner.get(t, -math.inf)) + 1e-3 for i, t in enumerate(names) if t in given.inner}
         a, b = sum(first.values()) + u0 + 1, sum(inner.values()) + u1 + 1
         log = lambda of, all_: {t: math.log(v / all_) for t, v in of.items()}
         stop = float(np.clip((spelled + 1) / (used + 2), 0.05, 0.95))
@@ -399,12 +406,15 @@ def scored(docs: DataFrame, vocabulary_file: str, frequent: int = FREQUENT) -> D
 
     parts = rows.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, held_out boolean, word string, times long, n_tokens long, n_known long, base_score double, score double")
     parts = written(parts)
+    index.destroy()
     ids = ["doc_id", "key", "held_out"]
     rare = parts.where("word is not null").select(*ids, "word", "times").join(values.select("word", "known", "base", F.col("score").alias("s")), "word")
     rare = rare.select(*ids, F.lit(0).cast("long").alias("times"), F.lit(0).cast("long").alias("n_tokens"), (F.col("times") * F.col("known")).alias("n_known"), (F.col("times") * F.col("base")).alias("base_score"), (F.col("times") * F.col("s")).alias("score"))
     both = parts.where("word is null").select(*ids, "times", "n_tokens", "n_known", "base_score", "score").unionByName(rare)
     each = both.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in ("times", "n_tokens", "n_known", "base_score", "score")])
-    each = each.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # a row of very many repeats is written out in steps, so that no cell holds them all
+    each = each.withColumn("step", F.explode(F.expr(f"sequence(0L, (times - 1) div {REPEATS})")))
+    each = each.withColumn("one", F.explode(F.expr(f"sequence(1L, least({REPEATS}L, times - step * {REPEATS}))")))
     whole = lambda c: (F.col(c) / F.col("times")).cast("long").alias(c)
     return each.select("doc_id", "held_out", whole("n_tokens"), whole("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"))
 

@@ -40,7 +40,8 @@ _MARK, _TOGETHER = "•", 200
 
 
 class _Words(dict):
-    """Number of a word in the growing list of its ids; words between blanks are tokenized apart, as the tokenizer splits at white space first."""
+    """Number of a word in the growing list of its ids; words between blanks are tokenized apart. A tokenizer that doesn't do so is an error; whether
+    it lower-cases and takes a line's end for a blank is found by trying."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -48,6 +49,9 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        if not self._alike("ab, C d", "ab,", "C", "d"):
+            raise ValueError(f"{file} doesn't tokenize words between blanks apart")
+        self.lower, self.lines = self._alike("ABC, Xyz", "abc,", "xyz"), self._alike("ab\ncd", "ab", "cd")
         self.mark = self._ids([_MARK])[0]
         suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
@@ -58,6 +62,15 @@ class _Words(dict):
         self.clear()
         self.flat, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _alike(self, text: str, *parts: str) -> bool:
+        """Whether the text has the ids of its parts."""
+        whole, *apart = self._ids([text, *parts])
+        return whole == list(chain.from_iterable(apart))
+
+    def split(self, text: str) -> list[str]:
+        text = text.lower() if self.lower and text.isascii() else text
+        return (text.replace("\n", " ") if self.lines else text).split(" ")
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -98,7 +111,7 @@ def _words(file: str) -> _Words:
 
 def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     """Ids of each text, the end id last."""
-    split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+    split = [words.split(t) for t in texts]
     if len(words) > _CACHE or len(words.flat) > _CACHED_IDS:
         words.reset()
     numbers = [np.fromiter(map(words.get, s, repeat(-1)), np.int64, len(s)) for s in split]

@@ -4,6 +4,7 @@ import math
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -89,6 +90,22 @@ def test_long_words_take_time_in_proportion():
     assert took[1] < 8 * took[0] + 1
 
 
+def test_words_are_gathered_in_bounded_memory():
+    import pyarrow as pa
+
+    words = ["a" * 300_000] * 40 + ["b"] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array(range(len(words)))], ["word", "c"])
+    got = list(lm_score.gathered(iter([batch, batch.slice(0, 0), batch]), rows=1500, most=1_000_000))
+    assert [w for b in got for w in b.column("word").to_pylist()] == words * 2
+    assert max(sum(map(len, b.column("word").to_pylist())) for b in got) <= 2_600_000 and max(b.num_rows for b in got) <= 2500
+
+
+def test_a_row_of_very_many_repeats(spark):
+    docs = spark.range(12_345).selectExpr("7L doc_id", "'the same words again' text").unionByName(spark.createDataFrame([(8, "other words")], "doc_id long, text string"))
+    got = lm_score.scored(docs, PIECES).groupBy("doc_id", "n_tokens", "score").count().collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["count"]) for r in got) == [(7, 5, 12_345), (8, 3, 1)]
+
+
 def test_scores_of_odd_rows(odd, nothing):
     got = lm_score.scored(odd, PIECES).collect()
     assert len(got) == odd.count()
@@ -113,12 +130,30 @@ def test_base_scores_of_a_whole_table_and_the_model_on_held_out_texts(spark):
                 counts[x] = counts.get(x, 0) + 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
     of = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    tokens = held = base = 0
+    # a proper model of words: new ones have the share of words seen once, and are spelled by letters as often as those of training words
+    letters = Counter(c for x in counts for c in x)
+    all_, new = sum(letters.values()) + len(letters) + 1, sum(c == 1 for c in counts.values()) / (n - ends)
+    stop = len(counts) / (all_ + len(counts))
+    spelled = lambda x: sum(math.log10((1 - stop) * (letters[c] + 1) / all_ / (1 if c in letters else 1_114_112)) for c in x) + math.log10(stop)
+    plain = lambda x: math.log10((1 - ends / n) * ((1 - new) * counts.get(x, 0) / (n - ends) + new * 10 ** spelled(x)))
+    tokens = held = base = proper = 0
     for r in lm_score.scored(docs, PIECES).collect():
         w = texts[r["doc_id"]]
         assert r["train_tokens"] == n and r["n_tokens"] == len(w) + 1 and r["n_known"] == sum(x in counts for x in w) + 1
         assert r["base_score"] == pytest.approx(sum(of(counts.get(x, 0)) for x in w) + of(ends), rel=1e-9)
         if r["held_out"]:
             tokens, held, base = tokens + r["n_tokens"], held + r["score"], base + r["base_score"]
-    print("held out, a token: model", held / tokens, "base", base / tokens)
-    assert held / tokens > -6
+            proper += sum(map(plain, w)) + math.log10(ends / n)
+    print("held out, a token: model", held / tokens, "base", base / tokens, "words and letters", proper / tokens)
+    assert held / tokens > proper / tokens + 0.5
+
+
+def test_the_files_scores_count(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    pieces = lm_score.vocabulary(PIECES)
+    per_token = []
+    for scores in ([s for _, s in pieces], [s for _, s in reversed(pieces)]):
+        monkeypatch.setattr(lm_score, "vocabulary", lambda file, scores=scores: [(p, s) for (p, _), s in zip(pieces, scores)])
+        r = lm_score.scored(docs, PIECES).where("held_out").selectExpr("sum(score) / sum(n_tokens) v").first()
+        per_token.append(r["v"])
+    assert per_token[0] > per_token[1] + 0.03

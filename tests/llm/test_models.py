@@ -114,3 +114,9 @@ def test_the_cheapest_language_goes_first():
                 break
             chosen.remove(k)
         assert sorted(model.proportions(np.arange(60), n)[0]) == chosen
+
+
+def test_languages_are_bounded(tables):
+    docs, _ = tables
+    with pytest.raises(ValueError, match="more than 50 values"):
+        langid.fit(docs.withColumn("lang", F.col("doc_id").cast("string")), most_languages=50)

@@ -14,3 +14,22 @@ def test_words_learned_together_have_the_ids_they_have_alone(odd, ends):
     for text in texts:
         k = words[text]
         assert words.flat[words.cut[k] : words.cut[k + 1]].tolist() == words._ids([text])[0], text
+
+
+def test_the_tokenizer_says_what_is_a_blank_and_what_is_lower_case(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = _Words(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.split("A b\nC") == ["a", "b", "c"]
+    vocabulary = {c: i for i, c in enumerate(["a", "b", "c", "d", "A", "B", "C", "X", "x", "y", "z", ",", "\n", " ", "•"])}
+    for cut in (pre_tokenizers.WhitespaceSplit(), None):
+        tokenizer = Tokenizer(models.BPE(vocabulary, []))
+        if cut:
+            tokenizer.pre_tokenizer = cut
+        file = str(tmp_path / f"{cut is None}.json")
+        tokenizer.save(file)
+        if cut:  # case matters to it, any white space is a blank
+            assert _Words(file).split("A b\nC") == ["A", "b", "C"]
+        else:  # a blank is a token of its own
+            with pytest.raises(ValueError, match="apart"):
+                _Words(file)
