@@ -32,7 +32,7 @@ LENGTH, OPEN, MIN_CUT, FAN, END = 2048, 64, 16, 16, 1
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, rest binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 #: Words and ids (4 bytes each) that a worker keeps from task to task; beyond either it begins anew.
-_CACHE, _CACHED_IDS = 400_000, 8_000_000
+_CACHE, _CACHED_IDS = 1_000_000, 16_000_000
 
 
 #: Stands between words that are tokenized in one call; words that hold it are tokenized alone.
