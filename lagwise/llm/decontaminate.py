@@ -11,6 +11,7 @@ The benchmark's seeds are counted. Up to MAX_SEEDS they are broadcast at once, b
 documents. Hits are verified where they arise, so that only verified pairs are shuffled.
 
 Null and empty items match nothing, and an item of one word matches each document that has the word; null and empty documents match nothing.
+Without documents there are no rows; without items nothing is found and all documents stay.
 Items of equal tokens are searched once and reported each. Rows with the same doc_id and text give one result. Columns other than doc_id and
 text of the documents, item_id and text of the benchmark are not read.
 """

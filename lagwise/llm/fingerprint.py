@@ -106,7 +106,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The rows are dealt by ranges of the id, with ranges of about equal numbers of rows; an id (or null) with more rows than a range is cut further by
-    the text's MD5. Range i lies in partition i, and the first row of the next range is a guest at the end of each. Only the ranges' borders and first
+    the text's MD5. Range i lies in partition i, and the first row of the next range is a guest at the end of each. An id's pieces are as many as its rows ask for, up to the number of
+    partitions; rows of equal id and text stay together, one in memory at a time. Only the ranges' borders and first
     rows' keys reach the driver, so many as there are partitions. Texts are shuffled once. Equal rows of one id lie in one range, one after another."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = shuffle_parts(docs.sparkSession)
@@ -118,8 +119,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("b"), F.md5(F.col("text").cast("binary")).alias("c"))
     sub = F.lit(0)
     for r in many:
-        size = min(256, -(-r["count"] * parts // found["n"]))
-        sub = F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long")), F.floor(F.conv(F.substring("key.c", 1, 4), 16, 10).cast("int") * size / 65536).cast("int") + 1).otherwise(sub)
+        size = -(-r["count"] * parts // found["n"])  # at most parts
+        sub = F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long")), F.expr(f"cast(conv(substring(key.c, 1, 8), 16, 10) as bigint) * {size} div 4294967296").cast("int") + 1).otherwise(sub)
     dealt = rows.withColumn("key", key).withColumn("range", F.struct(place.cast("int").alias("p"), sub.cast("int").alias("s")))
     firsts = sorted(dealt.groupBy("range").agg(F.min("key").alias("key")).collect())
     if not firsts:

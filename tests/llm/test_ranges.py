@@ -43,3 +43,32 @@ def test_digests_count_triplets(spark):
     a = fingerprint.digest("the quick brown fox jumps over the lazy dog again and again " * 5)
     b = fingerprint.digest("völlig anderer Text, der nichts damit zu tun hat; 0123456789 " * 5)
     assert fingerprint.likeness(a, a) == 1 and 0 <= fingerprint.likeness(a, b) < 0.5 and fingerprint.likeness(a, b) == fingerprint.likeness(b, a)
+
+
+def test_likeness_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh é"), int(n))) for n in rng.integers(0, 3000, 40)]
+    texts += [t[: len(t) // 2] + t[len(t) // 3 :] for t in texts]
+    digests = [fingerprint.digest(t) for t in texts]
+    for a in digests[::3]:
+        for b in digests:
+            size, low, high = (abs(int(a[i : i + 2], 16) - int(b[i : i + 2], 16)) for i in (0, 2, 4))
+            apart = min(24, 2 * size) + min(12, low // 8) + min(12, high // 8)
+            for i in range(6, len(a), 2):
+                x, y = int(a[i : i + 2], 16), int(b[i : i + 2], 16)
+                for shift in (0, 2, 4, 6):
+                    d = abs((x >> shift) % 4 - (y >> shift) % 4)
+                    apart += 6 if d == 3 else d
+            assert fingerprint.likeness(a, b) == max(0.0, 1 - apart / (0.3 * (24 + 12 + 12 + 6 * 128)))
+
+
+def test_an_ids_pieces_grow_with_its_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        rows = [(7, f"text number {i}") for i in range(1500)] + [(8, "other")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        assert fingerprint.fingerprints(docs).rdd.getNumPartitions() > 256
+        check(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
