@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,31 +75,43 @@ def _nearest(events: DataFrame, keys: list[str], source, target, field: str, sea
     return near.select(*keys, {"closest": closest, "backward": b, "forward": f}[search].alias("event_ix"), "s")
 
 
+def _before(at: Callable[[Column], Column]) -> Column:
+    """How many of the latencies _all, which are in order, come first with `at` (of a latency) true: halved steps, each a look at one latency."""
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), F.lit(0), lambda n, step: F.when(at(F.get("_all", n + step - 1)), n + step).otherwise(n))
+
+
 def _chosen(sources: DataFrame, targets: DataFrame, keys: list[str], search, reach: float) -> DataFrame:
-    """keys, _lat, s of each source, with ts: the targets (lat, ix) at most reach away, in order, and event_ix of the one that search chooses. Sources and targets
-    meet through ranges of latency as wide as reach."""
-    bucket = lambda c, shift: (F.floor(c / F.lit(float(reach))) + shift).cast("long")
-    spread = sources.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("_lat"), i) for i in (-1, 0, 1)])))
-    near = spread.join(targets.withColumn("_bucket", bucket(F.col("t.lat"), 0)), [*keys, "_bucket"], "left")
-    inside = F.when(F.abs(F.col("t.lat") - F.col("_lat")) <= F.lit(float(reach)), F.col("t"))
-    near = near.groupBy(*keys, "_lat", "s").agg(F.array_sort(F.collect_list(inside)).alias("ts"))
-    at = search(F.col("_lat"), F.transform("ts", lambda t: t["lat"]))
-    return near.withColumn("event_ix", F.get("ts", F.when(at >= 0, at).cast("int"))["ix"])
+    """keys, _lat, s of each source, with _seen: the latencies of the targets at most reach away, in order, and event_ix of the one that search chooses.
+
+    Targets are gathered once for each range of latency with a source in it, from it and the ranges beside it; a source looks up where its own ones begin
+    and end there, so that no pair of a source and a target becomes a row. Ranges are a little wider than reach: rounded differences reach no further."""
+    bucket = lambda c, shift: (F.floor(c / F.lit(reach * 1.0001)) + shift).cast("long")
+    at = [*keys, "_bucket"]
+    placed = sources.withColumn("_bucket", bucket(F.col("_lat"), 0))
+    around = targets.where(~F.isnan("t.lat")).withColumn("_bucket", F.explode(F.array(*[bucket(F.col("t.lat"), i) for i in (-1, 0, 1)])))
+    lists = around.join(placed.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    near = placed.join(lists.select(*at, F.col("t.lat").alias("_all"), F.col("t.ix").alias("_ix")), at, "left").withColumn("_all", F.coalesce("_all", F.array().cast("array<double>")))
+    near = near.withColumn("_begin", _before(lambda t: t - F.col("_lat") < -reach)).withColumn("_n", _before(lambda t: t - F.col("_lat") <= reach) - F.col("_begin"))
+    near = near.withColumn("_seen", F.slice("_all", F.col("_begin") + 1, F.greatest(F.col("_n"), F.lit(0))))
+    near = near.withColumn("_at", search(F.col("_lat"), F.col("_seen")))
+    return near.withColumn("event_ix", F.when((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")), F.get("_ix", F.col("_begin") + F.col("_at").cast("int"))))
 
 
 def _by_function(events: DataFrame, keys: list[str], source, target, field: str, search, column: str, latency: str, within: float | None, settled) -> DataFrame:
-    """keys, event_ix of the target of each source, s. Without `within` the reach grows in rounds, for those sources only whose answer isn't settled."""
+    """keys, event_ix of the target of each latency with a source, s: the source that wins there, as all of equal latency choose the same target. Without `within`
+    the reach grows in rounds, for those sources only whose answer isn't settled."""
     there = events.where(F.col(latency).isNotNull()).where(" and ".join(f"`{k}` is not null" for k in keys) or "true")
     sources = there.where(F.col(column) == F.lit(source)).select(*keys, F.col(latency).cast("double").alias("_lat"), _said(latency, field))
+    sources = sources.groupBy(*keys, "_lat").agg(F.max_by("s", F.struct("s.l", "s.i")).alias("s"))
     targets = there.where(F.col(column) == F.lit(target)).select(*keys, F.struct(F.col(latency).cast("double").alias("lat"), F.col("event_ix").alias("ix")).alias("t"))
     if within is not None:
-        return _chosen(sources, targets, keys, search, within).select(*keys, "event_ix", "s")
+        return _chosen(sources, targets, keys, search, float(within)).select(*keys, "event_ix", "s")
     span = there.where(F.col(column).isin(source, target)).agg((F.max(latency) - F.min(latency)).cast("double").alias("span"), F.count_if(F.col(column) == F.lit(target)).alias("n")).first()
     reach, picks, span, columns = max(span["span"] or 0.0, 1e-9) / max(1, span["n"]) * 4, [], span["span"] or 0.0, sources.columns
     while True:
         got = _chosen(sources, targets, keys, search, reach)
         last = reach >= span
-        done = F.lit(last) if last or settled is None else F.coalesce(settled(F.col("_lat"), F.transform("ts", lambda t: t["lat"]), F.lit(float(reach))), F.lit(False))
+        done = F.lit(last) if last or settled is None else F.coalesce(settled(F.col("_lat"), F.col("_seen"), F.lit(float(reach))), F.lit(False))
         table, _ = written(got.select(*keys, "_lat", "s", "event_ix", done.alias("_done")))
         picks.append(table.where("_done").select(*keys, "event_ix", "s"))
         sources = table.where("not _done").select(*columns)

@@ -20,3 +20,15 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def most_rows(df) -> int:
+    """The most rows that any step of df's plan made, after running it."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        kind, made, children = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows"), plan.children()
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        plans += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [children.apply(i) for i in range(children.size())]
+    return most
