@@ -93,11 +93,12 @@ def cross(x: DataFrame, signal: DataFrame) -> DataFrame:
 
 
 def gram_lagged(entry: Entry, events: DataFrame, samples: int, latency: str = "latency", column: str = "event") -> DataFrame:
-    """The same as gram for one plain FIR entry over samples 1..samples, by lag: pairs of events nearer than the width meet through buckets of that width,
-    and are added up by lag; pairs whose common samples reach beyond the signal are counted cell by cell."""
-    w, shift = entry.basis.width, entry.basis.shift
-    rows = entry.schema.design(filter_events(events, entry.key, column, check=False), [latency]).select("event_ix", "x", (F.floor(latency).cast("long") + shift).alias("r")).withColumn("b", F.floor(F.col("r") / w))
-    near = rows.select(F.col("event_ix").alias("i2"), F.col("x").alias("x2"), F.col("r").alias("r2"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    """The same as gram for one plain FIR entry over samples 1..samples, by lag: events of one sample are added up first; samples nearer than the width meet
+    through buckets of that width, and are added up by lag; pairs whose common samples reach beyond the signal are counted cell by cell."""
+    w, shift, k = entry.basis.width, entry.basis.shift, len(entry.schema.names())
+    design = entry.schema.design(filter_events(events, entry.key, column, check=False), [latency])
+    rows = design.groupBy((F.floor(latency).cast("long") + shift).alias("r")).agg(F.array(*[F.sum(F.get("x", F.lit(j))) for j in range(k)]).alias("x")).withColumn("b", F.floor(F.col("r") / w))
+    near = rows.select(F.col("x").alias("x2"), F.col("r").alias("r2"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
     pairs = rows.join(near, "b").where(F.abs(F.col("r") - F.col("r2")) < w).withColumn("lag", (F.col("r") - F.col("r2")).cast("int"))
     # samples r+c (c of 0..w-1) in 1..samples: whole pairs share one range of c
     pairs = pairs.withColumn("c0", F.greatest(F.lit(0), 1 - F.col("r")).cast("int")).withColumn("c1", F.least(F.lit(w - 1), F.lit(samples) - F.col("r")).cast("int"))
