@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,20 @@ def lags(times: tuple[float, float], sfreq: float) -> list[float]:
 
 
 def epoch(signal: DataFrame, events: DataFrame, times: tuple[float, float], sfreq: float, latency: str = "latency", series: list[str] | None = None) -> DataFrame:
-    """channel, event_ix, time_ix (from 0), time, y: each event's window; samples outside the signal give null. The event's sample is rint(latency)."""
+    """channel, event_ix, time_ix (from 0), time, y: each event's window; samples outside the signal give null. The event's sample is rint(latency). A window
+    is cut once for each sample at which there is an event, however many there are; the events meet their samples' windows."""
     keys, (first, last) = series or [], round_times(times, sfreq)
     channels = signal.select(*keys, "channel").distinct()
-    at = events.select(*keys, "event_ix", F.rint(latency).cast("long").alias("at")).withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    wanted = at.select(*keys, "event_ix", (F.col("at") + F.col("k")).alias("sample"), (F.col("k") - first).alias("time_ix"), (F.col("k") / F.lit(float(sfreq))).alias("time"))
+    at = events.select(*keys, "event_ix", F.rint(latency).cast("long").alias("_at"))
+    places = at.select(*keys, "_at").distinct().withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    wanted = places.select(*keys, "_at", (F.col("_at") + F.col("k")).alias("sample"), (F.col("k") - first).alias("time_ix"), (F.col("k") / F.lit(float(sfreq))).alias("time"))
     full = wanted.join(channels, keys) if keys else wanted.join(F.broadcast(channels))  # as many rows as channels
-    return full.join(signal.select(*keys, "channel", "sample", "y"), [*keys, "channel", "sample"], "left").select(*keys, "channel", "event_ix", "time_ix", "time", "y")
+    windows = full.join(signal.select(*keys, "channel", "sample", "y"), [*keys, "channel", "sample"], "left").drop("sample")
+    # an event without a latency has a window too, of nulls
+    cut = windows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_at").alias("_place"), "channel", "time_ix", "time", "y")
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in keys], F.col("_at").eqNullSafe(F.col("_place")))
+    # sorted runs of both sides spill; events, of whose size in memory their files say little, would else be broadcast
+    return at.hint("merge").join(cut, same).select(*keys, "channel", "event_ix", "time_ix", "time", "y")
 
 
 def drop_missing_epochs(epochs: DataFrame) -> DataFrame:
