@@ -31,8 +31,10 @@ from lagwise.llm.common import slices, written
 LENGTH, OPEN, MIN_CUT, FAN, END = 2048, 64, 16, 16, 1
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, rest binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-#: Words and ids (4 bytes each) that a worker keeps from task to task; beyond either it begins anew.
-_CACHE, _CACHED_IDS = 1_000_000, 16_000_000
+#: Words and ids (4 bytes each) that a worker keeps from task to task; beyond either it keeps those words that were used most, a quarter as many at most.
+_CACHE, _CACHED_IDS = 150_000, 2_400_000
+#: Rows that a worker gets at once: Spark's 10,000 documents are tens of megabytes, held on both sides.
+_ROWS = 1000
 
 
 #: Stands between words that are tokenized in one call; words that hold it are tokenized alone.
@@ -60,7 +62,18 @@ class _Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.flat, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.cut, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def trim(self) -> None:
+        """Forgets all words but those used more than once, the most used first, up to a quarter of what may be kept; counting begins anew."""
+        words, cut, flat = list(self), self.cut, self.flat
+        kept = np.argsort(-self.used, kind="stable")[: min(_CACHE // 4, int((self.used > 1).sum()))]
+        kept = np.sort(kept[np.cumsum(np.diff(cut)[kept]) <= _CACHED_IDS // 4])
+        n = np.diff(cut)[kept]
+        self.reset()
+        if len(kept):
+            at = np.repeat(cut[kept] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            self._add([words[i] for i in kept], flat[at], n)
 
     def _alike(self, text: str, *parts: str) -> bool:
         """Whether the text has the ids of its parts."""
@@ -101,6 +114,7 @@ class _Words(dict):
         self.update(zip(words, range(len(self.cut) - 1, len(self.cut) - 1 + len(words))))
         self.flat = np.append(self.flat, ids)
         self.cut = np.append(self.cut, self.cut[-1] + np.cumsum(n))
+        self.used = np.append(self.used, np.zeros(len(words), np.int32))
 
 
 @lru_cache(maxsize=1)
@@ -113,7 +127,7 @@ def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     """Ids of each text, the end id last."""
     split = [words.split(t) for t in texts]
     if len(words) > _CACHE or len(words.flat) > _CACHED_IDS:
-        words.reset()
+        words.trim()
     numbers = [np.fromiter(map(words.get, s, repeat(-1)), np.int64, len(s)) for s in split]
     gone = [np.flatnonzero(k < 0) for k in numbers]
     new = {s[i] for s, g in zip(split, gone) for i in g}
@@ -122,6 +136,7 @@ def encoded(texts: list[str], words: _Words) -> list[np.ndarray]:
     out = []
     for s, k, g in zip(split, numbers, gone):
         k[g] = [words[s[i]] for i in g]
+        np.add.at(words.used, k, 1)
         begin, n = words.cut[k], words.cut[k + 1] - words.cut[k]
         total = int(n.sum())
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
@@ -226,7 +241,13 @@ def packed(docs: DataFrame, file: str, length: int = LENGTH, open_windows: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = rows.rdd.getNumPartitions()
     out, turn = [], 0
-    step = written(rows.mapInArrow(_first(file, 0, length, open_windows, min_cut), _SCHEMA))
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(_ROWS))
+    try:
+        step = written(rows.mapInArrow(_first(file, 0, length, open_windows, min_cut), _SCHEMA))
+    finally:
+        conf.set(name, before)
     while True:
         out.append(step.where("rest is null").drop("rest"))
         rest = step.where("rest is not null")

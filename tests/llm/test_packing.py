@@ -1,6 +1,7 @@
 import public_tokenizers
 import pytest
 
+from lagwise.llm import packing
 from lagwise.llm.packing import _Words
 
 
@@ -33,3 +34,19 @@ def test_the_tokenizer_says_what_is_a_blank_and_what_is_lower_case(tmp_path):
         else:  # a blank is a token of its own
             with pytest.raises(ValueError, match="apart"):
                 _Words(file)
+
+
+def test_words_used_most_are_kept_when_there_are_too_many(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 100)
+    words, plain = packing._Words(public_tokenizers.path("word_bpe_49k.json")), packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = []
+    for i in range(30):
+        text = "the same words, always " * 3 + " ".join(f"once{i}x{j}" for j in range(20))
+        got = packing.encoded([text], words)[0]
+        want = plain.tokenizer.encode(text, add_special_tokens=False).ids
+        assert got.tolist() == [*want, packing.END]
+        sizes.append(len(words))
+        assert "always" in words and len(words.cut) == len(words) + 1 and words.cut[-1] == len(words.flat)
+    assert max(sizes) <= 125
+    words.trim()
+    assert 0 < len(words) <= 25 and "always" in words and "once29x1" not in words
