@@ -50,3 +50,31 @@ def test_words_used_most_are_kept_when_there_are_too_many(monkeypatch):
     assert max(sizes) <= 125
     words.trim()
     assert 0 < len(words) <= 25 and "always" in words and "once29x1" not in words
+
+
+def test_words_that_differ_in_marks_and_case_are_tokenized_once(monkeypatch):
+    words, seen = packing._Words(public_tokenizers.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(words, "_ids", lambda texts, ids=words._ids: seen.extend(texts) or ids(texts))
+    packing.encoded(['Wonder wonder, wonder. WONDER! wonder?" (wonder', "né né, né. été; wonder"], words)
+    given = " ".join(seen).split()
+    assert given.count("wonder") == 1 and given.count("né") == 1 and not {"wonder,", "wonder.", "né,"} & {*given}
+
+
+@pytest.mark.parametrize("chars", [5, 40, 500_000])
+def test_texts_have_the_ids_that_the_tokenizer_gives_them(chars, monkeypatch):
+    monkeypatch.setattr(packing, "_CHARS", chars)
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["'", "'s", "'S,", "don't,", "dogs'", "a's'.", "rock'n'roll!!", ",'s", "…", "a…,", "é,", "É.", "×,", "3×,", "÷.", "x1,", "12.", "J̌", "ǰ,", "İx,", "ﬁn.", "Σας,", "\x00", "a\x00", "a", "́,", "ɐ,", "名前,", "•,", "a•,", "\t,a\t.", " b,", "</w>,", "<|endoftext|>,"]
+    odd += [c * n + end for c in ("a", "é", "名") for n in (7, 8, 11, 12, 15, 16, 17, 22, 23, 24, 25, 300) for end in ("", ",", "....", ".....,")]
+    plain = [" ".join(odd), *odd, "\n".join(odd), "  ".join(odd).upper(), "", " ", "\n \n", " ".join(x for x in odd if x.isascii()).title()]
+    for texts in (plain, plain[::-1]):
+        want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in packing.encoded(texts, words)] == [[*ids, packing.END] for ids in want]
+
+
+def test_words_whose_keys_have_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "_hash", lambda keys: keys[:, 0] % packing.np.uint64(2))
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"word{i}, other{i}" for i in range(40))
+    for _ in range(2):
+        assert packing.encoded([text], words)[0].tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
