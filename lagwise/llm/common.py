@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from lagwise.session import ship
 
 #: Rows turned into Python objects at a time, so that very long texts don't pile up in a worker.
 SLICE = 256
+#: Rows with a text that a worker gets at once: Spark's 10,000 documents are tens of megabytes, held on both sides.
+TEXTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None = TEXTS) -> Iterator[None]:
+    """What runs meanwhile hands workers at most so many rows at once (None: as the session has it)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows and not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation. rows: that workers get at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagwise/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import FILTER_BITS, among, slices, unused, written
+from lagwise.llm.common import FILTER_BITS, TEXTS, among, slices, unused, written
 
 WORDS, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK, STEP = 5, 0.8, 25, 4, 1e-6, 400, 20
 #: Shingles (8 bytes each, of texts of about as many bytes) in a block, on the average of its bucket; rounds in which components must be found.
@@ -43,7 +43,7 @@ class _Hashes(dict):
     """Word to 64-bit hash, kept for words seen."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -290,10 +290,10 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, node (MD5 of the text), root (least node of the component), class_id (its least doc_id), copies (its rows), links (rows whose text is the same or linked)."""
     docs = _documents(docs)
-    rows = written(signatures(docs))
+    rows = written(signatures(docs), TEXTS)
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
     nodes = written(nodes)
-    found = written(links_between(nodes.where("sig is not null"), docs, threshold, tolerance))
+    found = written(links_between(nodes.where("sig is not null"), docs, threshold, tolerance), TEXTS)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "to"))
     each = nodes.select("node", "n").join(roots, "node", "left").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))

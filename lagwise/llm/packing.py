@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import slices, written
+from lagwise.llm.common import TEXTS, slices, written
 
 #: Ids in a sequence, open windows of a partition, least room that is filled by a cut, partitions whose rests meet, id after each document.
 LENGTH, OPEN, MIN_CUT, FAN, END = 2048, 64, 16, 16, 1
@@ -35,10 +35,6 @@ _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 #: Words and ids (4 bytes each) that a worker keeps from task to task; beyond either it keeps those words that were used most, a quarter as many at most.
 _CACHE, _CACHED_IDS = 300_000, 2_400_000
-#: Rows that a worker gets at once: Spark's 10,000 documents are tens of megabytes, held on both sides.
-_ROWS = 1000
-
-
 #: Stands between words that are tokenized in one call; words that hold it are tokenized alone.
 _MARK, _TOGETHER = "•", 200
 #: Characters (or one word) whose words are looked up at once; bytes of a word's key, in which longer words have no place; factors of the keys' hash.
@@ -378,13 +374,7 @@ def packed(docs: DataFrame, file: str, length: int = LENGTH, open_windows: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = rows.rdd.getNumPartitions()
     out, turn = [], 0
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(_ROWS))
-    try:
-        step = written(rows.mapInArrow(_first(file, 0, length, open_windows, min_cut), _SCHEMA))
-    finally:
-        conf.set(name, before)
+    step = written(rows.mapInArrow(_first(file, 0, length, open_windows, min_cut), _SCHEMA), TEXTS)
     while True:
         out.append(step.where("rest is null").drop("rest"))
         rest = step.where("rest is not null")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lagwise.llm.common import among, fold, slices, unused, written
+from lagwise.llm.common import TEXTS, among, batches_of, fold, slices, unused, written
 from lagwise.llm.quality import averaged
 
 #: Rows for fitting at most, features kept, steps of the optimiser, classifiers that are averaged.
@@ -51,7 +51,7 @@ class _Known(dict):
         self.of = of
 
     def __missing__(self, string: str) -> tuple:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[string] = tuple(x for word in _WORD.findall(string) for x in self.of(word))
         return got
@@ -206,6 +206,11 @@ def _sampled(rows: DataFrame, n: int, most: int, model: Model) -> list[np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, kept: int = KEPT) -> Model:
     """docs: doc_id, text of the training documents; labels: doc_id, toxic. kept: at most 65,536."""
+    with batches_of(docs.sparkSession):
+        return _fit(docs, labels, prior, max_positive, max_unlabelled, kept)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, prior: float | None, max_positive: int, max_unlabelled: int, kept: int) -> Model:
     y = averaged(labels, "toxic")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PICKS)).alias("pick"))
     n = plain.select("doc_id").join(y, "doc_id", "left").agg(F.count("*").alias("all"), F.count_if(F.col("y") > 0.5).alias("p"), F.count("y").alias("y")).first()
@@ -248,4 +253,5 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MA
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is under 0.5, with their columns; repeated rows share their fate. Labels decide through the classifier only."""
     name = unused(docs, "toxicity")
-    return scored(docs, fit(docs.where(fold(5) != 0), labels), name).where(F.col(name) < 0.5).select(docs.columns)
+    model = fit(docs.where(fold(5) != 0), labels)
+    return written(scored(docs, model, name).where(F.col(name) < 0.5).select(docs.columns), TEXTS)

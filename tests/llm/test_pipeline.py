@@ -88,3 +88,26 @@ def test_the_whole_pipeline(spark):
             assert start == at
             at += length
         assert at == total
+
+
+def test_stages_hand_workers_few_texts_at_once(spark, odd, labels, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lagwise.llm import ngram_join
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.parquet
+
+    def spied(self, path, **kw):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        if "MapInArrow" in plan and "text#" in plan.partition("MapInArrow")[2]:
+            seen.append(int(spark.conf.get(name)))
+        return write(self, path, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    before = spark.conf.get(name)
+    rows = {}
+    for stage in (lambda: toxicity.drop_toxic(odd, labels), lambda: ngram_join.one_of_each(odd)):
+        kept = stage()
+        rows[len(seen)] = kept.count()
+        assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 2 and seen and max(seen) <= 1000 and spark.conf.get(name) == before
