@@ -8,7 +8,8 @@ items of up to 4 tokens a mask of all of them, since 80 % admits no substitution
 80 % admits (one in 5 to 9 tokens, two in 10 to 12; all patterns were tried). Documents are only searched with masks that some item has.
 
 The benchmark's seeds are counted. Up to MAX_SEEDS they are broadcast at once, beyond that in blocks of about that size, each against all
-documents. Hits are verified where they arise, so that only verified pairs are shuffled.
+documents. Hits are verified where they arise, so that only verified pairs are shuffled. A hit takes along the tokens of its windows, not the document's:
+Spark holds all hits of a document at once, so that memory and time would else grow with a document's hits times its tokens.
 
 Null and empty items match nothing, and an item of one word matches each document that has the word; null and empty documents match nothing.
 Without documents there are no rows; without items nothing is found and all documents stay.
@@ -34,8 +35,8 @@ SHORT = {
 
 
 def tokens(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    # an empty text is split into one empty token; named once, as Spark would clean the text anew for each mention
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), " "), "")
 
 
 def _lengths(mask: str) -> list[int]:
@@ -53,18 +54,24 @@ def _positions(df: DataFrame, words: str, masks: list[str], of_items: bool = Fal
             fits = fits & F.least(n, F.lit(WINDOW)).isin(_lengths(mask))
         out.append(F.when(fits, F.xxhash64(F.lit(mask), *kept)))
     least = min(map(len, masks))
-    rows = df.where(n >= least).withColumn("at", F.explode(F.sequence(F.lit(0), n - least)))
+    # not a filter of the words' number, which Spark would move below the words, to make them twice
+    rows = df.withColumn("at", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))))
     return rows.withColumn("seed", F.explode(F.array(*out))).where("seed is not null")
 
 
+def _begin() -> Column:
+    """The first document token of any window around the hit."""
+    return F.greatest(F.lit(0), F.col("at") - (WINDOW - 1))
+
+
 def _agreement() -> Column:
-    """The most agreeing tokens in any window around the hit (item tokens iw at ip, document tokens w at at); only the tokens of those windows are
-    compared, however long the item is."""
-    n, ip, shift = F.size("iw"), F.col("ip"), F.col("at") - F.col("ip")
+    """The most agreeing tokens in any window around the hit (item tokens iw at ip, document tokens at at, of which near has those from begin on); only the
+    tokens of those windows are compared, however long the item is."""
+    n, ip, shift = F.size("iw"), F.col("ip"), F.col("at") - F.col("ip") - _begin()
     length = F.least(F.lit(WINDOW), n)
     low, high = F.greatest(F.lit(0), ip - length + min(map(len, MASKS))), F.least(n - length, ip)
     low = F.least(low, high)
-    equal = F.transform(F.sequence(low, high + length - 1), lambda i: (F.get("iw", i) == F.coalesce(F.get("w", i + shift), F.lit(""))).cast("int"))
+    equal = F.transform(F.sequence(low, high + length - 1), lambda i: (F.get("iw", i) == F.coalesce(F.get("near", i + shift), F.lit(""))).cast("int"))
     sums = lambda e: F.transform(F.sequence(F.lit(1), high - low + 1), lambda a: F.aggregate(F.slice(e, a, length), F.lit(0), lambda s, x: s + x))
     return F.array_max(F.flatten(F.transform(F.array(equal), sums)))
 
@@ -83,7 +90,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEE
 
     def against(block: int) -> DataFrame:
         part = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else df
-        hits = probes.join(F.broadcast(part(seeds)), "seed").join(F.broadcast(part(distinct)), "item")
+        near = F.slice("w", _begin() + 1, F.col("at") + WINDOW - _begin()).alias("near")
+        hits = probes.join(F.broadcast(part(seeds)), "seed").select("doc_id", "node", "item", "at", "ip", near).join(F.broadcast(part(distinct)), "item")
         good = hits.withColumn("matched", _agreement()).where(F.col("matched") >= F.ceil(F.lit(AGREE) * F.least(F.lit(WINDOW), F.size("iw"))))
         return good.groupBy("doc_id", "node", "item").agg(F.max("matched").alias("matched"), F.count("*").alias("hits"), F.min(F.greatest(F.lit(0), F.col("at") - F.col("ip"))).alias("first_token"))
 

@@ -207,3 +207,21 @@ def test_masks_hit_every_accepted_substitution(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (decontaminate.MAX_SEEDS, 20):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, max_seeds=most).collect()} == want
+
+
+def test_hits_take_their_windows_along_not_the_document(spark, benchmark):
+    """Spark holds all hits of a document at once: with all its words each, they would grow with the square of its length."""
+    passage = benchmark.where("item_id = 1").first()["text"].split()
+    words = [f"w{i}" if i % 40 else " ".join(passage[:7] + ["odd"] + passage[8:]) for i in range(4000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "- . -"), (3, " ".join(passage))], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark)
+    got = {r["doc_id"]: (r["matched"], r["hits"], r["first_token"]) for r in found.collect()}
+    assert got[3][::2] == (13, 0) and got[1][::2] == (12, 0) and got[1][1] >= 200 and set(got) == {1, 3}
+    plans, names = [found._jdf.queryExecution().optimizedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "Join":
+            names.append({plan.output().apply(i).name() for i in range(plan.output().size())})
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert [n for n in names if "iw" in n] and not [n for n in names if {"iw", "w"} <= n]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # a text is cleaned once
