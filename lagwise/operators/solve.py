@@ -26,8 +26,9 @@ from lagwise.session import written
 MOST_COLUMNS = 5000
 #: The share of X'y that the solver cg may leave in X'(y - Xb).
 LEFT = 1e-14
-#: Different events of one channel and time that a robust fit takes into one task; more are fitted in rounds of partial sums.
-MOST_ROWS = 100_000
+#: Events of one channel and time, or else different ones of them, that a robust fit takes into one task as plain numbers; more are fitted in rounds of
+#: partial sums.
+MOST_ROWS = 2_000_000
 
 
 def solve(g: np.ndarray, r: np.ndarray, solver="default") -> np.ndarray:
@@ -424,15 +425,18 @@ def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict |
     """channel, time_ix, coefname, estimate: an M-estimate for each channel and time over the events that have a value there.
 
     weight: biweight(), huber() or a function of one's own: residuals (an array, in units of their scale) to weights. Where no channel and time has more than
-    most_rows events, each is a group of its task's. Else events of equal value and predictors become one row with their number; where no channel and time has
-    more than most_rows of those, each is a task's group again. Else all are fitted in rounds of partial sums over all rows, with the same scale and the same
-    end, so any weights work at any size."""
+    most_rows events, each is a group of its task's. Else events of equal value and predictors become one row with their number; where no channel
+    and time has more than most_rows of those, each is a task's group again. Else all are fitted in rounds of partial sums over all rows, with the same scale
+    and the same end, so any weights work at any size."""
     schema = Schema.fit(formula, events, contrasts)
     names, keys = schema.names(), ["channel", "time_ix"]
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        b = reweighted(np.array(part["x"].tolist()), part["y"].to_numpy(), weight, n=part["n"].to_numpy() if "n" in part else None)
-        return pd.DataFrame({"channel": key[0], "time_ix": key[1], "coefname": names, "estimate": b})
+    def one(key: tuple, part: pa.Table) -> pa.Table:
+        values = lambda name: part.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+        b = reweighted(x, values("y"), weight, n=values("n") if "n" in part.column_names else None)
+        same = lambda i, kind: pa.array([key[i].as_py()] * len(names), kind)
+        return pa.table([same(0, pa.int32()), same(1, pa.int32()), pa.array(names), pa.array(b, pa.float64())], ["channel", "time_ix", "coefname", "estimate"])
 
     rows = epochs.where("y is not null").join(schema.design(events), "event_ix").select("channel", F.col("time_ix").cast("int").alias("time_ix"), "y", "x")
     out = "channel int, time_ix int, coefname string, estimate double"
@@ -440,11 +444,11 @@ def robust(formula: str, events: DataFrame, epochs: DataFrame, contrasts: dict |
     if largest(rows) > most_rows:
         counted, _ = written(rows.groupBy(*keys, "y", "x").agg(F.count("*").alias("n")))
         if largest(counted) <= most_rows:
-            return counted.groupBy(*keys).applyInPandas(one, out)
+            return counted.groupBy(*keys).applyInArrow(one, out)
         rows = rows.withColumn("channel", F.col("channel").cast("int")).persist()
         try:
             beta = _rounds(rows, len(names), weight)
         finally:
             rows.unpersist()
         return rows.sparkSession.createDataFrame([(*key, name, float(v)) for key, b in beta.items() for name, v in zip(names, b)], out)
-    return rows.groupBy(*keys).applyInPandas(one, out)
+    return rows.groupBy(*keys).applyInArrow(one, out)

@@ -82,3 +82,22 @@ def test_robust_fits_count_equal_events(spark, monkeypatch, weight):
 
     monkeypatch.setattr(sv, "_rounds", none)
     assert len(rows) > 100 and get(60) == pytest.approx(whole, rel=1e-9)
+
+
+@pytest.mark.parametrize("unit", [1.0])
+def test_robust_fits_of_many_different_events_need_no_rounds(spark, monkeypatch, unit):
+    """More than 100,000 events of one channel and time, no two alike: their fit is a task's, and equals that of numpy."""
+    n = 110_000
+    e = spark.range(n).select(F.col("id").alias("event_ix"), (F.col("id") * 7919 % n / n).alias("x"))
+    far = F.when(F.col("event_ix") % 10 == 0, 50.0).otherwise(F.sin(F.col("event_ix").cast("double")))
+    epochs = e.select(F.lit(1).alias("channel"), F.lit(0).alias("time_ix"), "event_ix", ((F.lit(1.0) + F.col("x") * 2 + far) * unit).alias("y"))
+
+    def none(*_):
+        raise AssertionError("rounds over all rows")
+
+    monkeypatch.setattr(sv, "_rounds", none)
+    got = {r["coefname"]: r["estimate"] / unit for r in sv.robust("0 ~ 1 + x", e, epochs).collect()}
+    i = np.arange(n)
+    x = np.column_stack([np.ones(n), i * 7919 % n / n])
+    want = sv.reweighted(x, x @ [1.0, 2.0] + np.where(i % 10 == 0, 50.0, np.sin(i)), sv.biweight())
+    assert [got["(Intercept)"], got["x"]] == pytest.approx(list(want), rel=1e-6) and abs(want[0] - 1) < 0.05
