@@ -84,7 +84,7 @@ def test_robust_fits_count_equal_events(spark, monkeypatch, weight):
     assert len(rows) > 100 and get(60) == pytest.approx(whole, rel=1e-9)
 
 
-@pytest.mark.parametrize("unit", [1.0])
+@pytest.mark.parametrize("unit", [1.0, 1e-9])
 def test_robust_fits_of_many_different_events_need_no_rounds(spark, monkeypatch, unit):
     """More than 100,000 events of one channel and time, no two alike: their fit is a task's, and equals that of numpy."""
     n = 110_000
