@@ -88,6 +88,22 @@ def among(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) ->
     return out.join(keys.select(key).distinct(), key, "left_semi").select(*names)
 
 
+def without(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose key isn't in keys (neither has null keys), at any size alike: what the filter of the keys rules out stays and is never shuffled,
+    the rest is joined. df is read twice."""
+    cells, names, seen = key_filter(keys, key, bits), df.columns, unused(df, "seen")
+    at, cell, bitmap = (unused(df, f"{seen}_{n}") for n in ("at", "cell", "bitmap"))
+    out = df.withColumn(seen, F.lit(True))
+    for position in _positions(F.col(key), bits):
+        side = cells.select(F.col("cell").alias(cell), F.col("bitmap").alias(bitmap))
+        out = out.withColumn(at, position).join(F.broadcast(side), F.expr(f"{at} div {_CELL} = {cell}"), "left")
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), F.expr(f"cast({at} % {_CELL} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+        here = F.coalesce(F.expr(f"1 << cast({at} % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+        out = out.withColumn(seen, F.col(seen) & here).select(*names, seen)
+    stay = out.where(~F.col(seen)).select(*names)
+    return stay.unionByName(out.where(seen).select(*names).join(keys.select(key).distinct(), key, "left_anti").select(*names))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have."""
     while name in df.columns:

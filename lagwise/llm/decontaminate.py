@@ -9,7 +9,8 @@ items of up to 4 tokens a mask of all of them, since 80 % admits no substitution
 
 The benchmark's seeds are counted. Up to MAX_SEEDS they are broadcast at once, beyond that in blocks of about that size, each against all
 documents. Hits are verified where they arise, so that only verified pairs are shuffled. A hit takes along the tokens of its windows, not the document's:
-Spark holds all hits of a document at once, so that memory and time would else grow with a document's hits times its tokens.
+Spark holds all hits of a document at once, so that memory and time would else grow with a document's hits times its tokens. Documents are dropped by a
+filter of the bad texts: only texts that it lets through are shuffled.
 
 Null and empty items match nothing, and an item of one word matches each document that has the word; null and empty documents match nothing.
 Without documents there are no rows; without items nothing is found and all documents stay.
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import unused, written
+from lagwise.llm.common import unused, without, written
 
 MASKS, WINDOW, AGREE, MAX_SEEDS = ("1111101", "1011000111"), 13, 0.8, 2_000_000
 #: The masks of items of fewer tokens than WINDOW, by number of tokens.
@@ -103,4 +104,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns; null and empty texts stay."""
     key = unused(docs, "text_md5")
     bad = written(contaminated(docs, benchmark).select(F.col("node").alias(key)).distinct())
-    return docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(bad, key, "left_anti").select(docs.columns)
+    return without(docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))), bad, key).select(docs.columns)
